@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, pii, url_filter
+from . import chat_format, decontamination, mixing, pii, url_filter
 from .common import table
 
 #: verdict, host, path prefix
@@ -34,12 +34,17 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
         "op4_chat_format": op4_chat_format,
         "op5_mixing": op5_mixing,
         "op7_pii": op7_pii,
+        "op10_decontamination": op10_decontamination,
     }
 
 
@@ -91,6 +96,22 @@ SELECT doc_id, size, source_size, target,
 FROM run LEFT JOIN sums s ON run.source IS NOT DISTINCT FROM s.source
 """
 
+_OP10 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower_az, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_az FROM documents)),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+phrases AS (
+  SELECT DISTINCT item_id, len(p) AS n, p FROM (
+    SELECT item_id, CASE WHEN len(w) < 10 THEN w ELSE w[i : i + 9] END AS p
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0))),
+lengths AS (SELECT DISTINCT n FROM phrases),
+places AS (SELECT doc_id, i, n, w[i : i + n - 1] AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)),
+found AS (SELECT a.doc_id, a.i, a.n, p.item_id FROM places a JOIN phrases p ON a.n = p.n AND a.p = p.p),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": _OP4, "op5_mixing": _OP5}
+    return {"op4_chat_format": _OP4, "op5_mixing": _OP5, "op10_decontamination": _OP10}
