@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, mixing, pii, url_filter
+from . import chat_format, decontamination, mixing, near_dedup, pii, url_filter
 from .common import table
 
 #: verdict, host, path prefix
@@ -17,6 +17,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "\\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -41,6 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
+        "op3_near_dedup": op3_near_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_mixing": op5_mixing,
         "op7_pii": op7_pii,
