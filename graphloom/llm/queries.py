@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, mixing, near_dedup, pii, url_filter
+from . import chat_format, decontamination, mixing, near_dedup, pii, quality, url_filter
 from .common import table
 
 #: verdict, host, path prefix
@@ -38,6 +38,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    held_out = quality.held_out(F.col("row.doc_id"))
+    return scored.select("row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +55,7 @@ def queries() -> dict:
         "op4_chat_format": op4_chat_format,
         "op5_mixing": op5_mixing,
         "op7_pii": op7_pii,
+        "op9_quality": op9_quality,
         "op10_decontamination": op10_decontamination,
     }
 
