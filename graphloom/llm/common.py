@@ -44,3 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder: recovery from a lost executor rereads files instead of recomputing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def others(docs: DataFrame, text_col: str) -> Column:
+    """All columns but the text, in one struct, so that names never clash and the text travels once."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    return F.struct(*kept) if kept else F.struct(F.lit(0).alias("_none"))
+
+
+def with_text(docs: DataFrame, row: str, text_col: str, text: Column) -> list[Column]:
+    """The columns of ``docs`` again, from the struct ``row`` and a new text."""
+    return [(text if c == text_col else F.col(f"{row}.`{c}`")).alias(c) for c in docs.columns]

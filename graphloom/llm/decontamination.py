@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import others, with_text
 from .fm_index import FMIndex
 from .textbytes import ALNUM_WORDS, find_words, hash_words, text_slices
 
@@ -154,7 +155,7 @@ def _pass(phrases: Phrases, column: str, shard_bytes: int):
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` plus _text (bytes), _n_words, _hits (flat word, byte start, byte end of each hit word) and _items (ids as text).
+    """_row (``docs``' other columns), _text (bytes), _n_words, _hits (flat word, byte start, byte end of each hit word) and _items (ids as text).
 
     ``benchmark``: item id, text.  Null texts have no words and match nothing; items with a null
     id are searched under the id "null"; repeated items count once; with an empty test set nothing
@@ -164,7 +165,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
     items = benchmark.select(F.coalesce(F.col(benchmark.columns[0]).cast("string"), F.lit("null")).alias("item"), F.col(benchmark.columns[1]).cast("binary").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    out = docs.select(F.struct("*").alias("_row"), F.col(text_col).cast("binary").alias("_text"), F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<int>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
+    out = docs.select(others(docs, text_col).alias("_row"), F.col(text_col).cast("binary").alias("_text"), F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<int>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else items
         phrases = Phrases([(r["item"], bytes(r["text"])) for r in block.collect()], window)
@@ -209,5 +210,4 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Dat
     """``docs`` with the merged spans of test passages cut from the texts; all rows and columns are kept."""
     f = find_hits(docs, benchmark, text_col)
     f = f.mapInArrow(_cut_spans("_text"), f.schema)
-    new = F.when(F.size("_hits") == 0, F.col(f"_row.`{text_col}`")).otherwise(F.col("_text").cast("string"))
-    return f.select(*[(new if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    return f.select(*with_text(docs, "_row", text_col, F.col("_text").cast("string")))

@@ -19,6 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import others
 
 CHUNK, STEP = 512, 448  # consecutive chunks share 64 bytes
 WIDTH, STRIDE = 8, 4
@@ -157,22 +160,22 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _score(net: Network):
+def _score(net: Network, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
+            at = batch.schema.get_field_index("text")
             scores = []
             for text in batch.column(at):
                 data = np.frombuffer(text.as_py() or b"", np.uint8)
                 scores.append(1 / (1 + np.exp(-np.clip(net.logit(data), -30, 30))))
-            out = {name: batch.column(i) for i, name in enumerate(batch.schema.names) if i != at}
+            out = {name: batch.column(i) for i, name in enumerate(batch.schema.names) if keep_text or i != at}
             yield pa.RecordBatch.from_pydict(out | {"score": pa.array(np.array(scores, np.float64))})
 
     return run
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """struct ``row`` (all of ``docs``' columns, whatever their names) and ``score`` in 0..1, higher for label 1.
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, keep_text: bool = True) -> DataFrame:
+    """struct ``row`` (``docs``' columns but the text, whatever their names), ``text`` (bytes) and ``score`` in 0..1, higher for label 1.
 
     ``labels``: id, label (others are not read; null or other labels teach nothing).  Null and
     empty texts are scored as a chunk of padding.  With no labelled row every score is that of an
@@ -180,6 +183,5 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     sample = training_rows(docs, labels, id_col, text_col, max_rows, max_bytes)
     net = fit([t for t, _ in sample], [y for _, y in sample])
-    d = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("binary").alias("_text"))
-    schema = d.select("row").schema.add("score", "double")
-    return d.mapInArrow(_score(net), schema)
+    d = docs.select(others(docs, text_col).alias("row"), F.col(text_col).cast("binary").alias("text"))
+    return d.mapInArrow(_score(net, keep_text), T.StructType([f for f in d.schema if keep_text or f.name != "text"] + [T.StructField("score", T.DoubleType())]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, mixing, near_dedup, pii, quality, url_filter
+from . import chat_format, decontamination, mixing, near_dedup, pii, quality, substring_dedup, url_filter
 from .common import table
 
 #: verdict, host, path prefix
@@ -38,8 +38,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.array_size("removed")
+    n_removed = F.aggregate(F.sequence(F.lit(1), size, F.lit(2)), F.lit(0), lambda a, i: a + F.element_at("removed", i + 1) - F.element_at("removed", i))
+    return cleaned.select("row.doc_id", "n_words", F.when(size == 0, 0).otherwise(n_removed).cast("bigint").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"), keep_text=False)
     held_out = quality.held_out(F.col("row.doc_id"))
     return scored.select("row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -55,6 +62,7 @@ def queries() -> dict:
         "op4_chat_format": op4_chat_format,
         "op5_mixing": op5_mixing,
         "op7_pii": op7_pii,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_quality": op9_quality,
         "op10_decontamination": op10_decontamination,
     }
