@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontamination, mixing, near_dedup, pii, quality, substring_dedup, url_filter
+from . import chat_format, decontamination, mixing, near_dedup, pii, quality, search, substring_dedup, token_count, url_filter
 from .common import table
 
 #: verdict, host, path prefix
@@ -17,6 +17,11 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counted.select("row.doc_id", "n_pretokens", "n_tokens", "log_prob")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -34,6 +39,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_k(docs, docs.where("doc_id % 100 = 0"), k=10)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -58,9 +68,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_token_count": op2_token_count,
         "op3_near_dedup": op3_near_dedup,
         "op4_chat_format": op4_chat_format,
         "op5_mixing": op5_mixing,
+        "op6_search": op6_search,
         "op7_pii": op7_pii,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_quality": op9_quality,
