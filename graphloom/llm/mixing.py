@@ -56,17 +56,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, rep
     return w.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeat: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, size, source_size, target, copies (0 up to ``repeat``), taken = copies * size.
+#: Sources up to which their cutoffs are broadcast; with more they are joined by a shuffle.
+MANY_SOURCES = 100_000
 
-    A null text has size 0; a null source is a source of its own; rows with the same id share
-    a hash and so are taken alike.  A source of size 0 has target 0.  An empty table gives no
-    rows.  Other columns of ``docs`` are not read and so may have any name.  The document at
-    the threshold is taken if that brings the source nearer to its target, so each source
-    misses its target by at most half the size of one document (or of one set of equal ids).
-    """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), id_hash(F.col(id_col)).alias("h"))
-    base = cut(base)
+
+def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    return docs.select("*", word_count(F.col(text_col)).alias("_size"), id_hash(F.col(id_col)).alias("_h"), F.col(source_col).alias("_source"))
+
+
+def cutoffs(base: DataFrame, weights: Sequence[float], share: float, repeat: float) -> DataFrame:
+    """(source, size, h) -> per source: _s, source_size, target, base_copies, and below: hashes under it get one more copy."""
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = (
         cut(source_targets(sizes, weights, share, repeat))
@@ -101,6 +100,35 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         )
     # `lo` is now the boundary hash itself
     take_edge = (F.col("edge") > 0) & (F.col("acc") + F.col("edge") - F.col("budget") < F.col("budget") - F.col("acc"))
-    cutoff = plan.select(F.col("source").alias("_s"), "source_size", "target", "base_copies", "budget", F.when(take_edge | ((F.col("edge") == 0) & (F.col("budget") > 0)), F.col("lo") + 1).otherwise(F.col("lo")).alias("below"))
-    extra = ((F.col("budget") > 0) & (F.col("h") < F.col("below"))).cast("bigint")
-    return base.join(cutoff, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "size", "source_size", "target", (F.col("base_copies") + extra).alias("copies"), ((F.col("base_copies") + extra) * F.col("size")).alias("taken"), base["source"])
+    below = F.when(take_edge | ((F.col("edge") == 0) & (F.col("budget") > 0)), F.col("lo") + 1).otherwise(F.col("lo"))
+    return cut(plan.select(F.col("source").alias("_s"), "source_size", "target", "base_copies", F.when(F.col("budget") > 0, below).otherwise(F.lit(0).cast("bigint")).alias("below")))
+
+
+def _copies(keyed: DataFrame, cutoff: DataFrame) -> DataFrame:
+    """Adds source_size, target and _copies to rows with _source and _h."""
+    small = cutoff.count() <= MANY_SOURCES
+    joined = keyed.join(F.broadcast(cutoff) if small else cutoff, F.col("_source").eqNullSafe(F.col("_s")))
+    return joined.withColumn("_copies", F.col("base_copies") + (F.col("_h") < F.col("below")).cast("bigint"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeat: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, size, source_size, target, copies (0 up to ``repeat``), taken = copies * size.
+
+    A null text has size 0; a null source is a source of its own; rows with the same id share
+    a hash and so are taken alike.  A source of size 0 has target 0.  An empty table gives no
+    rows.  Other columns of ``docs`` are not read and so may have any name.  The document at
+    the threshold is taken if that brings the source nearer to its target, so each source
+    misses its target by at most half the size of one document (or of one set of equal ids).
+    """
+    base = cut(_keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "doc_id", "source", "text").drop("text", "source"))
+    cutoff = cutoffs(base.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_h").alias("h")), weights, share, repeat)
+    out = _copies(base, cutoff)
+    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_source").alias("source"))
+
+
+def apply_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeat: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The documents that the mix takes, with all their columns, and ``copies``: how often each is taken."""
+    base = cut(_keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "doc_id", "source", "text").select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_h").alias("h")))
+    row = docs.select(F.struct("*").alias("_row"), id_hash(F.col(id_col)).alias("_h"), F.col(source_col).alias("_source"))
+    out = _copies(row, cutoffs(base, weights, share, repeat)).where("_copies > 0")
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "copies"], F.col("_copies").alias("copies"))
