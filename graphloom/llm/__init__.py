@@ -2,6 +2,12 @@
 
 Each module holds one operator with a general interface; ``queries`` holds the thin
 ``opN_<name>`` queries over the standard tables.  Nothing else in the library imports
-this subpackage.  On a cluster ship the package with ``--py-files``: the Python stages
-import their helpers from it on the executors.
+this subpackage.  Its Python stages are sent to the executors by value, so that these need
+numpy and pyarrow but not this package.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

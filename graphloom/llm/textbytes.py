@@ -14,7 +14,6 @@ SLICE_BYTES = 1 << 21
 
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def byte_class(pattern_bytes: set[int]) -> np.ndarray:
@@ -44,14 +43,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    p = np.full(n, base, U64)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -93,12 +88,11 @@ def find_words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
     """64-bit hashes of the words; ``fold`` reads A-Z as a-z."""
-    power, inverse = _power_tables(len(data) + 1)
     values = _VALUES[_FOLD] if fold else _VALUES
     total = np.empty(len(data) + 1, U64)
     total[0] = 0
-    np.cumsum(values[data] * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64))
+    np.cumsum(values[data] * _powers(_BASE, len(data)), out=total[1:])
+    return mix((total[ends] - total[starts]) * _powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(U64))
 
 
 def within(first_word: np.ndarray, length: int) -> np.ndarray:
