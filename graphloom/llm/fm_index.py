@@ -36,30 +36,40 @@ class WaveletTree:
             v = BitVector(b)
             self.levels.append((bit, v, len(at) - v.ones))
             at = np.concatenate([at[~b], at[b]])
+        # where each symbol's own stretch begins below the last level
+        c = np.arange(sigma)
+        begin = np.zeros(sigma, np.int64)
+        for bit, v, zeros in self.levels:
+            a = v.rank(begin)
+            begin = np.where((c >> bit) & 1 > 0, zeros + a, begin - a)
+        self.begin = begin
 
     def rank_pair(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each symbol ``c`` occurs before ``lo`` and before ``hi``."""
-        zero = np.zeros_like(lo)
+        start = self.begin[c]
         for bit, v, zeros in self.levels:
             one = ((c >> bit) & 1).astype(bool)
-            z, a, b = v.rank(zero), v.rank(lo), v.rank(hi)
-            zero, lo, hi = (np.where(one, zeros + x, y - x) for x, y in ((z, zero), (a, lo), (b, hi)))
-        return lo - zero, hi - zero
+            a, b = v.rank(lo), v.rank(hi)
+            lo, hi = np.where(one, zeros + a, lo - a), np.where(one, zeros + b, hi - b)
+        return lo - start, hi - start
 
     def access(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols at ``i`` and how often each occurs before its place."""
         c = np.zeros_like(i)
-        zero = np.zeros_like(i)
         for bit, v, zeros in self.levels:
             one = (v.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1) > 0
-            z, a = v.rank(zero), v.rank(i)
-            zero, i = (np.where(one, zeros + x, y - x) for x, y in ((z, zero), (a, i)))
+            a = v.rank(i)
+            i = np.where(one, zeros + a, i - a)
             c |= one.astype(c.dtype) << bit
-        return c, i - zero
+        return c, i - self.begin[c]
+
 
+def suffix_array(text: np.ndarray, noted: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes in order, by prefix doubling; each 0 is a symbol of its own, so no comparison passes a separator.
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by prefix doubling; each 0 is a symbol of its own, so no comparison passes a separator."""
+    Also, for each position, the range of rows whose suffixes share its first ``noted`` symbols (a power of two).
+    """
+    seen_lo = seen_hi = np.zeros(0, np.int64)
     n = len(text)
     seps = text == 0
     k = int(seps.sum())
@@ -78,8 +88,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         ids = np.cumsum(fresh) - 1
         rank = np.empty(n, np.int64)
         rank[order] = ids
-        if ids[-1] == n - 1:
-            return order
+        done = ids[-1] == n - 1
+        if noted and (step == noted or done) and not len(seen_lo):
+            first = np.append(np.flatnonzero(fresh), n)
+            seen_lo, seen_hi = first[rank], first[rank + 1]
+        if done:
+            return order, seen_lo, seen_hi
         second = np.full(n, -1, np.int64)
         second[: n - step] = rank[step:]
         # only rows that still tie need sorting again
@@ -94,11 +108,15 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class FMIndex:
-    """``text``: symbols with 0 as separator after every piece (the last symbol is 0); ``sample``: distance of located suffixes."""
+    """``text``: symbols with 0 as separator after every piece (the last symbol is 0).
 
-    def __init__(self, text: np.ndarray, sample: int = 16):
+    ``sample``: distance of located suffixes.  ``noted``: length of text pieces whose suffix ranges
+    are kept from the sorting, by position (noted_lo, noted_hi), for patterns that are text themselves.
+    """
+
+    def __init__(self, text: np.ndarray, sample: int = 16, noted: int = 0):
         n = len(text)
-        sa = suffix_array(text)
+        sa, self.noted_lo, self.noted_hi = suffix_array(text, noted)
         self.n = n
         self.sigma = int(text.max()) + 1
         bwt = text[sa - 1]
@@ -112,6 +130,17 @@ class FMIndex:
         self.marked = BitVector(keep[sa])
         self.samples = sa[keep[sa]]
 
+    def extend(self, patterns: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of ``patterns`` followed by what [lo, hi) stands for, all of it text: a range of one row stays so."""
+        lo, hi = lo.copy(), hi.copy()
+        live = np.flatnonzero(hi - lo > 1)
+        for j in range(patterns.shape[1] - 1, -1, -1):
+            c = patterns[live, j]
+            a, b = self.tree.rank_pair(c, lo[live], hi[live])
+            lo[live], hi[live] = self.first[c] + a, self.first[c] + b
+            live = live[b - a > 1]
+        return lo, hi
+
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix ranges [lo, hi) of the rows of ``patterns`` (symbols from 1 to sigma - 1; others occur nowhere)."""
         q, length = patterns.shape

@@ -120,10 +120,14 @@ def _stretches(window: int):
                 e = b + np.concatenate([count[k], np.ones(len(single), np.int64)]) + window - 2
                 route = np.concatenate([h[k], gram_hashes(words, window)[single] if len(single) else np.zeros(0, U64)])
                 raw = data.tobytes()
+                at = b - first[owner]
+                # equal stretches of the slice go on once, with the earliest place
+                least: dict[bytes, int] = {}
                 body = [raw[x:y] for x, y in zip(starts[b].tolist(), ends[e].tolist())]
-                for i in range(0, len(b), 1 << 14):
-                    j = slice(i, i + (1 << 14))
-                    yield pa.RecordBatch.from_pydict({"route": pa.array(route[j].view(np.int64)), "id": pa.array(ids[row + owner[j]]), "th": pa.array(th[row + owner[j]]), "at": pa.array((b[j] - first[owner[j]]).astype(np.int32)), "body": pa.array(body[j], pa.binary())})
+                for i in np.lexsort((at, th[row + owner], ids[row + owner])).tolist():
+                    least.setdefault(body[i], i)
+                j = np.fromiter(least.values(), np.int64, len(least))
+                yield pa.RecordBatch.from_pydict({"route": pa.array(route[j].view(np.int64)), "id": pa.array(ids[row + owner[j]]), "th": pa.array(th[row + owner[j]]), "at": pa.array(at[j].astype(np.int32)), "body": pa.array(list(least), pa.binary())})
 
     return run
 
@@ -147,17 +151,20 @@ def earliest(bodies: list[bytes], ids: np.ndarray, th: np.ndarray, at: np.ndarra
     rank[order] = np.arange(len(query))
     rank_at = np.full(len(text), len(query), np.int64)
     rank_at[where[query]] = rank
-    index = FMIndex(text)
-    lo, hi = index.search(dense[query[:, None] + np.arange(window)] + 1)
-    ranges, which = np.unique(lo, return_inverse=True)
-    upto = np.zeros(len(ranges), np.int64)
-    upto[which] = hi
-    # all occurrences of the distinct windows
-    size = upto - ranges
-    begin = np.cumsum(size) - size
-    rows = np.repeat(ranges - begin, size) + np.arange(size.sum())
-    best = np.minimum.reduceat(rank_at[index.locate(rows)], begin)
-    mine = rank == best[which]
+    # the ranges of a window's last words are known from the sorting; backward search adds the words before
+    noted = 1 << (window.bit_length() - 1)
+    index = FMIndex(text, sample=2, noted=noted)
+    last = where[query] + window - noted
+    lo, hi = index.extend(dense[query[:, None] + np.arange(window - noted)] + 1, index.noted_lo[last], index.noted_hi[last])
+    mine = np.ones(len(query), bool)  # a range of one row is the window itself
+    shared = np.flatnonzero(hi - lo > 1)
+    if len(shared):
+        ranges, at_first, which = np.unique(lo[shared], return_index=True, return_inverse=True)
+        size = hi[shared][at_first] - ranges
+        begin = np.cumsum(size) - size
+        rows = np.repeat(ranges - begin, size) + np.arange(size.sum())
+        best = np.minimum.reduceat(rank_at[index.locate(rows)], begin)
+        mine[shared] = rank[shared] == best[which]
     counts = n - window + 1
     return np.split(mine, np.cumsum(counts)[:-1])
 
@@ -255,8 +262,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     # id, th and at as one ordered number, which hash aggregation can keep the least of
     key = F.col("id").cast("decimal(38,0)") * F.lit(1 << 55).cast("decimal(18,0)")
     order = (key + (F.shiftleft(F.col("th").cast("long"), 31) + F.col("at")).cast("decimal(38,0)")).cast("decimal(38,0)")
-    merged = stretches.select("route", "body", order.alias("k")).groupBy("route", "body").agg(F.min("k").alias("k"))
-    firsts = merged.repartition("route").sortWithinPartitions("route").mapInArrow(_search(window), "id long, th int, places array<int>").groupBy("id", "th").agg(F.collect_list("places").alias("_firsts"))
+    # dealt by route once: the merge of equal stretches and the search use the same partitions
+    merged = stretches.select("route", "body", order.alias("k")).repartition("route").groupBy("route", "body").agg(F.min("k").alias("k"))
+    firsts = merged.sortWithinPartitions("route").mapInArrow(_search(window), "id long, th int, places array<int>").groupBy("id", "th").agg(F.collect_list("places").alias("_firsts"))
     whole = base.join(places, ["id", "th"], "left").join(firsts, ["id", "th"], "left").select("row", "_text", "_places", "_firsts")
     schema = T.StructType([*whole.select("row").schema, T.StructField("n_words", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType())), T.StructField("kept", T.BinaryType())])
     return whole.mapInArrow(_remove(window), schema)
