@@ -258,13 +258,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     listed = base.select("id", "th", "_text").mapInArrow(_list_anchors(window), "anchor long, id long, th int, place int")
     counts = listed.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     places = cut(listed.join(counts, "anchor").groupBy("id", "th").agg(F.collect_set(F.shiftleft("place", 1) + (F.col("c") > hot).cast("int")).alias("_places")))
-    stretches = base.join(places, ["id", "th"]).select("id", "th", "_text", "_places").mapInArrow(_stretches(window), "route long, id long, th int, at int, body binary")
+    # both reads of the texts by document ask for the same columns of the same left join, so they share one shuffle
+    told = base.join(places, ["id", "th"], "left")
+    stretches = told.select("id", "th", "_text", "_places", "row").mapInArrow(_stretches(window), "route long, id long, th int, at int, body binary")
     # id, th and at as one ordered number, which hash aggregation can keep the least of
     key = F.col("id").cast("decimal(38,0)") * F.lit(1 << 55).cast("decimal(18,0)")
     order = (key + (F.shiftleft(F.col("th").cast("long"), 31) + F.col("at")).cast("decimal(38,0)")).cast("decimal(38,0)")
     # dealt by route once: the merge of equal stretches and the search use the same partitions
     merged = stretches.select("route", "body", order.alias("k")).repartition("route").groupBy("route", "body").agg(F.min("k").alias("k"))
     firsts = merged.sortWithinPartitions("route").mapInArrow(_search(window), "id long, th int, places array<int>").groupBy("id", "th").agg(F.collect_list("places").alias("_firsts"))
-    whole = base.join(places, ["id", "th"], "left").join(firsts, ["id", "th"], "left").select("row", "_text", "_places", "_firsts")
+    whole = told.join(firsts, ["id", "th"], "left").select("row", "_text", "_places", "_firsts")
     schema = T.StructType([*whole.select("row").schema, T.StructField("n_words", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType())), T.StructField("kept", T.BinaryType())])
     return whole.mapInArrow(_remove(window), schema)
