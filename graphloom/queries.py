@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import expressions as X
 from .functions import labels as L
 from .operators import algebra, closure, extract, graph, infer, match, validate
 from .plans.shapes import CONSTRAINT, Shape, ShapeGraph, all_of, any_of, negation, one_of, sh
@@ -672,6 +673,24 @@ def template_match_covariant(spark, d):
     return rows.select(plain(F.col(f"n{m.nodes.index(param('name'))}")).alias("name"), plain(F.col(f"n{m.nodes.index(PART)}")).alias("kind"))
 
 
+# --- functions on terms
+
+
+@query("""SELECT p_partkey, length(p_name) AS n, upper(p_name) AS up, substr(p_name, 2, 3) AS some, CASE WHEN contains(p_name, ' ') THEN split_part(p_name, ' ', 1) ELSE '' END AS before, CASE WHEN contains(p_name, ' ') THEN substr(p_name, strpos(p_name, ' ') + 1) ELSE '' END AS after, starts_with(p_name, 's') AS starts, regexp_matches(p_name, 'r.*g') AS fits, replace(p_name, ' ', '%20') AS uri, md5(p_name) AS hash FROM part""")
+def term_string_functions(spark, d):
+    t, blank = literal_col(F.col("p_name")), literal_col(F.lit(" "))
+    said_as = {"up": X.ucase(t), "some": X.substr(t, 2, 3), "before": X.strbefore(t, blank), "after": X.strafter(t, blank), "uri": X.encode_for_uri(t), "hash": X.digest(t, "md5")}
+    rest = {"n": lexical(X.strlen(t)).cast("bigint"), "starts": X.strstarts(t, literal_col(F.lit("s"))), "fits": X.regex(t, "r.*g")}
+    return table(spark, d, "part").select("p_partkey", *[lexical(c).alias(n) for n, c in said_as.items()], *[c.alias(n) for n, c in rest.items()])
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, floor(o_totalprice)::BIGINT AS whole, o_totalprice > 1000 AS large, true AS is_number, o_orderstatus = 'F' OR o_orderstatus = 'O' AS known FROM orders")
+def term_number_and_date_functions(spark, d):
+    price, date = literal_col(F.col("o_totalprice"), f"{XSD}double"), literal_col(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), f"{XSD}dateTime")
+    status = literal_col(F.col("o_orderstatus"))
+    return table(spark, d, "orders").select("o_orderkey", X.year(date).alias("y"), X.month(date).alias("m"), X.numeric(price, F.floor).alias("whole"), (number(price) > 1000).alias("large"), X.is_numeric(price).alias("is_number"), X.one_of(status, F.lit(literal("F")), F.lit(literal("O"))).alias("known"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Which orders have no line item, and why that is wrong."""
     return diff_reasons(spark, d)

@@ -96,10 +96,11 @@ def is_literal(term: Column) -> Column:
 
 
 def lexical(term: Column) -> Column:
-    """A literal's value, null for other terms."""
-    body = F.regexp_extract(term, r'(?s)^"(.*)"[^"]*$', 1)
-    plain = F.replace(F.replace(F.replace(body, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")), F.lit("\\t"), F.lit("\t"))
-    return F.when(is_literal(term), F.when(body.contains("\\"), F.regexp_replace(plain, r"(?s)\\(.)", "$1")).otherwise(body))
+    """A literal's value, null for other terms.  U+E000 stands in for a backslash meanwhile."""
+    text = F.regexp_extract(term, r'(?s)^"(.*)"[^"]*$', 1)
+    for escaped, meant in (("\\\\", "\ue000"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"'), ("\ue000", "\\")):
+        text = F.replace(text, F.lit(escaped), F.lit(meant))
+    return F.when(is_literal(term), text)
 
 
 def plain(term: Column) -> Column:

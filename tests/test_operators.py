@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import terms
+from graphloom.functions import expressions as X
 from graphloom.functions import labels as L
 from graphloom.operators import algebra, closure, infer, match, validate
 from graphloom.plans.shapes import Shape, ShapeGraph
@@ -179,3 +181,20 @@ def test_label_helpers(spark):
 
 def test_iri_helper():
     assert iri("urn:x") == "<urn:x>"
+
+
+def test_expressions(spark):
+    rows = [('"01"^^<http://www.w3.org/2001/XMLSchema#integer>', '"1.0"^^<http://www.w3.org/2001/XMLSchema#decimal>'), ('"a b"@en-GB', '"b"'), ("<urn:x>", "_:b")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = df.select(X.equal(a, b), X.same_term(a, b), X.lang_matches(a, "en"), X.ucase(a), X.strafter(a, F.lit('"a "')), X.strbefore(a, F.lit('"z"')), X.is_numeric(a), X.concat(a, b), X.str_lang(b, "de"), X.first_bound(X.concat(a), b)).collect()
+    assert tuple(got[0])[:3] == (True, False, False) and got[0][6] is True
+    assert tuple(got[1]) == (False, False, True, '"A B"@en-GB', '"b"@en-GB', '""', False, '"a bb"', '"b"@de', '"a b"')
+    assert got[2][0] is False and got[2][3] is None and got[2][9] == "_:b"
+
+
+def test_literals_round_trip(spark):
+    texts = ["a\\nb", 'q"q', "line\nbreak\r\t", "\\", "\\\\n", "", "é"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").withColumn("l", terms.literal_col(F.col("t")))
+    for r in df.withColumn("back", terms.lexical(F.col("l"))).collect():
+        assert r.back == r.t and terms.text_of(r.l) == r.t and terms.text_of(literal(r.t)) == r.t
