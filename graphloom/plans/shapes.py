@@ -8,8 +8,8 @@ from dataclasses import dataclass, field, replace
 from ..terms import A, OWL, RDF, RDFS, SH, qname, text_of
 
 Triple = tuple[str, str, str]
-#: Namespace of the exact-count component.
-CONSTRAINT = "https://nrel.gov/BuildingMOTIF/constraints#"
+#: Namespace of the exact-count component unless a shapes graph is read with another.
+CONSTRAINT = "urn:graphloom/constraint#"
 
 
 def sh(name: str) -> str:
@@ -110,6 +110,7 @@ def path_text(path, prefixes: dict[str, str]) -> str:
 @dataclass
 class ShapeGraph:
     triples: list[Triple]
+    component_namespace: str = CONSTRAINT
     by_subject: dict = field(init=False)
 
     def __post_init__(self):
@@ -173,8 +174,8 @@ class ShapeGraph:
         if any(text_of(t) == "true" for t in self.values(node, "closed")):
             free = [x for t in self.values(node, "ignoredProperties") for x in self.items(t)]
             c.append(("closed", tuple(free + [p for q in self.values(node, "property") for p in self.values(q, "path")])))
-        for t in self.values(node, f"<{CONSTRAINT}exactCount>"):
-            c.append(("exactCount", (self.one(node, f"<{CONSTRAINT}class>"), num(t))))
+        for t in self.values(node, f"<{self.component_namespace}exactCount>"):
+            c.append(("exactCount", (self.one(node, f"<{self.component_namespace}class>"), num(t))))
         targets = [(kind, t) for kind, name in (("class", "targetClass"), ("node", "targetNode"), ("subjects", "targetSubjectsOf"), ("objects", "targetObjectsOf")) for t in self.values(node, name)]
         kinds = self.values(node, A)
         if sh("NodeShape") in kinds and (f"<{OWL}Class>" in kinds or f"<{RDFS}Class>" in kinds):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import expressions as X
 from .functions import labels as L
 from .operators import algebra, closure, extract, graph, infer, match, validate
-from .plans.shapes import CONSTRAINT, Shape, ShapeGraph, all_of, any_of, negation, one_of, sh
+from .plans.shapes import Shape, all_of, any_of, negation, one_of, sh
 from .plans.template import Dependency, Template, bindings_from_json, choose, ingest, label_untitled
 from .sources import records
 from .terms import A, LABEL, SUBCLASS, XSD, datatype, iri, iri_col, is_iri, lexical, literal, literal_col, number, param, plain

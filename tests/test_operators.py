@@ -59,7 +59,7 @@ def test_nested_shapes_name_the_parent(spark):
 
 
 def test_or_and_exact_count(spark):
-    text = """@prefix c: <https://nrel.gov/BuildingMOTIF/constraints#> . e:a a e:C . e:s a sh:NodeShape ; sh:targetClass e:C ; sh:or ( e:x e:y ) . e:x sh:class e:D . e:y sh:property [ sh:path e:p ; sh:minCount 1 ] .
+    text = """@prefix c: <urn:graphloom/constraint#> . e:a a e:C . e:s a sh:NodeShape ; sh:targetClass e:C ; sh:or ( e:x e:y ) . e:x sh:class e:D . e:y sh:property [ sh:path e:p ; sh:minCount 1 ] .
 e:n a sh:NodeShape ; sh:targetNode e:any ; c:exactCount 2 ; c:class e:C ."""
     _, diff = run(spark, text)
     got = {r.entity: r.reasons for r in validate.broken_entities(diff).collect()}
