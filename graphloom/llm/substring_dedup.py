@@ -76,30 +76,35 @@ def _sliced(column: pa.Array):
 
 
 def _list_anchors(window: int):
-    """Task: (anchor, id, th, place in the document)."""
+    """Task: (anchor, id, th, n): each anchor of a document once, with the number of its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for row, _, _, _, _, first, words in _sliced(batch.column(2)):
-                r, h, place, _, _ = anchors(words, first, window)
-                yield pa.RecordBatch.from_pydict({"anchor": pa.array(h.view(np.int64)), "id": pa.array(ids[row + r]), "th": pa.array(th[row + r]), "place": pa.array((place - first[r]).astype(np.int32))})
+                r, h, _, _, _ = anchors(words, first, window)
+                order = np.lexsort((h, r))
+                r, h = r[order], h[order]
+                new = np.ones(len(r), bool)
+                new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+                at = np.flatnonzero(new)
+                n = np.diff(np.append(at, len(r)))
+                yield pa.RecordBatch.from_pydict({"anchor": pa.array(h[at].view(np.int64)), "id": pa.array(ids[row + r[at]]), "th": pa.array(th[row + r[at]]), "n": pa.array(n.astype(np.int32))})
 
     return run
 
 
-def _repeated(batch: pa.RecordBatch, column: int, row: int, r: np.ndarray, local: np.ndarray) -> np.ndarray:
-    """For each stretch 0 if its anchor isn't repeated, else 1, or 2 if it is hot; the column lists 2 * place + hot."""
+def _repeated(told: pa.Array, hot: pa.Array, row: int, r: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each stretch 0 if its anchor isn't repeated, else 1, or 2 if it is hot; the columns list each document's anchors."""
     out = np.zeros(len(r), np.int8)
-    lists = batch.column(column)
     cuts = np.searchsorted(r, np.arange(r[-1] + 2)) if len(r) else [0]
+    own = h.view(np.int64)
     for k in range(len(cuts) - 1):
         mine = slice(cuts[k], cuts[k + 1])
-        said = lists[row + k].as_py()
-        if said and mine.start < mine.stop:
-            said = np.sort(np.array(said, np.int64))
-            i = np.minimum(np.searchsorted(said >> 1, local[mine]), len(said) - 1)
-            out[mine] = np.where(said[i] >> 1 == local[mine], 1 + (said[i] & 1), 0)
+        if mine.start < mine.stop and told[row + k].is_valid:
+            out[mine] = np.isin(own[mine], told[row + k].values.to_numpy(zero_copy_only=False))
+            if len(hot[row + k]):
+                out[mine] += np.isin(own[mine], hot[row + k].values.to_numpy(zero_copy_only=False))
     return out
 
 
@@ -110,8 +115,8 @@ def _stretches(window: int):
         for batch in batches:
             ids, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for row, _, data, starts, ends, first, words in _sliced(batch.column(2)):
-                r, h, place, begin, count = anchors(words, first, window)
-                kind = _repeated(batch, 3, row, r, place - first[r])
+                r, h, _, begin, count = anchors(words, first, window)
+                kind = _repeated(batch.column(3), batch.column(4), row, r, h)
                 k = np.flatnonzero(kind == 1)
                 hot = np.flatnonzero(kind == 2)
                 single = np.repeat(begin[hot] - (np.cumsum(count[hot]) - count[hot]), count[hot]) + np.arange(count[hot].sum())
@@ -209,8 +214,8 @@ def _remove(window: int):
             kept_places = batch.column(names.index("_firsts"))
             n_words, spans, texts = [], [], []
             for row, end, data, starts, ends, first, words in _sliced(batch.column(names.index("_text"))):
-                r, _, place, begin, count = anchors(words, first, window)
-                kind = _repeated(batch, names.index("_places"), row, r, place - first[r])
+                r, h, _, begin, count = anchors(words, first, window)
+                kind = _repeated(batch.column(names.index("_told")), batch.column(names.index("_hot")), row, r, h)
                 gone = np.zeros(len(words) + 1, np.int64)
                 many = kind > 0
                 windows = np.repeat(begin[many] - (np.cumsum(count[many]) - count[many]), count[many]) + np.arange(count[many].sum())
@@ -255,18 +260,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """
     t = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.pmod(F.xxhash64(t), F.lit(1 << 24)).cast("int").alias("th"), t.alias("_text"), others(docs, text_col).alias("row"))
-    listed = base.select("id", "th", "_text").mapInArrow(_list_anchors(window), "anchor long, id long, th int, place int")
-    counts = listed.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    places = cut(listed.join(counts, "anchor").groupBy("id", "th").agg(F.collect_set(F.shiftleft("place", 1) + (F.col("c") > hot).cast("int")).alias("_places")))
+    listed = base.select("id", "th", "_text").mapInArrow(_list_anchors(window), "anchor long, id long, th int, n int")
+    counts = listed.groupBy("anchor").agg(F.sum("n").alias("c")).where("c > 1")
+    places = cut(listed.join(counts, "anchor").groupBy("id", "th").agg(F.collect_set("anchor").alias("_told"), F.collect_set(F.when(F.col("c") > hot, F.col("anchor"))).alias("_hot")))
     # both reads of the texts by document ask for the same columns of the same left join, so they share one shuffle
     told = base.join(places, ["id", "th"], "left")
-    stretches = told.select("id", "th", "_text", "_places", "row").mapInArrow(_stretches(window), "route long, id long, th int, at int, body binary")
+    stretches = told.select("id", "th", "_text", "_told", "_hot", "row").mapInArrow(_stretches(window), "route long, id long, th int, at int, body binary")
     # id, th and at as one ordered number, which hash aggregation can keep the least of
     key = F.col("id").cast("decimal(38,0)") * F.lit(1 << 55).cast("decimal(18,0)")
     order = (key + (F.shiftleft(F.col("th").cast("long"), 31) + F.col("at")).cast("decimal(38,0)")).cast("decimal(38,0)")
     # dealt by route once: the merge of equal stretches and the search use the same partitions
     merged = stretches.select("route", "body", order.alias("k")).repartition("route").groupBy("route", "body").agg(F.min("k").alias("k"))
     firsts = merged.sortWithinPartitions("route").mapInArrow(_search(window), "id long, th int, places array<int>").groupBy("id", "th").agg(F.collect_list("places").alias("_firsts"))
-    whole = told.join(firsts, ["id", "th"], "left").select("row", "_text", "_places", "_firsts")
+    whole = told.join(firsts, ["id", "th"], "left").select("row", "_text", "_told", "_hot", "_firsts")
     schema = T.StructType([*whole.select("row").schema, T.StructField("n_words", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType())), T.StructField("kept", T.BinaryType())])
     return whole.mapInArrow(_remove(window), schema)
