@@ -128,12 +128,12 @@ class Template:
             return replace(left, optional=self.optional & missing)
         return [x for x in left.body if not any(map(is_param, x))]
 
-    def graph(self, bindings: DataFrame, require_optional: bool = False, prefix: str = "") -> DataFrame:
+    def graph(self, bindings: DataFrame, require_optional: bool = False, prefix: str = "", only: set[str] | None = None) -> DataFrame:
         """All rows of bindings (a column of terms for each parameter) at once, as a graph.
 
         A row with a null in a required parameter gives nothing - ``complete`` tells which - and
         triples of unbound optional parameters are left out.  Blank nodes of the body are fresh for
-        each row.
+        each row.  ``only`` limits the triples to some predicates before any are made.
         """
         names = self.parameters
         have = {p: F.col(f"`{prefix}{p}`") for p in names if f"{prefix}{p}" in bindings.columns}
@@ -148,9 +148,9 @@ class Template:
                 return have.get(param_name(t), F.lit(None).cast("string"))
             return F.concat(F.lit(f"{t}-"), F.substring(key, 1, 16)) if t.startswith("_:") else F.lit(t)
 
-        # one projection a triple: Catalyst can drop the ones that a later filter excludes
-        parts = [rows.select(col(s).alias("s"), col(p).alias("p"), col(o).alias("o")) for s, p, o in self.body]
-        return reduce(DataFrame.unionByName, parts).dropna().dropDuplicates()
+        # one pass over the bindings, however many triples the body has
+        made = F.array(*[F.struct(col(s).alias("s"), col(p).alias("p"), col(o).alias("o")) for s, p, o in self.body if only is None or p in only])
+        return rows.select(F.inline(made)).dropna().dropDuplicates()
 
     def complete(self, bindings: DataFrame, require_optional: bool = False) -> Column:
         """Whether a row binds all that is needed."""
