@@ -26,7 +26,7 @@ from .textbytes import ALNUM_WORDS, U64, find_words, hash_words, text_slices
 K1, B = 1.2, 0.75
 #: Text bytes of a shard, documents of a block, and the share of a shard's documents above which a term is frequent.
 SHARD_BYTES, BLOCK, FREQUENT = 1 << 25, 64, 1 / 24
-BLOCK_TERMS = 2_000_000
+BLOCK_TERMS = 1_000_000
 
 
 def _terms(column: pa.Array):
@@ -196,7 +196,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     found = None
     for b in range(blocks):
         block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
-        got = block.toPandas()
+        got = block.toArrow()  # columns, not rows: a block is bounded by block_terms
         if not len(got):
             continue
         qid, term, weight = got["query_id"].to_numpy(), got["term"].to_numpy().view(U64), got["weight"].to_numpy()

@@ -32,7 +32,7 @@ from .textbytes import SPACE_WORDS, U64, find_words, hash_words, mix, text_slice
 WINDOW, GRAM = 20, 6
 HOT = 20_000
 #: Words indexed as one shard inside a task.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
 _ODD = np.random.default_rng(8).integers(1, 1 << 63, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
 
@@ -212,7 +212,6 @@ def _remove(window: int):
         for batch in batches:
             names = batch.schema.names
             kept_places = batch.column(names.index("_firsts"))
-            n_words, spans, texts = [], [], []
             for row, end, data, starts, ends, first, words in _sliced(batch.column(names.index("_text"))):
                 r, h, _, begin, count = anchors(words, first, window)
                 kind = _repeated(batch.column(names.index("_told")), batch.column(names.index("_hot")), row, r, h)
@@ -229,6 +228,7 @@ def _remove(window: int):
                 np.add.at(edge, windows + window, -1)
                 stays = np.cumsum(edge[:-1]) <= 0
                 raw = data.tobytes()
+                n_words, spans, texts = [], [], []
                 for k in range(end - row):
                     a, b = int(first[k]), int(first[k + 1])
                     n_words.append(b - a)
@@ -245,7 +245,7 @@ def _remove(window: int):
                     flips = np.flatnonzero(np.diff(np.concatenate([[False], ~mine, [False]]).astype(np.int8)))
                     spans.append(flips.tolist())
                     texts.append(b" ".join(compress(own, mine.tolist())))
-            yield pa.RecordBatch.from_pydict({"row": batch.column(0), "n_words": pa.array(n_words, pa.int64()), "removed": pa.array(spans, pa.list_(pa.int32())), "kept": pa.array(texts, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"row": batch.column(0).slice(row, end - row), "n_words": pa.array(n_words, pa.int64()), "removed": pa.array(spans, pa.list_(pa.int32())), "kept": pa.array(texts, pa.binary())})
 
     return run
 

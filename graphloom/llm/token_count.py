@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,8 +43,13 @@ class Counter:
     """Counts tokens of pre-tokens; ``vocabulary`` maps pieces to log-probabilities."""
 
     def __init__(self, vocabulary: dict[str, float]):
-        self.vocabulary = vocabulary
-        self.longest = max(map(len, vocabulary), default=1)
+        # the pieces' own trie, by their characters from the last to the first; "" holds a piece's score
+        self.endings: dict = {}
+        for piece, s in vocabulary.items():
+            node = self.endings
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = s
         self.byte = min(vocabulary.values(), default=0.0) - BYTE_COST
         self.stored: dict[bytes, tuple[int, float]] = {}
 
@@ -51,7 +57,7 @@ class Counter:
         """Store the token count and best score of each word, walking their trie in preorder."""
         if len(self.stored) + len(words) > STORE:
             self.stored.clear()
-        get, longest, byte = self.vocabulary.get, self.longest, self.byte
+        endings, byte = self.endings, self.byte
         path, score, count = "", [0.0], [0]
         for word, raw in sorted((MARK + w.decode("utf-8", "surrogateescape"), w) for w in words):
             shared = 0
@@ -63,8 +69,12 @@ class Counter:
             for end in range(shared + 1, len(word) + 1):
                 n = len(word[end - 1].encode("utf-8", "surrogateescape"))
                 best, tokens = score[end - 1] + n * byte, count[end - 1] + n
-                for start in range(end - 1, max(0, end - longest) - 1, -1):
-                    s = get(word[start:end])
+                node = endings
+                for start in range(end - 1, -1, -1):
+                    node = node.get(word[start])
+                    if node is None:
+                        break
+                    s = node.get("")
                     if s is not None and score[start] + s >= best:  # the longer last piece wins a tie
                         best, tokens = score[start] + s, count[start] + 1
                 score.append(best)
@@ -85,13 +95,13 @@ def _count(vocabulary: dict[str, float]):
                     new = set().union(*texts)
                 counter.insert(new)
                 found = counter.stored
-                sums = [[found[w] for w in words] for words in texts]
+                sums = [list(map(found.__getitem__, words)) for words in texts]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "row": rows.slice(at, 512),
                         "n_pretokens": pa.array([len(s) for s in sums], pa.int64()),
-                        "n_tokens": pa.array([sum(c for c, _ in s) for s in sums], pa.int64()),
-                        "log_prob": pa.array([math.fsum(p for _, p in s) for s in sums], pa.float64()),
+                        "n_tokens": pa.array([sum(map(itemgetter(0), s)) for s in sums], pa.int64()),
+                        "log_prob": pa.array([math.fsum(map(itemgetter(1), s)) for s in sums], pa.float64()),
                     }
                 )
 
