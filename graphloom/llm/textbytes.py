@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Text bytes handled at once inside a batch; bounds the temporaries, a longer document is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 _BASE = U64(0x9E3779B97F4A7C15)
 _INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
