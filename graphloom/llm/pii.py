@@ -22,7 +22,7 @@ IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 KINDS = ("email", "ip", "card", "phone", "iban", "national")
 
-#: Fixed words that raise a score, by kind, looked for in the characters before a match.
+#: Fixed words that raise a score, by kind, looked for in the REACH characters before and after a match.
 CONTEXT = {
     "email": "mail|contact|write",
     "ip": "ip|address|host|server",
@@ -32,6 +32,8 @@ CONTEXT = {
     "national": "ssn|social|national|security|insurance",
 }
 REACH = 40
+#: Texts are also held in chunks of so many characters, so that a window costs the same wherever it lies.
+CHUNK = 1024
 #: Score of a match without and with a context word; spans below THRESHOLD are dropped, base kinds never are.
 SCORES = {"email": (0.8, 0.95), "ip": (0.6, 0.8), "card": (0.8, 0.95), "phone": (0.6, 0.85), "iban": (0.9, 0.99), "national": (0.3, 0.7)}
 THRESHOLD = 0.5
@@ -76,7 +78,14 @@ def _ok(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def spans_of(text: Column, kind: str, pattern: str, may: Column) -> Column:
+def _window(chunks: Column, start: Column, length: Column) -> Column:
+    """The characters of a text from ``start`` on, ``length`` (at most CHUNK) of them or as many as there are."""
+    k = F.floor(start / CHUNK).cast("int")
+    both = F.concat(F.coalesce(F.get(chunks, k), F.lit("")), F.coalesce(F.get(chunks, k + 1), F.lit("")))
+    return F.substring(both, start % CHUNK + 1, length)
+
+
+def spans_of(text: Column, chunks: Column, kind: str, pattern: str, may: Column) -> Column:
     """array<struct<start,end,kind,score>> of the confirmed matches of one kind, in order of start."""
     pieces = F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,score:double>>")
@@ -85,8 +94,9 @@ def spans_of(text: Column, kind: str, pattern: str, may: Column) -> Column:
     def step(acc, m):
         start = acc["at"] + F.length(F.element_at(pieces, acc["i"] + 1))
         end = start + F.length(m)
-        # the last characters of the piece before the match are its context
-        near = F.lower(F.right(F.element_at(pieces, acc["i"] + 1), F.lit(REACH)))
+        # the context is the text on both sides, other matches included, but not the match itself
+        before = F.greatest(start - REACH, F.lit(0))
+        near = F.lower(F.concat_ws("\n", _window(chunks, before, start - before), _window(chunks, end, F.lit(REACH))))
         low, high = SCORES[kind]
         score = F.when(near.rlike(CONTEXT[kind]), F.lit(high)).otherwise(F.lit(low))
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), score.alias("score"))
@@ -110,6 +120,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows give repeated results; columns other than the two named are not read.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    d = d.withColumn("_chunks", F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
     t = F.col("_t")
     digit = t.rlike("[0-9]")
     by_kind = {
@@ -121,8 +132,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         "national": (NATIONAL, t.rlike(r"[0-9]-[0-9]{2}-[0-9]")),
     }
     for kind in KINDS:
-        d = d.withColumn(f"_{kind}", spans_of(t, kind, *by_kind[kind]))
-    return d
+        d = d.withColumn(f"_{kind}", spans_of(t, F.col("_chunks"), kind, *by_kind[kind]))
+    return d.drop("_chunks")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

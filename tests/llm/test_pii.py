@@ -85,3 +85,21 @@ def test_redaction_keeps_columns_and_other_text(spark):
 
 def test_empty_table(spark):
     assert pii.find(rows(spark).limit(0)).count() == 0
+
+
+def test_context_is_taken_from_the_whole_text(spark):
+    far = "x" * 41
+    texts = {
+        "SSN: 123-45-6789, 987-65-4321": 2,
+        "SSN: 123-45-6789, 987-65-4321, 111-22-3333": 3,
+        "123-45-6789 is my SSN": 1,
+        f"ssn{far}123-45-6789{far}ssn": 0,
+        f"{'y ' * 505}ssn {'z' * 12} 123-45-6789{far}": 1,  # the window crosses a chunk's end
+        f"\U0001f600{'y' * 1022} 123-45-6789 ssn": 1,
+        "123-45-6789": 0,
+    }
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].count("national") for r in pii.find(d).collect()}
+    assert got == dict(enumerate(texts.values()))
+    out = {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}
+    assert out[0] == "SSN: [NATIONAL], [NATIONAL]" and out[2] == "[NATIONAL] is my SSN"
