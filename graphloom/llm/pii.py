@@ -17,7 +17,10 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: An account number: two letters, two check digits, 11 to 30 letters or digits, alone or in groups of four.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: IBAN finds the first four; ACCOUNT reads on from there, at most ACCOUNT_LENGTH characters and the one that follows.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9]{4})"
+ACCOUNT = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+ACCOUNT_LENGTH = 4 + 7 * 5 + 4
 #: A national number in groups 3-2-4; it counts only with a context word nearby.
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 KINDS = ("email", "ip", "card", "phone", "iban", "national")
@@ -85,6 +88,13 @@ def _window(chunks: Column, start: Column, length: Column) -> Column:
     return F.substring(both, start % CHUNK + 1, length)
 
 
+def _account(ahead: Column) -> Column:
+    """The longest account number that begins a text, ends with one of its groups and is confirmed; null if there is none."""
+    groups = F.split(F.regexp_extract(ahead, ACCOUNT, 0), " ")
+    upto = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, 1, k), " "))
+    return F.get(F.filter(upto, lambda m: _ok("iban", m)), F.lit(0))
+
+
 def spans_of(text: Column, chunks: Column, kind: str, pattern: str, may: Column) -> Column:
     """array<struct<start,end,kind,score>> of the confirmed matches of one kind, in order of start."""
     pieces = F.split(text, pattern, -1)
@@ -93,17 +103,21 @@ def spans_of(text: Column, chunks: Column, kind: str, pattern: str, may: Column)
 
     def step(acc, m):
         start = acc["at"] + F.length(F.element_at(pieces, acc["i"] + 1))
-        end = start + F.length(m)
+        after = start + F.length(m)
+        end = after
+        if kind == "iban":  # the match is only where a number may begin; inside a confirmed number none does
+            m = F.when(start >= acc["past"], _account(_window(chunks, start, F.lit(ACCOUNT_LENGTH + 1))))
+            end = start + F.coalesce(F.length(m), F.lit(0))
         # the context is the text on both sides, other matches included, but not the match itself
         before = F.greatest(start - REACH, F.lit(0))
         near = F.lower(F.concat_ws("\n", _window(chunks, before, start - before), _window(chunks, end, F.lit(REACH))))
         low, high = SCORES[kind]
         score = F.when(near.rlike(CONTEXT[kind]), F.lit(high)).otherwise(F.lit(low))
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), score.alias("score"))
-        keep = _ok(kind, m) & (score >= THRESHOLD)
-        return F.struct((acc["i"] + 1).alias("i"), end.alias("at"), F.when(keep, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        keep = (m.isNotNull() if kind == "iban" else _ok(kind, m)) & (score >= THRESHOLD)
+        return F.struct((acc["i"] + 1).alias("i"), after.alias("at"), F.greatest(acc["past"], end).alias("past"), F.when(keep, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), empty.alias("out"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(0).alias("past"), empty.alias("out"))
     found = F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), start, step, lambda a: a["out"])
     return F.when(may, found).otherwise(empty)
 

@@ -103,3 +103,21 @@ def test_context_is_taken_from_the_whole_text(spark):
     assert got == dict(enumerate(texts.values()))
     out = {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}
     assert out[0] == "SSN: [NATIONAL], [NATIONAL]" and out[2] == "[NATIONAL] is my SSN"
+
+
+def test_account_numbers_end_at_the_group_that_confirms_them(spark):
+    texts = [
+        ("BE68 5390 0754 7034 EUR", ["0:19"]),
+        ("AT61 1904 3002 3457 3201 BIC", ["0:24"]),
+        ("ES91 2100 0418 4502 0005 1332 OK", ["0:29"]),
+        ("AT611904300234573201 1000", ["0:20"]),
+        ("XX12 BE68 5390 0754 7034 AT61 1904 3002 3457 3201 ABCD 12", ["5:24", "25:49"]),
+        ("NO93 8601 1117 947 EUR, DE89 3704 0044 0532 0130 00 EUR", ["0:18", "24:51"]),
+        ("BE68 5390 0754 7034EUR BE68 5390 0754 7035 EUR", []),
+        (f"{'y' * 1015} BE68 5390 0754 7034 EUR", ["1016:1035"]),
+    ]
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: [s for s in r["spans"].split(",") if s.startswith("iban")] for r in pii.find(d).collect()}
+    assert got == {i: [f"iban:{w}" for w in want] for i, (_, want) in enumerate(texts)}
+    out = {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}
+    assert out[0] == "[IBAN] EUR" and out[4] == "XX12 [IBAN] [IBAN] ABCD 12"
