@@ -260,3 +260,20 @@ def test_empty_tables(spark):
     assert token_count.count_tokens(none, vocabulary={"a": -1.0}).count() == 0
     assert search.top_k(none, none).count() == 0 and search.top_k(some, none).count() == 0
     assert quality.score(none, labels).count() == 0 and quality.score(some, labels).count() == 1
+
+
+def test_near_dedup_finds_links_inside_a_large_template_region(spark):
+    """Pages of one template just below the threshold, with planted pairs above it whose ids are far apart."""
+    rng = random.Random(11)
+    template = [f"t{k}" for k in range(180)]
+    count, planted = 3000, 60
+
+    def page(k):
+        return template + [f"p{k}x{i}" for i in range(24)]
+
+    docs = [(k, page(k)) for k in range(count)]
+    for k in range(planted):  # a page's own words but the last twelve: similarity 0.89 to it
+        docs.append((count + k, page(k * 7)[:-12] + [f"q{k}x{i}" for i in range(12)]))
+    rng.shuffle(docs)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.link(spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string")).collect()}
+    assert got == {k: (k - count) * 7 if k >= count else k for k, _ in docs}
