@@ -2,8 +2,9 @@
 
 Everything is a column expression over one row, so there is no shuffle.  Positions come from
 the pieces between matches: a match starts after the pieces and matches before it.  Patterns
-start only where a run of their characters starts, and take runs possessively; that finds the
-same matches as plain leftmost search but in linear time on very long runs.
+start only where a run of their characters starts, and take runs and groups possessively; that
+finds the same matches as plain leftmost search, in linear time and without recursion on texts of
+any length.  Matches are walked in blocks, so that the time grows with their number.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed patterns.  Kinds in the order in which spans with the same start are listed.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -37,11 +38,44 @@ CONTEXT = {
 REACH = 40
 #: Texts are also held in chunks of so many characters, so that a window costs the same wherever it lies.
 CHUNK = 1024
+#: Items whose running states are found as one block.
+BLOCK = 256
+SPAN = "struct<start:int,rank:int,end:int,score:double>"
 #: Score of a match without and with a context word; spans below THRESHOLD are dropped, base kinds never are.
 SCORES = {"email": (0.8, 0.95), "ip": (0.6, 0.8), "card": (0.8, 0.95), "phone": (0.6, 0.85), "iban": (0.9, 0.99), "national": (0.3, 0.7)}
 THRESHOLD = 0.5
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(items: Column, step) -> Column:
+    """array<int>: for each item of an array, the state before it, from 0 on; ``step(state, item)`` is the state after it.
+
+    Appending copies an array, so the states before each block are found first, then those inside.
+    """
+    none = F.array().cast("array<int>")
+
+    def noted(state, after, outs):
+        return F.struct(after.alias("state"), F.array_append(outs, state).alias("outs"))
+
+    def through(b, state):
+        return F.aggregate(b, F.struct(state.alias("state"), none.alias("outs")), lambda acc, x: noted(acc["state"], step(acc["state"], x), acc["outs"]), lambda a: a["outs"])
+
+    def blocks(a):
+        last = F.size(a) - 1
+        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(BLOCK)), lambda i: F.when(last >= 0, F.transform(F.sequence(i, F.least(i + (BLOCK - 1), last)), lambda j: F.get(a, j))))
+
+    def states(bs):
+        begin = F.struct(F.lit(0).alias("state"), none.alias("outs"))
+        before = F.aggregate(bs, begin, lambda acc, b: noted(acc["state"], F.aggregate(b, acc["state"], step), acc["outs"]), lambda a: a["outs"])
+        return F.flatten(F.zip_with(bs, before, through))
+
+    return let(F.filter(let(items, blocks), lambda b: b.isNotNull()), states)
+
+
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes Luhn's check."""
     n = F.length(digits)
@@ -81,11 +115,18 @@ def _ok(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _window(chunks: Column, start: Column, length: Column) -> Column:
-    """The characters of a text from ``start`` on, ``length`` (at most CHUNK) of them or as many as there are."""
-    k = F.floor(start / CHUNK).cast("int")
-    both = F.concat(F.coalesce(F.get(chunks, k), F.lit("")), F.coalesce(F.get(chunks, k + 1), F.lit("")))
-    return F.substring(both, start % CHUNK + 1, length)
+def _between(chunks: Column, start: Column, end: Column) -> Column:
+    """The characters of a text from ``start`` up to ``end``, or as many as there are."""
+
+    def cut(k):
+        first, last = k["a"], k["b"]
+        head = F.coalesce(F.get(chunks, first), F.lit(""))
+        tail = F.substring(F.coalesce(F.get(chunks, last), F.lit("")), F.lit(1), k["y"])
+        middle = F.when(last > first + 1, F.array_join(F.transform(F.sequence(first + 1, last - 1), lambda j: F.get(chunks, j)), "")).otherwise("")
+        return F.when(first == last, F.substring(head, k["x"] + 1, k["y"] - k["x"])).otherwise(F.concat(F.substring(head, k["x"] + 1, F.lit(CHUNK)), middle, tail))
+
+    at = F.struct(*[(F.floor(v / CHUNK) if whole else v % CHUNK).cast("int").alias(n) for n, v, whole in (("a", start, True), ("b", end, True), ("x", start, False), ("y", end, False))])
+    return let(at, cut)
 
 
 def _account(ahead: Column) -> Column:
@@ -96,30 +137,39 @@ def _account(ahead: Column) -> Column:
 
 
 def spans_of(text: Column, chunks: Column, kind: str, pattern: str, may: Column) -> Column:
-    """array<struct<start,end,kind,score>> of the confirmed matches of one kind, in order of start."""
-    pieces = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,score:double>>")
+    """array<struct<start,rank,end,score>> of the confirmed matches of one kind, in order of start."""
     rank = KINDS.index(kind)
+    low, high = SCORES[kind]
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
 
-    def step(acc, m):
-        start = acc["at"] + F.length(F.element_at(pieces, acc["i"] + 1))
-        after = start + F.length(m)
-        end = after
-        if kind == "iban":  # the match is only where a number may begin; inside a confirmed number none does
-            m = F.when(start >= acc["past"], _account(_window(chunks, start, F.lit(ACCOUNT_LENGTH + 1))))
-            end = start + F.coalesce(F.length(m), F.lit(0))
+    def span(start, end):
         # the context is the text on both sides, other matches included, but not the match itself
-        before = F.greatest(start - REACH, F.lit(0))
-        near = F.lower(F.concat_ws("\n", _window(chunks, before, start - before), _window(chunks, end, F.lit(REACH))))
-        low, high = SCORES[kind]
+        near = F.lower(F.concat_ws("\n", _between(chunks, F.greatest(start - REACH, F.lit(0)), start), _between(chunks, end, end + REACH)))
         score = F.when(near.rlike(CONTEXT[kind]), F.lit(high)).otherwise(F.lit(low))
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), score.alias("score"))
-        keep = (m.isNotNull() if kind == "iban" else _ok(kind, m)) & (score >= THRESHOLD)
-        return F.struct((acc["i"] + 1).alias("i"), after.alias("at"), F.greatest(acc["past"], end).alias("past"), F.when(keep, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return let(score, lambda x: F.when(x >= THRESHOLD, F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x.alias("score"))))
+
+    def placed(made):
+        """``made(start, match)`` of each match; a match starts after the end of the one before and the gap."""
+        return lambda p: F.zip_with(p, running(p, lambda at, x: at + x["gap"] + F.length(x["m"])), lambda x, at: let(at + x["gap"], lambda start: made(start, x["m"])))
 
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), F.lit(0).alias("past"), empty.alias("out"))
-    found = F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), start, step, lambda a: a["out"])
-    return F.when(may, found).otherwise(empty)
+    def some(a):
+        return F.filter(a, lambda x: x.isNotNull())
+
+    def apart(numbers):
+        """Inside a confirmed number none begins."""
+        past = running(numbers, lambda past, x: F.when(x["start"] >= past, x["end"]).otherwise(past))
+        return F.zip_with(numbers, past, lambda x, past: F.when(x["start"] >= past, span(x["start"], x["end"])))
+
+    def number(start, _):  # the match is only where a number may begin
+        account = _account(_between(chunks, start, start + (ACCOUNT_LENGTH + 1)))
+        return let(F.length(account), lambda n: F.when(n.isNotNull(), F.struct(start.alias("start"), (start + n).alias("end"))))
+
+    matches = F.filter(pairs, lambda x: x["m"].isNotNull())
+    if kind == "iban":
+        found = some(let(some(let(matches, placed(number))), apart))
+    else:
+        found = some(let(matches, placed(lambda start, m: F.when(_ok(kind, m), span(start, start + F.length(m))))))
+    return F.when(may, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _listed(spans: Column) -> Column:
@@ -128,14 +178,16 @@ def _listed(spans: Column) -> Column:
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, found (array of start, rank, end, score by start, then kind), and the text.
+    """Per document: doc_id, its spans by kind (arrays of start, rank, end, score), _t (the text) and _chunks (its pieces).
 
     Offsets are code points, ends exclusive.  A null text is empty and has no spans; repeated
     rows give repeated results; columns other than the two named are not read.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    d = d.withColumn("_chunks", F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
     t = F.col("_t")
+    # no kind is without a digit or an at sign
+    pieces = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    d = d.withColumn("_chunks", F.when(t.rlike("[0-9@]"), pieces).otherwise(F.array().cast("array<string>")))
     digit = t.rlike("[0-9]")
     by_kind = {
         "email": (EMAIL, t.contains("@")),
@@ -145,33 +197,41 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         "iban": (IBAN, t.rlike(r"[A-Z]{2}[0-9]{2}")),
         "national": (NATIONAL, t.rlike(r"[0-9]-[0-9]{2}-[0-9]")),
     }
-    for kind in KINDS:
-        d = d.withColumn(f"_{kind}", spans_of(t, F.col("_chunks"), kind, *by_kind[kind]))
-    return d.drop("_chunks")
+    return d.select("*", *[spans_of(t, F.col("_chunks"), kind, *by_kind[kind]).alias(f"_{kind}") for kind in KINDS])
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document the counts of the base kinds, the digest of base spans, all spans as text, and the highest score."""
+    """Per document the counts of the base kinds, the digest of base spans, all spans as text, and the highest score.
+
+    Nulls, repeated rows and other columns are as in ``detect``; an empty table gives no rows, and a
+    document without spans has counts of 0, empty ``spans`` and a null ``top_score``.
+    """
     d = detect(docs, id_col, text_col)
-    base = F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS[:4]]))
-    every = F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS]))
-    return d.select("doc_id", *[F.size(f"_{k}").cast("bigint").alias(f"n_{k}") for k in KINDS[:4]], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(every).alias("spans"), F.array_max(F.transform(every, lambda s: s["score"])).alias("top_score"))
+    base = F.sort_array(F.concat(*[F.col(f"_{k}") for k in KINDS[:4]]))
+    d = d.withColumn("_every", F.sort_array(F.concat(*[F.col(f"_{k}") for k in KINDS])))
+    counts = [F.size(f"_{k}").cast("bigint").alias(f"n_{k}") for k in KINDS[:4]]
+    return d.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("_every")).alias("spans"), F.array_max(F.transform("_every", lambda s: s["score"])).alias("top_score"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
-    """``docs`` with every span whose score is at least ``least`` replaced by its kind in brackets; all columns kept."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    carried = docs.select(F.struct("*").alias("_row"), t.alias("_t"))
+    """``docs`` with every span whose score is at least ``least`` replaced by its kind in brackets; all columns kept.
+
+    Of spans that overlap, all their characters go and the first one's kind stands for them (of
+    those with one start, the kind listed first).  A null text stays null, texts without spans
+    and repeated rows stay as they are, and an empty table gives no rows.
+    """
+    carried = docs.select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("_t"))
     d = detect(carried.select(F.col("_row").alias("doc_id"), "_t"), "doc_id", "_t")
-    every = F.filter(F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS])), lambda s: s["score"] >= least)
+    d = d.withColumn("_every", F.filter(F.sort_array(F.concat(*[F.col(f"_{k}") for k in KINDS])), lambda s: s["score"] >= least))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    chunks = F.col("_chunks")
 
-    def step(acc, s):
-        free = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(F.col("_t"), acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["rank"] + 1))
-        return F.when(free, F.struct(s["end"].alias("at"), F.array_append(acc["out"], piece).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+    def text_of(every):
+        at = running(every, lambda at, s: F.greatest(at, s["end"]))
+        pieces = F.zip_with(every, at, lambda s, at: F.when(s["start"] >= at, F.concat(_between(chunks, at, s["start"]), F.element_at(names, s["rank"] + 1))))
+        return F.concat(F.array_join(pieces, ""), _between(chunks, F.array_max(F.transform(every, lambda s: s["end"])), F.length("_t")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = F.aggregate(every, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("_t"), a["at"] + 1, F.length("_t") - a["at"])))
-    new = F.when(F.col(f"doc_id.{text_col}").isNull() | (F.size(every) == 0), F.col(f"doc_id.{text_col}")).otherwise(text)
+    text = let(F.col("_every"), text_of)
+    old = F.col(f"doc_id.`{text_col}`")
+    new = F.when(F.size("_every") == 0, old).otherwise(text)
     return d.select(*[(new if c == text_col else F.col(f"doc_id.`{c}`")).alias(c) for c in docs.columns])
