@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import let, running
+
 OPEN, CLOSE = "### ", "</turn>\n"
 
 
@@ -78,11 +80,28 @@ def materialize(formatted: DataFrame, examples: DataFrame) -> DataFrame:
 def digest(formatted: DataFrame, examples: DataFrame) -> DataFrame:
     """Per conversation, read back from the formatted output: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    formatted_chars is the sum of the examples' lengths.  The two hashes are of one value a
-    conversation, so a conversation's text must fit in a row.
+    An example's length is counted from the segments up to its target, and its reply is what its
+    own mask cuts out of its target's segment; so another mask gives another result, and a turn
+    without an example has no reply.  formatted_chars is the sum of the examples' lengths.  The two
+    hashes are of one value a conversation, so a conversation's text must fit in a row.  A null
+    conv_id is a conversation; empty tables give no rows.
     """
-    back = formatted.select("conv_id", "pos", read_role(F.col("segment")).alias("role"), read_text(F.col("segment")).alias("text"), F.when(F.col("loss_start").isNotNull(), unescape(F.substring(F.col("segment"), (F.col("loss_start") - F.col("seg_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))).alias("reply"), F.when(F.col("loss_start").isNotNull(), F.col("seg_end")).alias("chars"))
-    line = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
-    per = back.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(F.struct("pos", line.alias("line"), "reply"))).alias("t"), F.coalesce(F.sum("chars"), F.lit(0)).alias("formatted_chars"))
-    said = F.array_join(F.transform("t", lambda x: x["reply"]), "")
-    return per.select("conv_id", "n_turns", F.sha2(F.array_join(F.transform("t", lambda x: x["line"]), ""), 256).alias("turns_sha256"), F.length(said).cast("bigint").alias("loss_chars"), F.sha2(said, 256).alias("loss_sha256"), "formatted_chars")
+    example = F.struct("target", "loss_start", "loss_end")
+    turn = F.struct("pos", "segment")
+    written = formatted.select(F.col("conv_id").alias("_c"), turn.alias("turn"), F.lit(None).cast(examples.select(example.alias("e")).schema["e"].dataType).alias("example"))
+    shown = examples.select(F.col("conv_id").alias("_c"), F.lit(None).cast(written.schema["turn"].dataType).alias("turn"), example.alias("example"))
+    per = written.unionByName(shown).groupBy("_c").agg(F.sort_array(F.collect_list("turn")).alias("turns"), F.sort_array(F.collect_list("example")).alias("examples"))
+
+    def read(starts):
+        def one(e):
+            segment, start = F.get("turns", e["target"] - 1)["segment"], F.get(starts, e["target"] - 1)
+            reply = F.substring(segment, (e["loss_start"] - start + 1).cast("int"), (e["loss_end"] - e["loss_start"]).cast("int"))
+            return F.struct(unescape(reply).alias("reply"), (start + F.length(segment)).cast("bigint").alias("chars"))
+
+        return F.transform("examples", one)
+
+    starts = running(F.col("turns"), lambda at, t: at + F.length(t["segment"]))
+    lines = F.transform("turns", lambda t: F.concat(read_role(t["segment"]), F.lit("\n"), read_text(t["segment"]), F.lit("\n")))
+    per = per.select(F.col("_c").alias("conv_id"), F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"), let(starts, read).alias("read"))
+    per = per.select("conv_id", "n_turns", "turns_sha256", F.array_join(F.transform("read", lambda r: r["reply"]), "").alias("said"), F.aggregate("read", F.lit(0).cast("bigint"), lambda a, r: a + r["chars"]).alias("formatted_chars"))
+    return per.select("conv_id", "n_turns", "turns_sha256", F.length("said").cast("bigint").alias("loss_chars"), F.sha2("said", 256).alias("loss_sha256"), "formatted_chars")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let, running
+
 #: Fixed patterns.  Kinds in the order in which spans with the same start are listed.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -38,44 +40,12 @@ CONTEXT = {
 REACH = 40
 #: Texts are also held in chunks of so many characters, so that a window costs the same wherever it lies.
 CHUNK = 1024
-#: Items whose running states are found as one block.
-BLOCK = 256
 SPAN = "struct<start:int,rank:int,end:int,score:double>"
 #: Score of a match without and with a context word; spans below THRESHOLD are dropped, base kinds never are.
 SCORES = {"email": (0.8, 0.95), "ip": (0.6, 0.8), "card": (0.8, 0.95), "phone": (0.6, 0.85), "iban": (0.9, 0.99), "national": (0.3, 0.7)}
 THRESHOLD = 0.5
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def running(items: Column, step) -> Column:
-    """array<int>: for each item of an array, the state before it, from 0 on; ``step(state, item)`` is the state after it.
-
-    Appending copies an array, so the states before each block are found first, then those inside.
-    """
-    none = F.array().cast("array<int>")
-
-    def noted(state, after, outs):
-        return F.struct(after.alias("state"), F.array_append(outs, state).alias("outs"))
-
-    def through(b, state):
-        return F.aggregate(b, F.struct(state.alias("state"), none.alias("outs")), lambda acc, x: noted(acc["state"], step(acc["state"], x), acc["outs"]), lambda a: a["outs"])
-
-    def blocks(a):
-        last = F.size(a) - 1
-        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(BLOCK)), lambda i: F.when(last >= 0, F.transform(F.sequence(i, F.least(i + (BLOCK - 1), last)), lambda j: F.get(a, j))))
-
-    def states(bs):
-        begin = F.struct(F.lit(0).alias("state"), none.alias("outs"))
-        before = F.aggregate(bs, begin, lambda acc, b: noted(acc["state"], F.aggregate(b, acc["state"], step), acc["outs"]), lambda a: a["outs"])
-        return F.flatten(F.zip_with(bs, before, through))
-
-    return let(F.filter(let(items, blocks), lambda b: b.isNotNull()), states)
-
-
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes Luhn's check."""
     n = F.length(digits)

@@ -29,7 +29,8 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "\\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
+    said = F.explode(F.array(*[F.struct(F.lit(-7).alias("conv_id"), F.lit(k).alias("turn"), F.lit(role).alias("role"), F.lit(tricky).alias("text")) for k, role in enumerate(("user", "assistant"))]))
+    more = spark.range(1).select(said.alias("t")).select(*[F.col(f"t.{f.name}").cast(f.dataType).alias(f.name) for f in turns.schema])
     formatted = chat_format.format_turns(turns.unionByName(more))
     return chat_format.digest(formatted, chat_format.expand(formatted))
 

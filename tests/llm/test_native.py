@@ -93,6 +93,29 @@ def test_chat_round_trip(spark):
     assert sum(len(r.text) for k, r in full.items() if k[0] == 1) == got[1].formatted_chars
 
 
+def test_chat_digest_reads_the_examples(spark):
+    t = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "one two"), (1, 2, "user", "more"), (1, 3, "assistant", "three")], "conv_id long, turn long, role string, text string")
+    f = chat_format.format_turns(t)
+    e = chat_format.expand(f)
+    whole = chat_format.digest(f, e).first()
+    shorter = chat_format.digest(f, e.withColumn("loss_end", F.col("loss_end") - 1)).first()
+    assert shorter.loss_sha256 == hashlib.sha256(b"one twthre").hexdigest() and shorter.turns_sha256 == whole.turns_sha256
+    first = chat_format.digest(f, e.where("target = 2")).first()
+    assert (first.loss_chars, first.formatted_chars) == (7, len("### user: ask</turn>\n### assistant: one two</turn>\n"))
+    none = chat_format.digest(f, e.limit(0)).first()
+    assert (none.n_turns, none.loss_chars, none.formatted_chars) == (4, 0, 0)
+
+
+def test_chat_with_a_very_long_text_and_many_turns(spark):
+    long = "### </turn>\\ \U0001f600 " * 50_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)] + [(2, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(3000)]
+    f = chat_format.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in chat_format.digest(f, chat_format.expand(f)).collect()}
+    assert (got[1].loss_chars, got[1].loss_sha256) == (len(long), hashlib.sha256(long.encode()).hexdigest())
+    sizes = list(itertools.accumulate(len(f"### {r[2]}: {r[3]}</turn>\n") for r in rows[2:]))
+    assert got[2].formatted_chars == sum(sizes[1::2]) and got[2].n_turns == 3000
+
+
 def test_chat_empty(spark):
     f = chat_format.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert chat_format.digest(f, chat_format.expand(f)).count() == 0
