@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Sequence
@@ -15,7 +16,7 @@ from .operators import extract, graph, infer, validate
 from .plans.shapes import Shape, ShapeGraph
 from .plans.template import Template, from_spec
 from .sources import ntriples, turtle
-from .terms import A, BAD_IRI, IMPORTS, ONTOLOGY, OWL, RDFS, SH, iri, param, text_of
+from .terms import A, BAD_IRI, IMPORTS, ONTOLOGY, OWL, RDFS, SH, iri, literal, param, text_of
 
 
 class NotFound(KeyError):
@@ -61,8 +62,8 @@ class Engine:
             raise ValueError(f"not an IRI: {name}")
         if name in self.models:
             raise ValueError(f"there is a model {name}")
-        m = self.models[name] = Model(name, re.sub(r"[^A-Za-z0-9]", "_", name), description)
-        rows = [(iri(name), A, ONTOLOGY)] + ([(iri(name), f"<{RDFS}comment>", f'"{description}"')] if description else [])
+        m = self.models[name] = Model(name, hashlib.sha256(name.encode()).hexdigest()[:32], description)
+        rows = [(iri(name), A, ONTOLOGY)] + ([(iri(name), f"<{RDFS}comment>", literal(description))] if description else [])
         self.add(m, self.frame(rows))
         return m
 
@@ -234,8 +235,10 @@ class Engine:
 
     # --- using models
 
-    def compile(self, m: Model, shapes: Sequence[tuple[str, str, str]], rules: Sequence[infer.Rule]) -> DataFrame:
-        return infer.infer(self.graph(m), self.frame(shapes), rules)
+    def compile(self, m: Model, shapes: Sequence[tuple[str, str, str]], rules: Sequence[infer.Rule] = ()) -> DataFrame:
+        """What the shapes' own triple rules and further ``rules`` add to the model, with the model."""
+        told = [*infer.rules_of(ShapeGraph(list(shapes))), *rules]
+        return infer.infer(self.graph(m), self.frame(shapes), told) if told else self.graph(m)
 
     def validate(self, m: Model, shapes: Sequence[tuple[str, str, str]] | None = None, prefixes: dict[str, str] | None = None) -> tuple[bool, DataFrame, DataFrame]:
         """(valid, report, diff); the model's manifest where no shapes are given."""

@@ -183,7 +183,7 @@ def as_identifier(parser: Parser) -> Parser:
 
 
 #: Parsers that are often needed.
-delimiters = regex(r"[._:/\-]", DELIMITER)
+delimiters = regex(r"[._:/\- ]", DELIMITER)
 identifier = regex(r"[a-zA-Z0-9]+", IDENTIFIER)
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..terms import A, SUBCLASS
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder named by spark.checkpoint.dir (a temporary one in local tests)."""
+def _shared_folder(df: DataFrame) -> str:
+    """The folder named by spark.checkpoint.dir, made the checkpoint folder (a temporary one in local tests)."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -20,25 +22,42 @@ def cut(df: DataFrame) -> DataFrame:
 
             named = tempfile.mkdtemp(prefix="graphloom-")
         sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder."""
+    _shared_folder(df)
     return df.checkpoint()
 
 
+def stored(g: DataFrame) -> DataFrame:
+    """A graph as a table in the shared folder, by predicate, so that each later scan reads the predicates that it asks for only."""
+    path = f"{_shared_folder(g)}/graph-{uuid.uuid4().hex}"
+    g.select("s", "p", "o").sortWithinPartitions("p", "s").write.parquet(path)
+    return g.sparkSession.read.schema("s string, p string, o string").parquet(path)
+
+
 def reach(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(s, o) pairs joined by one or more edges (s, o); ``start`` (column s) limits where walks begin.
 
     Each round extends only the pairs that are new, so cycles end and no pair is found twice.
+    What a round finds is written once; only every eighth round are the parts put together.
     The number of rounds is the longest shortest walk.
     """
     edges = edges.select("s", "o").distinct()
     first = edges if start is None else edges.join(start.select("s").distinct(), "s", "left_semi")
     known = new = cut(first)
     step = edges.select(F.col("s").alias("_m"), F.col("o").alias("_o"))
+    parts = 1
     while True:
         far = new.join(step, F.col("o") == F.col("_m")).select("s", F.col("_o").alias("o")).distinct()
         new = cut(far.join(known, ["s", "o"], "left_anti"))
         if new.isEmpty():
             return known
-        known = cut(known.unionByName(new))
+        known, parts = known.unionByName(new), parts + 1
+        if parts % 8 == 0:
+            known = cut(known)
 
 
 def with_self(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

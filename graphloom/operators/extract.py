@@ -10,15 +10,14 @@ from pyspark.sql import functions as F
 from ..plans.shapes import Shape, path_text
 from ..terms import plain
 from .algebra import path_pairs
-from .closure import ancestors, cut, instances
+from .closure import ancestors, instances
 from .validate import Validator
 
 
 class Extractor:
     def __init__(self, g: DataFrame, hierarchy: DataFrame | None = None):
-        self.g = g
-        self.up = cut(ancestors(g)) if hierarchy is None else hierarchy
-        self.checker = Validator(g, hierarchy=self.up)
+        self.checker = Validator(g, hierarchy=hierarchy)
+        self.g, self.up = self.checker.g, self.checker.up  # one table and one hierarchy for both
 
     def table(self, shape: Shape) -> DataFrame:
         """One row a solution: ``target`` and a column for each property that has values to show, as plain text.

@@ -9,9 +9,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shapes import Shape
+from ..plans.shapes import Shape, ShapeGraph, sh
+from ..terms import A, SUBCLASS
 from .algebra import Pattern, bgp, construct
-from .closure import cut
+from .closure import ancestors, cut, stored
 from .graph import difference
 from .validate import Validator
 
@@ -29,8 +30,8 @@ class TripleRule:
     object: str
     conditions: tuple[Shape, ...] = ()
 
-    def __call__(self, g: DataFrame) -> DataFrame:
-        v = Validator(g)
+    def __call__(self, g: DataFrame, hierarchy: DataFrame | None = None) -> DataFrame:
+        v = Validator(g, hierarchy=hierarchy, is_table=True)
         foci = v.targets(self.shape)
         for c in self.conditions:
             foci = foci.join(v.failing(c, foci), "focus", "left_anti")
@@ -43,18 +44,49 @@ def construct_rule(where: Sequence[Pattern], *template: tuple[str, str, str]) ->
     return lambda g: construct(bgp(g, *where), *template)
 
 
-def fixpoint(g: DataFrame, rules: Sequence[Rule], limit: int = 4) -> DataFrame:
-    """``g`` and all that the rules add, in at most ``limit`` rounds; a round that adds nothing is the last."""
-    known = cut(g.select("s", "p", "o").dropDuplicates())
-    for _ in range(limit):
-        made = reduce(DataFrame.unionByName, [r(known).select("s", "p", "o") for r in rules]).dropDuplicates()
-        new = cut(difference(made, known))
+def rules_of(sg: ShapeGraph) -> list[TripleRule]:
+    """The triple rules (sh:rule) of the node shapes of a shapes graph; rules of other kinds are an error."""
+    out = []
+    for node in dict.fromkeys(s for s, p, _ in sg.triples if p == sh("rule")):
+        shape = sg.shape(node)
+        for r in sg.values(node, "rule"):
+            if sg.values(r, "deactivated") == ['"true"^^<http://www.w3.org/2001/XMLSchema#boolean>'] or shape.deactivated:
+                continue
+            if sh("TripleRule") not in sg.values(r, A):
+                raise ValueError(f"only triple rules are read: {r} of {node}")
+            conditions = tuple(sg.shape(c) for c in sg.values(r, "condition"))
+            subject, predicate, object_ = ("$this" if t == sh("this") else t for t in (sg.one(r, n) for n in ("subject", "predicate", "object")))
+            out.append(TripleRule(shape, subject, predicate, object_, conditions))
+    return out
+
+
+def fixpoint(g: DataFrame, rules: Sequence[Rule], limit: int | None = 4, partial: bool = False) -> DataFrame:
+    """``g`` and all that the rules add; a round that adds nothing is the last.
+
+    If ``limit`` rounds (None: any number) still add triples, what follows from the last of them
+    is missing: that is an error unless ``partial`` asks for just so many rounds.
+    """
+    known = stored(g.select("s", "p", "o").dropDuplicates())
+    hierarchy = None
+    rounds = 0
+    while True:
+        if rounds == limit and partial:
+            break
+        if hierarchy is None and any(isinstance(r, TripleRule) for r in rules):
+            hierarchy = cut(ancestors(known))  # once for all rules, and anew only after a round that adds to it
+        made = reduce(DataFrame.unionByName, [(r(known, hierarchy) if isinstance(r, TripleRule) else r(known)).select("s", "p", "o") for r in rules]).dropDuplicates()
+        new = stored(difference(made, known))
         if new.isEmpty():
             break
-        known = cut(known.unionByName(new))
+        if rounds == limit:
+            raise ValueError(f"the rules still add triples after {limit} rounds")
+        rounds += 1
+        known = known.unionByName(new)
+        if not new.where(F.col("p") == SUBCLASS).isEmpty():
+            hierarchy = None
     return known
 
 
-def infer(data: DataFrame, shapes: DataFrame, rules: Sequence[Rule], limit: int = 4) -> DataFrame:
+def infer(data: DataFrame, shapes: DataFrame, rules: Sequence[Rule], limit: int | None = None) -> DataFrame:
     """The fixpoint over data and shapes together, without the shapes' own triples."""
     return difference(fixpoint(data.unionByName(shapes), rules, limit), shapes)

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.template import Template
-from ..terms import A, OWL, is_param, param_name
-from .closure import ancestors, cut
+from ..terms import A, OWL, SUBPROPERTY, is_param, param_name
+from .closure import ancestors, cut, stored
 from .graph import difference
 
 #: Above this many nodes only connected parts of a template are tried.
@@ -26,7 +26,9 @@ class Matcher:
         self.nodes = sorted({t for s, _, o in self.edges for t in (s, o)})
         if len(self.nodes) > MOST_NODES:
             raise ValueError(f"{template.name} has {len(self.nodes)} nodes; match one of its parts")
-        self.up = cut(ancestors(ontology))
+        self.g = g = stored(g)
+        # classes and properties alike: a term may stand for what is above or below it
+        self.up = cut(ancestors(ontology).unionByName(ancestors(ontology, SUBPROPERTY)))
         self.feasible = cut(self._feasible())
 
     def _feasible(self) -> DataFrame:
@@ -70,7 +72,12 @@ class Matcher:
         while rest:
             k = next((i for i, e in enumerate(rest) if out is not None and (name[e[0]] in out.columns or name[e[2]] in out.columns)), 0)
             s, p, o = rest.pop(k)
-            pairs = self.g.where(F.col("p") == p) if self.check_predicates or p == A else self.g
+            pairs = self.g
+            if p == A:
+                pairs = pairs.where(F.col("p") == A)
+            elif self.check_predicates:  # the predicate or one below it
+                below = self.up.where(F.col("ancestor") == p).select(F.col("child").alias("p"))
+                pairs = pairs.join(below.unionByName(self.g.sparkSession.range(1).select(F.lit(p).alias("p"))).distinct(), "p", "left_semi")
             pairs = pairs.select(F.col("s").alias(name[s]), F.col("o").alias(name[o])).distinct()
             for t in (s, o):
                 pairs = pairs.join(self.feasible.where(F.col("tnode") == t).select(F.col("node").alias(name[t])), name[t], "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.shapes import Shape, inline, path_text
 from ..terms import A, SH, XSD, datatype, is_blank, is_iri, is_literal, lang, lexical, number, plain, qname, text_of
 from .algebra import path_pairs
-from .closure import ancestors, cut, instances
+from .closure import ancestors, cut, instances, stored
 
 REPORT = "focus string, path string, value string, source_shape string, component string, severity string, message string"
 #: Numeric and other datatypes whose lexical forms are checked; what a value must cast to.
@@ -19,12 +19,16 @@ CASTS = {"integer": "decimal(38,0)", "int": "int", "long": "bigint", "decimal":
 
 
 class Validator:
-    """Shapes are checked constraint by constraint, each as joins over all focus nodes at once."""
+    """Shapes are checked constraint by constraint, each as joins over all focus nodes at once.
 
-    def __init__(self, data: DataFrame, prefixes: dict[str, str] | None = None, hierarchy: DataFrame | None = None):
-        self.g = data
+    The graph is written once as a table by predicate, unless ``is_table`` says that it is one; every
+    target, path and constraint reads the part that it needs.
+    """
+
+    def __init__(self, data: DataFrame, prefixes: dict[str, str] | None = None, hierarchy: DataFrame | None = None, is_table: bool = False):
+        self.g = data if is_table else stored(data)
         self.prefixes = prefixes or {}
-        self.up = cut(ancestors(data)) if hierarchy is None else hierarchy
+        self.up = cut(ancestors(self.g)) if hierarchy is None else hierarchy
         self.spark: SparkSession = data.sparkSession
 
     # --- targets
@@ -84,6 +88,11 @@ class Validator:
                     else:
                         parts.append(self.check(arg, inner))
                 continue
+            if name == "qualified" and None not in arg[1:]:  # a result for each bound that is not kept
+                n = self._qualified(arg[0], foci, values)
+                for component, wrong in (("QualifiedMinCount", F.col("n") < arg[1]), ("QualifiedMaxCount", F.col("n") > arg[2])):
+                    parts.append(self._said(shape, n.where(wrong).select("focus"), f"{component}ConstraintComponent"))
+                continue
             found, component = self._violations(name, arg, foci, values)
             parts.append(self._said(shape, found, component))
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], REPORT)
@@ -96,6 +105,10 @@ class Validator:
     def _counts(self, foci: DataFrame, values: DataFrame) -> DataFrame:
         return foci.join(values.groupBy("focus").agg(F.countDistinct("value").alias("n")), "focus", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
+    def _qualified(self, inner: Shape, foci: DataFrame, values: DataFrame) -> DataFrame:
+        """(focus, n): how many values conform to ``inner``."""
+        return self._counts(foci, self._among(values, self._failing_values(inner, values), "left_anti"))
+
     def _among(self, values: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
         return values.join(nodes.select(F.col(nodes.columns[0]).alias("value")), "value", how)
 
@@ -111,7 +124,7 @@ class Validator:
             return self._counts(foci, values).where(F.col("n") > arg).select("focus"), component
         if name == "qualified":
             inner, low, high = arg
-            n = self._counts(foci, self._among(values, self._failing_values(inner, values), "left_anti"))
+            n = self._qualified(inner, foci, values)
             wrong = reduce(lambda a, b: a | b, [*([F.col("n") < low] if low is not None else []), *([F.col("n") > high] if high is not None else [])], F.lit(False))
             return n.where(wrong).select("focus"), "QualifiedMinCountConstraintComponent" if low is not None else "QualifiedMaxCountConstraintComponent"
         if name == "class":

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from .functions import expressions as X
 from .functions import labels as L
 from .operators import algebra, closure, extract, graph, infer, match, validate
-from .plans.shapes import Shape, all_of, any_of, negation, one_of, sh
+from .plans.shapes import Shape, ShapeGraph, all_of, any_of, negation, one_of, sh
 from .plans.template import Dependency, Template, bindings_from_json, choose, ingest, label_untitled
-from .sources import records
+from .sources import records, turtle
 from .terms import A, LABEL, SUBCLASS, XSD, datatype, iri, iri_col, is_iri, lexical, literal, literal_col, number, param, plain
 
 U = "urn:tpch/"
@@ -407,6 +407,12 @@ def qualified_max_count(spark, d):
     return _report(spark, d, _order(("qualified", (inner, None, 2))), graph.union(_orders_and_lines(spark, d), parts(spark, d)))
 
 
+@query(f"SELECT '{U}order/' || o_orderkey AS focus, NULL::VARCHAR AS value, CASE WHEN n < 1 THEN 'QualifiedMinCountConstraintComponent' ELSE 'QualifiedMaxCountConstraintComponent' END AS component FROM {_QN} WHERE n < 1 OR n > 2")
+def qualified_both_bounds(spark, d):
+    inner = Shape(iri(f"{U}PromoPart"), constraints=(("class", PROMO),))
+    return _report(spark, d, _order(("qualified", (inner, 1, 2))), graph.union(_orders_and_lines(spark, d), parts(spark, d)))
+
+
 @query(f"SELECT DISTINCT '{U}order/' || l_orderkey AS focus, '{U}part/' || l_partkey AS value, 'ClassConstraintComponent' AS component FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type <> 'PROMO' AND l_orderkey IN (SELECT o_orderkey FROM orders)")
 def class_constraint(spark, d):
     return _report(spark, d, _order(("class", PROMO)), graph.union(_orders_and_lines(spark, d), parts(spark, d)))
@@ -433,9 +439,13 @@ def pattern(spark, d):
     return _report(spark, d, _order(("pattern", ("^[1-3]-", "")), path=PRIORITY), orders(spark, d))
 
 
-@query(f"SELECT '{U}order/' || o_orderkey AS focus, o_orderstatus AS value, 'DatatypeConstraintComponent' AS component FROM orders")
+@query(f"SELECT '{U}part/' || p_partkey AS focus, CASE WHEN p_size % 3 = 0 THEN 'size ' || p_size ELSE p_size::VARCHAR END AS value, 'DatatypeConstraintComponent' AS component FROM part WHERE p_size % 3 = 0 OR p_size % 5 = 0")
 def datatype_constraint(spark, d):
-    return _report(spark, d, _order(("datatype", iri(f"{XSD}integer")), path=STATUS), orders(spark, d))
+    """Integers conform; a text under that datatype and a plain string do not."""
+    p, size = table(spark, d, "part"), F.col("p_size").cast("string")
+    value = F.when(F.col("p_size") % 3 == 0, literal_col(F.concat(F.lit("size "), size), f"{XSD}integer")).when(F.col("p_size") % 5 == 0, literal_col(size)).otherwise(literal_col(size, f"{XSD}integer"))
+    g = T_PART.graph(p.select(ref("part", "p_partkey").alias("name"), F.lit(PART).alias("kind"), literal_col(F.col("p_brand")).alias("brand"), value.alias("size")))
+    return _report(spark, d, _part(("datatype", iri(f"{XSD}integer"))), g)
 
 
 @query(f"SELECT '{U}order/' || o_orderkey AS focus, o_orderstatus AS value, 'NodeKindConstraintComponent' AS component FROM orders")
@@ -464,9 +474,12 @@ def disjoint(spark, d):
     return _report(spark, d, _part(("disjoint", iri(f"{U}also")), path=BRAND), graph.union(parts(spark, d), also))
 
 
-@query(f"SELECT '{U}part/' || p_partkey AS focus, p_brand AS value, 'ClosedConstraintComponent' AS component FROM part")
+@query(f"SELECT '{U}part/' || p_partkey AS focus, p_brand AS value, 'ClosedConstraintComponent' AS component FROM part WHERE p_size > 10")
 def closed_shape(spark, d):
-    return _report(spark, d, Shape(iri(f"{U}Closed"), targets=(("class", PART),), constraints=(("closed", (A, SIZE)),)), parts(spark, d))
+    """Small parts have no brand here, and so no predicate beyond those allowed."""
+    small = parts(spark, d).where(F.col("p") == SIZE).where(number(F.col("o")) <= 10).select("s")
+    g = parts(spark, d).join(small.withColumn("p", F.lit(BRAND)), ["s", "p"], "left_anti").select("s", "p", "o")
+    return _report(spark, d, Shape(iri(f"{U}Closed"), targets=(("class", PART),), constraints=(("closed", (A, SIZE)),)), g)
 
 
 def _logic(*constraints) -> Shape:
@@ -605,6 +618,25 @@ def triple_rule_with_condition(spark, d):
     return said(infer.fixpoint(orders(spark, d), [first, then]))
 
 
+_RULES = f"""@prefix t: <{U}> . @prefix sh: <http://www.w3.org/ns/shacl#> . @prefix rdf: <{_RDF}> .
+t:OrderRules a sh:NodeShape ; sh:targetClass t:Order ;
+  sh:rule [ a sh:TripleRule ; sh:subject sh:this ; sh:predicate rdf:type ; sh:object t:UrgentOrder ; sh:condition t:IsUrgent ] .
+t:UrgentRules a sh:NodeShape ; sh:targetClass t:UrgentOrder ;
+  sh:rule [ a sh:TripleRule ; sh:subject sh:this ; sh:predicate t:level ; sh:object "now" ] ;
+  sh:rule [ a sh:TripleRule ; sh:subject t:Desk ; sh:predicate t:handles ; sh:object sh:this ; sh:condition [ sh:property [ sh:path t:status ; sh:hasValue "F" ] ] ] .
+t:IsUrgent a sh:NodeShape ; sh:property [ sh:path t:priority ; sh:in ( "1-URGENT" "2-HIGH" ) ] .
+"""
+
+
+@query(f"""SELECT '{U}order/' || o_orderkey AS s, '{_RDF}type' AS p, '{U}UrgentOrder' AS o FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')
+UNION SELECT '{U}order/' || o_orderkey, '{U}level', 'now' FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')
+UNION SELECT '{U}Desk', '{U}handles', '{U}order/' || o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'F'""")
+def rules_from_shapes_graph(spark, d):
+    """Triple rules as a shapes graph in Turtle says them; what they add to the orders."""
+    g = orders(spark, d)
+    return said(graph.difference(infer.fixpoint(g, infer.rules_of(ShapeGraph(turtle.read(_RULES))), limit=None), g))
+
+
 # --- labels
 
 

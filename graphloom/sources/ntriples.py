@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_TERM = r'(<[^>]*>|_:[^\s]+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
+_TERM = r'(<[^>]*>|_:[^\s]+|"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
 LINE = rf"^\s*{_TERM}\s+(<[^>]*>)\s+{_TERM}\s*\.\s*(?:#.*)?$"
 
 

@@ -96,11 +96,13 @@ def is_literal(term: Column) -> Column:
 
 
 def lexical(term: Column) -> Column:
-    """A literal's value, null for other terms.  U+E000 stands in for a backslash meanwhile."""
-    text = F.regexp_extract(term, r'(?s)^"(.*)"[^"]*$', 1)
-    for escaped, meant in (("\\\\", "\ue000"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"'), ("\ue000", "\\")):
-        text = F.replace(text, F.lit(escaped), F.lit(meant))
-    return F.when(is_literal(term), text)
+    """A literal's value, null for other terms."""
+    text = read = F.regexp_extract(term, r'(?s)^"(.*)"[^"]*$', 1)
+    # escapes are read from left to right in pairs, so that an escaped backslash before a letter stays one
+    for letter, meant in (("n", "\n"), ("r", "\r"), ("t", "\t")):
+        read = F.regexp_replace(read, rf"(?s)\G((?:[^\\]|\\[^{letter}])*+)\\{letter}", f"$1{meant}")
+    read = F.regexp_replace(read, r"(?s)\\(.)", "$1")
+    return F.when(is_literal(term), F.when(text.contains("\\"), read).otherwise(text))
 
 
 def plain(term: Column) -> Column:

@@ -198,3 +198,28 @@ def test_literals_round_trip(spark):
     df = spark.createDataFrame([(x,) for x in texts], "t string").withColumn("l", terms.literal_col(F.col("t")))
     for r in df.withColumn("back", terms.lexical(F.col("l"))).collect():
         assert r.back == r.t and terms.text_of(r.l) == r.t and terms.text_of(literal(r.t)) == r.t
+
+
+def test_rules_of_a_shapes_graph(spark):
+    text = HEAD + """e:S a sh:NodeShape ; sh:targetClass e:Base ; sh:rule [ a sh:TripleRule ; sh:subject sh:this ; sh:predicate e:seen ; sh:object e:yes ; sh:condition [ sh:class e:Top ] ] ."""
+    rules = infer.rules_of(ShapeGraph(turtle.read(text)))
+    g = frame(spark, "e:a a e:Base . e:b a e:Base, e:Top . e:c a e:Sub . e:Sub rdfs:subClassOf e:Base, e:Top .")
+    made = {r.s for r in infer.fixpoint(g, rules).where(F.col("p") == f"<{E}seen>").collect()}
+    assert made == {f"<{E}b>", f"<{E}c>"}
+    with pytest.raises(ValueError):
+        infer.rules_of(ShapeGraph(turtle.read(HEAD + "e:S a sh:NodeShape ; sh:rule [ a sh:SPARQLRule ] .")))
+
+
+def test_rounds_that_are_not_enough_are_an_error(spark):
+    g = frame(spark, " ".join(f"e:n{k} e:next e:n{k + 1} ." for k in range(12)))
+    longer = infer.construct_rule([("?a", f"<{E}next>", "?b"), ("?b", f"<{E}next>", "?c")], ("?a", f"<{E}next>", "?c"))
+    with pytest.raises(ValueError):
+        infer.fixpoint(g, [longer], limit=1)
+    assert infer.fixpoint(g, [longer], limit=None).count() == 78
+    assert infer.fixpoint(g, [longer], limit=1, partial=True).count() == 12 + 11
+
+
+def test_delimiters_take_a_blank(spark):
+    d = spark.createDataFrame([("Lamp 7",), ("Lamp-7",), ("Lamp7",), ("Lamp#7",)], "label string")
+    p = L.named({"Lamp": f"{E}Lamp"})
+    assert [r.success for r in L.parse(d, p).collect()] == [True, True, True, False]

@@ -3,6 +3,10 @@
 import json
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from pyspark.sql import functions as F
 
 from graphloom.catalog import Engine, NotFound, shape_to_template, unique_name
 from graphloom.operators import extract, graph
@@ -10,7 +14,7 @@ from graphloom.plans.shapes import ShapeGraph, inline
 from graphloom.plans.template import Builder, Dependency, Template, Unresolved, ingest
 from graphloom.sources import ntriples, records, turtle
 from graphloom.streaming.ingest import stream_to_graph
-from graphloom.terms import A, iri, literal, param, param_name, qname, text_of
+from graphloom.terms import A, iri, lexical, literal, param, param_name, qname, text_of
 
 E = "http://example.net/e#"
 HEAD = """@prefix e: <http://example.net/e#> . @prefix sh: <http://www.w3.org/ns/shacl#> . @prefix owl: <http://www.w3.org/2002/07/owl#> .
@@ -62,6 +66,12 @@ BASE <urn:base/>
             turtle.read(HEAD + bad)
 
 
+def test_lexical_reads_escapes(spark):
+    said = ["\ue000", "a\\nb", "\\\n\\n\t\r", 'q"\\"', "", "\\" * 5 + "n", "plain\ntext", "\\t\\r" * 20_000]
+    rows = spark.createDataFrame([(k, literal(x).replace("\t", "\\t")) for k, x in enumerate(said)], "k long, t string")
+    assert [r[0] for r in rows.orderBy("k").select(lexical(F.col("t"))).collect()] == said
+
+
 # --- templates
 
 
@@ -87,54 +97,75 @@ def test_parameters_and_dependencies():
 
 
 def test_inlining_optionality():
+    """Parts of an optional part are optional, whatever the depth; what is also needed elsewhere is not."""
+    known = {}
+    known |= {"lamp": t("lamp", "bulb", known=known), "desk": t("desk", "lamp", "drawer", optional=["drawer"], deps=[("lamp", {"name": "lamp"})], known=known)}
+    office = t("office", "main", "spare", optional=["spare"], deps=[("desk", {"name": "main"}), ("desk", {"name": "spare"})], known=known).inline()
+    required = {"name", "main", "main-lamp", "main-lamp-bulb"}
+    assert office.parameters - office.optional == required
+    assert office.optional == {"main-drawer", "spare", "spare-lamp", "spare-lamp-bulb", "spare-drawer"}
+    # one parameter of a dependency may be optional by its inlined name alone
+    assert t("room", "light", optional=["light-bulb"], deps=[("lamp", {"name": "light"})], known=known).inline().optional == {"light-bulb"}
+    # a required parameter that an optional dependency shares stays required
+    shared = t("hall", "light", "stock", optional=["light"], deps=[("lamp", {"name": "light", "bulb": "stock"})], known=known).inline()
+    assert shared.optional == {"light"} and shared.parameters == {"name", "light", "stock"}
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3)), min_size=1, max_size=4, unique=True), st.integers(0, 5))
+def test_inlining_commutes_with_evaluation(links, unbound):
+    """Binding all parameters of the inlined template makes the triples of each template bound by itself."""
     known = {}
-    known |= {"B": t("B", "bp", known=known), "C": t("C", "cp", known=known), "D": t("D", "dp", known=known)}
-    deps = [("B", {"name": "b"}), ("C", {"name": "c"}), ("D", {"name": "d"})]
-    a = t("A", "b", "c", "d", optional=["d"], deps=deps, known=known).inline()
-    assert a.parameters == {"name", "b", "c", "b-bp", "c-cp", "d", "d-dp"} and a.optional == {"d", "d-dp"}
-    # only the dependency's own parameter is optional
-    assert t("A", "b", optional=["b-bp"], deps=[("B", {"name": "b"})], known=known).inline().optional == {"b-bp"}
-    # three levels, all optional from the top
-    known |= {"L3": t("L3", "deep", known=known), "L2": t("L2", "level3", deps=[("L3", {"name": "level3"})], known=known)}
-    known["L1"] = t("L1", "level2", deps=[("L2", {"name": "level2"})], known=known)
-    top = t("P", "level1", optional=["level1"], deps=[("L1", {"name": "level1"})], known=known).inline()
-    assert "level1-level2-level3-deep" in top.parameters and top.optional == top.parameters - {"name"}
-    # what is required here stays required though an optional dependency refers to it
-    known["V"] = t("V", "pump", known=known)
-    coil = t("coil", "valve", "pump", optional=["valve"], deps=[("V", {"name": "valve", "pump": "pump"})], known=known).inline()
-    assert coil.optional == {"valve"}
+    for k in range(4):
+        needs = [(f"n{b}", {"name": f"x{b}"}) for a, b in links if a == k < b]
+        known[f"n{k}"] = t(f"n{k}", *[f"x{b}" for a, b in links if a == k < b], "own", deps=needs, known=known)
+    flat = known["n0"].inline()
+    terms = {p: f"<urn:v/{p}>" for p in flat.parameters}
+
+    def spell(template, prefix):
+        own = {p: terms[f"{prefix}{p}"] if f"{prefix}{p}" in terms else None for p in template.parameters if p != "name"}
+        own["name"] = terms[prefix[:-1] or "name"]
+        made = set(template.evaluate(own))
+        for d in template.dependencies:
+            made |= spell(known[d.template], f"{prefix}{d.args['name']}-")
+        return made
+
+    assert set(flat.evaluate(terms)) == spell(known["n0"], "")
+    fewer = dict(sorted(terms.items())[unbound:])
+    left = flat.evaluate(fewer, require_optional=True)
+    assert (left.parameters if isinstance(left, Template) else set()) == set(flat.parameters) - set(fewer)
 
 
 def test_evaluate(spark):
-    vav = t("vav", "occ", "zone", optional=["occ", "zone"])
-    assert len(vav.evaluate({"name": iri(E + "x")})) == 1
-    left = vav.evaluate({"name": iri(E + "x"), "zone": iri(E + "z")}, require_optional=True)
-    assert isinstance(left, Template) and left.parameters == {"occ"}
-    assert isinstance(vav.evaluate({"zone": iri(E + "z")}), Template)
-    assert len(vav.evaluate({"name": "<n>", "zone": "<z>", "occ": "<o>"})) == 3
-    rows = spark.createDataFrame([("<a>", "<z>"), ("<b>", None), (None, "<z>"), ("<a>", "<z>")], "name string, zone string")
-    assert vav.graph(rows).count() == 3
-    assert [r[0] for r in rows.select(vav.complete(rows)).collect()] == [True, True, False, True]
+    book = t("book", "author", "shelf", optional=["author", "shelf"])
+    n, a, s = (iri(E + x) for x in "nas")
+    assert {x[2] for x in book.evaluate({"name": n})} == {iri(E + "book")}
+    assert {x[2] for x in book.evaluate({"name": n, "author": a, "shelf": s})} == {iri(E + "book"), a, s}
+    for bound in ({"shelf": s}, {"author": a, "shelf": s}):
+        assert book.evaluate(bound).parameters >= {"name"}
+    assert book.evaluate({"name": n, "shelf": s}, require_optional=True).parameters == {"author"}
+    rows = spark.createDataFrame([("<a>", "<z>"), ("<b>", None), (None, "<z>"), ("<a>", "<z>")], "name string, shelf string")
+    assert book.graph(rows).count() == 3
+    assert [r[0] for r in rows.select(book.complete(rows)).collect()] == [True, True, False, True]
     with pytest.raises(ValueError):
-        vav.graph(rows, require_optional=True)
-    blank = Template("dev", ((param("name"), iri(E + "at"), "_:b"), ("_:b", iri(E + "id"), param("id"))))
+        book.graph(rows, require_optional=True)
+    blank = Template("copy", ((param("name"), iri(E + "at"), "_:b"), ("_:b", iri(E + "id"), param("id"))))
     g = blank.graph(spark.createDataFrame([("<a>", '"1"'), ("<b>", '"2"')], "name string, id string"))
     assert g.count() == 4 and g.where("p like '%at>'").select("o").distinct().count() == 2
 
 
 def test_ingest(spark):
-    zone = t("zone", "cav")
-    r = spark.createDataFrame([("z1", "cav 1"), ("z2", None)], "name string, cav string")
+    loan = t("loan", "reader")
+    r = spark.createDataFrame([("l1", "Ann B."), ("l2", None)], "name string, reader string")
     with pytest.raises(ValueError):
-        ingest(zone, r, E)
-    g = ingest(zone, r, E, fill_unused=True).collect()
-    assert len(g) == 4 and {x.o for x in g if x.p == iri(E + "has") and x.s == iri(E + "z1")} == {'"cav 1"'}
+        ingest(loan, r, E)
+    g = ingest(loan, r, E, fill_unused=True).collect()
+    assert len(g) == 4 and {x.o for x in g if x.p == iri(E + "has") and x.s == iri(E + "l1")} == {'"Ann B."'}
     b = Builder(spark, E)
-    b.add(zone, name=iri(E + "a"))
-    b.add(zone, name=iri(E + "b"), cav=iri(E + "c"))
+    b.add(loan, name=iri(E + "a"))
+    b.add(loan, name=iri(E + "b"), reader=iri(E + "c"))
     made = b.compile()
-    assert made.count() == 6 and made.where("p like '%label>'").select("o").distinct().collect()[0].o == '"zone"'
-    assert zone.header() == ["cav", "name"]
+    assert made.count() == 6 and made.where("p like '%label>'").select("o").distinct().collect()[0].o == '"loan"'
+    assert loan.header() == ["name", "reader"]
 
 
 # --- graphs
@@ -184,6 +215,9 @@ def test_ntriples_and_table(spark, tmp_path):
     (tmp_path / "bad.nt").write_text("# fine\n\n<a> <b> .\n")
     with pytest.raises(Exception):
         ntriples.read(spark, str(tmp_path / "bad.nt")).collect()
+    long = literal("x\\y\"z" * 50_000)
+    ntriples.write(spark.createDataFrame([("<a>", "<b>", long)], "s string, p string, o string"), str(tmp_path / "long"))
+    assert ntriples.read(spark, str(tmp_path / "long")).first().o == long
     store = str(tmp_path / "store")
     ntriples.append(g, "one", store)
     ntriples.append(g, "one", store)
@@ -234,6 +268,12 @@ ahu:
     m = engine.create_model("urn:site", "a site")
     with pytest.raises(ValueError):
         engine.create_model("not an iri")
+    # names that differ in a sign only have graphs of their own, and descriptions may have any text
+    for name in ("urn:a-b", "urn:a_b"):
+        engine.create_model(name, f'the "{name}"\\')
+    engine.delete_model("urn:a-b")
+    kept = engine.graph(engine.model("urn:a_b")).where("p like '%comment>'").select(lexical(F.col("o"))).first()[0]
+    assert kept == 'the "urn:a_b"\\'
     ahu = engine.template("lib", "ahu").inline()
     engine.add(m, ahu.graph(spark.createDataFrame([(iri(E + "a"), iri(E + "f"))], "name string, sf string")))
     engine.add(m, spark.createDataFrame([(iri(E + "b"), A, iri(E + "AHU"))], "s string, p string, o string"))
@@ -258,9 +298,9 @@ ahu:
 
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/1.json").write_text('{"name": "a", "cav": "x"}\n{"name": "b", "cav": "y"}\n')
-    stream = spark.readStream.schema("name string, cav string").json(str(tmp_path / "in"))
+    (tmp_path / "in/1.json").write_text('{"name": "a", "reader": "x"}\n{"name": "b", "reader": "y"}\n')
+    stream = spark.readStream.schema("name string, reader string").json(str(tmp_path / "in"))
     for _ in range(2):
-        stream_to_graph(stream, t("zone", "cav"), E, str(tmp_path / "store"), "live", str(tmp_path / "ck")).awaitTermination(60)
-        (tmp_path / "in/2.json").write_text('{"name": "a", "cav": "x"}\n{"name": "c", "cav": "z"}\n')
+        stream_to_graph(stream, t("loan", "reader"), E, str(tmp_path / "store"), "live", str(tmp_path / "ck")).awaitTermination(60)
+        (tmp_path / "in/2.json").write_text('{"name": "a", "reader": "x"}\n{"name": "c", "reader": "z"}\n')
     assert ntriples.load(spark, str(tmp_path / "store"), "live").count() == 6
