@@ -1,19 +1,24 @@
-"""Exact top-k BM25 search with an inverted index and block-max pruning per shard.
+"""Exact top-k BM25 search with an inverted index and block-max WAND per shard.
 
 Shards are stretches of documents inside a task; document frequencies, the number of documents
 and their mean length are global, so that a score does not depend on the shard and the shards'
-top lists merge exactly.  In a shard, documents are put in blocks by length; frequent terms keep
-their largest impact in each block.  A query first adds up its rare terms' postings, whose k-th
-best sum bounds the k-th best score from below; a document is scored in full only if its sum
-plus its block's maxima of the query's frequent terms reaches that bound.
+top lists merge exactly.  In a shard, documents are put in blocks by length.  A term's postings are
+sorted by document and cut at the blocks, and every term keeps its largest impact in each of its
+blocks.  For a query, the sum of its terms' maxima bounds the scores of a block.  Blocks are read
+from the highest bound on; the k-th best score found so far, in this shard or those before it in
+the task, is the threshold, and once the next bound is below it all further blocks are skipped
+with their postings unread.  That is WAND's pivot test for a block of documents at a time instead
+of one, which numpy does for all terms at once.
 
 Queries are a stated set; they go to the tasks in blocks of at most ``BLOCK_TERMS`` terms, each
-block being one pass over the documents.
+block being one pass over the documents.  A block's results are written before the next is sent,
+so the driver never holds more than one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +29,8 @@ from .common import cut
 from .textbytes import ALNUM_WORDS, U64, find_words, hash_words, text_slices
 
 K1, B = 1.2, 0.75
-#: Text bytes of a shard, documents of a block, and the share of a shard's documents above which a term is frequent.
-SHARD_BYTES, BLOCK, FREQUENT = 1 << 25, 64, 1 / 24
+#: Text bytes of a shard, documents of a block, and blocks read before the threshold is looked at first; then twice as many each time.
+SHARD_BYTES, BLOCK, FIRST = 1 << 25, 64, 4
 BLOCK_TERMS = 1_000_000
 
 
@@ -62,10 +67,19 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(row + r)), "term": pa.array(h.view(np.int64))})
 
 
+def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [first, end), one range after the other."""
+    size = end - first
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 class Shard:
-    """The inverted index of some documents over the terms of a block of queries."""
+    """The inverted index of some documents over the terms of a block of queries.
+
+    ``runs`` are the postings of one term in one block: the first posting of each, its block and its largest impact.
+    """
 
-    def __init__(self, parts: list[tuple], vocabulary: np.ndarray, mean_length: float):
+    def __init__(self, parts: list[tuple], n_terms: int, mean_length: float):
         self.ids = np.concatenate([p[0] for p in parts])
         length = np.concatenate([p[1] for p in parts])
         base = np.cumsum([0] + [len(p[0]) for p in parts])
@@ -76,86 +90,73 @@ class Shard:
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.ids, length, doc = self.ids[order], length[order], place[doc]
-        self.n = len(order)
+        self.n_blocks = -(-len(order) // BLOCK)
         norm = K1 * (1 - B + B * length / max(mean_length, 1e-9))
-        by_doc = np.lexsort((term, doc))
-        self.f_term, self.f_impact = term[by_doc], (times * (K1 + 1) / (times + norm[doc]))[by_doc]
-        self.f_first = np.searchsorted(doc[by_doc], np.arange(self.n + 1))
         by_term = np.lexsort((doc, term))
         term, self.doc = term[by_term], doc[by_term]
-        self.impact = (times * (K1 + 1) / (times + norm[doc]))[by_term].astype(np.float32)
-        self.first = np.searchsorted(term, np.arange(len(vocabulary) + 1))
-        df = np.diff(self.first)
-        often = np.flatnonzero(df > max(8, self.n * FREQUENT))
-        self.slot = np.full(len(vocabulary), -1, np.int64)
-        self.slot[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), self.n), np.float32)
-        for k, t in enumerate(often.tolist()):
-            mine = slice(self.first[t], self.first[t + 1])
-            self.dense[k, self.doc[mine]] = self.impact[mine]
-        cuts = np.arange(0, self.n, BLOCK)
-        self.block_max = np.maximum.reduceat(self.dense, cuts, axis=1) if self.n and len(often) else np.zeros((len(often), len(cuts)), np.float32)
-        self.block_of = np.arange(self.n) // BLOCK
-
-    def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of all documents that may be among the best k (ties at the k-th included); scores are above 0."""
-        slot = self.slot[terms]
-        rare, often = slot < 0, slot >= 0
-        a, b = self.first[terms[rare]], self.first[terms[rare] + 1]
-        size = b - a
-        at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        total = np.bincount(self.doc[at], weights=self.impact[at] * np.repeat(weights[rare], size), minlength=self.n)
-        w = weights[often].astype(np.float32)
-        bound = np.partition(total, self.n - k)[self.n - k] if self.n >= k else 0.0
-        limit = (w @ self.block_max[slot[often]]).astype(np.float64)
-        slack = 1e-4 * (1 + bound)
-        some = np.flatnonzero(total + limit[self.block_of] * (1 + 1e-5) >= max(bound - slack, 1e-12))
-        if not len(some):
-            return self.ids[:0], np.zeros(0)
-        if len(often):
-            order = slot[often]
-            if len(some) * 4 < self.n:
-                full = total[some] + w @ self.dense[order[:, None], some[None, :]]
-            else:
-                full = (total + w @ self.dense[order])[some]
-        else:
-            full = total[some]
-        if len(some) > k:
-            least = np.partition(full, len(full) - k)[len(full) - k]
-            some = some[full >= least - 1e-4 * (1 + least)]
-        # the exact scores, added in the order of terms
-        scores = np.array([self._exact(d, terms, weights) for d in some.tolist()])
-        good = scores > 0
-        return self.ids[some[good]], scores[good]
-
-    def _exact(self, d: int, terms: np.ndarray, weights: np.ndarray) -> float:
-        own = self.f_term[self.f_first[d] : self.f_first[d + 1]]
-        if not len(own):
-            return 0.0
-        at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
-        hit = own[at] == terms
-        return float(np.cumsum(self.f_impact[self.f_first[d] + at[hit]] * weights[hit])[-1]) if hit.any() else 0.0
+        self.impact = (times * (K1 + 1) / (times + norm[doc]))[by_term]
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (self.doc[1:] // BLOCK != self.doc[:-1] // BLOCK)
+        at = np.flatnonzero(new)
+        self.run = np.append(at, len(term))
+        self.block = self.doc[at] // BLOCK
+        self.most = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
+        self.first = np.searchsorted(term[at], np.arange(n_terms + 1))
+        self.read = self.skipped = 0
+
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of all documents that may be among the best k (ties at the k-th included), none below ``least``."""
+        a, b = self.first[terms], self.first[terms + 1]
+        runs, w = _ranges(a, b), np.repeat(weights, b - a)
+        block = self.block[runs]
+        # a hair more than the sum, for it is added up in another order than the scores
+        bound = np.bincount(block, weights=self.most[runs] * w, minlength=self.n_blocks) * (1 + 1e-9)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        found, scores, at, many = [np.zeros(0, np.int64)], [np.zeros(0)], 0, FIRST
+        while at < len(order) and bound[order[at]] >= least:
+            some = order[at : at + many]
+            some = some[bound[some] >= least]
+            slot = np.full(self.n_blocks, -1, np.int64)
+            slot[some] = np.arange(len(some))
+            mine = slot[block] >= 0
+            p = _ranges(self.run[runs[mine]], self.run[runs[mine] + 1])
+            each = np.repeat(w[mine], self.run[runs[mine] + 1] - self.run[runs[mine]])
+            # postings stand by term, so a score is always added up in the order of terms
+            total = np.bincount(slot[self.doc[p] // BLOCK] * BLOCK + self.doc[p] % BLOCK, weights=self.impact[p] * each, minlength=len(some) * BLOCK)
+            good = np.flatnonzero(total >= max(least, 1e-300))
+            found.append(some[good // BLOCK] * BLOCK + good % BLOCK)
+            scores.append(total[good])
+            at += len(some)
+            every = np.concatenate(scores)
+            if len(every) >= k:
+                least = max(least, np.partition(every, len(every) - k)[len(every) - k])
+                keep = every >= least
+                found, scores = [np.concatenate(found)[keep]], [every[keep]]
+            many *= 2
+        self.read += at
+        self.skipped += len(order) - at
+        return self.ids[np.concatenate(found)], np.concatenate(scores)
 
 
 def _search(said, k: int, mean_length: float, shard_bytes: int):
-    """Task: the best k of each shard for every query of the block."""
+    """Task: its best k documents for every query of the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, query_ids, cuts, terms, weights = said.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
         parts: list[tuple] = []
         held = 0
 
         def close():
-            shard = Shard(parts, vocabulary, mean_length)
-            q, d, s = [], [], []
-            for i, query in enumerate(query_ids.tolist()):
+            shard = Shard(parts, len(vocabulary), mean_length)
+            for i in range(len(query_ids)):
                 mine = slice(cuts[i], cuts[i + 1])
-                ids, scores = shard.top(terms[mine], weights[mine], k)
-                best = np.lexsort((ids, -scores))[:k]
-                q.append(np.full(len(best), query))
-                d.append(ids[best])
-                s.append(scores[best])
-            return pa.RecordBatch.from_pydict({"query_id": pa.array(np.concatenate(q), pa.int64()), "doc_id": pa.array(np.concatenate(d), pa.int64()), "score": pa.array(np.concatenate(s), pa.float64())})
+                ids, scores = best[i]
+                more = shard.top(terms[mine], weights[mine], k, scores[-1] if len(scores) == k else 0.0)
+                ids, scores = np.concatenate([ids, more[0]]), np.concatenate([scores, more[1]])
+                order = np.lexsort((ids, -scores))[:k]
+                best[i] = ids[order], scores[order]
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -165,10 +166,12 @@ def _search(said, k: int, mean_length: float, shard_bytes: int):
                 parts.append((ids[row : row + len(n)], n, r[known], at[known], times[known]))
                 held += int(n.sum()) * 6
                 if held >= shard_bytes:
-                    yield close()
+                    close()
                     parts, held = [], 0
         if parts:
-            yield close()
+            close()
+        sizes = [len(b[0]) for b in best]
+        yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(query_ids, sizes), pa.int64()), "doc_id": pa.array(np.concatenate([b[0] for b in best]), pa.int64()), "score": pa.array(np.concatenate([b[1] for b in best]), pa.float64())})
 
     return run
 
@@ -179,7 +182,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     ``queries``: id, text.  A query's distinct words count once each; words are digits, letters
     and everything beyond ASCII, A-Z lower-cased.  Documents that share no word with a query are
     not listed; null and empty texts neither find nor are found; rows with a null id are left
-    out; repeated rows are listed alike, each; empty tables give no rows.
+    out; repeated rows are listed alike, each; of several texts of one query the least is taken;
+    empty tables give no rows.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where("doc_id is not null")
@@ -187,15 +191,16 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     seen = cut(seen)
     total = seen.where("term is null").first()
     n_docs, n_words = (total["df"], total["words"]) if total else (0, 0)
-    asked = queries.select(F.col(queries.columns[0]).cast("long").alias("query_id"), F.col(queries.columns[1]).cast("binary").alias("text")).where("query_id is not null").dropDuplicates(["query_id"])
+    asked = queries.select(F.col(queries.columns[0]).cast("long").alias("query_id"), F.col(queries.columns[1]).cast("binary").alias("text")).where("query_id is not null").groupBy("query_id").agg(F.min("text").alias("text"))
     q = asked.mapInArrow(_query_terms, "query_id long, term long").join(seen.where("term is not null").select("term", "df"), "term")
     idf = F.log1p((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     q = cut(q.select("query_id", "term", idf.alias("weight")))
     n_terms = q.count()
     blocks = max(1, -(-n_terms // block_terms))
-    found = None
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    found = []
     for b in range(blocks):
-        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
+        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         got = block.toArrow()  # columns, not rows: a block is bounded by block_terms
         if not len(got):
             continue
@@ -206,8 +211,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
         ids = np.unique(qid)
         said = spark.sparkContext.broadcast((vocabulary, ids, np.searchsorted(qid, np.append(ids, ids[-1] + 1)), np.searchsorted(vocabulary, term), weight))
         part = d.mapInArrow(_search(said, k, n_words / max(1, n_docs), shard_bytes), "query_id long, doc_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+        ranked = part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        found.append(cut(ranked))  # written now, so that the block's terms can be let go
+        said.destroy()
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    return reduce(DataFrame.unionByName, found)

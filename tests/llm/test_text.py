@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -187,14 +187,16 @@ def test_token_store_starts_anew(monkeypatch):
 
 @pytest.mark.parametrize("shard_bytes,block_terms", [(1 << 25, 2_000_000), (3000, 400)])
 def test_search_equals_brute_force(spark, corpus, shard_bytes, block_terms):
-    docs = [d for d in corpus if len(d[1] or "") < 20_000]
+    docs = [*corpus, *[(900 + k, "tied words of a text that many rows have") for k in range(30)]]
     words = {i: ALNUM.findall(lower(t)) for i, t in docs}
+    times = {i: Counter(w) for i, w in words.items()}
     df_of = defaultdict(int)
     for w in words.values():
         for x in set(w):
             df_of[x] += 1
     mean = sum(map(len, words.values())) / len(words)
-    asked = [0, 1, 3, 7, 12, 75, 90, 120]
+    longest = [i for i, t in docs if len(t or "") > 20_000]
+    asked = [0, 1, 3, 7, 12, 75, 90, 120, 905, *longest]
     df = frame(spark, docs)
     got = defaultdict(list)
     for r in search.top_k(df, df.where(df.doc_id.isin(asked)).select("doc_id", "text"), k=10, shard_bytes=shard_bytes, block_terms=block_terms).collect():
@@ -203,7 +205,7 @@ def test_search_equals_brute_force(spark, corpus, shard_bytes, block_terms):
         scores = {}
         for i, w in words.items():
             norm = search.K1 * (1 - search.B + search.B * len(w) / mean)
-            s = sum(math.log1p((len(words) - df_of[x] + 0.5) / (df_of[x] + 0.5)) * w.count(x) * (search.K1 + 1) / (w.count(x) + norm) for x in set(words[q]) if x in w)
+            s = sum(math.log1p((len(words) - df_of[x] + 0.5) / (df_of[x] + 0.5)) * n * (search.K1 + 1) / (n + norm) for x, n in times[i].items() if x in times[q])
             if s > 0:
                 scores[i] = s
         want = sorted(scores.values(), reverse=True)[:10]
@@ -212,6 +214,33 @@ def test_search_equals_brute_force(spark, corpus, shard_bytes, block_terms):
         assert np.allclose([m[2] for m in mine], want, rtol=1e-9)
         for _, i, s in mine:
             assert math.isclose(scores[i], s, rel_tol=1e-9)
+        if q == 905:
+            assert [i for _, i, _ in mine] == list(range(900, 910))  # of thirty that tie the smallest ids
+
+
+def test_search_skips_blocks_and_loses_nothing():
+    rng = np.random.default_rng(5)
+    n_docs, n_terms = 20_000, 300
+    size = rng.integers(5, 40, n_docs)
+    doc = np.repeat(np.arange(n_docs), size)
+    term = np.minimum(rng.zipf(1.3, len(doc)) - 1, n_terms - 1)
+    pairs, times = np.unique(doc * n_terms + term, return_counts=True)
+    doc, term = pairs // n_terms, pairs % n_terms
+    shard = search.Shard([(np.arange(n_docs), size, doc, term, times)], n_terms, float(size.mean()))
+    weights = np.log1p(n_docs / np.maximum(1, np.bincount(term, minlength=n_terms)))
+    norm = search.K1 * (1 - search.B + search.B * size / size.mean())
+    for terms in ([0, 7, 40], [1, 250], list(range(0, 300, 9)), [299]):
+        terms = np.array(terms)
+        share = np.isin(term, terms)
+        full = np.bincount(doc[share], weights=(weights[term] * times * (search.K1 + 1) / (times + norm[doc]))[share], minlength=n_docs)
+        want = np.lexsort((np.arange(n_docs), -full))[:10]
+        for least in (0.0, full[want[-1]] * (1 - 1e-9)):
+            before = shard.read, shard.skipped
+            ids, scores = shard.top(terms, weights[terms], 10, least)
+            order = np.lexsort((ids, -scores))[:10]
+            assert np.allclose(scores[order], full[want]) and set(np.flatnonzero(full > full[want[-1]] * (1 + 1e-9))) <= set(ids)
+            assert shard.read > before[0]
+    assert shard.skipped > shard.read  # most blocks are never looked into
 
 
 def test_quality_learns_and_covers_whole_texts(spark):
