@@ -64,12 +64,8 @@ class WaveletTree:
         return c, i - self.begin[c]
 
 
-def suffix_array(text: np.ndarray, noted: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes in order, by prefix doubling; each 0 is a symbol of its own, so no comparison passes a separator.
-
-    Also, for each position, the range of rows whose suffixes share its first ``noted`` symbols (a power of two).
-    """
-    seen_lo = seen_hi = np.zeros(0, np.int64)
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Suffixes in order, by prefix doubling; each 0 is a symbol of its own, so no comparison passes a separator."""
     n = len(text)
     seps = text == 0
     k = int(seps.sum())
@@ -89,11 +85,8 @@ def suffix_array(text: np.ndarray, noted: int = 0) -> tuple[np.ndarray, np.ndarr
         rank = np.empty(n, np.int64)
         rank[order] = ids
         done = ids[-1] == n - 1
-        if noted and (step == noted or done) and not len(seen_lo):
-            first = np.append(np.flatnonzero(fresh), n)
-            seen_lo, seen_hi = first[rank], first[rank + 1]
         if done:
-            return order, seen_lo, seen_hi
+            return order
         second = np.full(n, -1, np.int64)
         second[: n - step] = rank[step:]
         # only rows that still tie need sorting again
@@ -110,13 +103,12 @@ def suffix_array(text: np.ndarray, noted: int = 0) -> tuple[np.ndarray, np.ndarr
 class FMIndex:
     """``text``: symbols with 0 as separator after every piece (the last symbol is 0).
 
-    ``sample``: distance of located suffixes.  ``noted``: length of text pieces whose suffix ranges
-    are kept from the sorting, by position (noted_lo, noted_hi), for patterns that are text themselves.
+    ``sample``: distance of located suffixes.
     """
 
-    def __init__(self, text: np.ndarray, sample: int = 16, noted: int = 0):
+    def __init__(self, text: np.ndarray, sample: int = 16):
         n = len(text)
-        sa, self.noted_lo, self.noted_hi = suffix_array(text, noted)
+        sa = suffix_array(text)
         self.n = n
         self.sigma = int(text.max()) + 1
         bwt = text[sa - 1]
@@ -130,16 +122,24 @@ class FMIndex:
         self.marked = BitVector(keep[sa])
         self.samples = sa[keep[sa]]
 
-    def extend(self, patterns: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of ``patterns`` followed by what [lo, hi) stands for, all of it text: a range of one row stays so."""
-        lo, hi = lo.copy(), hi.copy()
-        live = np.flatnonzero(hi - lo > 1)
-        for j in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[live, j]
+    def repeats(self, text: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Streams pieces of ``text`` that end with the words at ``last`` backwards through the tree.
+
+        Returns how many words, up to ``length``, each matches at more than one place, and the range
+        of the suffixes that begin with those.  The pieces are indexed text, so a range of one row is
+        the piece's own place and its search ends there.
+        """
+        lo, hi = np.zeros(len(last), np.int64), np.full(len(last), self.n, np.int64)
+        matched = np.zeros(len(last), np.int64)
+        live = np.arange(len(last))
+        for j in range(length):
+            c = text[last[live] - j]
             a, b = self.tree.rank_pair(c, lo[live], hi[live])
+            more = b - a > 1
+            live, c, a, b = live[more], c[more], a[more], b[more]
             lo[live], hi[live] = self.first[c] + a, self.first[c] + b
-            live = live[b - a > 1]
-        return lo, hi
+            matched[live] = j + 1
+        return matched, lo, hi
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix ranges [lo, hi) of the rows of ``patterns`` (symbols from 1 to sigma - 1; others occur nowhere)."""

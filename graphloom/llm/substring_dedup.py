@@ -8,9 +8,10 @@ no document has to be streamed past shards that cannot hold its passages:
 2. For each repeated anchor, the stretch of words that its windows cover goes to the shard of the
    anchor; equal stretches are merged first, keeping the earliest place.  Windows of an anchor
    with over ``HOT`` occurrences are dealt one by one by their own hash instead.
-3. A shard concatenates its stretches into a compressed FM-index and streams their windows through
-   it by backward search over the wavelet tree: the suffix range of a window holds all its
-   occurrences, and the earliest of them is the one to keep.
+3. A shard concatenates its stretches into a compressed FM-index and streams their words backwards
+   through its wavelet tree: for each place, how many words up to it also stand elsewhere (its
+   matching statistic) and the suffix range of those.  Where that reaches the window, the range
+   holds all occurrences, and the earliest of them is the one to keep.
 4. A document's windows with repeated anchors are removed except those found to be earliest.
 """
 
@@ -156,13 +157,10 @@ def earliest(bodies: list[bytes], ids: np.ndarray, th: np.ndarray, at: np.ndarra
     rank[order] = np.arange(len(query))
     rank_at = np.full(len(text), len(query), np.int64)
     rank_at[where[query]] = rank
-    # the ranges of a window's last words are known from the sorting; backward search adds the words before
-    noted = 1 << (window.bit_length() - 1)
-    index = FMIndex(text, sample=2, noted=noted)
-    last = where[query] + window - noted
-    lo, hi = index.extend(dense[query[:, None] + np.arange(window - noted)] + 1, index.noted_lo[last], index.noted_hi[last])
-    mine = np.ones(len(query), bool)  # a range of one row is the window itself
-    shared = np.flatnonzero(hi - lo > 1)
+    index = FMIndex(text, sample=2)
+    matched, lo, hi = index.repeats(text, where[query] + window - 1, window)
+    mine = np.ones(len(query), bool)
+    shared = np.flatnonzero(matched >= window)
     if len(shared):
         ranges, at_first, which = np.unique(lo[shared], return_index=True, return_inverse=True)
         size = hi[shared][at_first] - ranges
