@@ -2,9 +2,9 @@
 
 Shards are stretches of documents inside a task; document frequencies, the number of documents
 and their mean length are global, so that a score does not depend on the shard and the shards'
-top lists merge exactly.  In a shard, documents are put in blocks by length.  A term's postings are
+top lists merge exactly.  In a shard, documents are put in blocks by their most common words and length.  A term's postings are
 sorted by document and cut at the blocks, and every term keeps its largest impact in each of its
-blocks.  For a query, the sum of its terms' maxima bounds the scores of a block.  Blocks are read
+blocks (and, where it has many postings there, all impacts as a row).  For a query, the sum of its terms' maxima bounds the scores of a block.  Blocks are read
 from the highest bound on; the k-th best score found so far, in this shard or those before it in
 the task, is the threshold, and once the next bound is below it all further blocks are skipped
 with their postings unread.  That is WAND's pivot test for a block of documents at a time instead
@@ -30,7 +30,11 @@ from .textbytes import ALNUM_WORDS, U64, find_words, hash_words, text_slices
 
 K1, B = 1.2, 0.75
 #: Text bytes of a shard, documents of a block, and blocks read before the threshold is looked at first; then twice as many each time.
-SHARD_BYTES, BLOCK, FIRST = 1 << 25, 64, 4
+SHARD_BYTES, BLOCK, FIRST = 1 << 25, 64, 16
+#: Postings of a term in a block from which they are kept as a row; scores from rows are within SLACK of the exact ones.
+HEAVY, SLACK = 8, 1e-4
+#: Most common words by which documents are put side by side.
+ALIKE = 4
 BLOCK_TERMS = 1_000_000
 
 
@@ -76,67 +80,98 @@ def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
 class Shard:
     """The inverted index of some documents over the terms of a block of queries.
 
-    ``runs`` are the postings of one term in one block: the first posting of each, its block and its largest impact.
+    A run is the postings of one term in one block.  Runs of few postings stand by term; those of
+    ``HEAVY`` and more stand by block as rows of one impact a document.
     """
 
     def __init__(self, parts: list[tuple], n_terms: int, mean_length: float):
-        self.ids = np.concatenate([p[0] for p in parts])
+        ids = np.concatenate([p[0] for p in parts])
         length = np.concatenate([p[1] for p in parts])
         base = np.cumsum([0] + [len(p[0]) for p in parts])
         doc = np.concatenate([p[2] + b for p, b in zip(parts, base)])
         term, times = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
-        # by length, so that a block's documents have like impacts
-        order = np.argsort(length, kind="stable")
+        # documents with the same most common words (which tell the language) side by side, and then by length:
+        # a block's documents have like terms and impacts, so that its bound is near their scores
+        often = np.bincount(term, minlength=n_terms)
+        by_doc = np.lexsort((-often[term], doc))
+        end = np.searchsorted(doc[by_doc], np.arange(len(length) + 1))
+        ranked = np.append(term[by_doc], -1)
+        common = [np.where(end[:-1] + j < end[1:], ranked[np.minimum(end[:-1] + j, len(term))], -1) for j in range(ALIKE)]
+        order = np.lexsort((length, *common[::-1]))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.ids, length, doc = self.ids[order], length[order], place[doc]
+        self.ids, length, doc = ids[order], length[order], place[doc]
         self.n_blocks = -(-len(order) // BLOCK)
-        norm = K1 * (1 - B + B * length / max(mean_length, 1e-9))
+        impact = times * (K1 + 1) / (times + (K1 * (1 - B + B * length / max(mean_length, 1e-9)))[doc])
+        # by document, for the exact scores
+        by_doc = np.lexsort((term, doc))
+        self.d_term, self.d_impact = term[by_doc], impact[by_doc]
+        self.d_first = np.searchsorted(doc[by_doc], np.arange(len(order) + 1))
         by_term = np.lexsort((doc, term))
-        term, self.doc = term[by_term], doc[by_term]
-        self.impact = (times * (K1 + 1) / (times + norm[doc]))[by_term]
+        term, doc, impact = term[by_term], doc[by_term], impact[by_term]
+        block = doc // BLOCK
         new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (self.doc[1:] // BLOCK != self.doc[:-1] // BLOCK)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         at = np.flatnonzero(new)
-        self.run = np.append(at, len(term))
-        self.block = self.doc[at] // BLOCK
-        self.most = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
-        self.first = np.searchsorted(term[at], np.arange(n_terms + 1))
+        size = np.diff(np.append(at, len(term)))
+        most = np.maximum.reduceat(impact, at) if len(at) else np.zeros(0)
+        few = np.flatnonzero(size < HEAVY)
+        p = _ranges(at[few], at[few] + size[few])
+        self.impact, self.lane = impact[p], (doc[p] % BLOCK).astype(np.int32)
+        self.run = np.append(0, np.cumsum(size[few]))
+        self.block, self.most = block[at[few]], most[few]
+        self.first = np.searchsorted(term[at[few]], np.arange(n_terms + 1))
+        many = np.flatnonzero(size >= HEAVY)
+        many = many[np.argsort(block[at[many]], kind="stable")]
+        p = _ranges(at[many], at[many] + size[many])
+        self.rows = np.zeros((len(many), BLOCK), np.float32)
+        self.rows[np.repeat(np.arange(len(many)), size[many]), doc[p] % BLOCK] = impact[p]
+        self.row_term, self.row_most, self.row_block = term[at[many]], most[many], block[at[many]]
+        self.row_first = np.searchsorted(self.row_block, np.arange(self.n_blocks + 1))
+        self.weight = np.zeros(n_terms)  # the query's, at its terms
         self.read = self.skipped = 0
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of all documents that may be among the best k (ties at the k-th included), none below ``least``."""
+        """Ids and scores of all documents that may be among the best k (ties at the k-th included) and reach ``least``."""
+        self.weight[terms] = weights
+        heavy = self.weight[self.row_term]
         a, b = self.first[terms], self.first[terms + 1]
         runs, w = _ranges(a, b), np.repeat(weights, b - a)
         block = self.block[runs]
-        # a hair more than the sum, for it is added up in another order than the scores
-        bound = np.bincount(block, weights=self.most[runs] * w, minlength=self.n_blocks) * (1 + 1e-9)
+        bound = np.bincount(block, weights=self.most[runs] * w, minlength=self.n_blocks) + np.bincount(self.row_block, weights=self.row_most * heavy, minlength=self.n_blocks)
+        bound = bound * (1 + SLACK)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        found, scores, at, many = [np.zeros(0, np.int64)], [np.zeros(0)], 0, FIRST
-        while at < len(order) and bound[order[at]] >= least:
+        heavy = heavy.astype(np.float32)
+        docs, near, at, many, low = np.zeros(0, np.int64), np.zeros(0), 0, FIRST, least * (1 - SLACK)
+        while at < len(order) and bound[order[at]] >= low:
             some = order[at : at + many]
-            some = some[bound[some] >= least]
-            slot = np.full(self.n_blocks, -1, np.int64)
-            slot[some] = np.arange(len(some))
-            mine = slot[block] >= 0
-            p = _ranges(self.run[runs[mine]], self.run[runs[mine] + 1])
-            each = np.repeat(w[mine], self.run[runs[mine] + 1] - self.run[runs[mine]])
-            # postings stand by term, so a score is always added up in the order of terms
-            total = np.bincount(slot[self.doc[p] // BLOCK] * BLOCK + self.doc[p] % BLOCK, weights=self.impact[p] * each, minlength=len(some) * BLOCK)
-            good = np.flatnonzero(total >= max(least, 1e-300))
-            found.append(some[good // BLOCK] * BLOCK + good % BLOCK)
-            scores.append(total[good])
+            some = some[bound[some] >= low]
+            slot = np.full(self.n_blocks, -1, np.int32)
+            slot[some] = np.arange(len(some), dtype=np.int32) * BLOCK
+            of = slot[block]
+            mine = np.flatnonzero(of >= 0)
+            begin = self.run[runs[mine]]
+            size = self.run[runs[mine] + 1] - begin
+            p = _ranges(begin, begin + size)
+            total = np.bincount(np.repeat(of[mine], size) + self.lane[p], weights=self.impact[p] * np.repeat(w[mine], size), minlength=len(some) * BLOCK).astype(np.float64)
+            for j, (x, y) in enumerate(zip(self.row_first[some].tolist(), self.row_first[some + 1].tolist())):
+                total[j * BLOCK : (j + 1) * BLOCK] += heavy[x:y] @ self.rows[x:y]
+            good = np.flatnonzero(total >= max(low, 1e-300))
+            docs, near = np.concatenate([docs, some[good // BLOCK] * BLOCK + good % BLOCK]), np.concatenate([near, total[good]])
             at += len(some)
-            every = np.concatenate(scores)
-            if len(every) >= k:
-                least = max(least, np.partition(every, len(every) - k)[len(every) - k])
-                keep = every >= least
-                found, scores = [np.concatenate(found)[keep]], [every[keep]]
             many *= 2
+            if len(near) >= k:
+                low = max(low, np.partition(near, len(near) - k)[len(near) - k] * (1 - 2 * SLACK))
+                docs, near = docs[near >= low], near[near >= low]
         self.read += at
         self.skipped += len(order) - at
-        return self.ids[np.concatenate(found)], np.concatenate(scores)
+        # the exact scores, added up in the order of terms
+        size = self.d_first[docs + 1] - self.d_first[docs]
+        p = _ranges(self.d_first[docs], self.d_first[docs + 1])
+        scores = np.bincount(np.repeat(np.arange(len(docs)), size), weights=self.d_impact[p] * self.weight[self.d_term[p]], minlength=len(docs))
+        self.weight[terms] = 0
+        return self.ids[docs], scores
 
 
 def _search(said, k: int, mean_length: float, shard_bytes: int):
