@@ -29,11 +29,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id; of repeated rows, one."""
+    """One document of each group of near duplicates stays, the one with the smallest id.
+
+    Of rows with one id and one text, one stays, whether the id is null or not; rows with a null id and
+    different texts all stay, and so do null, empty and wordless texts with ids of their own.
+    """
     linked = near_dedup.cut(near_dedup.link(docs))
     gone = linked.where(~F.col("kept")).select("doc_id").distinct()
     out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = linked.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    twice = linked.groupBy("doc_id").count().where("count > 1")  # where no id stands twice there is nothing to drop
     return out if twice.isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
