@@ -127,7 +127,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 
 
 def apply_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, repeat: float = 2.0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The documents that the mix takes, with all their columns, and ``copies``: how often each is taken."""
+    """The documents that the mix takes, with all their columns, and ``copies``: how often each is taken.
+
+    Nulls, repeated ids, ties at the threshold and empty tables are as in ``mix``.  ``copies`` is always
+    the mix's own: an input column of that name is replaced, other names stay whatever they are.
+    """
     base = cut(_keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "doc_id", "source", "text").select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_h").alias("h")))
     row = docs.select(F.struct("*").alias("_row"), id_hash(F.col(id_col)).alias("_h"), F.col(source_col).alias("_source"))
     out = _copies(row, cutoffs(base, weights, share, repeat)).where("_copies > 0")
