@@ -9,12 +9,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import extract, graph, infer, validate
 from .plans.shapes import Shape, ShapeGraph
-from .plans.template import Template, from_spec
+from .plans.template import Dependency, Template, from_spec
 from .sources import ntriples, turtle
 from .terms import A, BAD_IRI, IMPORTS, ONTOLOGY, OWL, RDFS, SH, iri, literal, param, text_of
 
@@ -48,13 +49,68 @@ class Model:
 
 
 class Engine:
-    """One catalog.  Metadata are Python objects; every model's triples are one partition of the table at ``path``."""
+    """One catalog.  Every model's triples are one partition of the table at ``path``.
+
+    Metadata are Python objects; ``save`` writes them beside that table and ``open`` reads them back.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.models: dict[str, Model] = {}
         self.libraries: dict[str, Library] = {}
 
+    # --- the catalog as a table
+
+    @staticmethod
+    def _versions(spark: SparkSession, path: str) -> DataFrame | None:
+        """(version, kind, name, body) of all that was saved, or None if nothing was."""
+        try:
+            return spark.read.schema("version long, kind string, name string, body string").parquet(f"{path}-catalog")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    def save(self) -> int:
+        """Adds the metadata as a new version, which is whole once it is there; the number of that version."""
+        before = self._versions(self.spark, self.path)
+        version = 1 + ((before.agg(F.max("version")).first()[0] or 0) if before is not None else 0)
+        rows = [(version, "catalog", "", "")]
+        for m in self.models.values():
+            rows.append((version, "model", m.name, json.dumps({"graph_id": m.graph_id, "description": m.description, "manifest": m.manifest})))
+        for lib in self.libraries.values():
+            rows.append((version, "library", lib.name, json.dumps({"shapes": lib.shapes})))
+            for t in lib.templates.values():
+                needs = [{"template": d.template, "args": d.args, "library": d.library} for d in t.dependencies]
+                rows.append((version, "template", t.name, json.dumps({"in": lib.name, "body": t.body, "optional": sorted(t.optional), "dependencies": needs})))
+        self.spark.createDataFrame(rows, "version long, kind string, name string, body string").coalesce(1).write.mode("append").parquet(f"{self.path}-catalog")
+        return version
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, version: int | None = None) -> Engine:
+        """The catalog as it was saved last, or as some version of it; without any, an error."""
+        saved = cls._versions(spark, path)
+        if saved is None:
+            raise NotFound(path)
+        if version is None:
+            version = saved.agg(F.max("version")).first()[0]
+        rows = saved.where(F.col("version") == version).collect()  # metadata only
+        if not rows:
+            raise NotFound(f"{path}, version {version}")
+        out = cls(spark, path)
+        triples = lambda some: [tuple(x) for x in some]
+        said = [(r["kind"], r["name"], json.loads(r["body"])) for r in rows if r["kind"] != "catalog"]
+        for kind, name, d in said:
+            if kind == "model":
+                out.models[name] = Model(name, d["graph_id"], d["description"], triples(d["manifest"]))
+            elif kind == "library":
+                out.libraries[name] = Library(name, {}, triples(d["shapes"]))
+        for kind, name, d in said:
+            if kind == "template":
+                needs = tuple(Dependency(n["template"], n["args"], n["library"]) for n in d["dependencies"])
+                out.libraries[d["in"]].templates[name] = Template(name, tuple(triples(d["body"])), frozenset(d["optional"]), needs, out.find_template)
+        return out
+
     # --- models
 
     def create_model(self, name: str, description: str = "") -> Model:
@@ -257,6 +313,11 @@ class Engine:
     def target_nodes(self, m: Model) -> DataFrame:
         return graph.types(self.graph(m))
 
+    def repair(self, diffs: DataFrame, path_terms: dict[str, str], namespace: str) -> DataFrame:
+        """The graph that settles differences; what a shape asks for is built by the library template of its name."""
+        templates, needs = validate.repair_templates(diffs, path_terms, self.find_template)
+        return validate.repaired(templates, needs, namespace)
+
     def describe(self) -> str:
         """The catalog as JSON."""
         return json.dumps(
@@ -269,8 +330,6 @@ class Engine:
 
 def shape_to_template(shape: Shape, lookup) -> Template:
     """A template that makes what a shape asks for at least: typed values, fixed values, and dependencies on shapes."""
-    from .plans.template import Dependency
-
     here = param("name")
     body: dict[tuple[str, str, str], None] = {}
     for c in [t for k, t in shape.targets if k == "class"][:1] + shape.get("class"):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..terms import XSD, datatype, is_blank, is_iri, is_literal, lang, lexical, literal_col, number, plain
+from ..terms import BAD_IRI, XSD, datatype, iri_col, is_blank, is_iri, is_literal, lang, lexical, literal_col, number, plain
 
 
 def _like(text: Column, term: Column) -> Column:
@@ -109,6 +109,25 @@ def hours(t: Column) -> Column:
     return F.hour(moment(t))
 
 
+def minutes(t: Column) -> Column:
+    return F.minute(moment(t))
+
+
+def seconds(t: Column) -> Column:
+    """With the fraction, as a decimal."""
+    return F.date_part(F.lit("SECONDS"), moment(t))
+
+
+def tz(t: Column) -> Column:
+    """The zone as it is written: Z, an offset, or the empty literal."""
+    return literal_col(F.when(moment(t).isNotNull(), F.regexp_extract(lexical(t), r"(Z|[+-]\d\d:\d\d)$", 1)))
+
+
+def now() -> Column:
+    """The moment at which the query began."""
+    return literal_col(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), f"{XSD}dateTime")
+
+
 def digest(t: Column, name: str = "sha256") -> Column:
     text = lexical(t)
     return literal_col({"md5": F.md5, "sha1": F.sha1}[name](text) if name in ("md5", "sha1") else F.sha2(text, int(name[3:])))
@@ -141,6 +160,18 @@ def str_lang(t: Column, tag: str) -> Column:
     return literal_col(lexical(t), lang=tag)
 
 
+def to_iri(t: Column, base: str = "") -> Column:
+    """An IRI of an IRI or a plain literal; a text without a scheme is put after ``base``."""
+    text = lexical(t)
+    whole = F.when(text.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), text).otherwise(F.concat(F.lit(base), text))
+    return F.when(t.startswith("<"), t).when(~text.rlike(BAD_IRI), iri_col(whole))
+
+
+def bnode(*key: Column) -> Column:
+    """A blank node that is the same for rows with the same key and differs for others."""
+    return F.concat(F.lit("_:b"), F.substring(F.sha2(F.to_json(F.struct(*key)), 256), 1, 16))
+
+
 def is_numeric(t: Column) -> Column:
     kinds = [XSD + k for k in ("integer", "decimal", "float", "double", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger")]
     return datatype(t).isin(*kinds) & number(t).isNotNull()
@@ -154,4 +185,26 @@ def one_of(t: Column, *terms: Column) -> Column:
     return reduce(lambda a, b: a | b, [equal(t, x) for x in terms], F.lit(False))
 
 
+# --- aggregates over a column of terms
+
+
+def total(t: Column) -> Column:
+    """SUM; an error, and so null, where a term is no number."""
+    return F.when(F.count_if(t.isNotNull() & number(t).isNull()) == 0, F.coalesce(F.sum(number(t)), F.lit(0.0)))
+
+
+def average(t: Column) -> Column:
+    return F.when(F.count_if(t.isNotNull() & number(t).isNull()) == 0, F.coalesce(F.avg(number(t)), F.lit(0.0)))
+
+
+def sample(t: Column) -> Column:
+    """The least term, so that reruns agree."""
+    return F.min(t)
+
+
+def group_concat(t: Column, between: str = " ") -> Column:
+    """The texts of a group's terms, sorted, as one literal; a group's texts must fit in one row."""
+    return literal_col(F.array_join(F.sort_array(F.collect_list(plain(t))), between))
+
+
 KIND_TESTS = {"iri": is_iri, "blank": is_blank, "literal": is_literal, "numeric": is_numeric}

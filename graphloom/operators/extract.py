@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.shapes import Shape, path_text
-from ..terms import plain
+from ..terms import A, LABEL, plain
 from .algebra import path_pairs
 from .closure import ancestors, instances
 from .validate import Validator
@@ -95,10 +95,33 @@ def shapes_about(shapes: list[Shape], g: DataFrame, cls: str, hierarchy: DataFra
 
 def shapes_of_kind(g: DataFrame, kind: str, subkinds: DataFrame | None = None) -> DataFrame:
     """(shape, label) of the instances of a kind or of what ``subkinds`` (child, ancestor) puts below it."""
-    from ..terms import LABEL
+    return _labelled(g, instances(g, [kind], subkinds).select(F.col("node").alias("shape")))
 
-    label = g.where(F.col("p") == LABEL).groupBy(F.col("s").alias("node")).agg(F.min("o").alias("label"))
-    return instances(g, [kind], subkinds).join(label, "node", "left").select(F.col("node").alias("shape"), plain(F.col("label")).alias("label"))
+
+def within(g: DataFrame, top: str, predicate: str) -> DataFrame:
+    """(name) of what is ``predicate`` of ``top``, over any number of steps, and ``top``; circles end."""
+    below = ancestors(g, predicate).where(F.col("ancestor") == top).select(F.col("child").alias("name"))
+    return below.unionByName(g.sparkSession.range(1).select(F.lit(top).alias("name"))).distinct()
+
+
+def shapes_of_domain(g: DataFrame, domain: str, in_domain: str, includes: str) -> DataFrame:
+    """(shape, label) of the shapes of a domain and of the domains that include it, over any number of steps."""
+    of = g.where(F.col("p") == in_domain).join(within(g, domain, includes), F.col("o") == F.col("name"), "left_semi")
+    return _labelled(g, of.select(F.col("s").alias("shape")).distinct())
+
+
+def listing(g: DataFrame, kinds: list[str], group: str | None = None) -> DataFrame:
+    """(kind, shape, label) of the shapes of each kind and of its subclasses, led by ``group``, a column of ``g``, if named."""
+    found = instances(g, kinds).select(F.col("node").alias("shape"), F.col("class").alias("kind"))
+    if group is None:
+        return _labelled(g, found).select("kind", "shape", "label")
+    said = g.select(group, F.col("s").alias("shape")).where(F.col("p") == A).distinct()
+    return _labelled(g, found.join(said, "shape")).select(group, "kind", "shape", "label")
+
+
+def _labelled(g: DataFrame, shapes: DataFrame) -> DataFrame:
+    label = g.where(F.col("p") == LABEL).groupBy(F.col("s").alias("shape")).agg(F.min("o").alias("label"))
+    return shapes.join(label, "shape", "left").withColumn("label", plain(F.col("label")))
 
 
 # --- the same as query text, for other engines

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -13,8 +14,7 @@ from ..terms import A, OWL, SUBPROPERTY, is_param, param_name
 from .closure import ancestors, cut, stored
 from .graph import difference
 
-#: Above this many nodes only connected parts of a template are tried.
-MOST_NODES = 12
+Edge = tuple[str, str, str]
 
 
 class Matcher:
@@ -24,8 +24,6 @@ class Matcher:
         self.template, self.g, self.check_predicates = template, g, check_predicates
         self.edges = sorted({(s, p, o) for s, p, o in template.body})
         self.nodes = sorted({t for s, _, o in self.edges for t in (s, o)})
-        if len(self.nodes) > MOST_NODES:
-            raise ValueError(f"{template.name} has {len(self.nodes)} nodes; match one of its parts")
         self.g = g = stored(g)
         # classes and properties alike: a term may stand for what is above or below it
         self.up = cut(ancestors(ontology).unionByName(ancestors(ontology, SUBPROPERTY)))
@@ -50,57 +48,107 @@ class Matcher:
         classes = constants.join(related, F.col("tnode") == F.col("x")).join(ends, F.col("y") == F.col("node")).select("tnode", "node")
         return by_type.unionByName(same).unionByName(classes).distinct()
 
-    def parts(self) -> Iterator[tuple[list[str], list[tuple[str, str, str]]]]:
-        """Connected node sets of the template with their edges, largest first, down to two nodes."""
-        for size in range(len(self.nodes), 1, -1):
-            for some in combinations(self.nodes, size):
-                edges = [e for e in self.edges if e[0] in some and e[2] in some]
-                seen, front = {some[0]}, [some[0]]
-                while front:
-                    n = front.pop()
-                    for s, _, o in edges:
-                        for x in ({s, o} - seen) if n in (s, o) else ():
-                            seen.add(x)
-                            front.append(x)
-                if len(seen) == size and any(is_param(n) for n in some):
-                    yield list(some), edges
-
-    def mappings(self, nodes: list[str], edges: list[tuple[str, str, str]]) -> DataFrame:
+    def _connected(self, nodes: Iterable[str]) -> list[frozenset[str]]:
+        """The parts into which the template's edges divide some of its nodes."""
+        left, out = set(nodes), []
+        while left:
+            front = [left.pop()]
+            part = set(front)
+            while front:
+                n = front.pop()
+                near = {x for s, _, o in self.edges if n in (s, o) for x in (s, o)} & left
+                left -= near
+                part |= near
+                front += near
+            out.append(frozenset(part))
+        return out
+
+    def _within(self, nodes: Iterable[str]) -> list[Edge]:
+        """The edges among some nodes, each after the first next to one before it, if there is such a one."""
+        rest, out, seen = [e for e in self.edges if e[0] in nodes and e[2] in nodes], [], set()
+        while rest:
+            e = rest.pop(next((i for i, e in enumerate(rest) if e[0] in seen or e[2] in seen), 0))
+            seen |= {e[0], e[2]}
+            out.append(e)
+        return out
+
+    def mappings(self, nodes: list[str], edges: list[Edge]) -> DataFrame:
         """One row a mapping of these nodes: a column for each, named by its place in ``self.nodes``."""
         name = {n: f"n{self.nodes.index(n)}" for n in nodes}
-        rest, out = list(edges), None
-        while rest:
-            k = next((i for i, e in enumerate(rest) if out is not None and (name[e[0]] in out.columns or name[e[2]] in out.columns)), 0)
-            s, p, o = rest.pop(k)
+        out = None
+        for s, p, o in edges:
             pairs = self.g
             if p == A:
                 pairs = pairs.where(F.col("p") == A)
             elif self.check_predicates:  # the predicate or one below it
                 below = self.up.where(F.col("ancestor") == p).select(F.col("child").alias("p"))
                 pairs = pairs.join(below.unionByName(self.g.sparkSession.range(1).select(F.lit(p).alias("p"))).distinct(), "p", "left_semi")
-            pairs = pairs.select(F.col("s").alias(name[s]), F.col("o").alias(name[o])).distinct()
-            for t in (s, o):
+            pairs = pairs.select(F.col("s").alias(name[s]), F.col("o").alias(name[o])).distinct() if s != o else pairs.where("s = o").select(F.col("s").alias(name[s])).distinct()
+            for t in dict.fromkeys((s, o)):
                 pairs = pairs.join(self.feasible.where(F.col("tnode") == t).select(F.col("node").alias(name[t])), name[t], "left_semi")
-            out = pairs if out is None else out.join(pairs, [c for c in pairs.columns if c in out.columns])
+            if out is None:
+                out = pairs
+                continue
+            shared = [c for c in pairs.columns if c in out.columns]
+            out = out.join(pairs, shared) if shared else out.crossJoin(pairs)
         for a, b in combinations([name[n] for n in nodes], 2):
             out = out.where(F.col(a) != F.col(b))
         return out.select(*[name[n] for n in nodes])
 
+    def _clash(self, edges: list[Edge]) -> frozenset[str]:
+        """Nodes of the first few edges that already have no mapping: no part with all of them has one."""
+        for k in range(1, len(edges)):
+            nodes = sorted({t for s, _, o in edges[:k] for t in (s, o)})
+            if self.mappings(nodes, edges[:k]).isEmpty():
+                return frozenset(nodes)
+        return frozenset(t for s, _, o in edges for t in (s, o))
+
+    def _matching(self) -> Iterator[tuple[list[str], list[Edge], DataFrame]]:
+        """The connected parts with a parameter that have mappings, largest first, down to two nodes.
+
+        A part without mappings is followed only by those that lack one of the nodes that clash in it,
+        so the search is as wide as the template and the graph differ, whatever the template's size.
+        """
+        queue: list[tuple[int, list[str]]] = []
+        seen: set[frozenset[str]] = set()
+        # edges without any mapping are found first, so that no join is made over them
+        ends = [(sorted({s, o}), (s, p, o)) for s, p, o in self.edges]
+        clashes = [frozenset(nodes) for nodes, e in ends if self.mappings(nodes, [e]).isEmpty()]
+
+        def put(nodes: Iterable[str]) -> None:
+            for part in self._connected(nodes):
+                if len(part) > 1 and part not in seen and any(map(is_param, part)):
+                    seen.add(part)
+                    heapq.heappush(queue, (-len(part), sorted(part)))
+
+        put(self.nodes)
+        while queue:
+            nodes = heapq.heappop(queue)[1]
+            without = next((c for c in clashes if c <= set(nodes)), None)
+            if without is None:
+                edges = self._within(nodes)
+                m = cut(self.mappings(nodes, edges))
+                if m.isEmpty():
+                    without = self._clash(edges)
+                    clashes.append(without)
+                else:
+                    yield nodes, edges, m
+            for n in sorted(without or nodes):
+                put(set(nodes) - {n})
+
     def best(self, target: str | None = None) -> tuple[list[str], DataFrame] | None:
         """The largest part of the template that matches (with ``target`` among the mapped nodes, if given), and its mappings."""
-        for nodes, edges in self.parts():
-            m = self.mappings(nodes, edges)
-            if target is not None:
-                m = m.where(F.array_contains(F.array(*m.columns), target))
-            m = cut(m)
+        for nodes, _, m in self._matching():
+            if target is None:
+                return nodes, m
+            m = m.where(F.array_contains(F.array(*m.columns), target))
             if not m.isEmpty():
                 return nodes, m
         return None
 
     def all(self) -> Iterator[tuple[list[str], DataFrame]]:
-        """Every part with its mappings, largest first; sets of graph nodes are listed once a part."""
-        for nodes, edges in self.parts():
-            m = self.mappings(nodes, edges)
+        """Every part that matches with its mappings, largest first; sets of graph nodes are listed once a part."""
+        for nodes, _, m in self._matching():
             yield nodes, m.withColumn("_key", F.array_join(F.array_sort(F.array(*m.columns)), " ")).dropDuplicates(["_key"]).drop("_key")
 
     def remaining(self, nodes: list[str], mapping: dict[str, str]) -> Template | None:
@@ -109,7 +157,7 @@ class Matcher:
         left = self.template.evaluate(terms, require_optional=True)
         return left if isinstance(left, Template) else None
 
-    def unmatched(self, nodes: list[str], edges: list[tuple[str, str, str]], mappings: DataFrame) -> DataFrame:
+    def unmatched(self, nodes: list[str], edges: list[Edge], mappings: DataFrame) -> DataFrame:
         """The graph without the triples that some mapping covers."""
         out = self.g
         for s, p, o in edges:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shapes import Shape, inline, path_text
-from ..terms import A, SH, XSD, datatype, is_blank, is_iri, is_literal, lang, lexical, number, plain, qname, text_of
+from ..plans.template import Dependency, Template
+from ..terms import A, SH, XSD, datatype, is_blank, is_iri, is_literal, lang, lexical, number, param, plain, qname, text_of
 from .algebra import path_pairs
 from .closure import ancestors, cut, instances, stored
 
@@ -297,6 +298,57 @@ def repair(diffs: DataFrame, path_terms: dict[str, str], namespace: str) -> Data
     return links.unionByName(kinds).unionByName(own).distinct()
 
 
+def repair_templates(diffs: DataFrame, path_terms: dict[str, str], lookup: Callable[[str | None, str], Template | None] = lambda library, name: None) -> tuple[dict[str, Template], DataFrame]:
+    """(templates by name, (focus, templates)): what each focus needs to have its differences settled.
+
+    Differences of one kind, path, count and class share a template, so there are at most as many as
+    constraints.  Its parameters are ``focus`` and one for each node to be made; a node that has to
+    conform to a shape depends on the template of the shape's name, if ``lookup`` knows one.  A count
+    of the whole graph has a template without ``focus``, and a null focus.  Alternatives, which leave a
+    choice, and differences on paths that ``path_terms`` does not name are left to the caller.
+    """
+    key = ["kind", "path", "min_count", "classname", "shapename"]
+    found = cut(diffs.where(F.col("kind").isin("PathClassCount", "PathShapeCount", "RequiredPath", "RequiredClass", "GraphClassCardinality")).select("focus", *key).distinct())
+    here, out, names = param("focus"), {}, []
+    # one row for each constraint of the driver's shapes
+    for r in sorted(found.select(*key).distinct().collect(), key=lambda r: [str(x) for x in r]):
+        name, body, needs = f"repair{len(names)}", [], []
+        if r.kind == "RequiredClass":
+            body.append((here, A, r.classname))
+        elif r.kind != "GraphClassCardinality" and r.path not in path_terms:
+            continue
+        else:
+            for k in range(r.min_count or 0):
+                node = f"{name}-{k}"
+                body += [(here, path_terms[r.path], param(node))] if r.path is not None else []
+                body += [(param(node), A, kind) for kind in (r.classname, r.shapename) if kind is not None]
+                if r.shapename is not None and lookup(None, text_of(r.shapename)) is not None:
+                    needs.append(Dependency(text_of(r.shapename), {"name": node}))
+        if body:
+            out[name] = Template(name, tuple(body), frozenset(), tuple(needs), lookup)
+            names.append((name, *r))
+    table = diffs.sparkSession.createDataFrame(names, "template string, _kind string, _path string, _min_count int, _classname string, _shapename string")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    return out, found.join(F.broadcast(table), same).groupBy("focus").agg(F.sort_array(F.collect_set("template")).alias("templates"))
+
+
+def merged(templates: Sequence[Template], name: str = "repair") -> Template:
+    """One template for a focus with several needs: they share ``focus`` and nothing else."""
+    flat = [t.inline() for t in templates]
+    return Template(name, tuple(dict.fromkeys(x for t in flat for x in t.body)), frozenset().union(*(t.optional for t in flat)))
+
+
+def repaired(templates: dict[str, Template], needs: DataFrame, namespace: str) -> DataFrame:
+    """The triples of all that the foci need; nodes to be made get names minted from the focus and the parameter."""
+    rows = needs.select("focus", F.explode("templates").alias("_t"))
+    parts = []
+    for name, t in templates.items():
+        flat = t.inline()
+        b = rows.where(F.col("_t") == name).select("focus")
+        parts.append(flat.graph(flat.fill(b, namespace, F.coalesce("focus", F.lit("Model")))))
+    return reduce(DataFrame.unionByName, parts).distinct() if parts else needs.sparkSession.createDataFrame([], "s string, p string, o string")
+
+
 def severity_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
@@ -169,6 +171,27 @@ class Template:
         """Columns of a table to fill in: what is required, then what is optional."""
         return [*sorted(self.parameters - self.optional), *sorted(self.parameters & self.optional)]
 
+    def csv(self, path: str | None = None) -> str:
+        """The header as one line of CSV, written to ``path`` if given."""
+        text = io.StringIO()
+        csv.writer(text, lineterminator="\n").writerow(self.header())
+        if path is not None:
+            with open(path, "w", newline="") as f:
+                f.write(text.getvalue())
+        return text.getvalue()
+
+    # --- dependencies
+
+    def depending(self, template: str, args: dict[str, str], library: str | None = None) -> Template:
+        """With one more dependency, whose arguments must fit."""
+        out = replace(self, dependencies=(*self.dependencies, Dependency(template, dict(args), library)))
+        out.check()
+        return out
+
+    def not_depending(self, template: str, args: dict[str, str] | None = None) -> Template:
+        """Without the dependencies on a template, or without those with just these arguments."""
+        return replace(self, dependencies=tuple(d for d in self.dependencies if d.template != template or args not in (None, d.args)))
+
 
 # --- templates from specifications
 

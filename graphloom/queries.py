@@ -723,6 +723,195 @@ def term_number_and_date_functions(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.year(date).alias("y"), X.month(date).alias("m"), X.numeric(price, F.floor).alias("whole"), (number(price) > 1000).alias("large"), X.is_numeric(price).alias("is_number"), X.one_of(status, F.lit(literal("F")), F.lit(literal("O"))).alias("known"))
 
 
+@query("SELECT l_orderkey AS k, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS parts, sum(l_partkey)::DOUBLE AS total, avg(l_partkey)::DOUBLE AS mean, min(l_partkey::VARCHAR) AS one, CASE WHEN l_orderkey % 2 = 0 THEN sum(l_linenumber)::DOUBLE END AS some FROM lineitem GROUP BY l_orderkey")
+def term_aggregates(spark, d):
+    """SUM, AVG, SAMPLE and GROUP_CONCAT; a sum over a term that is no number is unbound."""
+    part = literal_col(F.col("l_partkey"), f"{XSD}integer")
+    odd = F.when(F.col("l_orderkey") % 2 == 0, literal_col(F.col("l_linenumber"), f"{XSD}integer")).otherwise(literal_col(F.lit("none")))
+    rows = table(spark, d, "lineitem").select("l_orderkey", part.alias("part"), odd.alias("odd"))
+    one = X.sample(F.col("part"))
+    return rows.groupBy(F.col("l_orderkey").alias("k")).agg(lexical(X.group_concat(F.col("part"), ",")).alias("parts"), X.total(F.col("part")).alias("total"), X.average(F.col("part")).alias("mean"), lexical(one).alias("one"), X.total(F.col("odd")).alias("some"))
+
+
+@query(f"SELECT event_id, minute(ts)::INT AS mi, second(ts)::INT AS se, hour(ts)::INT AS ho, day(ts)::INT AS da, CASE WHEN event_id % 2 = 0 THEN 'Z' ELSE '' END AS zone, '{U}event/' || event_id AS iri, '_:b' AS blank, count(*) OVER (PARTITION BY event_type) AS alike FROM events")
+def term_times_and_nodes(spark, d):
+    """Minutes, seconds, zones; IRIs from texts; blank nodes that rows with one key share."""
+    from pyspark.sql import Window
+
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    t = literal_col(F.when(F.col("event_id") % 2 == 0, F.concat(text, F.lit("Z"))).otherwise(text), f"{XSD}dateTime")
+    b = X.bnode(F.col("event_type"))
+    named = X.to_iri(literal_col(F.concat(F.lit("event/"), F.col("event_id").cast("string"))), U)
+    return table(spark, d, "events").select("event_id", X.minutes(t).alias("mi"), F.floor(X.seconds(t)).cast("int").alias("se"), X.hours(t).alias("ho"), X.day(t).alias("da"), lexical(X.tz(t)).alias("zone"), plain(named).alias("iri"), F.substring(b, 1, 3).alias("blank"), F.count("*").over(Window.partitionBy(b)).alias("alike"))
+
+
+# --- more of shapes, graphs and labels
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, p_size AS s, p_size % 2 = 0 AS even FROM part)
+SELECT '{U}part/' || k AS focus, s::VARCHAR AS value, 'LessThanConstraintComponent' AS component FROM p WHERE even AND s >= 20
+UNION ALL SELECT '{U}part/' || k, s::VARCHAR, 'LessThanOrEqualsConstraintComponent' FROM p WHERE even AND s > 20
+UNION ALL SELECT '{U}part/' || k, s::VARCHAR, 'EqualsConstraintComponent' FROM p WHERE NOT even OR s <> 20
+UNION ALL SELECT '{U}part/' || k, '20', 'EqualsConstraintComponent' FROM p WHERE even AND s <> 20""")
+def property_pairs(spark, d):
+    """lessThan, lessThanOrEquals and equals against a limit of 20 that only parts of even size have."""
+    limit = iri(f"{U}limit")
+    p = table(spark, d, "part").where("p_size % 2 = 0")
+    also = p.select(ref("part", "p_partkey").alias("s"), F.lit(limit).alias("p"), F.lit(literal("20", f"{XSD}integer")).alias("o"))
+    return _report(spark, d, _part(("lessThan", limit), ("lessThanOrEquals", limit), ("equals", limit)), graph.union(parts(spark, d), also))
+
+
+@query(f"""SELECT '{U}part/' || p_partkey AS focus, NULL::VARCHAR AS value, 'UniqueLangConstraintComponent' AS component FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT '{U}part/' || p_partkey, p_brand, 'LanguageInConstraintComponent' FROM part WHERE p_partkey % 3 = 1""")
+def languages(spark, d):
+    """Names in English; every third part has two, and the next one in French only."""
+    third = F.col("p_partkey") % 3
+    said_as = F.when(third == 0, F.array(literal_col(F.col("p_name"), lang="en"), literal_col(F.concat("p_name", F.lit("!")), lang="en"))).when(third == 1, F.array(literal_col(F.col("p_brand"), lang="fr"))).otherwise(F.array(literal_col(F.col("p_name"), lang="en-GB"), literal_col(F.col("p_name"), lang="en")))
+    p = table(spark, d, "part").select(ref("part", "p_partkey").alias("s"), F.explode(said_as).alias("o"))
+    return _report(spark, d, _part(("uniqueLang", True), ("languageIn", (literal("en"),)), path=LABEL), graph.union(parts(spark, d), p.select("s", F.lit(LABEL).alias("p"), "o")))
+
+
+_CLASS_SHAPES = f"""@prefix t: <{U}> . @prefix sh: <http://www.w3.org/ns/shacl#> . @prefix owl: <http://www.w3.org/2002/07/owl#> .
+t:Order a owl:Class, sh:NodeShape ; sh:property [ sh:path t:status ; sh:hasValue "F" ; sh:message "is not done" ; sh:severity sh:Warning ] ;
+  sh:property [ sh:path t:priority ; sh:in ( "1-URGENT" ) ; sh:deactivated false ] .
+t:Off a sh:NodeShape ; sh:targetClass t:Order ; sh:deactivated true ; sh:property [ sh:path t:nothing ; sh:minCount 1 ] .
+"""
+
+
+@query(f"""SELECT '{U}order/' || o_orderkey AS focus, 'Warning' AS severity, 'is not done' AS message FROM orders WHERE o_orderstatus <> 'F'
+UNION ALL SELECT '{U}order/' || o_orderkey, 'Violation', NULL FROM orders WHERE o_orderpriority <> '1-URGENT'""")
+def implicit_class_target(spark, d):
+    """A class that is a node shape too; messages and severities; a shape that is switched off."""
+    shapes = ShapeGraph(turtle.read(_CLASS_SHAPES)).shapes()
+    return validate.Validator(orders(spark, d)).report(shapes).select(plain(F.col("focus")).alias("focus"), "severity", "message")
+
+
+@query(f"SELECT '{U}order/' || o_orderkey AS entity, CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END AS n FROM orders WHERE o_orderstatus <> 'F' OR o_orderpriority <> '1-URGENT'")
+def diff_by_severity(spark, d):
+    """Entities with their number of warnings; those with violations only stay, with none."""
+    count = lambda name, path, severity: Shape(iri(f"{U}{name}"), path=path, constraints=(("minCount", 1),), severity=severity)
+    s = Shape(iri(f"{U}Both"), targets=(("class", ORDER),), constraints=(("property", count("Done", iri(f"{U}done"), "Warning")), ("property", count("Fast", iri(f"{U}fast"), "Violation"))))
+    o = table(spark, d, "orders")
+    has = lambda p, rows: rows.select(ref("order", "o_orderkey").alias("s"), F.lit(iri(f"{U}{p}")).alias("p"), F.lit(literal("yes")).alias("o"))
+    g = graph.union(orders(spark, d), has("done", o.where("o_orderstatus = 'F'")), has("fast", o.where("o_orderpriority = '1-URGENT'")))
+    diffs = validate.diff(validate.Validator(g, PREFIXES).report([s]), [s], PREFIXES)
+    return validate.reasons_by_severity(diffs, "Warning").select(plain(F.col("entity")).alias("entity"), F.size("reasons").alias("n"))
+
+
+@query(f"""WITH broken AS (SELECT '{U}order/' || o_orderkey AS f FROM {_QN} WHERE n < 2),
+made AS (SELECT f, '{U}repair0-' || k || '_' || left(md5('<' || f || '>' || chr(31) || 'repair0-' || k), 8) AS x, '{U}repair0-' || k || '-maker_' || left(md5('<' || f || '>' || chr(31) || 'repair0-' || k || '-maker'), 8) AS y FROM broken, (VALUES (0), (1)) v(k))
+SELECT f AS s, '{U}containsPart' AS p, x AS o FROM made UNION SELECT x, '{_RDF}type', '{U}PromoShape' FROM made
+UNION SELECT x, '{_RDF}type', '{U}PROMO' FROM made UNION SELECT x, '{U}madeBy', y FROM made""")
+def repair_builds_shapes(spark, d):
+    """Orders with fewer than two conforming parts get new ones, each built by the template of the shape."""
+    node = Shape(iri(f"{U}PromoShape"), constraints=(("class", PROMO),))
+    shapes = [_order(("qualified", (Shape(iri(f"{U}PromoValue"), constraints=(("node", node),)), 2, None)))]
+    report = validate.Validator(graph.union(_orders_and_lines(spark, d), parts(spark, d)), PREFIXES).report(shapes)
+    promo = Template(f"{U}PromoShape", ((param("name"), A, PROMO), (param("name"), iri(f"{U}madeBy"), param("maker"))))
+    templates, needs = validate.repair_templates(validate.diff(report, shapes, PREFIXES), {"t:containsPart": CONTAINS}, lambda _, n: promo if n == promo.name else None)
+    return said(validate.repaired(templates, needs, U))
+
+
+@query(f"""SELECT '{U}order/' || o_orderkey AS s, '{U}by' AS p, '_:x' || 'c' || o_custkey AS o FROM orders UNION SELECT '_:xc' || o_custkey, '{U}key', o_custkey::VARCHAR FROM orders""")
+def graph_copy(spark, d):
+    return said(graph.rename_blank_nodes(_buyers(spark, d), "x"))
+
+
+def _buyers(spark, d):
+    """Orders by customers that are blank nodes."""
+    o = table(spark, d, "orders")
+    node = F.concat(F.lit("_:c"), F.col("o_custkey").cast("string"))
+    by = o.select(ref("order", "o_orderkey").alias("s"), F.lit(iri(f"{U}by")).alias("p"), node.alias("o"))
+    return graph.union(by, o.select(node.alias("s"), F.lit(iri(f"{U}key")).alias("p"), literal_col(F.col("o_custkey")).alias("o")))
+
+
+@query(f"""SELECT '{U}order/' || o_orderkey AS s, '{U}by' AS p, '_:c' || o_custkey AS o FROM orders WHERE o_orderpriority = '1-URGENT'
+UNION SELECT '_:c' || o_custkey, '{U}key', o_custkey::VARCHAR FROM orders WHERE o_orderpriority = '1-URGENT'""")
+def graph_description(spark, d):
+    """Urgent orders with the blank nodes that they lead to."""
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(ref("order", "o_orderkey").alias("node"))
+    return said(graph.describe(_buyers(spark, d), urgent))
+
+
+@query(f"""SELECT '{U}order/' || o_orderkey AS s, '{U}by' AS p, 'urn:well-known/' || left(sha256('_:c' || o_custkey), 16) AS o FROM orders
+UNION SELECT 'urn:well-known/' || left(sha256('_:c' || o_custkey), 16), '{U}key', o_custkey::VARCHAR FROM orders""")
+def graph_skolemize(spark, d):
+    return said(graph.skolemize(_buyers(spark, d), (iri(f"{U}by"),)))
+
+
+@query("SELECT p_partkey, p_partkey % 2 = 1 AS skip FROM part")
+def skip_terms(spark, d):
+    p = table(spark, d, "part")
+    name = F.when(F.col("p_partkey") % 4 == 1, F.lit(XSD)).when(F.col("p_partkey") % 4 == 3, F.lit("http://www.w3.org/ns/shacl#")).otherwise(F.lit(U))
+    return p.select("p_partkey", graph.skip_uri(iri_col(F.concat(name, "p_name"))).alias("skip"))
+
+
+@query(f"""WITH RECURSIVE {_STAR} SELECT '{U}customer/' || c_custkey AS shape, c_name AS label FROM customer WHERE '{U}nation/' || c_nationkey IN (SELECT child FROM star WHERE ancestor = '{U}region/1')""")
+def shapes_of_domain(spark, d):
+    """Customers stand for shapes, nations and regions for domains of which one includes the next."""
+    c = table(spark, d, "customer")
+    named = c.select(ref("customer", "c_custkey").alias("s"), F.lit(LABEL).alias("p"), literal_col(F.col("c_name")).alias("o"))
+    return said(extract.shapes_of_domain(graph.union(customers(spark, d), named, places(spark, d)), iri(f"{U}region/1"), IN_NATION, SUBCLASS).select("shape")).join(named.select(plain(F.col("s")).alias("shape"), lexical(F.col("o")).alias("label")), "shape")
+
+
+@query(f"""SELECT p_brand AS library, kind, '{U}part/' || p_partkey AS shape, p_name AS label FROM part JOIN (VALUES ('{U}Part'), ('{U}PROMO')) v(kind) ON kind = '{U}Part' OR p_type = 'PROMO'""")
+def shapes_listing(spark, d):
+    """Parts stand for shapes, brands for libraries."""
+    p = table(spark, d, "part")
+    node = ref("part", "p_partkey")
+    typed = p.select(F.col("p_brand").alias("library"), node.alias("s"), F.lit(A).alias("p"), iri_col(F.concat(F.lit(U), "p_type")).alias("o"))
+    named = p.select(F.col("p_brand").alias("library"), node.alias("s"), F.lit(LABEL).alias("p"), literal_col(F.col("p_name")).alias("o"))
+    above = p.select("p_brand", iri_col(F.concat(F.lit(U), "p_type")).alias("s"), F.lit(SUBCLASS).alias("p"), F.lit(PART).alias("o"))
+    g = typed.unionByName(named).unionByName(above.withColumnRenamed("p_brand", "library"))
+    return extract.listing(g, [PART, PROMO], "library").select("library", plain(F.col("kind")).alias("kind"), plain(F.col("shape")).alias("shape"), "label")
+
+
+@query(f"""SELECT label, CASE WHEN length(label) >= 8 THEN 'Constant,Identifier,Identifier,Constant,Identifier' ELSE 'Identifier,Identifier' END AS kinds, CASE WHEN length(label) >= 8 THEN substr(label, 1, 8) END AS head,
+length(label) >= 8 AS success FROM (SELECT DISTINCT CASE WHEN c_custkey % 7 = 0 THEN left(c_name, 5) ELSE c_name END AS label FROM customer)""")
+def label_constants(spark, d):
+    """substring_n, constant, extend_if_match and as_identifier together."""
+    short = F.when(F.col("c_custkey") % 7 == 0, F.left("c_name", F.lit(5))).otherwise(F.col("c_name"))
+    eight = L.as_identifier(L.sequence(L.constant(L.constant_kind(f"{U}Customer")), L.substring_n(8, L.IDENTIFIER)))
+    p = L.sequence(L.choice(L.extend_if_match(eight, L.constant_kind(f"{U}Long")), L.constant(L.IDENTIFIER)), L.maybe(L.rest(L.IDENTIFIER)))
+    t = L.parse(table(spark, d, "customer").select(short.alias("label")).distinct(), p)
+    told = F.filter("tokens", lambda x: x["length"].isNotNull())
+    return t.select("label", F.array_join(F.transform(told, lambda x: x["kind"]), ",").alias("kinds"), F.get(F.filter(told, lambda x: x["length"] == 8), F.lit(0))["value"].alias("head"), (F.size(told) > 2).alias("success"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 8 ELSE 0 END AS at FROM customer WHERE c_custkey % 3 <> 2")
+def label_error_offsets(spark, d):
+    """Labels that fail at the second part, at the first, or not at all."""
+    third = F.col("c_custkey") % 3
+    label = F.when(third == 0, F.lit("Customer!7")).when(third == 1, F.lit("Client#7")).otherwise(F.col("c_name"))
+    t = L.parse(table(spark, d, "customer").select("c_custkey", label.alias("label")), _name_parser())
+    return t.select("c_custkey", F.explode(L.error_offsets(F.col("tokens"))).alias("at"))
+
+
+@query(f"""SELECT '{U}order/' || o_orderkey AS s, '{U}placedBy' AS p, '{U}customer/' || o_custkey AS o FROM orders WHERE o_orderstatus <> 'F'
+UNION ALL SELECT '{U}order/' || o_orderkey, '{U}status', o_orderstatus FROM orders WHERE o_orderstatus <> 'F'""")
+def match_remaining_graph(spark, d):
+    """What is left of the orders' links once those of finished orders are matched."""
+    g = orders(spark, d).where(F.col("p").isin(PLACED_BY, STATUS))
+    t = Template("finished", ((param("name"), STATUS, literal("F")), (param("name"), PLACED_BY, param("who"))))
+    m = match.Matcher(t, g, places(spark, d), check_predicates=True)
+    nodes, rows = m.best()
+    return said(m.unmatched(nodes, m.edges, rows))
+
+
+@query(f"SELECT '{U}part/' || p_partkey AS name, p_brand AS brand FROM part WHERE p_type = 'PROMO'")
+def match_sub_properties(spark, d):
+    """A template's predicate matches one below it; the template has more nodes than any match."""
+    said_with, label = iri(f"{U}mark"), iri(f"{U}label")
+    up = parts(spark, d).where(F.col("p") == SUBCLASS).unionByName(spark.range(1).select(F.lit(BRAND).alias("s"), F.lit("<http://www.w3.org/2000/01/rdf-schema#subPropertyOf>").alias("p"), F.lit(said_with).alias("o")))
+    more = tuple((param(f"x{k}"), label, param(f"x{k + 1}")) for k in range(12))
+    t = Template("marked", ((param("name"), A, PROMO), (param("name"), said_with, literal("Brand#0")), (param("name"), iri(f"{U}never"), param("x0")), *more))
+    g = parts(spark, d).where(F.col("p").isin(A, BRAND)).withColumn("o", F.when(F.col("p") == BRAND, F.lit(literal("Brand#0"))).otherwise(F.col("o"))).where((F.col("p") == BRAND) | (F.col("o") == PROMO))
+    m = match.Matcher(t, g, up, check_predicates=True)
+    nodes, rows = m.best()
+    name = F.col(f"n{m.nodes.index(param('name'))}")
+    return rows.select(name.alias("s")).join(parts(spark, d).where(F.col("p") == BRAND), "s").select(plain(F.col("s")).alias("name"), lexical(F.col("o")).alias("brand"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Which orders have no line item, and why that is wrong."""
     return diff_reasons(spark, d)

@@ -223,3 +223,62 @@ def test_delimiters_take_a_blank(spark):
     d = spark.createDataFrame([("Lamp 7",), ("Lamp-7",), ("Lamp7",), ("Lamp#7",)], "label string")
     p = L.named({"Lamp": f"{E}Lamp"})
     assert [r.success for r in L.parse(d, p).collect()] == [True, True, True, False]
+
+
+def test_large_templates_match_in_part(spark):
+    """A case with 14 shelves, three of which are there; no limit on the template's size."""
+    t = Template("case", (*((param("name"), f"<{E}shelf{k}>", param(f"s{k}")) for k in range(14)), (param("s3"), A, f"<{E}Broken>")))
+    g = frame(spark, "e:c e:shelf3 e:x ; e:shelf7 e:y ; e:shelf9 e:z .")
+    m = match.Matcher(t, g, g, check_predicates=True)
+    nodes, rows = m.best()
+    assert nodes == [param(n) for n in ("name", "s3", "s7", "s9")] and rows.count() == 1
+    assert m.remaining(nodes, rows.first().asDict()).parameters == {f"s{k}" for k in range(14) if k not in (3, 7, 9)}
+    assert [len(nodes) for nodes, _ in m.all()] == [4, 3, 3, 3, 2, 2, 2]
+    # two edges that clash only together: no node stands for both ends
+    pair = Template("pair", ((param("a"), f"<{E}shelf3>", param("b")), (param("a"), f"<{E}shelf7>", param("b"))))
+    assert match.Matcher(pair, g, g, check_predicates=True).best() is None
+    one = match.Matcher(Template("two", ((param("a"), f"<{E}above>", param("a")),)), g, g)
+    assert one.best() is None  # a part has two nodes at least
+
+
+def test_repairs_as_templates(spark):
+    text = """e:k1 a e:Kitchen . e:k2 a e:Kitchen ; e:has e:o . e:o a e:Oven .
+e:S a sh:NodeShape ; sh:targetClass e:Kitchen ; sh:class e:Room ;
+  sh:property [ sh:path e:has ; sh:qualifiedValueShape [ sh:class e:Oven ] ; sh:qualifiedMinCount 1 ] ;
+  sh:property [ sh:path e:door ; sh:qualifiedValueShape [ sh:node e:DoorShape ] ; sh:qualifiedMinCount 2 ] .
+e:DoorShape sh:class e:Door ; sh:property [ sh:path e:lock ; sh:minCount 1 ] ."""
+    _, diff = run(spark, text)
+    door = Template(f"{E}DoorShape", ((param("name"), A, f"<{E}Door>"), (param("name"), f"<{E}lock>", param("lock"))))
+    paths = {"e:has": f"<{E}has>", "e:door": f"<{E}door>"}
+    made, needs = validate.repair_templates(diff, paths, lambda _, name: door if name == door.name else None)
+    by = {r.focus: [made[t] for t in r.templates] for r in needs.collect()}
+    assert set(by) == {f"<{E}k1>", f"<{E}k2>"} and [len(by[f"<{E}k{k}>"]) for k in (1, 2)] == [3, 2]
+    whole = validate.merged(by[f"<{E}k1>"])
+    assert len(whole.parameters) == 1 + 1 + 2 * 2  # the focus, an oven, two doors with locks
+    fixed = frame(spark, text).unionByName(validate.repaired(made, needs, E))
+    assert validate.conforms(validate.Validator(fixed, PREFIXES).report(ShapeGraph(turtle.read(HEAD + text)).shapes()))
+    none, foci = validate.repair_templates(diff, {}, lambda _, name: None)
+    assert len(none) == 1 and {t for r in foci.collect() for t in r.templates} == set(none)  # the class alone
+    assert validate.repaired({}, foci.limit(0), E).count() == 0
+
+
+def test_terms_made_and_added_up(spark):
+    rows = [("a", '"1"^^<http://www.w3.org/2001/XMLSchema#integer>'), ("a", '"2.5"^^<http://www.w3.org/2001/XMLSchema#decimal>'), ("b", '"x"'), ("b", None), ("c", None)]
+    t = F.col("t")
+    got = {r.k: tuple(r)[1:] for r in spark.createDataFrame(rows, "k string, t string").groupBy("k").agg(X.total(t), X.average(t), X.sample(t), X.group_concat(t, "|")).collect()}
+    assert got == {"a": (3.5, 1.75, rows[0][1], '"1|2.5"'), "b": (None, None, '"x"', '"x"'), "c": (0.0, 0.0, None, '""')}
+    df = spark.createDataFrame([("<urn:a>", '"2024-02-29T23:58:07.5+02:00"'), ('"b c"', '"2024-02-29T23:58:07Z"'), ('"d"', '"soon"')], "a string, t string")
+    got = [tuple(r) for r in df.select(X.to_iri(F.col("a"), E), X.minutes(t), X.seconds(t).cast("double"), X.tz(t)).collect()]
+    assert got == [("<urn:a>", 58, 7.5, '"+02:00"'), (None, 58, 7.0, '"Z"'), (f"<{E}d>", None, None, None)]
+    assert df.select(X.bnode(F.lit(1)).alias("b")).distinct().count() == 1 and df.select(X.bnode(F.col("a")).alias("b")).distinct().count() == 3
+    assert df.select(X.tz(X.now()).alias("z")).first().z == '"Z"'
+
+
+def test_shapes_by_domain(spark):
+    g = frame(spark, 'e:light e:covers e:power . e:power e:covers e:light, e:wire . e:s1 e:of e:light ; rdfs:label "one" . e:s2 e:of e:power . e:s3 e:of e:wire . e:s1 a e:Kind .')
+    from graphloom.operators import extract
+
+    of = lambda d: {tuple(r) for r in extract.shapes_of_domain(g, f"<{E}{d}>", f"<{E}of>", f"<{E}covers>").collect()}
+    assert of("wire") == {(f"<{E}s1>", "one"), (f"<{E}s2>", None), (f"<{E}s3>", None)} and of("power") == {(f"<{E}s1>", "one"), (f"<{E}s2>", None)}
+    assert of("none") == set()
+    assert [tuple(r) for r in extract.listing(g, [f"<{E}Kind>"]).collect()] == [(f"<{E}Kind>", f"<{E}s1>", "one")]

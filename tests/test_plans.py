@@ -304,3 +304,39 @@ def test_stream(spark, tmp_path):
         stream_to_graph(stream, t("loan", "reader"), E, str(tmp_path / "store"), "live", str(tmp_path / "ck")).awaitTermination(60)
         (tmp_path / "in/2.json").write_text('{"name": "a", "reader": "x"}\n{"name": "c", "reader": "z"}\n')
     assert ntriples.load(spark, str(tmp_path / "store"), "live").count() == 6
+
+
+def test_catalog_is_kept(spark, tmp_path):
+    path = str(tmp_path / "store")
+    with pytest.raises(NotFound):
+        Engine.open(spark, path)
+    engine = Engine(spark, path)
+    m = engine.create_model("urn:shop", "a shop")
+    m.manifest = [(iri(E + "a"), A, iri(E + "B"))]
+    engine.create_library("lib").shapes = [(iri(E + "s"), A, iri(E + "B"))]
+    prefixes = {"e": E, "P": "urn:___param___#"}
+    engine.add_template("lib", "till", {"body": "P:name a e:Till ; e:by P:clerk .", "optional": ["clerk"]}, prefixes, E)
+    engine.add_template("lib", "shop", {"body": "P:name e:has P:till .", "dependencies": [{"template": "till", "args": {"name": "till"}}]}, prefixes, E)
+    assert engine.save() == 1
+    engine.delete_library("lib")
+    assert engine.save() == 2
+    again = Engine.open(spark, path, version=1)
+    assert again.models == engine.models and again.library("lib").shapes == [(iri(E + "s"), A, iri(E + "B"))]
+    assert again.template("lib", "shop").inline().header() == ["name", "till", "till-clerk"]
+    assert again.graph(again.model("urn:shop")).count() == 2
+    assert Engine.open(spark, path).libraries == {} and list(Engine.open(spark, path).models) == ["urn:shop"]
+    with pytest.raises(NotFound):
+        Engine.open(spark, path, version=3)
+
+
+def test_header_and_dependencies(tmp_path):
+    known = {}
+    shelf = known["shelf"] = Template("shelf", ((param("name"), A, param("kind")),))
+    book = Template("book", ((param("name"), f"<{E}on>", param("where")), (param("name"), f"<{E}title>", param("a,b"))), frozenset({"a,b"}), (), lambda _, n: known.get(n))
+    assert book.csv(str(tmp_path / "h.csv")) == 'name,where,"a,b"\n' == (tmp_path / "h.csv").read_text()
+    more = book.depending("shelf", {"name": "where"})
+    assert more.inline().parameters == {"name", "where", "a,b", "where-kind"} and more.not_depending("shelf").dependencies == ()
+    assert more.not_depending("shelf", {"name": "other"}) == more and shelf.csv() == "kind,name\n"
+    for args in ({}, {"name": "nowhere"}, {"name": "where", "none": "where"}):
+        with pytest.raises(ValueError):
+            book.depending("shelf", args)
