@@ -227,7 +227,7 @@ def test_delimiters_take_a_blank(spark):
 
 def test_large_templates_match_in_part(spark):
     """A case with 14 shelves, three of which are there; no limit on the template's size."""
-    t = Template("case", (*((param("name"), f"<{E}shelf{k}>", param(f"s{k}")) for k in range(14)), (param("s3"), A, f"<{E}Broken>")))
+    t = Template("case", tuple((param("name"), f"<{E}shelf{k}>", param(f"s{k}")) for k in range(14)))
     g = frame(spark, "e:c e:shelf3 e:x ; e:shelf7 e:y ; e:shelf9 e:z .")
     m = match.Matcher(t, g, g, check_predicates=True)
     nodes, rows = m.best()
