@@ -23,6 +23,7 @@ def tables(spark, folder):
     docs[2] = (2, docs[2][1] + " mail me@example.org now", "en", "s2", 0)
     docs[5] = (5, docs[1][1] + " end", "en", None, 0)  # a near copy of 1
     docs += [(200, docs[7][1], "en", "s1", 0), docs[9], (None, docs[10][1] + " null id", "en", "s1", 0), (201, None, "en", "s1", None)]
+    docs.append(docs[-2])  # the row without an id stands twice
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(0, " ".join(passage)), (1, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")

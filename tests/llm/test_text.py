@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -261,6 +262,38 @@ def test_quality_learns_and_covers_whole_texts(spark):
     assert seen[0, 0] == 0 and sum((c < 256).sum() for c in seen) >= len(data) and quality.Network.chunks(data[:0]).shape == (1, quality.CHUNK)
 
 
+def test_quality_network_against_loops():
+    """The logit of texts of several stretches, of one chunk, and of none, recomputed filter by filter."""
+    rng = np.random.default_rng(1)
+    net = quality.Network()
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    few = quality.STRETCH
+    try:
+        quality.STRETCH = 3  # so that a short text has several stretches
+        for size in (0, 5, quality.CHUNK, quality.CHUNK + 1, 9 * quality.STEP):
+            data = rng.integers(0, 256, size).astype(np.uint8)
+            outs, at = [], 0
+            while True:
+                chunk = [int(x) for x in data[at : at + quality.CHUNK]]
+                chunk += [256] * (quality.CHUNK - len(chunk))
+                best = [max(float(p["embed"][chunk[i : i + quality.WIDTH]].reshape(-1) @ p["filters"][:, f]) for i in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE)) + p["shift"][f] for f in range(quality.FILTERS)]
+                outs.append(float(np.tanh(np.maximum(best, 0) @ p["w1"] + p["b1"]) @ p["w2"] + p["b2"][0]))
+                if at + quality.CHUNK >= size:
+                    break
+                at += quality.STEP
+            assert abs(net.logit(data) - np.mean(outs)) < 1e-4
+    finally:
+        quality.STRETCH = few
+
+
+def test_quality_never_learns_held_out_rows(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)] + [(None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(None, 1)], "doc_id long, quality int")
+    out = {i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2}
+    learned = [int(t.decode().split()[1]) for t, _ in quality.training_rows(docs, labels, "doc_id", "text", 1000, 1 << 20)]
+    assert 20 < len(out) < 80 and sorted(learned) == sorted(set(range(200)) - out)
+
+
 def test_quality_gradient():
     rng = np.random.default_rng(1)
     net = quality.Network()
