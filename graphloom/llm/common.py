@@ -46,6 +46,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows up to which a table is broadcast, by its count; of a larger one each key is dealt over SALTS tasks.
+SMALL, SALTS = 300_000, 32
+
+
+def lookup(rows: DataFrame, known: DataFrame, key: str, spread: str) -> DataFrame:
+    """``rows`` with the other columns of ``known``, which has a key once, where it has the row's (a null key, too).
+
+    A key that many rows share is not one task's: ``known`` is broadcast if its count allows, and
+    else the rows of a key are dealt by a hash of the column ``spread``.
+    """
+    small = known.count() <= SMALL
+    renamed = known.withColumnRenamed(key, "_key")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    if small:
+        return rows.join(F.broadcast(renamed), same, "left").drop("_key")
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    renamed = renamed.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(renamed, same & (F.col("_s") == F.col("_t")), "left").drop("_key", "_s", "_t")
+
+
+def delete(df: DataFrame, path: str) -> None:
+    """Remove a folder that is no longer read, wherever it lies."""
+    jvm = df.sparkSession._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def others(docs: DataFrame, text_col: str) -> Column:
     """All columns but the text, in one struct, so that names never clash and the text travels once."""
     kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
