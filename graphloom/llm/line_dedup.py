@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SMALL, cut, lookup, others
+from .common import cut, lookup, others
 from .textbytes import U64
 
 #: Code points from which a key counts, and documents in which it has to stand.
@@ -191,7 +191,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     repeated = cut(repeated_lines(suspects, least_docs))
     hits = lookup(suspects, repeated, "key", "id").where("keeper is not null")
     drops = cut(hits.where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy(F.col("id").alias("_id")).agg(F.collect_list("key").alias("_drop")))
-    size = drops.agg(F.sum(F.size("_drop") + 1).cast("bigint")).first()[0] or 0
-    whole = base.join(F.broadcast(drops) if size <= SMALL else drops, F.col("id").eqNullSafe(F.col("_id")), "left").select("row", "_text", "_drop")
+    whole = base.join(drops, F.col("id").eqNullSafe(F.col("_id")), "left").select("row", "_text", "_drop")
     out = T.StructType([*whole.select("row").schema, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.BinaryType())])
     return whole.mapInArrow(_rewrite(least_chars), out)
