@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..terms import A, SUBCLASS
 
 
-def _shared_folder(df: DataFrame) -> str:
+def shared_folder(df: DataFrame) -> str:
     """The folder named by spark.checkpoint.dir, made the checkpoint folder (a temporary one in local tests)."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -27,13 +27,13 @@ def _shared_folder(df: DataFrame) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder."""
-    _shared_folder(df)
+    shared_folder(df)
     return df.checkpoint()
 
 
 def stored(g: DataFrame) -> DataFrame:
     """A graph as a table in the shared folder, by predicate, so that each later scan reads the predicates that it asks for only."""
-    path = f"{_shared_folder(g)}/graph-{uuid.uuid4().hex}"
+    path = f"{shared_folder(g)}/graph-{uuid.uuid4().hex}"
     g.select("s", "p", "o").sortWithinPartitions("p", "s").write.parquet(path)
     return g.sparkSession.read.schema("s string, p string, o string").parquet(path)
 
@@ -41,13 +41,36 @@ def stored(g: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(s, o) pairs joined by one or more edges (s, o); ``start`` (column s) limits where walks begin.
 
-    Each round extends only the pairs that are new, so cycles end and no pair is found twice.
+    From a start, each round extends only the pairs that are new, one edge further.  From everywhere, a
+    round doubles the length of the walks: a shortest walk of more than n and at most 2n edges is
+    one of exactly n and one of at most n, so only those of exactly n are extended, by all that are known.
+    Rounds are then the logarithm of the longest shortest walk.  Cycles end, no pair is kept twice.
     What a round finds is written once; only every eighth round are the parts put together.
-    The number of rounds is the longest shortest walk.
     """
     edges = edges.select("s", "o").distinct()
-    first = edges if start is None else edges.join(start.select("s").distinct(), "s", "left_semi")
-    known = new = cut(first)
+    return _doubled(edges) if start is None else _stepwise(edges, start)
+
+
+def _doubled(edges: DataFrame) -> DataFrame:
+    known = longest = cut(edges.withColumn("n", F.lit(1).cast("bigint")))
+    reached = 1
+    if known.isEmpty():
+        return known.select("s", "o")
+    while True:
+        more = known.select(F.col("s").alias("_m"), F.col("o").alias("_o"), F.col("n").alias("_n"))
+        far = longest.join(more, F.col("o") == F.col("_m")).groupBy("s", F.col("_o").alias("o")).agg(F.min(F.col("n") + F.col("_n")).alias("n"))
+        new = cut(far.join(known, ["s", "o"], "left_anti"))
+        reached *= 2
+        longest = new.where(F.col("n") == reached)
+        if new.isEmpty():
+            return known.select("s", "o")
+        known = known.unionByName(new)
+        if longest.isEmpty():
+            return known.select("s", "o")
+
+
+def _stepwise(edges: DataFrame, start: DataFrame) -> DataFrame:
+    known = new = cut(edges.join(start.select("s").distinct(), "s", "left_semi"))
     step = edges.select(F.col("s").alias("_m"), F.col("o").alias("_o"))
     parts = 1
     while True:

@@ -1,52 +1,82 @@
-"""Partial matching of templates against graphs, as self-joins over feasible nodes."""
+"""Partial matching of templates against graphs, as joins over what lies under each template edge."""
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
-from itertools import combinations
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.template import Template
 from ..terms import A, OWL, SUBPROPERTY, is_param, param_name
-from .closure import ancestors, cut, stored
+from .closure import ancestors, cut
 from .graph import difference
 
 Edge = tuple[str, str, str]
+#: Rows up to which a table of the ontology's size is broadcast, by its count.
+SMALL = 300_000
 
 
 class Matcher:
-    """Maps template nodes to graph nodes, one to one, so that template edges lie on graph edges."""
+    """Maps template nodes to graph nodes, one to one, so that template edges lie on graph edges.
+
+    One scan finds what may lie under each template edge, and these relations are counted.  Partial matches
+    grow edge by edge, the smallest relation first; each is written once, and every part of
+    the template that begins with the same edges goes on from it.
+    """
 
     def __init__(self, template: Template, g: DataFrame, ontology: DataFrame, check_predicates: bool = False):
         self.template, self.g, self.check_predicates = template, g, check_predicates
         self.edges = sorted({(s, p, o) for s, p, o in template.body})
         self.nodes = sorted({t for s, _, o in self.edges for t in (s, o)})
-        self.g = g = stored(g)
         # classes and properties alike: a term may stand for what is above or below it
         self.up = cut(ancestors(ontology).unionByName(ancestors(ontology, SUBPROPERTY)))
-        self.feasible = cut(self._feasible())
+        self.lying = cut(self._lying())
+        self.counts = {e: 0 for e in self.edges} | {self.edges[r.edge]: r.n for r in self.lying.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).collect()}
+        self.grown: dict[tuple[Edge, ...], tuple[DataFrame, bool]] = {}
 
-    def _feasible(self) -> DataFrame:
+    def _lying(self) -> DataFrame:
+        """(edge, s, p, o): the graph's triples on which a template edge may lie, by the edge's place."""
+        spark = self.g.sparkSession
+        table = lambda rows, schema: spark.createDataFrame(rows, schema)  # noqa: E731  of as many rows as the template has edges or nodes
+        checked = [(k, p) for k, (_, p, _) in enumerate(self.edges) if p == A or self.check_predicates]
+        free = [(k,) for k, (_, p, _) in enumerate(self.edges) if p != A and not self.check_predicates]
+        wanted = table(checked, "edge int, _p string")
+        # the predicate or one below it: as many rows as the ontology has properties below the template's
+        below = wanted.unionByName(wanted.join(self.up, F.col("_p") == F.col("ancestor")).where(F.col("_p") != A).select("edge", F.col("child").alias("_p"))).distinct()
+        triples = self.g.select("s", "p", "o").distinct()
+        raw = triples.join(F.broadcast(below) if below.count() <= SMALL else below, F.col("p") == F.col("_p")).select("edge", "s", "p", "o")
+        if free:
+            raw = raw.unionByName(triples.select(F.explode(F.array(*[F.lit(k) for (k,) in free])).alias("edge"), "s", "p", "o"))
+        loops = [k for k, (s, _, o) in enumerate(self.edges) if s == o]
+        raw = raw.where(~F.col("edge").isin(loops) | (F.col("s") == F.col("o"))) if loops else raw
+        ends = table([(k, s, o) for k, (s, _, o) in enumerate(self.edges)], "edge int, ts string, to string")
+        raw = cut(raw.join(F.broadcast(ends), "edge"))
+        feasible = cut(self._feasible(raw))
+        for end, at in (("ts", "s"), ("to", "o")):
+            raw = raw.join(feasible.select(F.col("tnode").alias(end), F.col("node").alias(at)), [end, at], "left_semi")
+        return raw.select("edge", "s", "p", "o")
+
+    def _feasible(self, raw: DataFrame) -> DataFrame:
         """(tnode, node) that may map: the same term, a class and its super- or sub-class, or types so related."""
         spark = self.g.sparkSession
         types = [(s, o) for s, p, o in self.edges if p == A]
-        untyped = [(n, f"<{OWL}NamedIndividual>") for n in self.nodes if n not in {s for s, _ in types} and not n.startswith('"')]
-        wanted = spark.createDataFrame([*types, *untyped] or [("", "")], "tnode string, ttype string")
-        constants = spark.createDataFrame([(n,) for n in self.nodes if not is_param(n)] or [("",)], "tnode string")
-        ends = self.g.select(F.explode(F.array("s", "o")).alias("node")).distinct()
-        kinds = self.g.where(F.col("p") == A).select(F.col("s").alias("node"), F.col("o").alias("type"))
-        plain = ends.join(kinds, "node", "left_anti").where(~F.col("node").startswith('"')).select("node", F.lit(f"<{OWL}NamedIndividual>").alias("type"))
+        untyped = [n for n in self.nodes if n not in {s for s, _ in types} and not n.startswith('"')]
+        individual = f"<{OWL}NamedIndividual>"
+        wanted = spark.createDataFrame([*types, *((n, individual) for n in untyped)], "tnode string, ttype string")
+        constants = spark.createDataFrame([(n, n) for n in self.nodes if not is_param(n)], "tnode string, node string")
         related = self.up.select(F.col("child").alias("x"), F.col("ancestor").alias("y"))
         related = related.unionByName(related.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-        typed = wanted.select("tnode", "ttype").join(related, F.col("ttype") == F.col("x"), "left")
-        may = typed.select("tnode", F.coalesce("y", "ttype").alias("type")).unionByName(wanted.select("tnode", F.col("ttype").alias("type"))).distinct()
-        by_type = may.join(kinds.unionByName(plain), "type").select("tnode", "node")
-        same = constants.join(ends, F.col("tnode") == F.col("node")).select("tnode", "node")
-        classes = constants.join(related, F.col("tnode") == F.col("x")).join(ends, F.col("y") == F.col("node")).select("tnode", "node")
-        return by_type.unionByName(same).unionByName(classes).distinct()
+        may = wanted.join(related, F.col("ttype") == F.col("x")).select("tnode", F.col("y").alias("type")).unionByName(wanted.select("tnode", F.col("ttype").alias("type"))).distinct()
+        kinds = self.g.where(F.col("p") == A).select(F.col("s").alias("node"), F.col("o").alias("type"))
+        parts = [constants, constants.join(related, F.col("node") == F.col("x")).select("tnode", F.col("y").alias("node")), may.join(kinds, "type").select("tnode", "node")]
+        if untyped:  # nodes without a type, of those that lie under an edge there
+            at = [raw.select(F.col(t).alias("tnode"), F.col(c).alias("node")) for t, c in (("ts", "s"), ("to", "o"))]
+            near = at[0].unionByName(at[1]).where(F.col("tnode").isin(*untyped) & ~F.col("node").startswith('"')).distinct()
+            parts.append(near.join(kinds, "node", "left_anti").select("tnode", "node"))
+        return reduce(DataFrame.unionByName, parts).distinct()
 
     def _connected(self, nodes: Iterable[str]) -> list[frozenset[str]]:
         """The parts into which the template's edges divide some of its nodes."""
@@ -64,44 +94,53 @@ class Matcher:
         return out
 
     def _within(self, nodes: Iterable[str]) -> list[Edge]:
-        """The edges among some nodes, each after the first next to one before it, if there is such a one."""
-        rest, out, seen = [e for e in self.edges if e[0] in nodes and e[2] in nodes], [], set()
+        """The edges among some nodes, the smallest relation first, each after the first next to one before it, if there is such a one."""
+        rest, out, seen = sorted((e for e in self.edges if e[0] in nodes and e[2] in nodes), key=lambda e: (self.counts[e], e)), [], set()
         while rest:
             e = rest.pop(next((i for i, e in enumerate(rest) if e[0] in seen or e[2] in seen), 0))
             seen |= {e[0], e[2]}
             out.append(e)
         return out
 
+    def _name(self, node: str) -> str:
+        return f"n{self.nodes.index(node)}"
+
+    def _pairs(self, e: Edge) -> DataFrame:
+        s, o = self._name(e[0]), self._name(e[2])
+        under = self.lying.where(F.col("edge") == self.edges.index(e))
+        return under.select(F.col("s").alias(s), F.col("o").alias(o)).distinct() if s != o else under.select(F.col("s").alias(s)).distinct()
+
+    def _extended(self, before: DataFrame | None, e: Edge) -> DataFrame:
+        """Matches that also have this edge; nodes that are new differ from all others."""
+        pairs = self._pairs(e)
+        if before is None:
+            return pairs.where(F.col(pairs.columns[0]) != F.col(pairs.columns[1])) if len(pairs.columns) > 1 else pairs
+        shared = [c for c in pairs.columns if c in before.columns]
+        new = [c for c in pairs.columns if c not in before.columns]
+        out = before.join(pairs, shared) if shared else before.crossJoin(pairs)
+        for c in new:
+            for other in [*before.columns, *new[: new.index(c)]]:
+                out = out.where(F.col(c) != F.col(other))
+        return out
+
     def mappings(self, nodes: list[str], edges: list[Edge]) -> DataFrame:
         """One row a mapping of these nodes: a column for each, named by its place in ``self.nodes``."""
-        name = {n: f"n{self.nodes.index(n)}" for n in nodes}
-        out = None
-        for s, p, o in edges:
-            pairs = self.g
-            if p == A:
-                pairs = pairs.where(F.col("p") == A)
-            elif self.check_predicates:  # the predicate or one below it
-                below = self.up.where(F.col("ancestor") == p).select(F.col("child").alias("p"))
-                pairs = pairs.join(below.unionByName(self.g.sparkSession.range(1).select(F.lit(p).alias("p"))).distinct(), "p", "left_semi")
-            pairs = pairs.select(F.col("s").alias(name[s]), F.col("o").alias(name[o])).distinct() if s != o else pairs.where("s = o").select(F.col("s").alias(name[s])).distinct()
-            for t in dict.fromkeys((s, o)):
-                pairs = pairs.join(self.feasible.where(F.col("tnode") == t).select(F.col("node").alias(name[t])), name[t], "left_semi")
-            if out is None:
-                out = pairs
-                continue
-            shared = [c for c in pairs.columns if c in out.columns]
-            out = out.join(pairs, shared) if shared else out.crossJoin(pairs)
-        for a, b in combinations([name[n] for n in nodes], 2):
-            out = out.where(F.col(a) != F.col(b))
-        return out.select(*[name[n] for n in nodes])
-
-    def _clash(self, edges: list[Edge]) -> frozenset[str]:
-        """Nodes of the first few edges that already have no mapping: no part with all of them has one."""
-        for k in range(1, len(edges)):
-            nodes = sorted({t for s, _, o in edges[:k] for t in (s, o)})
-            if self.mappings(nodes, edges[:k]).isEmpty():
-                return frozenset(nodes)
-        return frozenset(t for s, _, o in edges for t in (s, o))
+        return reduce(self._extended, self._within(nodes) if set(edges) == set(self._within(nodes)) else edges, None).select(*map(self._name, nodes))
+
+    def _grow(self, edges: list[Edge]) -> tuple[int, DataFrame | None]:
+        """(how many of the edges have matches together, the matches of all), each step written once."""
+        before = None
+        for k in range(1, len(edges) + 1):
+            key = tuple(edges[:k])
+            if key not in self.grown:
+                if not self.counts[edges[k - 1]]:
+                    return k - 1, None
+                m = cut(self._extended(before, edges[k - 1]))
+                self.grown[key] = (m, m.isEmpty())
+            before, empty = self.grown[key]
+            if empty:
+                return k - 1, None
+        return len(edges), before
 
     def _matching(self) -> Iterator[tuple[list[str], list[Edge], DataFrame]]:
         """The connected parts with a parameter that have mappings, largest first, down to two nodes.
@@ -111,9 +150,7 @@ class Matcher:
         """
         queue: list[tuple[int, list[str]]] = []
         seen: set[frozenset[str]] = set()
-        # edges without any mapping are found first, so that no join is made over them
-        ends = [(sorted({s, o}), (s, p, o)) for s, p, o in self.edges]
-        clashes = [frozenset(nodes) for nodes, e in ends if self.mappings(nodes, [e]).isEmpty()]
+        clashes = [frozenset((s, o)) for (s, _, o), n in ((e, self.counts[e]) for e in self.edges) if not n]
 
         def put(nodes: Iterable[str]) -> None:
             for part in self._connected(nodes):
@@ -127,12 +164,12 @@ class Matcher:
             without = next((c for c in clashes if c <= set(nodes)), None)
             if without is None:
                 edges = self._within(nodes)
-                m = cut(self.mappings(nodes, edges))
-                if m.isEmpty():
-                    without = self._clash(edges)
+                k, m = self._grow(edges)
+                if m is None:
+                    without = frozenset(t for s, _, o in edges[: k + 1] for t in (s, o))
                     clashes.append(without)
                 else:
-                    yield nodes, edges, m
+                    yield nodes, edges, m.select(*map(self._name, nodes))
             for n in sorted(without or nodes):
                 put(set(nodes) - {n})
 
@@ -158,9 +195,10 @@ class Matcher:
         return left if isinstance(left, Template) else None
 
     def unmatched(self, nodes: list[str], edges: list[Edge], mappings: DataFrame) -> DataFrame:
-        """The graph without the triples that some mapping covers."""
-        out = self.g
-        for s, p, o in edges:
-            a, b = (f"n{self.nodes.index(n)}" for n in (s, o))
-            out = difference(out, mappings.select(F.col(a).alias("s"), F.lit(p).alias("p"), F.col(b).alias("o")).distinct())
-        return out
+        """The graph without the triples that some mapping covers: those of the graph's own predicates, below the template's or any."""
+        covered = []
+        for e in edges:
+            under = self.lying.where(F.col("edge") == self.edges.index(e)).select("s", "p", "o")
+            ends = mappings.select(F.col(self._name(e[0])).alias("s"), F.col(self._name(e[2])).alias("o")).distinct()
+            covered.append(under.join(ends, ["s", "o"], "left_semi").select("s", "p", "o"))
+        return difference(self.g.select("s", "p", "o"), reduce(DataFrame.unionByName, covered).distinct()) if covered else self.g

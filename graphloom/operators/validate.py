@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shapes import Shape, inline, path_text
+from ..plans.shapes import Shape, TextConstraint, inline, path_text
 from ..plans.template import Dependency, Template
 from ..terms import A, SH, XSD, datatype, is_blank, is_iri, is_literal, lang, lexical, number, param, plain, qname, text_of
+from . import solve
 from .algebra import path_pairs
 from .closure import ancestors, cut, instances, stored
 
@@ -29,9 +30,16 @@ class Validator:
     def __init__(self, data: DataFrame, prefixes: dict[str, str] | None = None, hierarchy: DataFrame | None = None, is_table: bool = False):
         self.g = data if is_table else stored(data)
         self.prefixes = prefixes or {}
-        self.up = cut(ancestors(self.g)) if hierarchy is None else hierarchy
+        self._up = hierarchy
         self.spark: SparkSession = data.sparkSession
 
+    @property
+    def up(self) -> DataFrame:
+        """The class hierarchy, found once when it is first asked for."""
+        if self._up is None:
+            self._up = cut(ancestors(self.g))
+        return self._up
+
     # --- targets
 
     def targets(self, shape: Shape) -> DataFrame:
@@ -47,6 +55,7 @@ class Validator:
             terms = [t for k, t in shape.targets if k == kind]
             if terms:
                 parts.append(self.g.where(F.col("p").isin(terms)).select(F.col(column).alias("focus")))
+        parts += [solve.solutions(self.g, t).select(F.col("this").alias("focus")) for k, t in shape.targets if k == "select"]
         if not parts:
             return self.spark.createDataFrame([], "focus string")
         return reduce(DataFrame.unionByName, parts).distinct()
@@ -101,7 +110,7 @@ class Validator:
     def _said(self, shape: Shape, found: DataFrame, component: str) -> DataFrame:
         path = F.lit(path_text(shape.path, self.prefixes)) if shape.path is not None else F.lit(None).cast("string")
         value = F.col("value") if "value" in found.columns else F.lit(None).cast("string")
-        return found.select("focus", path.alias("path"), value.alias("value"), F.lit(shape.id).alias("source_shape"), F.lit(component).alias("component"), F.lit(shape.severity).alias("severity"), F.lit(shape.message).cast("string").alias("message"))
+        return found.select("focus", path.alias("path"), value.alias("value"), F.lit(shape.id).alias("source_shape"), F.lit(component).alias("component"), F.lit(shape.severity).alias("severity"), (F.col("message") if "message" in found.columns else F.lit(shape.message)).cast("string").alias("message"))
 
     def _counts(self, foci: DataFrame, values: DataFrame) -> DataFrame:
         return foci.join(values.groupBy("focus").agg(F.countDistinct("value").alias("n")), "focus", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -191,9 +200,16 @@ class Validator:
             have = self.g.where((F.col("p") == A) & (F.col("o") == cls)).agg(F.countDistinct("s").alias("n"))
             return foci.crossJoin(have.where(F.col("n") != n).select(F.lit(1).alias("_"))).select("focus"), "countConstraintComponent"
         if name == "sparql":
-            return arg(self.g, foci), "SPARQLConstraintComponent"
+            return self._by_text(arg, foci) if isinstance(arg, TextConstraint) else arg(self.g, foci), "SPARQLConstraintComponent"
         raise ValueError(f"unknown constraint {name}")
 
+    def _by_text(self, c: TextConstraint, foci: DataFrame) -> DataFrame:
+        """(focus, value, message) for each solution of a query text; the value is ?value, or the focus itself."""
+        found = solve.solutions(self.g, c.text, foci)
+        value = F.col("value") if "value" in found.columns else F.col("this")
+        said = [] if c.message is None else [solve.messages(found, c.message).alias("message")]
+        return found.select(F.col("this").alias("focus"), value.alias("value"), *said)
+
 
 def conforms(report: DataFrame) -> bool:
     """No violations; warnings and infos do not count."""

@@ -6,6 +6,7 @@ from collections import defaultdict
 from dataclasses import dataclass, field, replace
 
 from ..terms import A, OWL, RDF, RDFS, SH, qname, text_of
+from .patterns import Text
 
 Triple = tuple[str, str, str]
 #: Namespace of the exact-count component unless a shapes graph is read with another.
@@ -22,13 +23,14 @@ class Shape:
 
     ``constraints`` are (name, value) pairs with SHACL's names; values are terms, numbers, Shapes
     or tuples of them.  ``qualified`` has (shape, min, max), ``pattern`` (regex, flags),
-    ``exactCount`` (class, n), ``sparql`` a function (graph, foci) -> DataFrame (focus, value).
-    ``targets`` are (kind, term) with kind class, node, subjects or objects.
+    ``exactCount`` (class, n), ``sparql`` a function (graph, foci) -> DataFrame (focus, value) or a
+    query text with its message.  ``targets`` are (kind, term) with kind class, node, subjects or
+    objects, or ``select`` with a query text.
     """
 
     id: str
     path: object = None
-    targets: tuple[tuple[str, str], ...] = ()
+    targets: tuple[tuple[str, object], ...] = ()
     constraints: tuple[tuple[str, object], ...] = ()
     severity: str = "Violation"
     message: str | None = None
@@ -88,6 +90,19 @@ def negation(shape: Shape) -> Shape:
     return Shape(f"not({shape.id})", constraints=(("not", shape),))
 
 
+@dataclass(frozen=True)
+class TextConstraint:
+    """A query text whose solutions are results; ``message`` may name their variables as {?x}."""
+
+    text: Text
+    message: str | None = None
+
+
+def predicates(path) -> tuple[str, ...]:
+    """The predicates of a path; none of no path."""
+    return () if path is None else (path,) if isinstance(path, str) else tuple(q for p in path[1:] for q in predicates(p))
+
+
 # --- paths as text
 
 
@@ -111,12 +126,20 @@ def path_text(path, prefixes: dict[str, str]) -> str:
 class ShapeGraph:
     triples: list[Triple]
     component_namespace: str = CONSTRAINT
+    #: Prefixes for query texts beside those that the graph declares (sh:declare).
+    prefixes: dict[str, str] = field(default_factory=dict)
     by_subject: dict = field(init=False)
 
     def __post_init__(self):
         self.by_subject = defaultdict(lambda: defaultdict(list))
         for s, p, o in self.triples:
             self.by_subject[s][p].append(o)
+        declared = [(self.one(d, "prefix"), self.one(d, "namespace")) for _, p, d in self.triples if p == sh("declare")]
+        self.known = {"rdf": RDF, "rdfs": RDFS, "owl": OWL, "sh": SH} | self.prefixes | {text_of(k): text_of(ns) for k, ns in declared if k and ns}
+
+    def text(self, node: str, name: str, path=None) -> Text:
+        """A query text of a node, with all prefixes that are known."""
+        return Text(text_of(self.one(node, name)), tuple(sorted(self.known.items())), path)
 
     def values(self, s: str, *names: str) -> list[str]:
         return [o for n in names for o in self.by_subject[s][n if n.startswith("<") else sh(n)]] if s in self.by_subject else []
@@ -181,6 +204,11 @@ class ShapeGraph:
         if sh("NodeShape") in kinds and (f"<{OWL}Class>" in kinds or f"<{RDFS}Class>" in kinds):
             targets.append(("class", node))
         path, severity, message = self.one(node, "path"), self.one(node, "severity"), self.one(node, "message")
+        targets += [("select", self.text(t, "select")) for t in self.values(node, "target") if self.one(t, "select")]
+        for t in self.values(node, "sparql"):
+            if not any(text_of(x) == "true" for x in self.values(t, "deactivated")) and self.one(t, "select"):
+                said = self.one(t, "message")
+                c.append(("sparql", TextConstraint(self.text(t, "select", self.path(path) if path else None), text_of(said) if said else None)))
         if path is None and sh("PropertyShape") in kinds:
             raise ValueError(f"property shape {text_of(node)} has no sh:path")
         name = self.one(node, "name", f"<{RDFS}label>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -339,11 +340,6 @@ def class_closure_instances(spark, d):
     return said(closure.instances(g, [iri(f"{U}World"), iri(f"{U}region/1")]))
 
 
-@query("WITH RECURSIVE e(a, b) AS (VALUES ('x', 'y'), ('y', 'z'), ('z', 'x'), ('z', 'w')), r(name, depth) AS (SELECT 'x', 0 UNION ALL SELECT b, depth + 1 FROM r JOIN e ON a = name WHERE depth < 5) SELECT name, min(depth)::INT AS depth FROM r GROUP BY name")
-def imports_closure(spark, d):
-    return closure.imports(spark.createDataFrame([("x", "y"), ("y", "z"), ("z", "x"), ("z", "w")], "s string, o string"), "x")
-
-
 @query(f"WITH RECURSIVE {_STAR} SELECT * FROM (VALUES ('{U}S1', '{U}World'), ('{U}S2', '{U}region/1'), ('{U}S3', '{U}nation/1')) v(shape, c) WHERE c IN (SELECT ancestor FROM star WHERE child = '{U}region/1')".replace("SELECT * FROM (VALUES", "SELECT shape FROM (VALUES"))
 def shapes_about_class(spark, d):
     shapes = [Shape(iri(f"{U}S{k}"), targets=(("class", iri(f"{U}{c}")),)) for k, c in ((1, "World"), (2, "region/1"), (3, "nation/1"))]
@@ -912,6 +908,158 @@ def match_sub_properties(spark, d):
     return rows.select(name.alias("s")).join(parts(spark, d).where(F.col("p") == BRAND), "s").select(plain(F.col("s")).alias("name"), lexical(F.col("o")).alias("brand"))
 
 
+# --- query texts in shapes
+
+_RDFS = "http://www.w3.org/2000/01/rdf-schema#"
+_TEXTS = f"""@prefix t: <{U}> . @prefix sh: <http://www.w3.org/ns/shacl#> . @prefix rdfs: <{_RDFS}> .
+<{U}> sh:declare [ sh:prefix "t" ; sh:namespace "{U}" ] , [ sh:prefix "rdfs" ; sh:namespace "{_RDFS}" ] .
+t:FullPlace a sh:NodeShape ; sh:target [ a sh:SPARQLTarget ; sh:prefixes <{U}> ; sh:select "SELECT ?this WHERE {{ ?this rdfs:subClassOf+ t:World . }}" ] ;
+  sh:property [ sh:path [ sh:inversePath rdfs:subClassOf ] ; sh:minCount 6 ] .
+t:AloneInNation a sh:NodeShape ; sh:targetClass t:Supplier ; sh:severity sh:Warning ;
+  sh:sparql [ a sh:SPARQLConstraint ; sh:prefixes <{U}> ; sh:message "{{$this}} and {{?another}} are in {{?n}}" ;
+    sh:select "SELECT DISTINCT $this ?another ?n WHERE {{ {{ $this t:inNation ?n . ?another t:inNation ?n . FILTER (?another != $this) }} $this a ?kind . ?another a ?kind2 . FILTER (?kind = ?kind2) }}" ] .
+t:NoBetterNeighbour a sh:NodeShape ; sh:targetClass t:Supplier ;
+  sh:sparql [ sh:select "SELECT $this ?value WHERE {{ $this t:inNation ?value ; t:acctbal ?b . FILTER NOT EXISTS {{ ?other t:inNation ?value . ?other t:acctbal ?c . FILTER (?c > ?b) }} }}" ] .
+t:OrderRules a sh:NodeShape ; sh:targetClass t:Order ;
+  sh:rule [ a sh:SPARQLRule ; sh:prefixes <{U}> ; sh:construct "CONSTRUCT {{ $this a t:UrgentOrder . }} WHERE {{ $this t:priority ?p . FILTER (STRSTARTS(STR(?p), '1-') || ?p IN ('2-HIGH')) }}" ] ,
+          [ a sh:JSRule ; sh:jsFunctionName "unknown" ] .
+t:UrgentRules a sh:NodeShape ; sh:targetClass t:UrgentOrder ;
+  sh:rule [ a sh:SPARQLRule ; sh:construct "CONSTRUCT {{ ?who t:waitsFor $this }} WHERE {{ $this t:placedBy ?who OPTIONAL {{ $this t:status ?s }} FILTER (?s != 'F') }}" ] ;
+  sh:rule [ a sh:TripleRule ; sh:subject sh:this ; sh:predicate t:level ; sh:object "now" ] .
+"""
+
+
+def _text_shapes() -> ShapeGraph:
+    return ShapeGraph(turtle.read(_TEXTS))
+
+
+def _suppliers(spark, d):
+    s = table(spark, d, "supplier")
+    t = Template("supplier", ((param("name"), A, SUPPLIER), (param("name"), IN_NATION, param("nation")), (param("name"), BALANCE, param("bal"))))
+    return t.graph(s.select(ref("supplier", "s_suppkey").alias("name"), ref("nation", "s_nationkey").alias("nation"), literal_col(F.col("s_acctbal").cast("decimal(12,2)"), f"{XSD}decimal").alias("bal")))
+
+
+@query(f"""WITH place AS (SELECT '{U}nation/' || n_nationkey AS s, '{U}region/' || n_regionkey AS o FROM nation UNION SELECT '{U}region/' || r_regionkey, '{U}World' FROM region)
+SELECT p.s AS focus, NULL::VARCHAR AS value, 'MinCountConstraintComponent' AS component FROM place p LEFT JOIN place c ON c.o = p.s GROUP BY p.s HAVING count(c.s) < 6""")
+def query_text_target(spark, d):
+    """A target in query text: everything below World, over a path of any length."""
+    return _report(spark, d, _text_shapes().shape(iri(f"{U}FullPlace")), places(spark, d))
+
+
+@query(f"""SELECT '{U}supplier/' || a.s_suppkey AS focus, '{U}supplier/' || a.s_suppkey AS value,
+'{U}supplier/' || a.s_suppkey || ' and {U}supplier/' || b.s_suppkey || ' are in {U}nation/' || a.s_nationkey AS message, 'Warning' AS severity
+FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey""")
+def query_text_constraint(spark, d):
+    """A constraint in query text: a self-join with an inequality for all foci at once, and a message with values."""
+    r = validate.Validator(_suppliers(spark, d), PREFIXES).report([_text_shapes().shape(iri(f"{U}AloneInNation"))])
+    return r.select(plain(F.col("focus")).alias("focus"), plain(F.col("value")).alias("value"), "message", "severity")
+
+
+@query(f"""SELECT '{U}supplier/' || s_suppkey AS focus, '{U}nation/' || s_nationkey AS value, 'SPARQLConstraintComponent' AS component FROM supplier a
+WHERE NOT EXISTS (SELECT 1 FROM supplier b WHERE b.s_nationkey = a.s_nationkey AND b.s_acctbal::DECIMAL(12,2) > a.s_acctbal::DECIMAL(12,2))""")
+def query_text_not_exists(spark, d):
+    """A pre-bound focus and outer values inside NOT EXISTS."""
+    return _report(spark, d, _text_shapes().shape(iri(f"{U}NoBetterNeighbour")), _suppliers(spark, d))
+
+
+@query(f"""WITH urgent AS (SELECT * FROM orders WHERE o_orderpriority LIKE '1-%' OR o_orderpriority = '2-HIGH')
+SELECT '{U}order/' || o_orderkey AS s, '{_RDF}type' AS p, '{U}UrgentOrder' AS o FROM urgent
+UNION SELECT '{U}customer/' || o_custkey, '{U}waitsFor', '{U}order/' || o_orderkey FROM urgent WHERE o_orderstatus <> 'F'
+UNION SELECT '{U}order/' || o_orderkey, '{U}level', 'now' FROM urgent""")
+def query_text_rules(spark, d):
+    """Rules in query text and triple rules that follow from each other; one of an unknown kind is passed over."""
+    g = orders(spark, d)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # of the rule that is not read
+        rules = infer.rules_of(_text_shapes())
+    return said(graph.difference(infer.fixpoint(g, rules), g))
+
+
+# --- solutions with unbound variables
+
+_SEGMENTS = "SELECT '{0}customer/' || c_custkey AS c, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS seg FROM customer".format(U)
+_WANTED = f"SELECT '{U}nation/' || n_nationkey AS n, CASE n_nationkey % 3 WHEN 0 THEN 'MACHINERY' WHEN 1 THEN 'FURNITURE' END AS seg FROM nation"
+
+
+def _segments(spark, d):
+    g = customers(spark, d)
+    return algebra.optional(algebra.match(g, ("?c", IN_NATION, "?n")), algebra.match(g, ("?c", SEGMENT, "?seg")))
+
+
+def _wanted(spark, d):
+    """What each nation asks for, where it asks for something."""
+    n = table(spark, d, "nation")
+    asks = F.when(F.col("n_nationkey") % 3 == 0, literal("MACHINERY")).when(F.col("n_nationkey") % 3 == 1, literal("FURNITURE"))
+    return n.select(ref("nation", "n_nationkey").alias("n"), asks.alias("seg"))
+
+
+_BOTH = f"""a AS (SELECT s.c, '{U}nation/' || c_nationkey AS n, s.seg FROM ({_SEGMENTS}) s JOIN customer ON s.c = '{U}customer/' || c_custkey), b AS ({_WANTED})"""
+
+
+@query(f"WITH {_BOTH} SELECT c, a.n, coalesce(a.seg, b.seg) AS seg FROM a JOIN b ON a.n = b.n AND (a.seg IS NULL OR b.seg IS NULL OR a.seg = b.seg)")
+def join_unbound(spark, d):
+    """A join over a variable that either side may leave unbound: what is unbound agrees with anything."""
+    return said(algebra.join(_segments(spark, d), _wanted(spark, d)))
+
+
+@query(f"WITH {_BOTH} SELECT c, a.n, coalesce(a.seg, b.seg) AS seg FROM a LEFT JOIN b ON a.n = b.n AND (a.seg IS NULL OR b.seg IS NULL OR a.seg = b.seg)")
+def optional_unbound(spark, d):
+    return said(algebra.optional(_segments(spark, d), _wanted(spark, d)))
+
+
+@query(f"WITH {_BOTH} SELECT c, a.n, a.seg FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.n = b.n AND (a.seg IS NULL OR b.seg IS NULL OR a.seg = b.seg))")
+def minus_unbound(spark, d):
+    return said(algebra.minus(_segments(spark, d), _wanted(spark, d)))
+
+
+# --- walks by doubling
+
+
+@query(f"SELECT '{U}supplier/' || a.s_suppkey AS s, '{U}supplier/' || b.s_suppkey AS o FROM supplier a JOIN supplier b ON a.s_suppkey % 7 = b.s_suppkey % 7 AND a.s_suppkey < b.s_suppkey UNION SELECT '{U}supplier/' || a.s_suppkey, '{U}hub' FROM supplier a")
+def path_long_chains(spark, d):
+    """Seven chains through all suppliers, every one of which leads to a hub: rounds grow with the logarithm of the chains."""
+    s = table(spark, d, "supplier")
+    last = s.agg(F.max("s_suppkey")).first()[0]
+    to = F.when(F.col("s_suppkey") + 7 <= last, F.concat(F.lit(f"<{U}supplier/"), (F.col("s_suppkey") + 7).cast("string"), F.lit(">")))
+    g = s.select(ref("supplier", "s_suppkey").alias("s"), F.explode(F.array(to, F.lit(iri(f"{U}hub")))).alias("o")).where("o is not null").withColumn("p", F.lit(iri(f"{U}next")))
+    return said(algebra.path_pairs(g, ("+", iri(f"{U}next"))))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT '{U}nation/' || n_nationkey AS s, '{U}region/' || n_regionkey AS o FROM nation UNION SELECT '{U}region/' || r_regionkey, '{U}World' FROM region UNION SELECT '{U}World', '{U}region/0'),
+r(name, depth) AS (SELECT '{U}nation/3', 0 UNION SELECT o, depth + 1 FROM r JOIN e ON s = name WHERE depth < 6) SELECT name, min(depth)::INT AS depth FROM r GROUP BY name""")
+def imports_closure(spark, d):
+    """What a nation imports over the places' edges, which have a cycle."""
+    g = places(spark, d).select("s", "o").unionByName(spark.range(1).select(F.lit(iri(f"{U}World")).alias("s"), F.lit(iri(f"{U}region/0")).alias("o")))
+    return closure.imports(g, iri(f"{U}nation/3")).select(plain(F.col("name")).alias("name"), "depth")
+
+
+# --- what matches leave, under other predicates
+
+_LEFT = """SELECT '{0}order/' || o_orderkey AS s, '{0}placedBy' AS p, '{0}customer/' || o_custkey AS o FROM orders WHERE o_orderstatus <> 'F'
+UNION SELECT '{0}order/' || o_orderkey, '{0}status', o_orderstatus FROM orders WHERE o_orderstatus <> 'F'""".format(U)
+
+
+def _finished(spark, d, predicate: str, check: bool):
+    g = orders(spark, d).where(F.col("p").isin(PLACED_BY, STATUS))
+    sub = spark.createDataFrame([(PLACED_BY, f"<{_RDFS}subPropertyOf>", predicate)], "s string, p string, o string")
+    t = Template("finished", ((param("name"), STATUS, literal("F")), (param("name"), predicate, param("who"))))
+    m = match.Matcher(t, g, sub, check_predicates=check)
+    nodes, rows = m.best()
+    return said(m.unmatched(nodes, m.edges, rows))
+
+
+@query(_LEFT)
+def match_remaining_sub_property(spark, d):
+    """A template's predicate lies on one below it; what is covered there goes."""
+    return _finished(spark, d, iri(f"{U}concerns"), True)
+
+
+@query(_LEFT)
+def match_remaining_any_predicate(spark, d):
+    """Without a check of predicates a template edge covers whatever lies under it."""
+    return _finished(spark, d, iri(f"{U}concerns"), False)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Which orders have no line item, and why that is wrong."""
     return diff_reasons(spark, d)
