@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.shapes import Shape, TextConstraint, inline, path_text
@@ -20,8 +20,45 @@ REPORT = "focus string, path string, value string, source_shape string, componen
 CASTS = {"integer": "decimal(38,0)", "int": "int", "long": "bigint", "decimal": "decimal(38,18)", "float": "float", "double": "double", "date": "date", "dateTime": "timestamp"}
 
 
+#: Constraints that are checked together, from a value and what is known of it.
+FUSED = {"minCount", "maxCount", "hasValue", "qualified", "class", "node", "not", "or", "and", "xone", "in", "datatype", "nodeKind", "pattern", "minLength", "maxLength", "minInclusive", "maxInclusive", "minExclusive", "maxExclusive", "languageIn"}
+
+
+def _shapes_in(name: str, arg) -> list[Shape]:
+    return [arg] if name in ("node", "not") else list(arg) if name in ("or", "and", "xone") else [arg[0]] if name == "qualified" else []
+
+
+def _breaks(name: str, arg, v: Column) -> Column:
+    """Whether a value breaks a constraint that only its own term decides."""
+    if name == "in":
+        return ~v.isin(*arg)
+    if name == "datatype":
+        kind = text_of(arg)
+        ok = datatype(v) == kind
+        cast = CASTS.get(kind.removeprefix(XSD)) if kind.startswith(XSD) else None
+        if cast:
+            ok = ok & lexical(v).try_cast(cast).isNotNull()
+        elif kind == f"{XSD}boolean":
+            ok = ok & lexical(v).isin("true", "false", "1", "0")
+        return ~F.coalesce(ok, F.lit(False))
+    if name == "nodeKind":
+        kinds = {"IRI": is_iri(v), "BlankNode": is_blank(v), "Literal": is_literal(v)}
+        return ~reduce(lambda a, b: a | b, [kinds[k] for k in kinds if k in text_of(arg).removeprefix(SH)])
+    if name == "pattern":
+        regex, flags = arg
+        return is_blank(v) | ~plain(v).rlike(f"(?{flags}){regex}" if flags else regex)
+    if name in ("minLength", "maxLength"):
+        n = F.length(plain(v))
+        return is_blank(v) | (n < arg if name == "minLength" else n > arg)
+    if name == "languageIn":
+        fits = reduce(lambda a, b: a | b, [(F.lower(lang(v)) == text_of(t).lower()) | F.lower(lang(v)).startswith(text_of(t).lower() + "-") for t in arg], F.lit(False))
+        return ~F.coalesce(fits, F.lit(False))
+    ok = {"minInclusive": number(v) >= arg, "maxInclusive": number(v) <= arg, "minExclusive": number(v) > arg, "maxExclusive": number(v) < arg}[name]
+    return ~F.coalesce(ok, F.lit(False))
+
+
 class Validator:
-    """Shapes are checked constraint by constraint, each as joins over all focus nodes at once.
+    """Shapes are checked on all focus nodes at once; the constraints of a target and path share its values.
 
     The graph is written once as a table by predicate, unless ``is_table`` says that it is one; every
     target, path and constraint reads the part that it needs.
@@ -75,17 +112,25 @@ class Validator:
         """(focus) of those that do not conform."""
         return self.check(shape, foci, strict=True).select("focus").distinct()
 
-    def values(self, shape: Shape, foci: DataFrame) -> DataFrame:
-        """(focus, value): a node shape's value is the focus itself."""
+    def rows(self, shape: Shape, foci: DataFrame) -> DataFrame:
+        """(focus, value): a node shape's value is the focus itself; a focus without a value has one row with null."""
         if shape.path is None:
             return foci.select("focus", F.col("focus").alias("value"))
-        return path_pairs(self.g, shape.path, foci.select(F.col("focus").alias("s"))).select(F.col("s").alias("focus"), F.col("o").alias("value")).distinct()
+        if isinstance(shape.path, str):  # one join, by focus: what is grouped by focus after it is where it has to be
+            pairs = self.g.where(F.col("p") == shape.path)
+        else:
+            pairs = path_pairs(self.g, shape.path, foci.select(F.col("focus").alias("s")))
+        return foci.join(pairs.select(F.col("s").alias("focus"), F.col("o").alias("value")), "focus", "left").distinct()
 
     def check(self, shape: Shape, foci: DataFrame, strict: bool = False) -> DataFrame:
         """Results of a shape on the foci; with ``strict`` a nested property's results name the outer focus."""
         foci = foci.select("focus").distinct()
         parts = []
-        values = self.values(shape, foci)
+        rows = self.rows(shape, foci)
+        values = rows if shape.path is None else rows.where(F.col("value").isNotNull())
+        together = [(name, arg) for name, arg in shape.constraints if name in FUSED]
+        if together:
+            parts.append(self._together(shape, together, rows))
         for name, arg in shape.constraints:
             if name == "property":
                 if shape.path is None:
@@ -97,84 +142,77 @@ class Validator:
                         parts.append(self._said(shape, values.join(bad.select(F.col("focus").alias("value")), "value", "left_semi"), "NodeConstraintComponent"))
                     else:
                         parts.append(self.check(arg, inner))
-                continue
-            if name == "qualified" and None not in arg[1:]:  # a result for each bound that is not kept
-                n = self._qualified(arg[0], foci, values)
-                for component, wrong in (("QualifiedMinCount", F.col("n") < arg[1]), ("QualifiedMaxCount", F.col("n") > arg[2])):
-                    parts.append(self._said(shape, n.where(wrong).select("focus"), f"{component}ConstraintComponent"))
-                continue
-            found, component = self._violations(name, arg, foci, values)
-            parts.append(self._said(shape, found, component))
+            elif name not in FUSED:
+                found, component = self._violations(name, arg, foci, values)
+                parts.append(self._said(shape, found, component))
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], REPORT)
 
-    def _said(self, shape: Shape, found: DataFrame, component: str) -> DataFrame:
-        path = F.lit(path_text(shape.path, self.prefixes)) if shape.path is not None else F.lit(None).cast("string")
-        value = F.col("value") if "value" in found.columns else F.lit(None).cast("string")
-        return found.select("focus", path.alias("path"), value.alias("value"), F.lit(shape.id).alias("source_shape"), F.lit(component).alias("component"), F.lit(shape.severity).alias("severity"), (F.col("message") if "message" in found.columns else F.lit(shape.message)).cast("string").alias("message"))
-
-    def _counts(self, foci: DataFrame, values: DataFrame) -> DataFrame:
-        return foci.join(values.groupBy("focus").agg(F.countDistinct("value").alias("n")), "focus", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    def _together(self, shape: Shape, constraints: Sequence[tuple[str, object]], rows: DataFrame) -> DataFrame:
+        """Results of all constraints that can be told from a value and what is known of it: one pass over the values, one over the foci.
 
-    def _qualified(self, inner: Shape, foci: DataFrame, values: DataFrame) -> DataFrame:
-        """(focus, n): how many values conform to ``inner``."""
-        return self._counts(foci, self._among(values, self._failing_values(inner, values), "left_anti"))
-
-    def _among(self, values: DataFrame, nodes: DataFrame, how: str) -> DataFrame:
-        return values.join(nodes.select(F.col(nodes.columns[0]).alias("value")), "value", how)
+        Which classes a value has and which nested shapes it breaks are joined once, for all
+        constraints; counts, qualified counts and fixed values come from one aggregate a focus.
+        """
+        classes = list(dict.fromkeys(arg for name, arg in constraints if name == "class"))
+        nested = list(dict.fromkeys(s for name, arg in constraints for s in _shapes_in(name, arg)))
+        if classes:
+            kinds = instances(self.g, classes, self.up).groupBy(F.col("node").alias("value")).agg(F.collect_set("class").alias("_kinds"))
+            rows = rows.join(kinds, "value", "left")
+        if nested:
+            distinct = rows.where(F.col("value").isNotNull()).select(F.col("value").alias("focus")).distinct()
+            broken = [self.failing(s, distinct).select(F.col("focus").alias("value"), F.lit(k).alias("_k")) for k, s in enumerate(nested)]
+            rows = rows.join(reduce(DataFrame.unionByName, broken).groupBy("value").agg(F.collect_set("_k").alias("_broken")), "value", "left")
+
+        fails = lambda s: F.coalesce(F.array_contains("_broken", nested.index(s)), F.lit(False))
+        has = F.col("value").isNotNull()
+        of_values, of_foci, sums = [], [], {"_n": F.count("value")}
+        for name, arg in constraints:
+            component = f"{name[0].upper()}{name[1:]}ConstraintComponent"
+            if name in ("minCount", "maxCount"):
+                of_foci.append((component, F.col("_n") < arg if name == "minCount" else F.col("_n") > arg))
+            elif name == "hasValue":
+                sums[f"_s{len(sums)}"] = F.count_if(F.col("value") == arg)
+                of_foci.append((component, F.col(list(sums)[-1]) == 0))
+            elif name == "qualified":
+                inner, low, high = arg
+                sums[f"_s{len(sums)}"] = F.count_if(has & ~fails(inner))
+                n = F.col(list(sums)[-1])
+                of_foci += [("QualifiedMinCountConstraintComponent", n < low)] if low is not None else []
+                of_foci += [("QualifiedMaxCountConstraintComponent", n > high)] if high is not None else []
+            elif name == "class":
+                of_values.append((component, ~F.coalesce(F.array_contains("_kinds", arg), F.lit(False))))
+            elif name == "node":
+                of_values.append((component, fails(arg)))
+            elif name == "not":
+                of_values.append((component, ~fails(arg)))
+            elif name in ("or", "and", "xone"):
+                bad = reduce(lambda a, b: a + b, [fails(s).cast("int") for s in arg])
+                of_values.append((component, {"or": bad == len(arg), "and": bad > 0, "xone": bad != len(arg) - 1}[name]))
+            else:
+                of_values.append((component, _breaks(name, arg, F.col("value"))))
+
+        def told(df: DataFrame, tests: list, columns: list[str]) -> DataFrame:
+            which = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(component)) for component, test in tests]), lambda x: x.isNotNull())
+            return df.select(*columns, F.explode(which).alias("_component"))
 
-    def _failing_values(self, shape: Shape, values: DataFrame) -> DataFrame:
-        return self.failing(shape, values.select(F.col("value").alias("focus")))
+        parts = []
+        if of_values:
+            parts.append(told(rows.where(has), of_values, ["focus", "value"]))
+        if of_foci:
+            parts.append(told(rows.groupBy("focus").agg(*[c.alias(n) for n, c in sums.items()]), of_foci, ["focus"]).withColumn("value", F.lit(None).cast("string")))
+        found = reduce(lambda a, b: a.unionByName(b), parts)
+        return self._said(shape, found, F.col("_component"))
+
+    def _said(self, shape: Shape, found: DataFrame, component) -> DataFrame:
+        path = F.lit(path_text(shape.path, self.prefixes)) if shape.path is not None else F.lit(None).cast("string")
+        value = F.col("value") if "value" in found.columns else F.lit(None).cast("string")
+        component = F.lit(component) if isinstance(component, str) else component
+        return found.select("focus", path.alias("path"), value.alias("value"), F.lit(shape.id).alias("source_shape"), component.alias("component"), F.lit(shape.severity).alias("severity"), (F.col("message") if "message" in found.columns else F.lit(shape.message)).cast("string").alias("message"))
 
     def _violations(self, name: str, arg, foci: DataFrame, values: DataFrame) -> tuple[DataFrame, str]:
+        """(focus, value) of a constraint that compares with other parts of the graph."""
         v = F.col("value")
         component = f"{name[0].upper()}{name[1:]}ConstraintComponent"
-        if name == "minCount":
-            return self._counts(foci, values).where(F.col("n") < arg).select("focus"), component
-        if name == "maxCount":
-            return self._counts(foci, values).where(F.col("n") > arg).select("focus"), component
-        if name == "qualified":
-            inner, low, high = arg
-            n = self._qualified(inner, foci, values)
-            wrong = reduce(lambda a, b: a | b, [*([F.col("n") < low] if low is not None else []), *([F.col("n") > high] if high is not None else [])], F.lit(False))
-            return n.where(wrong).select("focus"), "QualifiedMinCountConstraintComponent" if low is not None else "QualifiedMaxCountConstraintComponent"
-        if name == "class":
-            return self._among(values, instances(self.g, [arg], self.up), "left_anti"), component
-        if name == "node":
-            return self._among(values, self._failing_values(arg, values), "left_semi"), component
-        if name == "not":
-            return self._among(values, self._failing_values(arg, values), "left_anti"), component
-        if name in ("or", "and", "xone"):
-            bad = [self._failing_values(s, values) for s in arg]
-            if name == "and":
-                return self._among(values, reduce(DataFrame.unionByName, bad).distinct(), "left_semi"), component
-            fails = reduce(DataFrame.unionByName, bad).groupBy("focus").agg(F.count(F.lit(1)).alias("n")).select(F.col("focus").alias("value"), "n")
-            j = values.join(fails, "value", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-            return j.where(F.col("n") == len(arg) if name == "or" else F.col("n") != len(arg) - 1).select("focus", "value"), component
-        if name == "hasValue":
-            return foci.join(values.where(v == arg), "focus", "left_anti"), component
-        if name == "in":
-            return values.where(~v.isin(*arg)), component
-        if name == "datatype":
-            kind = text_of(arg)
-            ok = datatype(v) == kind
-            cast = CASTS.get(kind.removeprefix(XSD)) if kind.startswith(XSD) else None
-            if cast:
-                ok = ok & lexical(v).try_cast(cast).isNotNull()
-            elif kind == f"{XSD}boolean":
-                ok = ok & lexical(v).isin("true", "false", "1", "0")
-            return values.where(~F.coalesce(ok, F.lit(False))), component
-        if name == "nodeKind":
-            kinds = {"IRI": is_iri(v), "BlankNode": is_blank(v), "Literal": is_literal(v)}
-            return values.where(~reduce(lambda a, b: a | b, [kinds[k] for k in kinds if k in text_of(arg).removeprefix(SH)])), component
-        if name == "pattern":
-            regex, flags = arg
-            return values.where(is_blank(v) | ~plain(v).rlike(f"(?{flags}){regex}" if flags else regex)), component
-        if name in ("minLength", "maxLength"):
-            n = F.length(plain(v))
-            return values.where(is_blank(v) | (n < arg if name == "minLength" else n > arg)), component
-        if name in ("minInclusive", "maxInclusive", "minExclusive", "maxExclusive"):
-            ok = {"minInclusive": number(v) >= arg, "maxInclusive": number(v) <= arg, "minExclusive": number(v) > arg, "maxExclusive": number(v) < arg}[name]
-            return values.where(~F.coalesce(ok, F.lit(False))), component
         other = self.g.where(F.col("p") == arg).select(F.col("s").alias("focus"), F.col("o").alias("other")) if isinstance(arg, str) else None
         if name == "disjoint":
             return values.join(other.select("focus", F.col("other").alias("value")), ["focus", "value"], "left_semi"), component
@@ -189,9 +227,6 @@ class Validator:
         if name == "uniqueLang":
             twice = values.withColumn("l", lang(v)).where(F.col("l") != "").groupBy("focus", "l").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
             return twice.select("focus").distinct(), component
-        if name == "languageIn":
-            fits = reduce(lambda a, b: a | b, [(F.lower(lang(v)) == text_of(t).lower()) | F.lower(lang(v)).startswith(text_of(t).lower() + "-") for t in arg], F.lit(False))
-            return values.where(~F.coalesce(fits, F.lit(False))), component
         if name == "closed":
             extra = self.g.where(~F.col("p").isin(*arg)).join(foci, F.col("s") == F.col("focus"), "left_semi")
             return extra.select(F.col("s").alias("focus"), F.col("o").alias("value")), component
