@@ -8,15 +8,15 @@
    large for its neighbours to cover gets a centre - the set that agrees best with the region's
    most frequent minima - which is compared with all its members; what the centre does not
    cover is split by one more minimum, so that the depth adapts to the region.
-   A first pass takes only the nearest and the centre in large regions; a second pass over
-   their members takes the other candidates, but none inside a component that is found by then.
-   What the caps of both passes leave out is found by a prefix filter without a cap: the members'
-   shingles are ordered by how many members hold them, the rarest first, and two sets that reach
-   the similarity share one of their first shingles.  Pairs across components that share one, and
-   whose lengths and places of it allow the similarity, are candidates, however many they are.
-3. Candidates are confirmed on full sets of 64-bit shingle hashes, the best of each document
-   first; pairs that the links found so far already connect need no confirmation.
-4. Components are found by alternating large-star and small-star steps.
+3. Members of large regions, and of regions that a task's edge may cut, also go through a prefix
+   filter without a cap: their shingles are ordered by how many members hold them, the rarest
+   first, and two sets that reach the similarity share one of their first shingles.  Pairs across
+   components that share one, and whose lengths, places of it and minima allow the similarity,
+   are candidates, however many they are.
+4. Candidates are confirmed on full sets of 64-bit shingle hashes, the best of each document
+   first; pairs that the links found so far already connect need no confirmation.  The texts
+   of all that is named by a candidate move once, and their sets are kept for every confirmation.
+5. Components are found by alternating large-star and small-star steps.
 
 Of the forest no pair of a group becomes a row beyond a fixed number of neighbours a document and order
 and one centre a region and depth; of the prefix filter only pairs that may still be links do.  No document is left out, and nothing of the corpus is collected.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lookup
 from .textbytes import SPACE_WORDS, U64, find_words, hash_words, mix, text_slices, within
 
 TREES, DEPTH, MIN_PREFIX = 12, 6, 3
@@ -42,21 +42,24 @@ NEIGHBOURS = 8
 SKETCH, SLACK = TREES * DEPTH, 0.27
 #: In large regions each set is also compared, by sketch, with the others of its stretch of BLOCK rows of
 #: the order, and its BEST nearest of them are candidates too; the stretches differ from order to order.
-BLOCK, BEST = 512, 6
+BLOCK, BEST = 512, 2
 
 #: Buckets of the table of shingle counts by which the prefix filter orders shingles, and the count from which one matters.
 #: Any order gives the same pairs; a good one gives them at less cost.
 BUCKETS, COMMON = 1 << 20, 8
 #: Holders of one shingle that a task compares with each other; those of a more common one are dealt over several tasks.
 HOLDERS = 2048
-#: Of 64 one-bit minima a pair at a similarity of 0.8 agrees in 57.6 with a deviation of 2.4; pairs below BITS are not confirmed.
-BITS = 40
-
 
 def least_agreements(percent: int) -> int:
     return int(SKETCH * (percent / 100 - SLACK))
 
 
+def least_bits(percent: int) -> int:
+    """Of 64 one-bit minima a pair at the similarity agrees in (1 + similarity) / 2; 6.5 standard deviations less are still compared."""
+    p = (1 + percent / 100) / 2
+    return int(64 * p - 6.5 * (64 * p * (1 - p)) ** 0.5)
+
+
 _SALTS = np.random.default_rng(3).integers(1, 1 << 63, TREES * DEPTH, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _STEP = [U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)]
 
@@ -116,11 +119,11 @@ def _signatures(width: int):
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set once for each sorted order: tree, prefix (its minima, big-endian), doc_id, n, component, sketch."""
+    """Each set once for each sorted order: tree, prefix (its minima, big-endian), doc_id, n, sketch."""
     for batch in batches:
         ids, sizes = batch.column(0), batch.column(1)
         for at in range(0, len(ids), 2048):
-            sigs = batch.column(3).slice(at, 2048).to_pylist()
+            sigs = batch.column(2).slice(at, 2048).to_pylist()
             m = np.frombuffer(b"".join(sigs), ">u4").reshape(len(sigs), TREES * DEPTH)
             sketch = (m[:, :SKETCH] & 0xFF).astype(np.uint8).tobytes()
             sketches = [sketch[i : i + SKETCH] for i in range(0, len(sketch), SKETCH)]
@@ -132,25 +135,23 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         "prefix": pa.array([part[i : i + DEPTH * 4] for i in range(0, len(part), DEPTH * 4)], pa.binary()),
                         "doc_id": ids.slice(at, 2048),
                         "n": sizes.slice(at, 2048),
-                        "component": batch.column(2).slice(at, 2048),
                         "sketch": pa.array(sketches, pa.binary()),
                     }
                 )
 
 
-def _nearest(sketch: np.ndarray, group: np.ndarray, lo: int, hi: int, best: int, least: int, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
-    """Of each stretch of rows [lo, hi): every row with its nearest others of another group, by sketch."""
+def _nearest(sketch: np.ndarray, lo: int, hi: int, least: int, out: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    """Of each stretch of rows [lo, hi): every row with its nearest others, by sketch."""
     for a in range(lo, hi, BLOCK):
         part = sketch[a : min(hi, a + BLOCK)]
         n = len(part)
-        own = group[a : a + n]
-        if n < 2 or (own == own[0]).all():
+        if n < 2:
             continue
         agree = np.zeros((n, n), np.uint8)
         for column in part.T:
             agree += column[:, None] == column[None, :]
-        agree[own[:, None] == own[None, :]] = 0
-        k = min(best, n - 1)
+        np.fill_diagonal(agree, 0)
+        k = min(BEST, n - 1)
         top = np.argpartition(agree, n - k, axis=1)[:, n - k :]
         i, j = np.repeat(np.arange(n), k), top.reshape(-1)
         good = agree[i, j] >= least
@@ -177,13 +178,12 @@ def _centres(prefix: np.ndarray, sketch: np.ndarray, lo: int, hi: int, depth: in
             return
 
 
-def _candidates(percent: int, again: bool):
-    """Task over one stretch of the sorted orders: candidate pairs (a, b, agreements).
+def _candidates(percent: int):
+    """Task over one stretch of the sorted orders: candidate pairs (a, b, agreements), a < b.
 
-    The first pass gives all neighbours of small regions, and of large ones only each set's
-    nearest two and the centre; members of large regions are told as (a, a, -1).  The second pass
-    sees those members only, with the component that each has by then, and gives the rest of their
-    candidates: neighbours, nearest and centres at every depth, all in another component.
+    Of small regions all neighbours, of large ones each set's nearest and the centres at every depth.
+    Members of large regions, and of the first and the last region of a batch, which may go on
+    elsewhere, are told as (a, a, -1).
     """
     least = least_agreements(percent)
 
@@ -196,10 +196,9 @@ def _candidates(percent: int, again: bool):
             prefix = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, DEPTH).astype(np.uint32)
             ids = batch.column(2).to_numpy(zero_copy_only=False)
             n = batch.column(3).to_numpy(zero_copy_only=False)
-            group = batch.column(4).to_numpy(zero_copy_only=False)
-            sketch = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH)
             if tail is not None:  # the last rows of the batch before stay neighbours
-                tree, prefix, ids, n, group, sketch = (np.concatenate(x) for x in zip(tail, (tree, prefix, ids, n, group, sketch)))
+                tree, prefix, ids, n, sketch = (np.concatenate(x) for x in zip(tail, (tree, prefix, ids, n, sketch)))
             same = (tree[1:] == tree[:-1]) & (prefix[1:, :MIN_PREFIX] == prefix[:-1, :MIN_PREFIX]).all(1)
             region = np.concatenate([[0], np.cumsum(~same)])
             edges = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(region)]])
@@ -207,16 +206,15 @@ def _candidates(percent: int, again: bool):
             in_large = np.isin(region, large)
             pairs = []
             for w in range(1, NEIGHBOURS + 1):
-                i = np.flatnonzero((region[w:] == region[:-w]) & (again | ~in_large[w:])) if w < len(region) else np.zeros(0, np.int64)
+                i = np.flatnonzero((region[w:] == region[:-w]) & ~in_large[w:]) if w < len(region) else np.zeros(0, np.int64)
                 pairs.append((i, i + w))
             for a, b in zip(edges[large].tolist(), edges[large + 1].tolist()):
-                _centres(prefix if again else prefix[:, :MIN_PREFIX], sketch, a, b, MIN_PREFIX, least, pairs)
-                _nearest(sketch, group, a, b, BEST if again else 2, least, pairs)
-            if in_large.any() and not again:
-                told = np.unique(ids[in_large])
-                yield pa.RecordBatch.from_pydict({"a": pa.array(told, pa.int64()), "b": pa.array(told, pa.int64()), "agree": pa.array(np.full(len(told), -1, np.int32))})
+                _centres(prefix, sketch, a, b, MIN_PREFIX, least, pairs)
+                _nearest(sketch, a, b, least, pairs)
+            told = np.unique(ids[in_large | (region == 0) | (region == region[-1])])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(told, pa.int64()), "b": pa.array(told, pa.int64()), "agree": pa.array(np.full(len(told), -1, np.int32))})
             i, j = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-            ok = (group[i] != group[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            ok = (ids[i] != ids[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             i, j = i[ok], j[ok]
             found = []
             for at in range(0, len(i), 1 << 16):
@@ -226,7 +224,7 @@ def _candidates(percent: int, again: bool):
                 a, b = ids[p[good]], ids[q[good]]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b), agree[good]], 1))
             keep = min(len(ids), NEIGHBOURS)
-            tail = tuple(x[len(x) - keep :] for x in (tree, prefix, ids, n, group, sketch))
+            tail = tuple(x[len(x) - keep :] for x in (tree, prefix, ids, n, sketch))
             if found:
                 rows = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(rows[:, 0], pa.int64()), "b": pa.array(rows[:, 1], pa.int64()), "agree": pa.array(rows[:, 2].astype(np.int32))})
@@ -292,36 +290,31 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def candidates(reps: DataFrame, percent: int, again: bool) -> DataFrame:
-    """(a, b, agree) of the sets (doc_id, n, component, sig)."""
-    trees = reps.mapInArrow(_trees, "tree int, prefix binary, doc_id long, n long, component long, sketch binary")
+def candidates(reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b, agree) of the sets (doc_id, n, sig): pairs, and as (a, a, -1) the members of large regions."""
+    trees = reps.select("doc_id", "n", "sig").mapInArrow(_trees, "tree int, prefix binary, doc_id long, n long, sketch binary")
     parts = max(8, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     orders = trees.repartitionByRange(parts, "tree", "prefix", "doc_id").sortWithinPartitions("tree", "prefix", "doc_id")
-    return orders.mapInArrow(_candidates(percent, again), "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return orders.mapInArrow(_candidates(percent), "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def _counts(width: int):
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many of a task's sets hold a shingle of each bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column(0)):
-                sets, _ = shingle_sets(data, offsets, width)
-                table += np.bincount((sets % U64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(table)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(some.astype(np.int32)), "held": pa.array(table[some])})
-
-    return run
+    table = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for _, _, data, _ in text_slices(batch.column(0)):
+            table += np.bincount((data.view(U64) % U64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    some = np.flatnonzero(table)
+    yield pa.RecordBatch.from_pydict({"bucket": pa.array(some.astype(np.int32)), "held": pa.array(table[some])})
 
 
-def _prefixes(width: int, percent: int, held: np.ndarray):
+def _prefixes(percent: int, held: np.ndarray):
     """Each set's first shingles, rarest first, as far as one that a partner shares may be the first shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in text_slices(batch.column(3)):
-                sets, first = shingle_sets(data, offsets, width)
+                sets, first = data.view(U64), offsets // 8
                 n = np.diff(first)
                 of = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((sets, held[(sets % U64(BUCKETS)).astype(np.int64)], of))
@@ -351,6 +344,7 @@ def _prefixes(width: int, percent: int, held: np.ndarray):
 
 def _sharing(percent: int):
     """Task over holders by shingle, unit and length: all pairs across components that may reach the similarity."""
+    least = least_bits(percent)
 
     def pairs(shingle, unit, n, place, doc, group, bits):
         new = np.ones(len(n), bool)
@@ -365,7 +359,7 @@ def _sharing(percent: int):
             j = i + w
             ok = ((100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (n[i] + n[j])) & (group[i] != group[j])
             a, b = i[ok], j[ok]
-            near = np.bitwise_count(~(bits[a] ^ bits[b]).view(U64)) >= BITS
+            near = np.bitwise_count(~(bits[a] ^ bits[b]).view(U64)) >= least
             a, b = doc[a[near]], doc[b[near]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
             many += len(a)
@@ -401,13 +395,14 @@ def _sharing(percent: int):
     return run
 
 
-def sharing(d: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) of the members (doc_id, component, sig), in different components, that a prefix filter does not rule out."""
-    texts = d.join(members, "doc_id").select("doc_id", "component", "sig", "text")
-    counted = texts.select("text").mapInArrow(_counts(width), "bucket int, held long").groupBy("bucket").agg(F.sum("held").alias("held")).where(F.col("held") >= COMMON).toPandas()
+def sharing(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the members (doc_id, component, sig), in different components, that neither a prefix filter nor their sketches rule out."""
+    spark = sets.sparkSession
+    own = members.join(sets, "doc_id").select("doc_id", "component", "sig", "shingles")
+    counted = own.select("shingles").mapInArrow(_counts, "bucket int, held long").groupBy("bucket").agg(F.sum("held").alias("held")).where(F.col("held") >= COMMON).toPandas()
     held = np.zeros(BUCKETS, np.int64)
     held[counted["bucket"].to_numpy(np.int64)] = counted["held"].to_numpy(np.int64)
-    rows = cut(texts.mapInArrow(_prefixes(width, percent, held), "shingle long, doc_id long, component long, n int, place int, index boolean, bits long"))
+    rows = cut(own.mapInArrow(_prefixes(percent, held), "shingle long, doc_id long, component long, n int, place int, index boolean, bits long"))
     # a common shingle's holders are dealt over units; those outside its largest component, or those that may be the smaller set, go to all
     each = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("rows"), F.count_if("index").alias("small"))
     common = (
@@ -416,18 +411,40 @@ def sharing(d: DataFrame, members: DataFrame, width: int, percent: int) -> DataF
         .where(F.col("all") > HOLDERS)
     )
     common = cut(common.select("shingle", F.ceil(F.col("all") / HOLDERS).cast("int").alias("units"), "main", (F.col("all") - F.col("most") < F.col("small")).alias("by_main"), (F.least(F.col("all") - F.col("most"), "small") == 0).alias("none")))
-    dealt = rows.join(F.broadcast(common), "shingle", "left").where("none is null or not none")
+    dealt = lookup(rows, common, "shingle", "doc_id").where("none is null or not none")
     to_all = F.when(F.col("by_main"), F.col("component") != F.col("main")).otherwise(F.col("index"))
     unit = F.when(F.col("units").isNull(), F.array(F.lit(0))).when(to_all, F.sequence(F.lit(0), F.col("units") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("units")).cast("int")))
     dealt = dealt.select("shingle", F.explode(unit).alias("unit"), "n", "place", "doc_id", "component", "bits")
-    parts = max(8, int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartition(parts, "shingle", "unit").sortWithinPartitions("shingle", "unit", "n")
-    return cut(dealt.mapInArrow(_sharing(percent), "a long, b long").distinct())
+    return cut(alike(dealt.mapInArrow(_sharing(percent), "a long, b long").distinct(), members, percent))
+
+
+def _agree(percent: int):
+    least = least_agreements(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, n = (np.frombuffer(b"".join(batch.column(k).to_pylist()), ">u4").reshape(-1, TREES * DEPTH) for k in (2, 3))
+            agree = (m == n).sum(1)
+            keep = pa.array(agree >= least)
+            yield pa.RecordBatch.from_pydict({"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep), "agree": pa.array(agree.astype(np.int32)).filter(keep)})
+
+    return run
 
 
-def _sets_of(d: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles) of the documents in the pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def alike(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """(a, b, agree) of the pairs whose minima agree often enough, so that no full set moves for the others."""
+    x = members.select(F.col("doc_id").alias("a"), F.col("sig").alias("x"))
+    y = members.select(F.col("doc_id").alias("b"), F.col("sig").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_agree(percent), "a long, b long, agree int")
+
+
+def sets_of(d: DataFrame, told: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of all documents that candidates name: the one time that texts move, whatever is confirmed later."""
+    wanted = told.select(F.col("a").alias("doc_id")).unionByName(told.select(F.col("b").alias("doc_id"))).distinct()
     return cut(d.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_full_sets(width), "doc_id long, shingles binary"))
 
 
@@ -438,9 +455,8 @@ def _across(pairs: DataFrame, linked: DataFrame) -> DataFrame:
     return pairs.join(ca, "a", "left").join(cb, "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b", "agree")
 
 
-def _links(d: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Enough confirmed links to connect all that the pairs connect: of each document's best pair first, then of the rest."""
-    sets = _sets_of(d, pairs, width)
     ends = pairs.select(F.col("a").alias("d"), "a", "b", "agree").unionByName(pairs.select(F.col("b").alias("d"), "a", "b", "agree"))
     best = cut(ends.groupBy("d").agg(F.max(F.struct("agree", "a", "b")).alias("p")).select("p.a", "p.b").distinct())
     edges = cut(confirmed(best, sets, percent))
@@ -461,28 +477,25 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     sig = cut(d.mapInArrow(_signatures(width), "doc_id long, n long, s1 long, s2 long, sig binary"))
     groups = sig.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     groups = cut(groups)
-    reps = sig.join(groups.select(F.col("rep").alias("doc_id"), F.col("s1").alias("_1"), F.col("s2").alias("_2")), "doc_id").where("s1 = _1 and s2 = _2").select("doc_id", "n", F.col("doc_id").alias("component"), "sig").dropDuplicates(["doc_id", "n"])
+    reps = sig.join(groups.select(F.col("rep").alias("doc_id"), F.col("s1").alias("_1"), F.col("s2").alias("_2")), "doc_id").where("s1 = _1 and s2 = _2").select("doc_id", "n", "sig").dropDuplicates(["doc_id", "n"])
     reps = cut(reps)
-    told = cut(candidates(reps, percent, again=False))
+    told = cut(candidates(reps, percent))
+    sets = sets_of(d, told, width)
     pairs = told.where("a < b")
-    edges = pairs.select("a", "b").limit(0) if pairs.isEmpty() else _links(d, pairs, width, percent)
-    large = told.where("a = b").select(F.col("a").alias("doc_id"))
-    if not large.isEmpty():
-        labels = cut(components(edges, rounds=2))
-        members = reps.select("doc_id", "n", "sig").join(large, "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), "sig")
-        more = cut(candidates(members, percent, again=True))
-        if not more.isEmpty():
-            edges = cut(edges.unionByName(confirmed(more, _sets_of(d, more, width), percent)))
+    edges = pairs.select("a", "b").limit(0) if pairs.isEmpty() else _links(sets, pairs, percent)
     linked = None if edges.isEmpty() else cut(components(edges))
+    large = told.where("a = b").select(F.col("a").alias("doc_id"))
     if not large.isEmpty():
         of = reps.select("doc_id", "sig").join(large, "doc_id")
-        of = of.withColumn("component", F.col("doc_id")) if linked is None else of.join(linked, F.col("doc_id") == F.col("node"), "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("component"))
-        more = sharing(d, of, width, percent)
+        of = cut(of.withColumn("component", F.col("doc_id")) if linked is None else of.join(linked, F.col("doc_id") == F.col("node"), "left").select("doc_id", "sig", F.coalesce("component", "doc_id").alias("component")))
+        more = sharing(sets, of, percent)
         if not more.isEmpty():
-            found = cut(confirmed(more, _sets_of(d, more, width), percent))
+            found = _links(sets, more, percent)
             if not found.isEmpty():
                 linked = cut(components(edges.unionByName(found)))
     of_set = groups if linked is None else groups.join(linked, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("rep"))
-    out = sig.select("doc_id", "n", "s1", "s2").join(of_set.select("s1", "s2", "n", F.col("rep").alias("c")), ["s1", "s2", "n"], "left")
+    # texts without a shingle have no set to be found by
+    some, none = (sig.where(x).select("doc_id", "n", "s1", "s2") for x in ("n > 0", "n = 0"))
+    out = some.join(of_set.select("s1", "s2", "n", F.col("rep").alias("c")), ["s1", "s2", "n"], "left").unionByName(none.withColumn("c", F.lit(None).cast("bigint")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
