@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..terms import A, SUBCLASS
 
+#: Rows up to which a table of the ontology's size is broadcast, by its count.
+SMALL = 300_000
+
 
 def shared_folder(df: DataFrame) -> str:
     """The folder named by spark.checkpoint.dir, made the checkpoint folder (a temporary one in local tests)."""
@@ -102,6 +105,8 @@ def instances(g: DataFrame, classes: DataFrame | list[str], hierarchy: DataFrame
     up = ancestors(g) if hierarchy is None else hierarchy
     kinds = up.join(classes.select(F.col("class").alias("ancestor")), "ancestor").select(F.col("child").alias("_t"), F.col("ancestor").alias("class"))
     kinds = kinds.unionByName(classes.select(F.col("class").alias("_t"), "class")).distinct()
+    if kinds.count() <= SMALL:  # few classes have all the types between them: no task per class
+        kinds = F.broadcast(kinds)
     return g.where(F.col("p") == A).join(kinds, F.col("o") == F.col("_t")).select(F.col("s").alias("node"), "class").distinct()
 
 

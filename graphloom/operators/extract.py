@@ -16,8 +16,15 @@ from .validate import Validator
 
 class Extractor:
     def __init__(self, g: DataFrame, hierarchy: DataFrame | None = None):
-        self.checker = Validator(g, hierarchy=hierarchy)
-        self.g, self.up = self.checker.g, self.checker.up  # one table and one hierarchy for both
+        self.checker = Validator(g, hierarchy=hierarchy)  # one table and one hierarchy for both
+
+    @property
+    def g(self) -> DataFrame:
+        return self.checker.g
+
+    @property
+    def up(self) -> DataFrame:
+        return self.checker.up
 
     def table(self, shape: Shape) -> DataFrame:
         """One row a solution: ``target`` and a column for each property that has values to show, as plain text.
@@ -25,6 +32,8 @@ class Extractor:
         Properties with a class or a node shape are optional unless they are qualified with a
         minimum of at least 1; properties of one path without qualification share a column.
         """
+        if shape.targets:  # without a target every subject is one
+            self.checker.prepare([shape])
         rows = self._rows(shape, "target")
         return rows.select(*[plain(F.col(f"`{c}`")).alias(c) for c in rows.columns]).distinct()
 

@@ -108,22 +108,77 @@ def skolemize(g: DataFrame, properties: tuple[str, ...] = (f"<{SH}property>", f"
     return replace_nodes(g, m.select("old", F.concat(F.lit("<urn:well-known/"), F.substring(F.sha2("old", 256), 1, 16), F.lit(">")).alias("new")))
 
 
-def canonical_hash(g: DataFrame, rounds: int = 4) -> int:
-    """A number that is the same for graphs that differ only in their blank nodes' names.
+# --- graphs up to the names of their blank nodes
 
-    Blank nodes get colours that are refined ``rounds`` times from their neighbours' colours.
+
+def _refined(g: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
+    """Colours (node, colour) refined from the neighbours' until no class of equal colours splits any more, and the number of classes.
+
+    A round folds into a node's colour the triples around it, the blank nodes in them by their colours; classes
+    only split, so when their number stays the colours are stable.
     """
-    g = graph(g)
-    nodes = g.select(F.explode(F.array("s", "o")).alias("node")).where(is_blank(F.col("node"))).distinct().withColumn("colour", F.lit(1).cast("long"))
-    blank = not nodes.isEmpty()
-    for k in range(rounds + 1 if blank else 1):
-        c = lambda at: F.coalesce(F.col(f"_{at}"), F.xxhash64(F.col(at)))
-        m = lambda at: nodes.select(F.col("node").alias(f"_n{at}"), F.col("colour").alias(f"_{at}"))
-        j = g.join(m("s"), F.col("s") == F.col("_ns"), "left").join(m("o"), F.col("o") == F.col("_no"), "left")
-        if k == (rounds if blank else 0):
-            total = j.agg(F.sum(F.xxhash64(c("s"), "p", c("o")).cast("decimal(38,0)"))).first()[0]
-            return int(total or 0) % (1 << 61)
+    nodes = cut(nodes)
+    classes = nodes.select("colour").distinct().count()
+    while True:
+        j = _coloured(g, nodes)
+        c = lambda at: F.coalesce(F.col(f"_c{at}"), F.xxhash64(F.col(at)))
         out = j.where(is_blank(F.col("s"))).select(F.col("s").alias("node"), F.xxhash64(F.lit(1), "p", c("o")).alias("h"))
         back = j.where(is_blank(F.col("o"))).select(F.col("o").alias("node"), F.xxhash64(F.lit(2), "p", c("s")).alias("h"))
-        folded = out.unionByName(back).groupBy("node").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("t"))
+        own = F.xxhash64(F.lit(3), "p")
+        loops = j.where(is_blank(F.col("s")) & (F.col("s") == F.col("o"))).select(F.col("s").alias("node"), own.alias("h"))
+        folded = out.unionByName(back).unionByName(loops).groupBy("node").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("t"))
         nodes = cut(nodes.join(folded, "node").select("node", F.xxhash64("colour", "t").alias("colour")))
+        now = nodes.select("colour").distinct().count()
+        if now == classes:
+            return nodes, now
+        classes = now
+
+
+def _coloured(g: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The triples with the colours of their blank ends."""
+    m = lambda at: nodes.select(F.col("node").alias(f"_n{at}"), F.col("colour").alias(f"_c{at}"))
+    return g.join(m("s"), F.col("s") == F.col("_ns"), "left").join(m("o"), F.col("o") == F.col("_no"), "left")
+
+
+def _digest(g: DataFrame, nodes: DataFrame) -> int:
+    c = lambda at: F.coalesce(F.col(f"_c{at}"), F.xxhash64(F.col(at)))
+    total = _coloured(g, nodes).agg(F.sum(F.xxhash64(c("s"), "p", c("o")).cast("decimal(38,0)"))).first()[0]
+    return int(total or 0) % (1 << 61)
+
+
+def canonical_hash(g: DataFrame) -> int:
+    """A number that is the same for graphs that differ only in their blank nodes' names, and for no others but by a collision of hashes.
+
+    Blank nodes get colours that are refined from their neighbours' until they are stable.  Where
+    several share one, each of the smallest such class is told apart in turn, the rest is refined after it, and
+    the least outcome counts; so graphs that refinement alone cannot tell apart get numbers of their own.
+    Blank nodes that no blank node is tied to are settled by the first refinement.
+    """
+    g = cut(graph(g))
+    nodes = g.select(F.explode(F.array("s", "o")).alias("node")).where(is_blank(F.col("node"))).distinct().withColumn("colour", F.lit(1).cast("long"))
+    if nodes.isEmpty():
+        return _digest(g, nodes)
+    return _least(g, nodes)
+
+
+def _least(g: DataFrame, nodes: DataFrame) -> int:
+    nodes, _ = _refined(g, nodes)
+    tied = nodes.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("n", "colour").limit(1).collect()
+    if not tied:
+        return _digest(g, nodes)
+    colour = tied[0].colour
+    # blank nodes whose surroundings are the same triples can stand for each other: one of them is enough
+    members = nodes.where(F.col("colour") == colour).select("node")
+    facts = g.join(members, F.col("s") == F.col("node")).select("node", F.xxhash64("p", "o").alias("h"))
+    facts = facts.unionByName(g.join(members, F.col("o") == F.col("node")).select("node", F.xxhash64(F.lit(0), "s", "p").alias("h")))
+    alike = facts.groupBy("node").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("t")).groupBy("t").agg(F.min("node").alias("node"))
+    outcomes = []
+    for r in alike.select("node").orderBy("node").toLocalIterator():
+        apart = nodes.withColumn("colour", F.when(F.col("node") == r.node, F.xxhash64(F.lit(7), "colour")).otherwise(F.col("colour")))
+        outcomes.append(_least(g, apart))
+    return min(outcomes)
+
+
+def isomorphic(left: DataFrame, right: DataFrame) -> bool:
+    """Whether two graphs differ only in their blank nodes' names."""
+    return graph(left).count() == graph(right).count() and canonical_hash(left) == canonical_hash(right)

@@ -18,60 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.patterns import Text
-from ..plans.shapes import Shape, ShapeGraph, predicates, sh
+from ..plans.shapes import ANY, Shape, ShapeGraph, dependence, predicates, sh, target_reads
 from ..terms import A, SUBCLASS
 from . import algebra, solve
 from .algebra import Pattern, bgp, construct, inverse, path_pairs
-from .closure import ancestors, cut, shared_folder
+from .closure import SMALL, ancestors, cut, shared_folder
 from .graph import COLUMNS, difference
 from .validate import Validator
 
 #: A rule may also be any function that makes triples from the graph; it reads all of it in every round.
 Rule = Callable[[DataFrame], DataFrame]
-#: Rows up to which a round's triples are broadcast, by their count.
-SMALL = 300_000
-ANY = "*"
 EVERY = "every focus"
 
 
-# --- what shapes depend on
-
-
-def _values_matter(name: str) -> bool:
-    """Constraints that every value has to meet, so that one more value may break them."""
-    return name not in ("minCount", "hasValue", "qualified", "property", "exactCount")
-
-
-def dependence(shape: Shape) -> tuple[set[str], set[str]]:
-    """(predicates that a shape reads, those of which one more triple may make it fail); ``ANY`` for all."""
-    reads, breaks = set(predicates(shape.path)), set()
-    own = set(reads)
-    for name, arg in shape.constraints:
-        inner = [x for x in (arg if isinstance(arg, tuple) else (arg,)) if isinstance(x, Shape)]
-        for s in inner:
-            r, b = dependence(s)
-            reads |= r
-            breaks |= r | b if name in ("not", "xone") or name == "qualified" and arg[2] is not None else b
-        if name == "class":
-            reads |= {A, SUBCLASS}
-        if name == "exactCount":
-            reads, breaks = reads | {A}, breaks | {A}
-        if name in ("disjoint", "equals", "lessThan", "lessThanOrEquals"):
-            reads, breaks = reads | {arg}, breaks | {arg}
-        if name == "closed" or name == "sparql":
-            reads, breaks = reads | {ANY}, breaks | {ANY}
-        if shape.path is not None and (_values_matter(name) or name == "property" or name == "qualified" and arg[2] is not None):
-            breaks |= own
-    return reads, breaks
-
-
-def target_reads(shape: Shape) -> set[str]:
-    out: set[str] = set()
-    for kind, t in shape.targets:
-        out |= {A, SUBCLASS} if kind == "class" else {t} if kind in ("subjects", "objects") else {ANY} if kind == "select" else set()
-    return out
-
-
 @dataclass
 class State:
     """The graph of a round, what the last round added to it, and the predicates of that (None: any)."""

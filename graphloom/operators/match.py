@@ -11,12 +11,10 @@ from pyspark.sql import functions as F
 
 from ..plans.template import Template
 from ..terms import A, OWL, SUBPROPERTY, is_param, param_name
-from .closure import ancestors, cut
+from .closure import SMALL, ancestors, cut
 from .graph import difference
 
 Edge = tuple[str, str, str]
-#: Rows up to which a table of the ontology's size is broadcast, by its count.
-SMALL = 300_000
 
 
 class Matcher:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shapes import Shape, TextConstraint, inline, path_text
+from ..plans.shapes import ANY, Shape, TextConstraint, dependence, inline, path_text, target_reads
 from ..plans.template import Dependency, Template
 from ..terms import A, SH, XSD, datatype, is_blank, is_iri, is_literal, lang, lexical, number, param, plain, qname, text_of
 from . import solve
@@ -60,16 +60,34 @@ def _breaks(name: str, arg, v: Column) -> Column:
 class Validator:
     """Shapes are checked on all focus nodes at once; the constraints of a target and path share its values.
 
-    The graph is written once as a table by predicate, unless ``is_table`` says that it is one; every
-    target, path and constraint reads the part that it needs.
+    What the shapes read of the graph is written once as a table by predicate, unless ``is_table`` says that
+    it is one; every target, path and constraint reads the part that it needs.
     """
 
     def __init__(self, data: DataFrame, prefixes: dict[str, str] | None = None, hierarchy: DataFrame | None = None, is_table: bool = False):
-        self.g = data if is_table else stored(data)
+        self._data, self._g = data, data if is_table else None
+        self._covers = {ANY} if is_table else set()
         self.prefixes = prefixes or {}
         self._up = hierarchy
         self.spark: SparkSession = data.sparkSession
 
+    def prepare(self, shapes: Sequence[Shape]) -> None:
+        """Write what these shapes read, unless it is there."""
+        reads = set().union(*(dependence(s)[0] | target_reads(s) for s in shapes))
+        if ANY in self._covers or reads <= self._covers:
+            return
+        if self._covers or ANY in reads:  # more than was asked for before: the whole graph, for all that may come
+            self._covers, self._g = {ANY}, stored(self._data)
+        else:
+            self._covers, self._g = reads, stored(self._data.where(F.col("p").isin(*sorted(reads))))
+
+    @property
+    def g(self) -> DataFrame:
+        """The table: all of the graph, or what the shapes read that were prepared for."""
+        if self._g is None:
+            self._covers, self._g = {ANY}, stored(self._data)
+        return self._g
+
     @property
     def up(self) -> DataFrame:
         """The class hierarchy, found once when it is first asked for."""
@@ -101,11 +119,14 @@ class Validator:
 
     def report(self, shapes: Sequence[Shape]) -> DataFrame:
         """All results of all shapes on their targets."""
-        parts = [self.check(s, self.targets(s)) for s in map(inline, shapes) if not s.deactivated]
+        active = [s for s in map(inline, shapes) if not s.deactivated]
+        self.prepare(active)
+        parts = [self.check(s, self.targets(s)) for s in active]
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], REPORT)
 
     def check_on(self, shape: Shape, cls: str) -> DataFrame:
         """Results of one shape on the instances of a class, whatever its own targets are."""
+        self.prepare([inline(shape).targeting("class", cls)])
         return self.check(inline(shape), instances(self.g, [cls], self.up).select(F.col("node").alias("focus")))
 
     def failing(self, shape: Shape, foci: DataFrame) -> DataFrame:

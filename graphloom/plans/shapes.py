@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import dataclass, field, replace
 
-from ..terms import A, OWL, RDF, RDFS, SH, qname, text_of
+from ..terms import A, OWL, RDF, RDFS, SH, SUBCLASS, qname, text_of
 from .patterns import Text
 
 Triple = tuple[str, str, str]
@@ -103,6 +103,47 @@ def predicates(path) -> tuple[str, ...]:
     return () if path is None else (path,) if isinstance(path, str) else tuple(q for p in path[1:] for q in predicates(p))
 
 
+#: Stands for all predicates in what a shape reads.
+ANY = "*"
+
+
+# --- what shapes depend on
+
+def _values_matter(name: str) -> bool:
+    """Constraints that every value has to meet, so that one more value may break them."""
+    return name not in ("minCount", "hasValue", "qualified", "property", "exactCount")
+
+
+def dependence(shape: Shape) -> tuple[set[str], set[str]]:
+    """(predicates that a shape reads, those of which one more triple may make it fail); ``ANY`` for all."""
+    reads, breaks = set(predicates(shape.path)), set()
+    own = set(reads)
+    for name, arg in shape.constraints:
+        inner = [x for x in (arg if isinstance(arg, tuple) else (arg,)) if isinstance(x, Shape)]
+        for s in inner:
+            r, b = dependence(s)
+            reads |= r
+            breaks |= r | b if name in ("not", "xone") or name == "qualified" and arg[2] is not None else b
+        if name == "class":
+            reads |= {A, SUBCLASS}
+        if name == "exactCount":
+            reads, breaks = reads | {A}, breaks | {A}
+        if name in ("disjoint", "equals", "lessThan", "lessThanOrEquals"):
+            reads, breaks = reads | {arg}, breaks | {arg}
+        if name == "closed" or name == "sparql":
+            reads, breaks = reads | {ANY}, breaks | {ANY}
+        if shape.path is not None and (_values_matter(name) or name == "property" or name == "qualified" and arg[2] is not None):
+            breaks |= own
+    return reads, breaks
+
+
+def target_reads(shape: Shape) -> set[str]:
+    out: set[str] = set()
+    for kind, t in shape.targets:
+        out |= {A, SUBCLASS} if kind == "class" else {t} if kind in ("subjects", "objects") else {ANY} if kind == "select" else set()
+    return out
+
+
 # --- paths as text
 
 
