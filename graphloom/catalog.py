@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import extract, graph, infer, validate
+from .operators import extract, graph, infer, match, validate
 from .plans.shapes import Shape, ShapeGraph
 from .plans.template import Dependency, Template, from_spec
 from .sources import ntriples, turtle
@@ -313,9 +313,24 @@ class Engine:
     def target_nodes(self, m: Model) -> DataFrame:
         return graph.types(self.graph(m))
 
-    def repair(self, diffs: DataFrame, path_terms: dict[str, str], namespace: str) -> DataFrame:
-        """The graph that settles differences; what a shape asks for is built by the library template of its name."""
-        templates, needs = validate.repair_templates(diffs, path_terms, self.find_template)
+    def validate_shapes(self, m: Model, shapes: Sequence[tuple[str, str, str]], names: Sequence[str], cls: str) -> tuple[DataFrame, DataFrame]:
+        """(summary, report) of single shapes on the instances of a class: a row of the summary for each shape, what is wrong by shape."""
+        sg = ShapeGraph(list(shapes))
+        missing = [n for n in names if n not in sg.by_subject]
+        if missing:
+            raise NotFound(missing[0])
+        plans = [sg.shape(n) for n in names]
+        report = graph.cut(validate.Validator(graph.union(self.graph(m), self.frame(shapes))).by_shape(plans, cls))
+        return validate.shape_summary(report, plans), report
+
+    def matcher(self, m: Model, template: Template, library: str, *ontologies: DataFrame, check_predicates: bool = False) -> match.Matcher:
+        """Matches of a library's template in a model; without ontologies those of the library and of all that it imports count."""
+        known = graph.union(*ontologies) if ontologies else self.frame(self.resolve_imports(library, missing_ok=True))
+        return match.Matcher(template, self.graph(m), known, check_predicates)
+
+    def repair(self, diffs: DataFrame, path_terms: dict[str, str], namespace: str, shapes: Sequence[Shape] = ()) -> DataFrame:
+        """The graph that settles differences; what a shape asks for is built by the library template of its name, of alternatives the smallest."""
+        templates, needs = validate.repair_templates(diffs, path_terms, self.find_template, shapes)
         return validate.repaired(templates, needs, namespace)
 
     def describe(self) -> str:

@@ -159,12 +159,36 @@ def maybe(parser: Parser, id: str | None = None) -> Parser:
     return Parser("maybe", {"parser": parser, "id": id}, lambda t: let(parser(t), lambda r: F.when(ok(r), r).otherwise(F.array(_token(None, "Null", None, 0, id=id)))))
 
 
+def _first(parser: Parser, t: Column) -> Column:
+    """The least number of characters, at least one, after which the parser reads without error; null if there is none.
+
+    Strings and patterns are searched for; other parsers are tried at each place up to the first that fits.
+    """
+    if parser.kind == "string":
+        at = F.locate(parser.args["s"], t, 2)
+        return F.when(F.length(t) > 0, F.when(at > 0, at - 1)) if parser.args["s"] else F.when(F.length(t) > 0, 1)
+    if parser.kind == "abbreviations" and all(parser.args["table"]):
+        return F.array_min(F.array(*[_first(string(s, DELIMITER), t) for s in parser.args["table"]]))
+    if parser.kind == "choice" and all(p.kind in ("string", "regex", "abbreviations", "choice") for p in parser.args["parsers"]):
+        return F.array_min(F.array(*[_first(p, t) for p in parser.args["parsers"]]))
+    if parser.kind == "regex" and not _looks_back(parser.args["r"]):
+        at = F.regexp_instr(_after(t, F.lit(1)), F.lit(parser.args["r"]))
+        last = F.when(F.lit("").rlike(f"^(?:{parser.args['r']})"), F.length(t))  # an empty rest may fit, too
+        return F.when(F.length(t) > 0, F.coalesce(F.when(at > 0, at), last))
+    found = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), F.lit(0), lambda at, n: F.when(at > 0, at).when(ok(parser(_after(t, n))), n).otherwise(0))
+    return F.when(F.length(t) > 0, let(found, lambda n: F.when(n > 0, n)))
+
+
+def _looks_back(pattern: str) -> bool:
+    """Whether what stands before a place can decide if a pattern fits there."""
+    return any(x in pattern for x in ("^", "\\b", "\\B", "\\A", "\\G", "(?<"))
+
+
 def until(parser: Parser, kind: Kind, id: str | None = None) -> Parser:
     """The shortest stretch of at least one character after which the parser reads without error."""
 
     def run(t: Column) -> Column:
-        ends = F.filter(F.when(F.length(t) > 0, F.sequence(F.lit(1), F.length(t))).otherwise(F.array().cast("array<int>")), lambda n: ok(parser(_after(t, n))))
-        return let(F.get(ends, F.lit(0)), lambda n: F.when(n.isNotNull(), _read(F.substring(t, F.lit(1), n), kind, id)).otherwise(F.array(_token(None, "Null", None, 0, F.concat(F.lit(f"Expected {kind[0]}, got "), t), id))))
+        return let(_first(parser, t), lambda n: F.when(n.isNotNull(), _read(F.substring(t, F.lit(1), n), kind, id)).otherwise(F.array(_token(None, "Null", None, 0, F.concat(F.lit(f"Expected {kind[0]}, got "), t), id))))
 
     return Parser("until", {"parser": parser, "kind": kind, "id": id}, run)
 

@@ -86,6 +86,27 @@ def _stepwise(edges: DataFrame, start: DataFrame) -> DataFrame:
             known = cut(known)
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of undirected edges (s, o): each component is named by its least node.
+
+    Nodes hook onto the least of their neighbours and of those that these hang on, in turn, until nothing
+    changes; the rounds grow with the logarithm of the longest shortest way.
+    """
+    e = cut(edges.select(F.greatest("s", "o").alias("u"), F.least("s", "o").alias("v")).distinct())
+    nodes = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    e = e.where("u <> v")
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        new = cut(small)
+        if new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty():
+            return nodes.join(e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        e = new
+
+
 def with_self(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``pairs`` and (n, n) for each of ``nodes`` (column s)."""
     return pairs.unionByName(nodes.select("s", F.col("s").alias("o"))).distinct()

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..terms import A, PARAM, SH, XSD, is_blank
-from .closure import cut
+from .closure import components, cut
 
 COLUMNS = ["s", "p", "o"]
 
@@ -111,72 +111,72 @@ def skolemize(g: DataFrame, properties: tuple[str, ...] = (f"<{SH}property>", f"
 # --- graphs up to the names of their blank nodes
 
 
-def _refined(g: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
-    """Colours (node, colour) refined from the neighbours' until no class of equal colours splits any more, and the number of classes.
+def _coloured(g: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The triples with the colours of their blank ends, and the component that they belong to."""
+    m = lambda at: nodes.select(F.col("node").alias(f"_n{at}"), F.col("colour").alias(f"_c{at}"), F.col("component").alias(f"_k{at}"))
+    j = g.join(m("s"), F.col("s") == F.col("_ns"), "left").join(m("o"), F.col("o") == F.col("_no"), "left")
+    c = lambda at: F.coalesce(F.col(f"_c{at}"), F.xxhash64(F.col(at)))
+    return j.select("s", "p", "o", c("s").alias("cs"), c("o").alias("co"), F.coalesce("_ks", "_ko").alias("component"))
+
+
+def _refined(g: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Colours refined from the neighbours' until no class of equal colours splits any more.
 
     A round folds into a node's colour the triples around it, the blank nodes in them by their colours; classes
     only split, so when their number stays the colours are stable.
     """
     nodes = cut(nodes)
-    classes = nodes.select("colour").distinct().count()
+    count = lambda: nodes.select("component", "colour").distinct().count()
+    classes = count()
     while True:
         j = _coloured(g, nodes)
-        c = lambda at: F.coalesce(F.col(f"_c{at}"), F.xxhash64(F.col(at)))
-        out = j.where(is_blank(F.col("s"))).select(F.col("s").alias("node"), F.xxhash64(F.lit(1), "p", c("o")).alias("h"))
-        back = j.where(is_blank(F.col("o"))).select(F.col("o").alias("node"), F.xxhash64(F.lit(2), "p", c("s")).alias("h"))
-        own = F.xxhash64(F.lit(3), "p")
-        loops = j.where(is_blank(F.col("s")) & (F.col("s") == F.col("o"))).select(F.col("s").alias("node"), own.alias("h"))
+        out = j.where(is_blank(F.col("s"))).select(F.col("s").alias("node"), F.xxhash64(F.lit(1), "p", "co").alias("h"))
+        back = j.where(is_blank(F.col("o"))).select(F.col("o").alias("node"), F.xxhash64(F.lit(2), "p", "cs").alias("h"))
+        loops = j.where(is_blank(F.col("s")) & (F.col("s") == F.col("o"))).select(F.col("s").alias("node"), F.xxhash64(F.lit(3), "p").alias("h"))
         folded = out.unionByName(back).unionByName(loops).groupBy("node").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("t"))
-        nodes = cut(nodes.join(folded, "node").select("node", F.xxhash64("colour", "t").alias("colour")))
-        now = nodes.select("colour").distinct().count()
-        if now == classes:
-            return nodes, now
-        classes = now
-
-
-def _coloured(g: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The triples with the colours of their blank ends."""
-    m = lambda at: nodes.select(F.col("node").alias(f"_n{at}"), F.col("colour").alias(f"_c{at}"))
-    return g.join(m("s"), F.col("s") == F.col("_ns"), "left").join(m("o"), F.col("o") == F.col("_no"), "left")
-
-
-def _digest(g: DataFrame, nodes: DataFrame) -> int:
-    c = lambda at: F.coalesce(F.col(f"_c{at}"), F.xxhash64(F.col(at)))
-    total = _coloured(g, nodes).agg(F.sum(F.xxhash64(c("s"), "p", c("o")).cast("decimal(38,0)"))).first()[0]
-    return int(total or 0) % (1 << 61)
+        nodes = cut(nodes.join(folded, "node").select("node", "component", F.xxhash64("colour", "t").alias("colour")))
+        before, classes = classes, count()
+        if classes == before:
+            return nodes
 
 
 def canonical_hash(g: DataFrame) -> int:
     """A number that is the same for graphs that differ only in their blank nodes' names, and for no others but by a collision of hashes.
 
-    Blank nodes get colours that are refined from their neighbours' until they are stable.  Where
-    several share one, each of the smallest such class is told apart in turn, the rest is refined after it, and
-    the least outcome counts; so graphs that refinement alone cannot tell apart get numbers of their own.
-    Blank nodes that no blank node is tied to are settled by the first refinement.
+    The components that blank nodes form among themselves are settled apart from each other, all at
+    once.  Colours are refined from the neighbours' until they are stable; where nodes of a component still
+    share one, each of its smallest such class is told apart in turn, the rest is refined after
+    it, and the component's least outcome counts.  So the work grows with the ties inside a component, not with
+    the number of components, alike or not.
     """
     g = cut(graph(g))
-    nodes = g.select(F.explode(F.array("s", "o")).alias("node")).where(is_blank(F.col("node"))).distinct().withColumn("colour", F.lit(1).cast("long"))
-    if nodes.isEmpty():
-        return _digest(g, nodes)
-    return _least(g, nodes)
-
-
-def _least(g: DataFrame, nodes: DataFrame) -> int:
-    nodes, _ = _refined(g, nodes)
-    tied = nodes.groupBy("colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("n", "colour").limit(1).collect()
-    if not tied:
-        return _digest(g, nodes)
-    colour = tied[0].colour
-    # blank nodes whose surroundings are the same triples can stand for each other: one of them is enough
-    members = nodes.where(F.col("colour") == colour).select("node")
-    facts = g.join(members, F.col("s") == F.col("node")).select("node", F.xxhash64("p", "o").alias("h"))
-    facts = facts.unionByName(g.join(members, F.col("o") == F.col("node")).select("node", F.xxhash64(F.lit(0), "s", "p").alias("h")))
-    alike = facts.groupBy("node").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("t")).groupBy("t").agg(F.min("node").alias("node"))
-    outcomes = []
-    for r in alike.select("node").orderBy("node").toLocalIterator():
-        apart = nodes.withColumn("colour", F.when(F.col("node") == r.node, F.xxhash64(F.lit(7), "colour")).otherwise(F.col("colour")))
-        outcomes.append(_least(g, apart))
-    return min(outcomes)
+    ties = g.where(is_blank(F.col("s")) & is_blank(F.col("o"))).select("s", "o")
+    alone = g.select(F.explode(F.array("s", "o")).alias("node")).where(is_blank(F.col("node"))).distinct()
+    nodes = alone.join(components(ties), "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.lit(1).cast("long").alias("colour"))
+    ground = g.where(~is_blank(F.col("s")) & ~is_blank(F.col("o"))).agg(F.sum(F.xxhash64("s", "p", "o").cast("decimal(38,0)"))).first()[0]
+    rest = _least(g.where(is_blank(F.col("s")) | is_blank(F.col("o"))), nodes).agg(F.sum(F.xxhash64("digest").cast("decimal(38,0)"))).first()[0]
+    return (int(ground or 0) * 31 + int(rest or 0)) % (1 << 61)
+
+
+def _least(g: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(component, digest): the least digest of each component over all ways to tell tied nodes apart."""
+    nodes = _refined(g, nodes)
+    classes = nodes.groupBy("component", "colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    tied = cut(classes.groupBy("component").agg(F.min(F.struct("n", "colour")).alias("c")).select("component", "c.colour", "c.n"))
+    j = _coloured(g, nodes).groupBy("component").agg(F.sum(F.xxhash64("cs", "p", "co").cast("decimal(38,0)")).alias("digest"))
+    done = j.join(tied, "component", "left_anti")
+    most = tied.agg(F.max("n")).first()[0]
+    if most is None:
+        return done
+    mine = nodes.join(tied.select("component"), "component", "left_semi")
+    own = g.join(mine.select(F.col("node").alias("s")), "s", "left_semi").unionByName(g.join(mine.select(F.col("node").alias("o")), "o", "left_semi").select(*COLUMNS)).select(*COLUMNS).distinct()
+    own, parts = cut(own), []
+    place = F.row_number().over(Window.partitionBy("component", "colour").orderBy("node"))
+    ranked = cut(mine.join(tied.select("component", F.col("colour").alias("_c")), "component").withColumn("_i", F.when(F.col("colour") == F.col("_c"), place)))
+    for i in range(1, most + 1):  # the i-th tied node of every component at once
+        some = ranked.join(tied.where(F.col("n") >= i).select("component"), "component", "left_semi")
+        parts.append(_least(own, some.select("node", "component", F.when(F.col("_i") == i, F.xxhash64(F.lit(7), "colour")).otherwise(F.col("colour")).alias("colour"))))
+    return done.unionByName(cut(reduce(DataFrame.unionByName, parts).groupBy("component").agg(F.min("digest").alias("digest"))))
 
 
 def isomorphic(left: DataFrame, right: DataFrame) -> bool:

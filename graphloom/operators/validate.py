@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +130,14 @@ class Validator:
         self.prepare([inline(shape).targeting("class", cls)])
         return self.check(inline(shape), instances(self.g, [cls], self.up).select(F.col("node").alias("focus")))
 
+    def by_shape(self, shapes: Sequence[Shape], cls: str) -> DataFrame:
+        """Results on the instances of a class with ``shape``, the shape that was asked for, whatever the shapes' own targets are."""
+        plans = [inline(s) for s in shapes if not s.deactivated]
+        self.prepare([s.targeting("class", cls) for s in plans])
+        foci = cut(instances(self.g, [cls], self.up).select(F.col("node").alias("focus")).distinct())
+        parts = [self.check(s, foci).withColumn("shape", F.lit(s.id)) for s in plans]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{REPORT}, shape string")
+
     def failing(self, shape: Shape, foci: DataFrame) -> DataFrame:
         """(focus) of those that do not conform."""
         return self.check(shape, foci, strict=True).select("focus").distinct()
@@ -272,6 +281,14 @@ def conforms(report: DataFrame) -> bool:
     return report.where(F.col("severity") == "Violation").isEmpty()
 
 
+def shape_summary(report: DataFrame, shapes: Sequence[Shape]) -> DataFrame:
+    """(shape, conforms, foci, results) of ``Validator.by_shape``: shapes without a violation conform; foci and results count all severities."""
+    counted = report.groupBy("shape").agg((F.count_if(F.col("severity") == "Violation") == 0).alias("conforms"), F.countDistinct("focus").alias("foci"), F.count(F.lit(1)).alias("results"))
+    asked = report.sparkSession.createDataFrame([(s.id,) for s in shapes if not s.deactivated], "shape string")
+    out = asked.join(counted, "shape", "left")
+    return out.select("shape", F.coalesce("conforms", F.lit(True)).alias("conforms"), F.coalesce("foci", F.lit(0)).alias("foci"), F.coalesce("results", F.lit(0)).alias("results"))
+
+
 # --- differences
 
 
@@ -370,23 +387,74 @@ def repair(diffs: DataFrame, path_terms: dict[str, str], namespace: str) -> Data
     return links.unionByName(kinds).unionByName(own).distinct()
 
 
-def repair_templates(diffs: DataFrame, path_terms: dict[str, str], lookup: Callable[[str | None, str], Template | None] = lambda library, name: None) -> tuple[dict[str, Template], DataFrame]:
+def needed(shape: Shape, node: str, fresh: Iterator[int]) -> list[tuple[str, str, str]] | None:
+    """The fewest triples that make a new or bare node conform, with parameters for the nodes to be made; none if they cannot be told.
+
+    Of alternatives, nested ones included, the one with the fewest triples is taken, the first of several.
+    """
+    out: list[tuple[str, str, str]] = []
+    low = max([*shape.get("minCount"), *[q[1] or 0 for q in shape.get("qualified")], 0])
+    fixed = shape.get("hasValue")
+    if shape.path is None:
+        out += [(node, A, c) for c in shape.get("class")]
+        parts = shape.get("node") + shape.get("property") + [s for ms in shape.get("and") for s in ms]
+        inner = [needed(s, node, fresh) for s in parts]
+        if None in inner or shape.get("not") or shape.get("sparql") or fixed and fixed != [node]:
+            return None
+        for members in shape.get("or") + shape.get("xone"):
+            choices = [x for x in (needed(m, node, fresh) for m in members) if x is not None]
+            if not choices:
+                return None
+            inner.append(min(choices, key=len))
+        return [*dict.fromkeys(out + [t for x in inner for t in x])]
+    if not low and not fixed:
+        return []
+    if not isinstance(shape.path, str):
+        return None
+    out += [(node, shape.path, v) for v in fixed]
+    values = Shape(shape.id, constraints=tuple(c for c in shape.constraints if c[0] in ("class", "node", "and", "or", "xone", "not", "property")))
+    inner = [s for s, n, _ in shape.get("qualified") if n]
+    allowed = next(iter(shape.get("in")), ())
+    for k in range(low - len(fixed)):
+        if shape.get("in") or shape.get("datatype"):
+            if k >= len(allowed):
+                return None
+            out.append((node, shape.path, allowed[k]))
+            continue
+        new = param(f"new{next(fresh)}")
+        out.append((node, shape.path, new))
+        for s in (values, *inner):
+            more = needed(s, new, fresh)
+            if more is None:
+                return None
+            out += more
+    return out
+
+
+def repair_templates(diffs: DataFrame, path_terms: dict[str, str], lookup: Callable[[str | None, str], Template | None] = lambda library, name: None, shapes: Sequence[Shape] = ()) -> tuple[dict[str, Template], DataFrame]:
     """(templates by name, (focus, templates)): what each focus needs to have its differences settled.
 
     Differences of one kind, path, count and class share a template, so there are at most as many as
     constraints.  Its parameters are ``focus`` and one for each node to be made; a node that has to
     conform to a shape depends on the template of the shape's name, if ``lookup`` knows one.  A count
-    of the whole graph has a template without ``focus``, and a null focus.  Alternatives, which leave a
-    choice, and differences on paths that ``path_terms`` does not name are left to the caller.
+    of the whole graph has a template without ``focus``, and a null focus.  Of alternatives that ``shapes`` has,
+    the one that takes the fewest new triples is built; without it, and on paths that ``path_terms`` does not
+    name, differences are left to the caller.
     """
-    key = ["kind", "path", "min_count", "classname", "shapename"]
-    found = cut(diffs.where(F.col("kind").isin("PathClassCount", "PathShapeCount", "RequiredPath", "RequiredClass", "GraphClassCardinality")).select("focus", *key).distinct())
+    key = ["kind", "path", "min_count", "classname", "shapename", "shapes"]
+    kinds = ("PathClassCount", "PathShapeCount", "RequiredPath", "RequiredClass", "GraphClassCardinality", "OrShape")
+    found = cut(diffs.where(F.col("kind").isin(*kinds)).select("focus", *key).distinct())
+    choices = {tuple(text_of(m.id) for m in members): members for s in _flat(shapes) if s.path is None for members in s.get("or")}
     here, out, names = param("focus"), {}, []
     # one row for each constraint of the driver's shapes
     for r in sorted(found.select(*key).distinct().collect(), key=lambda r: [str(x) for x in r]):
         name, body, needs = f"repair{len(names)}", [], []
         if r.kind == "RequiredClass":
             body.append((here, A, r.classname))
+        elif r.kind == "OrShape":
+            members = choices.get(tuple(r.shapes or ()))
+            ways = [x for x in (needed(m, here, count()) for m in members or ()) if x]
+            body += min(ways, key=len) if ways else []
         elif r.kind != "GraphClassCardinality" and r.path not in path_terms:
             continue
         else:
@@ -399,7 +467,7 @@ def repair_templates(diffs: DataFrame, path_terms: dict[str, str], lookup: Calla
         if body:
             out[name] = Template(name, tuple(body), frozenset(), tuple(needs), lookup)
             names.append((name, *r))
-    table = diffs.sparkSession.createDataFrame(names, "template string, _kind string, _path string, _min_count int, _classname string, _shapename string")
+    table = diffs.sparkSession.createDataFrame(names, "template string, _kind string, _path string, _min_count int, _classname string, _shapename string, _shapes array<string>")
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
     return out, found.join(F.broadcast(table), same).groupBy("focus").agg(F.sort_array(F.collect_set("template")).alias("templates"))
 

@@ -143,6 +143,10 @@ class Template:
         if any(p not in have for p in needed):
             raise ValueError(f"{self.name} needs bindings for {[p for p in needed if p not in have]}")
         rows = bindings.dropna(subset=[f"`{prefix}{p}`" for p in needed]) if needed else bindings
+        return rows.select(F.inline(self.triples(have, only))).dropna().dropDuplicates()
+
+    def triples(self, have: dict[str, Column], only: set[str] | None = None) -> Column:
+        """The body as an array of (s, p, o), from the parameters' columns: one pass over the rows, however many triples it has."""
         key = F.sha2(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for _, c in sorted(have.items())]), 256)
 
         def col(t: str) -> Column:
@@ -150,9 +154,7 @@ class Template:
                 return have.get(param_name(t), F.lit(None).cast("string"))
             return F.concat(F.lit(f"{t}-"), F.substring(key, 1, 16)) if t.startswith("_:") else F.lit(t)
 
-        # one pass over the bindings, however many triples the body has
-        made = F.array(*[F.struct(col(s).alias("s"), col(p).alias("p"), col(o).alias("o")) for s, p, o in self.body if only is None or p in only])
-        return rows.select(F.inline(made)).dropna().dropDuplicates()
+        return F.array(*[F.struct(col(s).alias("s"), col(p).alias("p"), col(o).alias("o")) for s, p, o in self.body if only is None or p in only])
 
     def complete(self, bindings: DataFrame, require_optional: bool = False) -> Column:
         """Whether a row binds all that is needed."""
@@ -163,7 +165,7 @@ class Template:
     def fill(self, bindings: DataFrame, namespace: str, key: Column, include_optional: bool = False) -> DataFrame:
         """Missing and null parameters get names minted from ``key``: ``<namespace><parameter>_<8 hex>``."""
         for p in sorted(self.parameters if include_optional else self.parameters - self.optional):
-            mint = F.concat(F.lit(f"<{namespace}{p}_"), F.substring(F.md5(F.concat_ws("\x1f", key.cast("string"), F.lit(p))), 1, 8), F.lit(">"))
+            mint = _minted(namespace, p, key)
             bindings = bindings.withColumn(p, F.coalesce(F.col(f"`{p}`"), mint) if p in bindings.columns else mint)
         return bindings
 
@@ -193,25 +195,44 @@ class Template:
         return replace(self, dependencies=tuple(d for d in self.dependencies if d.template != template or args not in (None, d.args)))
 
 
+def _minted(namespace: str, p: str, key: Column) -> Column:
+    return F.concat(F.lit(f"<{namespace}{p}_"), F.substring(F.md5(F.concat_ws("\x1f", key.cast("string"), F.lit(p))), 1, 8), F.lit(">"))
+
+
 # --- templates from specifications
 
-#: Predicates that the short rules of a specification stand for; (rule, predicate in the given namespace).
+# Predicates that the short rules of a specification stand for, and the vocabularies of network references.
+#: (rule, predicate in the given namespace)
 RULES = {"hasPoint": "hasPoint", "hasPart": "hasPart", "upstream": "isFedBy", "downstream": "feeds"}
+NETWORK = "http://data.ashrae.org/bacnet/2020#"
+REFERENCES = "https://brickschema.org/schema/Brick/ref#"
 
 
 def from_spec(name: str, spec: dict, read_turtle: Callable[[str], list[Triple]], namespace: str, lookup=lambda library, name: None) -> Template:
-    """A template from a mapping: ``body`` (Turtle), ``type``, the rules of RULES, ``optional``, ``dependencies``."""
+    """A template from a mapping: ``body`` (Turtle), ``type``, the rules of RULES, ``bacnet``, ``optional``, ``dependencies``.
+
+    A rule of RULES names parameters, in a list or as a mapping to their types.  ``bacnet`` names those that
+    get a network reference: an object of their own, ``<parameter>_object``, on one device.
+    """
     body: list[Triple] = []
-    here = param("name")
+    here, device = param("name"), param("BACnet_device")
     for rule, value in spec.items():
         if rule in ("optional", "dependencies"):
             continue
+        named = value if isinstance(value, (list, dict)) else [value]
         if rule == "body":
             body += read_turtle(value)
         elif rule == "type":
             body.append((here, A, value if value.startswith("<") else f"<{value}>"))
         elif rule in RULES:
-            body += [(here, f"<{namespace}{RULES[rule]}>", param(v)) for v in (value if isinstance(value, list) else [value])]
+            if isinstance(named, dict):
+                body += [(param(v), A, kind if kind.startswith("<") else f"<{kind}>") for v, kind in named.items()]
+            body += [(here, f"<{namespace}{RULES[rule]}>", param(v)) for v in named]
+        elif rule == "bacnet":
+            body.append((device, A, f"<{NETWORK}BACnetDevice>"))
+            for v in named:
+                node = f"_:network-{v}"
+                body += [(param(v), f"<{REFERENCES}hasExternalReference>", node), (node, f"<{NETWORK}object-identifier>", param(f"{v}_object")), (node, f"<{NETWORK}objectOf>", device)]
         else:
             raise ValueError(f"unknown rule {rule} in template {name}")
     needs = tuple(Dependency(d["template"], dict(d.get("args", {})), d.get("library")) for d in spec.get("dependencies", ()))
@@ -237,10 +258,19 @@ def ingest(template: Template, records: DataFrame, namespace: str, mapper: Calla
 
 
 def choose(records: DataFrame, route: Column, templates: dict[str, Template], namespace: str, key: Column) -> DataFrame:
-    """Each record through the template that ``route`` names, unbound parameters filled; records without one are left out."""
+    """Each record through the template that ``route`` names, unbound parameters filled; records without one are left out.
+
+    One pass over the records: each makes the array of triples of its own template.
+    """
+    made = None
+    for name, t in templates.items():
+        flat = t.inline()
+        have = {p: term_of(F.col(f"`{p}`").cast("string"), namespace) for p in flat.parameters if p in records.columns}
+        have |= {p: F.coalesce(have[p], _minted(namespace, p, key)) if p in have else _minted(namespace, p, key) for p in flat.parameters - flat.optional}
+        own = flat.triples(have)
+        made = F.when(F.col("_route") == name, own) if made is None else made.when(F.col("_route") == name, own)
     routed = records.withColumn("_route", route)
-    parts = [ingest(t, routed.where(F.col("_route") == name).drop("_route"), namespace, fill_unused=True, key=key) for name, t in templates.items()]
-    return reduce(DataFrame.unionByName, parts).dropDuplicates()
+    return routed.select(F.inline(made)).dropna().dropDuplicates()
 
 
 def label_untitled(g: DataFrame) -> DataFrame:
