@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from .operators import extract, graph, infer, match, validate
 from .plans.shapes import Shape, ShapeGraph
 from .plans.template import Dependency, Template, from_spec
-from .sources import ntriples, turtle
+from .sources import files, turtle
+from .sources.snapshots import Folder, GraphTable, Transaction
 from .terms import A, BAD_IRI, IMPORTS, ONTOLOGY, OWL, RDFS, SH, iri, literal, param, text_of
 
 
@@ -58,6 +60,8 @@ class Engine:
         self.spark, self.path = spark, path
         self.models: dict[str, Model] = {}
         self.libraries: dict[str, Library] = {}
+        self.table = GraphTable(spark, path)
+        self._open: Transaction | None = None
 
     # --- the catalog as a table
 
@@ -75,6 +79,9 @@ class Engine:
         """Adds the metadata as a new version, which is whole once it is there; the number of that version."""
         before = self._versions(self.spark, self.path)
         version = 1 + ((before.agg(F.max("version")).first()[0] or 0) if before is not None else 0)
+        claims = Folder(self.spark, f"{self.path}-catalog-claims")
+        while not claims.create(f"{version:012d}", ""):  # two that save at once get versions of their own
+            version += 1
         rows = [(version, "catalog", "", "")]
         for m in self.models.values():
             rows.append((version, "model", m.name, json.dumps({"graph_id": m.graph_id, "description": m.description, "manifest": m.manifest})))
@@ -137,9 +144,8 @@ class Engine:
         return m
 
     def model_from_file(self, path: str) -> Model:
-        """N-Triples are read in parallel, anything else as Turtle by the driver."""
-        g = ntriples.read(self.spark, path) if path.endswith((".nt", ".nq")) else self.frame(turtle.read(Path(path).read_text()))
-        return self.model_from_graph(g)
+        """A file of any format that ``files`` reads, or all files of a folder; no triple passes through the driver."""
+        return self.model_from_graph(graph.cut(files.read(self.spark, path)))
 
     def model(self, name: str) -> Model:
         if name not in self.models:
@@ -147,16 +153,48 @@ class Engine:
         return self.models[name]
 
     def graph(self, m: Model) -> DataFrame:
-        return ntriples.load(self.spark, self.path, m.graph_id)
+        """The model's triples, inside a transaction with what it has changed so far."""
+        return (self._open or self.table).load(m.graph_id)
 
     def add(self, m: Model, g: DataFrame) -> None:
-        ntriples.append(g, m.graph_id, self.path)
+        with self._writing() as t:
+            t.append(m.graph_id, g)
 
     def replace(self, m: Model, g: DataFrame) -> None:
-        ntriples.replace(graph.cut(g), m.graph_id, self.path)
+        with self._writing() as t:
+            t.replace(m.graph_id, g)
+
+    @contextmanager
+    def _writing(self) -> Iterator[Transaction]:
+        """The open transaction, or one of its own for a single change."""
+        if self._open is not None:
+            yield self._open
+        else:
+            with self.table.transaction() as t:
+                yield t
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """All changes of graphs and metadata inside are made together; an error takes all of them back."""
+        if self._open is not None:
+            raise ValueError("a transaction is open")
+        models, libraries = dict(self.models), {k: replace(lib, templates=dict(lib.templates), shapes=list(lib.shapes)) for k, lib in self.libraries.items()}
+        manifests = {k: list(m.manifest) for k, m in models.items()}
+        try:
+            with self.table.transaction() as t:
+                self._open = t
+                yield
+        except BaseException:
+            self.models, self.libraries = models, libraries
+            for k, m in models.items():
+                m.manifest = manifests[k]
+            raise
+        finally:
+            self._open = None
 
     def delete_model(self, name: str) -> None:
-        ntriples.delete(self.spark, self.models.pop(self.model(name).name).graph_id, self.path)
+        with self._writing() as t:
+            t.delete(self.models.pop(self.model(name).name).graph_id)
 
     # --- libraries
 
@@ -191,16 +229,16 @@ class Engine:
         return lib.templates[name]
 
     def load_directory(self, path: str, prefixes: dict[str, str], namespace: str, infer_templates: bool = False) -> Library:
-        """All YAML files are templates and all Turtle files shapes; a library of the same name is replaced."""
+        """All YAML files are templates, all Turtle and RDF/XML files shapes; a library of the same name is replaced."""
         import yaml
 
         root = Path(path)
         lib = self.create_library(root.name)
-        files = [f for f in sorted(root.rglob("*")) if ".ipynb_checkpoints" not in f.parts]
-        for f in files:
-            if f.suffix in (".ttl", ".n3"):
-                lib.shapes += turtle.read(f.read_text())
-        for f in files:
+        found = [f for f in sorted(root.rglob("*")) if ".ipynb_checkpoints" not in f.parts]
+        for f in found:
+            if f.suffix in (".ttl", ".n3", ".rdf", ".xml"):
+                lib.shapes += files.parse(str(f), f.read_bytes())
+        for f in found:
             if f.suffix in (".yml", ".yaml"):
                 for name, spec in (yaml.safe_load(f.read_text()) or {}).items():
                     self.add_template(lib.name, name, spec, prefixes, namespace)
@@ -225,7 +263,7 @@ class Engine:
             if set(e) == {"directory"}:
                 out.append(self.load_directory(e["directory"], prefixes, namespace))
             elif set(e) == {"ontology"}:
-                out.append(self.load_ontology(turtle.read(Path(e["ontology"]).read_text())))
+                out.append(self.load_ontology(list(files.parse(e["ontology"], Path(e["ontology"]).read_bytes()))))
             else:
                 raise ValueError(f"cannot load {e}: only directories and ontology files can be read here")
         return out

@@ -9,9 +9,10 @@ _TERM = r'(<[^>]*>|_:[^\s]+|"[^"\\]*+(?:\\.[^"\\]*+)*+"(?:\^\^<[^>]*>|@[A-Za-z0-
 LINE = rf"^\s*{_TERM}\s+(<[^>]*>)\s+{_TERM}\s*\.\s*(?:#.*)?$"
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The triples of N-Triples files; lines that are neither triples, comments nor blank raise when read."""
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+def read(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+    """The triples of N-Triples files (``only``: of a folder's, nested ones included, whose names fit); lines that are neither triples, comments nor blank raise when read."""
+    reader = spark.read if only is None else spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", only)
+    lines = reader.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
     bad = F.raise_error(F.concat(F.lit("not a triple: "), "value"))
     checked = lines.select(F.when(F.col("value").rlike(LINE), F.col("value")).otherwise(bad).alias("v"))
     return checked.select(*[F.regexp_extract("v", LINE, k).alias(c) for k, c in ((1, "s"), (2, "p"), (3, "o"))]).dropDuplicates()

@@ -47,14 +47,7 @@ def bacnet(records: DataFrame) -> DataFrame:
 
 
 def from_xlsx(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(rtype, fields) from every sheet, the first row being the header; at most ``limit`` - 2 rows of each sheet."""
-    try:
-        import openpyxl
-    except ImportError as e:
-        raise RuntimeError("reading XLSX files needs openpyxl") from e
-    rows = []
-    for sheet in openpyxl.load_workbook(path, read_only=True).worksheets:
-        head, *body = list(sheet.iter_rows(values_only=True)) or [()]
-        for r in body[: max(0, limit - 2)] if limit else body:
-            rows.append((sheet.title, {str(k): None if v is None else str(v) for k, v in zip(head, r)}))
-    return spark.createDataFrame(rows, "rtype string, fields map<string,string>")
+    """(rtype, fields) from every sheet of a workbook or of a folder's, the first row being the header; at most ``limit`` - 2 rows of each sheet."""
+    from .files import workbooks
+
+    return workbooks(spark, path, limit)
