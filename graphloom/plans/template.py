@@ -249,9 +249,11 @@ def ingest(template: Template, records: DataFrame, namespace: str, mapper: Calla
     """
     flat = template.inline()
     wanted = {mapper(c): c for c in records.columns if mapper(c) in flat.parameters}
+    told = key if key is not None else F.concat_ws("\x1f", *[F.col(f"`{c}`").cast("string") for c in records.columns])
+    records = records.withColumn("_key", told)  # of the record as it came, not of its terms
     b = records.select("*", *[term_of(F.col(f"`{c}`").cast("string"), namespace).alias(p) for p, c in wanted.items() if p != c]).withColumns({p: term_of(F.col(f"`{c}`").cast("string"), namespace) for p, c in wanted.items() if p == c})
     if fill_unused:
-        b = flat.fill(b, namespace, key if key is not None else F.concat_ws("\x1f", *[F.col(f"`{c}`").cast("string") for c in records.columns]))
+        b = flat.fill(b, namespace, F.col("_key"))
     elif not b.where(~flat.complete(b, require_optional)).isEmpty():
         raise ValueError(f"some records leave parameters of {template.name} unbound")
     return flat.graph(b, require_optional=require_optional and not fill_unused)
