@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import expressions as X
 from .functions import labels as L
-from .operators import algebra, closure, extract, graph, infer, match, validate
+from .operators import algebra, closure, encoding, extract, graph, infer, match, validate
 from .plans.shapes import Shape, ShapeGraph, all_of, any_of, negation, one_of, sh
 from .plans.template import Dependency, Template, bindings_from_json, choose, ingest, label_untitled
 from .sources import records, turtle
@@ -1117,6 +1117,27 @@ def graph_identity(spark, d):
     return spark.createDataFrame(rows, f"n_regionkey {n.schema['n_regionkey'].dataType.simpleString()}, same boolean")
 
 
+# --- graphs with numbers for terms
+
+
+@query("SELECT o_orderkey::VARCHAR AS o, c_custkey::VARCHAR AS c, c_nationkey::VARCHAR AS n FROM orders JOIN customer ON o_custkey = c_custkey")
+def encoded_join(spark, d):
+    """A join of patterns over numbers; the texts of its solutions are met at the end."""
+    e = encoding.Encoded.of(graph.union(customers(spark, d), orders(spark, d)))
+    rows = e.decode(e.bgp(("?o", PLACED_BY, "?c"), ("?c", IN_NATION, "?n")))
+    return rows.select(*[F.regexp_extract(c, "/([0-9]+)>$", 1).alias(c) for c in rows.columns])
+
+
+@query(f"""WITH {_C} SELECT replace(s, '{U}customer/', '{U}client/') AS s, CASE p WHEN '{U}segment' THEN '{U}market' ELSE p END AS p,
+CASE o WHEN '{U}nation/1' THEN '{U}land/1' ELSE o END AS o FROM customers WHERE o <> 'MACHINERY'""")
+def encoded_replace(spark, d):
+    """Subjects, a predicate and an object get other names: the dictionary changes, not the triples."""
+    g = customers(spark, d).where(F.col("o") != literal("MACHINERY"))
+    named = table(spark, d, "customer").select(ref("customer", "c_custkey").alias("old"), ref("client", "c_custkey").alias("new"))
+    more = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a, b in ((SEGMENT, iri(f"{U}market")), (iri(f"{U}nation/1"), iri(f"{U}land/1")))])).alias("x")).select("x.*")
+    return said(encoding.Encoded.of(g).replaced(named.unionByName(more)).graph())
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Which orders have no line item, and why that is wrong."""
     return diff_reasons(spark, d)
