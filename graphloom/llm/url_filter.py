@@ -14,7 +14,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii
+from .common import SMALL, cut, lookup, lower_ascii
 
 BLOCKED = "label=block"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -62,7 +62,8 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> Data
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Distinct token sets (column ``tokens``) with the highest confidence of a rule all of whose tokens they have."""
     sets = urls.select("tokens").distinct()
-    hit = sets.select("tokens", F.explode("tokens").alias("rarest")).join(rules, "rarest").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
+    filed = F.broadcast(rules) if rules.count() <= SMALL else rules  # a token of every URL then gathers nothing in one task
+    hit = sets.select("tokens", F.explode("tokens").alias("rarest")).join(filed, "rarest").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
     return hit.groupBy("tokens").agg(F.max("confidence").alias("confidence"))
 
 
@@ -81,7 +82,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     if taught.where("bad").isEmpty():
         out = out.withColumn("confidence", F.lit(None).cast("double"))
     else:
-        found = match(p, cut(mine(taught, min_support, min_confidence)))
-        out = out.join(found, "tokens", "left")
+        found = cut(match(p, cut(mine(taught, min_support, min_confidence))))
+        out = lookup(out, found, "tokens", "page_id")
     mined = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce(F.col("_r.verdict"), mined).alias("verdict"), "confidence")
