@@ -20,36 +20,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import others, with_text
+from .common import cut, others, with_text
 from .fm_index import FMIndex
-from .textbytes import ALNUM_WORDS, find_words, hash_words, text_slices
+from .textbytes import ALNUM_WORDS, find_words, hash_words, text_slices, within
 
 WINDOW = 10
 #: Text bytes indexed as one shard.
 SHARD_BYTES = 1 << 23
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 22
 
 
 class Phrases:
-    """The distinct test phrases: their words, and the items that each belongs to."""
+    """The distinct test phrases as rows of word symbols, and the items that each belongs to, all in arrays.
+
+    ``groups`` has for each length (length, symbols by phrase, first, owners): phrase p belongs to the items
+    ``owners[first[p] : first[p + 1]]``, places in ``items``, which are sorted as strings.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            data = np.frombuffer(text or b"", np.uint8)
-            starts, ends, _ = find_words(data, np.array([0, len(data)]), ALNUM_WORDS)
-            words = hash_words(data, starts, ends, fold=True).tolist()
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + window]), set()).add(item)
-        self.vocabulary = np.unique(np.array([w for p in found for w in p], np.uint64))
-        self.groups = []  # (length, symbols by phrase, items by phrase)
-        for length in sorted({len(p) for p in found}):
-            some = sorted(p for p in found if len(p) == length)
-            symbols = np.searchsorted(self.vocabulary, np.array(some, np.uint64)) + 1
-            self.groups.append((length, symbols.astype(np.int64), [sorted(found[p]) for p in some]))
+        items = sorted(items, key=lambda x: x[0])
+        self.items = list(dict.fromkeys(i for i, _ in items))
+        place = {i: k for k, i in enumerate(self.items)}
+        of_row = np.array([place[i] for i, _ in items], np.int32)
+        data = np.frombuffer(b"".join(t or b"" for _, t in items), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(t or b"") for _, t in items])]).astype(np.int64)
+        starts, ends, first = find_words(data, offsets, ALNUM_WORDS)
+        self.vocabulary, symbols = np.unique(hash_words(data, starts, ends, fold=True), return_inverse=True)
+        symbols = (symbols + 1).astype(np.int32)
+        counts = np.diff(first)
+        self.groups = []
+        for length in range(1, window + 1):
+            at = within(first, window) if length == window else first[:-1][counts == length]
+            if len(at):
+                row = np.searchsorted(first, at, "right") - 1
+                self.groups.append((length, *_distinct(symbols[at[:, None] + np.arange(length)], of_row[row])))
         self.shortest = self.groups[0][0] if self.groups else 0
 
 
+def _distinct(phrases: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows in order, where each row's owners begin, and the owners, each once a row."""
+    order = np.lexsort((owners, *phrases.T[::-1]))
+    phrases, owners = phrases[order], owners[order]
+    new = np.ones(len(phrases), bool)
+    new[1:] = (phrases[1:] != phrases[:-1]).any(1)
+    once = new.copy()
+    once[1:] |= owners[1:] != owners[:-1]
+    first = np.append(np.flatnonzero(new[once]), once.sum())
+    return phrases[new], first, owners[once]
+
+
 def search_shard(symbols: np.ndarray, first_word: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, list[tuple[int, str]]]:
     """Which words lie inside an occurrence of a phrase, and the (row, item) pairs that occur."""
     n = len(symbols)
@@ -80,7 +99,7 @@ def search_shard(symbols: np.ndarray, first_word: np.ndarray, phrases: Phrases)
     used, dense = np.unique(np.append(text, 0), return_inverse=True)
     index = FMIndex(dense[:-1])
     edge = np.zeros(n + 1, np.int64)
-    for length, pats, items in phrases.groups:
+    for length, pats, first_owner, owners in phrases.groups:
         at = np.minimum(np.searchsorted(used, pats), len(used) - 1)
         mine = np.where(used[at] == pats, at, -1)
         lo, hi = index.search(mine)
@@ -95,7 +114,7 @@ def search_shard(symbols: np.ndarray, first_word: np.ndarray, phrases: Phrases)
         np.add.at(edge, where + length, -1)
         row = np.searchsorted(first_word, where, "right") - 1
         for r, p in set(zip(row.tolist(), which.tolist())):
-            pairs.update((r, item) for item in items[p])
+            pairs.update((r, phrases.items[k]) for k in owners[first_owner[p] : first_owner[p + 1]].tolist())
     hit = np.cumsum(edge[:-1]) > 0
     return hit, sorted(pairs)
 
@@ -167,6 +186,8 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
     blocks = max(1, -(-total // block_bytes))
     out = docs.select(others(docs, text_col).alias("_row"), F.col(text_col).cast("binary").alias("_text"), F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<int>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
     for b in range(blocks):
+        if b:  # a task then holds the phrases of one block only
+            out = cut(out)
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b) if blocks > 1 else items
         phrases = Phrases([(r["item"], bytes(r["text"])) for r in block.collect()], window)
         out = out.mapInArrow(_pass(phrases, "_text", shard_bytes), out.schema)
@@ -174,7 +195,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", win
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256 (ids sorted as strings), contaminated."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256 (ids sorted as strings), contaminated.
+
+    Null and empty texts have no words and are not contaminated; rows that share an id are told apart and judged
+    alike; an item that stands twice counts once, and one of no words never.  Empty tables give no rows.
+    """
     f = find_hits(docs.select(id_col, text_col), benchmark.select("item_id", "text"), text_col)
     n_hit = (F.size("_hits") / 3).cast("bigint")
     return f.select(F.col(f"_row.{id_col}").alias("doc_id"), F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("_items").cast("bigint").alias("n_items"), F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
@@ -207,7 +232,11 @@ def _cut_spans(column: str):
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the merged spans of test passages cut from the texts; all rows and columns are kept."""
+    """``docs`` with the merged spans of test passages cut from the texts; all rows and columns are kept.
+
+    A null text stays null, a text that is all passage becomes empty; what stands between two words of a passage
+    goes with it.  An empty test set or table changes nothing.
+    """
     f = find_hits(docs, benchmark, text_col)
     f = f.mapInArrow(_cut_spans("_text"), f.schema)
     return f.select(*with_text(docs, "_row", text_col, F.col("_text").cast("string")))
