@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1138,6 +1139,37 @@ def encoded_replace(spark, d):
     return said(encoding.Encoded.of(g).replaced(named.unionByName(more)).graph())
 
 
+# --- parts of a template
+
+
+def _status_matcher(spark, d):
+    g = orders(spark, d).where(F.col("p").isin(PLACED_BY, STATUS))
+    t = Template("finished", ((param("name"), STATUS, literal("F")), (param("name"), PLACED_BY, param("who"))))
+    return match.Matcher(t, g, places(spark, d), check_predicates=True)
+
+
+@query(f"""SELECT 3 AS nodes, '{U}placedBy {U}status' AS edges, count(*) AS n FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT 2, '{U}status', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 2, '{U}placedBy', count(*) FROM orders""")
+def match_every_part(spark, d):
+    """All parts of a template that match, from the whole down to two nodes, and how often each does."""
+    m = _status_matcher(spark, d)
+    parts_of = []
+    for nodes, rows in m.all():
+        said_edges = " ".join(sorted(p[1:-1] for s, p, o in m.edges if s in nodes and o in nodes))
+        parts_of.append(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(len(nodes)).alias("nodes"), F.lit(said_edges).alias("edges"), "n"))
+    return reduce(DataFrame.unionByName, parts_of)
+
+
+@query(f"""SELECT '{U}order/' || o_orderkey AS name, '{U}customer/' || o_custkey AS who FROM orders
+WHERE o_custkey = (SELECT min(o_custkey) FROM orders WHERE o_orderstatus = 'F') AND o_orderstatus = 'F'""")
+def match_about_a_node(spark, d):
+    """The largest part of a template that matches with a given node in it: the first customer with a finished order."""
+    first = table(spark, d, "orders").where("o_orderstatus = 'F'").agg(F.min("o_custkey")).first()[0]
+    m = _status_matcher(spark, d)
+    nodes, rows = m.best(iri(f"{U}customer/{first}"))
+    return rows.select(*[plain(F.col(f"n{m.nodes.index(param(p))}")).alias(p) for p in ("name", "who")])
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Which orders have no line item, and why that is wrong."""
     return diff_reasons(spark, d)

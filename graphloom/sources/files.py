@@ -19,7 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from ..terms import A, RDF, literal
-from . import ntriples, turtle
+from . import ntriples
+from .turtle import read as read_turtle  # a function goes to the tasks by value, a module would not
 
 # tasks need no copy of this package on the executors
 cloudpickle.register_pickle_by_value(sys.modules["graphloom"])
@@ -133,7 +134,7 @@ def parse(path: str, body: bytes) -> Iterator[tuple[str, str, str]]:
         if format_of(path, body[:200]) == "xml":
             yield from XmlReader(body, path)
         else:
-            yield from turtle.read(body.decode("utf-8-sig"))
+            yield from read_turtle(body.decode("utf-8-sig"))
     except (ValueError, ElementTree.ParseError) as e:
         raise ValueError(f"{path}: {e}") from e
 
