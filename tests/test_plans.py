@@ -76,24 +76,27 @@ def test_lexical_reads_escapes(spark):
 
 
 def test_parameters_and_dependencies():
+    """A cart of two wheels, whose hubs are bolts; the right wheel shares the left one's node as its rim."""
     known = {}
-    known |= {"fan": t("fan", "speed", known=known), "ahu": t("ahu", "sf", deps=[("fan", {"name": "sf"})], known=known)}
-    ahu = known["ahu"]
-    assert ahu.parameters == {"name", "sf"} and ahu.dependency_parameters == {"name", "speed"}
-    assert ahu.transitive_parameters() == {"name", "sf", "sf-speed"}
-    assert ahu.parameter_counts()["name"] == 2 and ahu.dependency_for("sf").name == "fan"
-    ahu.check()
-    with pytest.raises(ValueError):
-        t("bad", "x", deps=[("fan", {"speed": "x"})], known=known).check()
-    with pytest.raises(ValueError):
-        t("bad", "x", deps=[("fan", {"name": "y"})], known=known).check()
+    known["bolt"] = t("bolt", "thread", known=known)
+    known["wheel"] = t("wheel", "rim", "hub", deps=[("bolt", {"name": "hub"})], known=known)
+    cart = known["cart"] = t("cart", "left", "right", deps=[("wheel", {"name": "left"}), ("wheel", {"name": "right", "rim": "left"})], known=known)
+    cart.check()
+    assert cart.parameters == {"name", "left", "right"} and cart.dependency_parameters == {"name", "rim", "hub"}
+    assert cart.transitive_parameters() == {"name", "left", "right", "left-rim", "left-hub", "left-hub-thread", "right-hub", "right-hub-thread"}
+    assert cart.parameter_counts() == {"name": 5, "left": 1, "right": 1, "rim": 2, "hub": 2, "thread": 2}
+    assert cart.dependency_for("right").name == "wheel" and known["wheel"].dependency_for("rim") is None
+    for wrong in ({"rim": "left"}, {"name": "nowhere"}, {"name": "left", "spoke": "right"}):
+        with pytest.raises(ValueError):
+            t("sledge", "left", "right", deps=[("wheel", wrong)], known=known).check()
     with pytest.raises(Unresolved):
-        t("bad", "x", deps=[("gone", {"name": "x"})], known=known).inline()
-    known["loop"] = t("loop", "x", deps=[("loop", {"name": "x"})], known=known)
+        t("sledge", "runner", deps=[("runner", {"name": "runner"})], known=known).inline()
+    known["chain"] = t("chain", "link", deps=[("ring", {"name": "link"})], known=known)
+    known["ring"] = t("ring", "link", deps=[("chain", {"name": "link"})], known=known)
     with pytest.raises(Unresolved):
-        known["loop"].inline()
-    assert {p for p in ahu.to_inline(["name"]).parameters} == {"name", "sf-ahu-inlined"}
-    assert ahu.to_inline().to_inline().parameters == ahu.to_inline().parameters
+        known["chain"].inline()
+    once = cart.to_inline(["name", "left"])
+    assert once.parameters == {"name", "left", "right-cart-inlined"} and once.to_inline(["name", "left"]).parameters == once.parameters
 
 
 def test_inlining_optionality():
