@@ -44,7 +44,11 @@ class Matcher:
         wanted = table(checked, "edge int, _p string")
         # the predicate or one below it: as many rows as the ontology has properties below the template's
         below = wanted.unionByName(wanted.join(self.up, F.col("_p") == F.col("ancestor")).where(F.col("_p") != A).select("edge", F.col("child").alias("_p"))).distinct()
-        triples = self.g.select("s", "p", "o").distinct()
+        source = self.g.select("s", "p", "o")
+        few = None if free else [r._p for r in below.select("_p").distinct().limit(1001).collect()]
+        if few is not None and len(few) <= 1000:  # a plain list of predicates reaches the sources of the graph
+            source = source.where(F.col("p").isin(few))
+        triples = source.distinct()
         raw = triples.join(F.broadcast(below) if below.count() <= SMALL else below, F.col("p") == F.col("_p")).select("edge", "s", "p", "o")
         if free:
             raw = raw.unionByName(triples.select(F.explode(F.array(*[F.lit(k) for (k,) in free])).alias("edge"), "s", "p", "o"))
