@@ -246,11 +246,22 @@ class Engine:
             self.infer_templates(lib)
         return lib
 
-    def load_ontology(self, triples: list[tuple[str, str, str]], infer_templates: bool = False) -> Library:
+    def load_ontology(self, triples: list[tuple[str, str, str]], infer_templates: bool = False, overwrite: bool = True, run_rules: bool = False) -> Library:
+        """A library of an ontology's shapes, named by it.
+
+        Without ``overwrite`` one that is there stays as it is; with ``run_rules`` the ontology gets what its own rules
+        make of it.  An ontology is metadata: its triples are held by the driver.
+        """
         names = {s for s, p, o in triples if p == A and o == ONTOLOGY}
         if len(names) > 1:
             raise ValueError("the graph declares several ontologies")
-        lib = self.create_library(text_of(names.pop()) if names else "urn:unnamed/")
+        name = text_of(names.pop()) if names else "urn:unnamed/"
+        if name in self.libraries and not overwrite:
+            return self.libraries[name]
+        if run_rules and (rules := infer.rules_of(ShapeGraph(list(triples)))):
+            g = self.frame(triples)
+            triples = [*triples, *(tuple(r) for r in graph.difference(infer.fixpoint(g, rules), g).select("s", "p", "o").collect())]
+        lib = self.create_library(name)
         lib.shapes = list(triples)
         if infer_templates:
             self.infer_templates(lib)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -196,6 +197,19 @@ class Matcher:
         left = self.template.evaluate(terms, require_optional=True)
         return left if isinstance(left, Template) else None
 
+    def completed(self, nodes: list[str], mappings: DataFrame, namespace: str) -> DataFrame:
+        """The triples that the template still lacks, for all mappings of a part at once.
+
+        What ``remaining`` says of one mapping is filled for each: bound parameters stand for what they are
+        mapped to, required ones that are not get names minted from the mapping, optional ones are left out.
+        """
+        bound = {param_name(n): self._name(n) for n in nodes if is_param(n)}
+        covered = set(self._within(nodes))
+        left = replace(self.template, body=tuple(x for x in self.template.body if x not in covered), dependencies=())
+        rows = mappings.select(*[F.col(c).alias(p) for p, c in bound.items()])
+        key = F.concat_ws("\x1f", *[F.col(f"`{p}`") for p in sorted(bound)])
+        return left.graph(left.fill(rows, namespace, key))
+
     def unmatched(self, nodes: list[str], edges: list[Edge], mappings: DataFrame) -> DataFrame:
         """The graph without the triples that some mapping covers: those of the graph's own predicates, below the template's or any."""
         covered = []

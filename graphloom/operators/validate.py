@@ -365,6 +365,16 @@ def broken_entities(diffs: DataFrame) -> DataFrame:
     return diffs.groupBy(F.coalesce("focus", F.lit("Model")).alias("entity")).agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
 
 
+def reasons_by_shape(diffs: DataFrame) -> DataFrame:
+    """(shapename, n, reasons): for each shape that something has to conform to, how many foci lack it, and why.
+
+    A reason is said once, without the focus that it is about, so there are at most as many as constraints.
+    """
+    own = F.ltrim(F.substring("reason", F.length(plain(F.col("focus"))) + 1, F.length("reason")))
+    said = diffs.where("shapename is not null and focus is not null").select("shapename", "focus", own.alias("reason"))
+    return said.groupBy("shapename").agg(F.count_distinct("focus").alias("n"), F.sort_array(F.collect_set("reason")).alias("reasons"))
+
+
 def reasons_by_severity(diffs: DataFrame, severity: str) -> DataFrame:
     """(entity, reasons) of one severity; entities without such reasons stay, with none."""
     if severity not in ("Violation", "Warning", "Info"):
@@ -380,7 +390,7 @@ def repair(diffs: DataFrame, path_terms: dict[str, str], namespace: str) -> Data
     table = F.create_map(*[F.lit(x) for pair in path_terms.items() for x in pair]) if path_terms else F.create_map().cast("map<string,string>")
     counted = diffs.where(F.col("kind").isin("PathClassCount", "PathShapeCount", "RequiredPath") & (F.col("min_count") > 0)).withColumn("pred", table[F.col("path")]).where("pred is not null")
     key = F.concat_ws("|", "focus", "path", F.coalesce("classname", "shapename", F.lit("")), F.col("n").cast("string"))
-    made = counted.withColumn("n", F.explode(F.sequence(F.lit(1), "min_count"))).withColumn("new", F.concat(F.lit(f"<{namespace}"), F.substring(F.md5(key), 1, 16), F.lit(">")))
+    made = counted.withColumn("n", F.explode(F.sequence(F.lit(1), "min_count"))).withColumn("new", F.concat(F.lit(f"<{namespace}"), F.md5(key), F.lit(">")))
     links = made.select(F.col("focus").alias("s"), F.col("pred").alias("p"), F.col("new").alias("o"))
     kinds = made.select(F.col("new").alias("s"), F.lit(A).alias("p"), F.coalesce("classname", "shapename").alias("o")).dropna()
     own = diffs.where((F.col("kind") == "RequiredClass") & F.col("focus").isNotNull()).select(F.col("focus").alias("s"), F.lit(A).alias("p"), F.col("classname").alias("o"))

@@ -152,7 +152,7 @@ class Template:
         def col(t: str) -> Column:
             if is_param(t):
                 return have.get(param_name(t), F.lit(None).cast("string"))
-            return F.concat(F.lit(f"{t}-"), F.substring(key, 1, 16)) if t.startswith("_:") else F.lit(t)
+            return F.concat(F.lit(f"{t}-"), F.substring(key, 1, 32)) if t.startswith("_:") else F.lit(t)
 
         return F.array(*[F.struct(col(s).alias("s"), col(p).alias("p"), col(o).alias("o")) for s, p, o in self.body if only is None or p in only])
 
@@ -163,7 +163,7 @@ class Template:
         return reduce(lambda a, b: a & b, have, F.lit(True))
 
     def fill(self, bindings: DataFrame, namespace: str, key: Column, include_optional: bool = False) -> DataFrame:
-        """Missing and null parameters get names minted from ``key``: ``<namespace><parameter>_<8 hex>``."""
+        """Missing and null parameters get names minted from ``key``: ``<namespace><parameter>_<32 hex>``."""
         for p in sorted(self.parameters if include_optional else self.parameters - self.optional):
             mint = _minted(namespace, p, key)
             bindings = bindings.withColumn(p, F.coalesce(F.col(f"`{p}`"), mint) if p in bindings.columns else mint)
@@ -196,7 +196,7 @@ class Template:
 
 
 def _minted(namespace: str, p: str, key: Column) -> Column:
-    return F.concat(F.lit(f"<{namespace}{p}_"), F.substring(F.md5(F.concat_ws("\x1f", key.cast("string"), F.lit(p))), 1, 8), F.lit(">"))
+    return F.concat(F.lit(f"<{namespace}{p}_"), F.md5(F.concat_ws("\x1f", key.cast("string"), F.lit(p))), F.lit(">"))
 
 
 # --- templates from specifications
@@ -297,10 +297,14 @@ def bindings_from_json(rows: DataFrame, column: str, parameters: Iterable[str],
 
 
 class Builder:
-    """Collects calls of templates and turns them into one graph."""
+    """Collects calls of templates and turns them into one graph.
+
+    ``add`` is a single call, whose terms are strings; ``add_rows`` calls a template for every row of
+    a table, whose terms are columns.  What a call returns may be bound in later ones.
+    """
 
     def __init__(self, spark, namespace: str):
-        self.spark, self.namespace, self.calls = spark, namespace, []
+        self.spark, self.namespace, self.calls, self.tables = spark, namespace, [], []
 
     def add(self, template: Template, **terms: str) -> dict[str, str]:
         """Records a call; the terms of all required parameters, those not given being minted from the call's number."""
@@ -310,6 +314,19 @@ class Builder:
         self.calls.append((flat, full))
         return full
 
+    def add_rows(self, template: Template, bindings: DataFrame, key: Column) -> DataFrame:
+        """Records a call for each row; the rows with the terms of all required parameters, null or missing ones minted from ``key`` and the call's number.
+
+        Rows of one key and the same call mint the same terms.  Other columns stay, so that a later call can bind them.
+        """
+        flat = template.inline()
+        full = flat.fill(bindings, self.namespace, F.concat_ws("\x1f", key.cast("string"), F.lit(f"call {len(self.tables)}")))
+        self.tables.append((flat, full))
+        return full
+
     def compile(self) -> DataFrame:
         rows = [x for t, terms in self.calls for x in t.evaluate(terms)]
-        return label_untitled(self.spark.createDataFrame(rows, "s string, p string, o string").dropDuplicates())
+        made = [t.graph(b) for t, b in self.tables]
+        if rows or not made:
+            made.append(self.spark.createDataFrame(rows, "s string, p string, o string"))
+        return label_untitled(reduce(DataFrame.unionByName, made).dropDuplicates())

@@ -139,7 +139,7 @@ def template_inline_dependency(spark, d):
     return said(t.inline().graph(b))
 
 
-@query(f"SELECT '{U}customer/' || c_custkey AS name, '{U}nation_' || left(md5(c_custkey::VARCHAR || chr(31) || 'nation'), 8) AS nation FROM customer")
+@query(f"SELECT '{U}customer/' || c_custkey AS name, '{U}nation_' || md5(c_custkey::VARCHAR || chr(31) || 'nation') AS nation FROM customer")
 def template_fill_minted(spark, d):
     c = table(spark, d, "customer")
     return said(T_CUSTOMER.fill(c.select(ref("customer", "c_custkey").alias("name"), "c_custkey"), U, F.col("c_custkey")).select("name", "nation"))
@@ -552,7 +552,7 @@ def broken_entities(spark, d):
     return validate.broken_entities(_diffs(spark, d)).select(plain(F.col("entity")).alias("entity"), F.size("reasons").alias("n"))
 
 
-@query(f"SELECT '{U}order/' || o_orderkey AS s, '{U}containsPart' AS p, '{U}' || left(md5('<{U}order/' || o_orderkey || '>|t:containsPart||1'), 16) AS o FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+@query(f"SELECT '{U}order/' || o_orderkey AS s, '{U}containsPart' AS p, '{U}' || md5('<{U}order/' || o_orderkey || '>|t:containsPart||1') AS o FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def repair_triples(spark, d):
     return said(validate.repair(_diffs(spark, d), {"t:containsPart": CONTAINS}, U))
 
@@ -796,7 +796,7 @@ def diff_by_severity(spark, d):
 
 
 @query(f"""WITH broken AS (SELECT '{U}order/' || o_orderkey AS f FROM {_QN} WHERE n < 2),
-made AS (SELECT f, '{U}repair0-' || k || '_' || left(md5('<' || f || '>' || chr(31) || 'repair0-' || k), 8) AS x, '{U}repair0-' || k || '-maker_' || left(md5('<' || f || '>' || chr(31) || 'repair0-' || k || '-maker'), 8) AS y FROM broken, (VALUES (0), (1)) v(k))
+made AS (SELECT f, '{U}repair0-' || k || '_' || md5('<' || f || '>' || chr(31) || 'repair0-' || k) AS x, '{U}repair0-' || k || '-maker_' || md5('<' || f || '>' || chr(31) || 'repair0-' || k || '-maker') AS y FROM broken, (VALUES (0), (1)) v(k))
 SELECT f AS s, '{U}containsPart' AS p, x AS o FROM made UNION SELECT x, '{_RDF}type', '{U}PromoShape' FROM made
 UNION SELECT x, '{_RDF}type', '{U}PROMO' FROM made UNION SELECT x, '{U}madeBy', y FROM made""")
 def repair_builds_shapes(spark, d):
@@ -1176,8 +1176,12 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import model_queries  # noqa: F401  it registers its queries here
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import model_queries  # noqa: F401
+
     return dict(_sql)
