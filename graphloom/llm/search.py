@@ -31,8 +31,9 @@ from .textbytes import ALNUM_WORDS, U64, find_words, hash_words, text_slices
 K1, B = 1.2, 0.75
 #: Text bytes of a shard, documents of a block, and blocks read before the threshold is looked at first; then twice as many each time.
 SHARD_BYTES, BLOCK, FIRST = 1 << 25, 64, 16
-#: Postings of a term in a block from which they are kept as a row; scores from rows are within SLACK of the exact ones.
-HEAVY, SLACK = 8, 1e-4
+#: Postings of a term in a block from which they are kept as a row; scores from rows are within SLACK of the exact ones, or
+#: within ROUNDING times the query's terms if that is more: a sum of n positive float32 products is off by (n + 3) / 2^24 of it at most.
+HEAVY, SLACK, ROUNDING = 8, 1e-4, 2.0**-23
 #: Most common words by which documents are put side by side.
 ALIKE = 4
 BLOCK_TERMS = 1_000_000
@@ -134,16 +135,17 @@ class Shard:
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of all documents that may be among the best k (ties at the k-th included) and reach ``least``."""
         self.weight[terms] = weights
+        slack = max(SLACK, ROUNDING * len(terms))
         heavy = self.weight[self.row_term]
         a, b = self.first[terms], self.first[terms + 1]
         runs, w = _ranges(a, b), np.repeat(weights, b - a)
         block = self.block[runs]
         bound = np.bincount(block, weights=self.most[runs] * w, minlength=self.n_blocks) + np.bincount(self.row_block, weights=self.row_most * heavy, minlength=self.n_blocks)
-        bound = bound * (1 + SLACK)
+        bound = bound * (1 + slack)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         heavy = heavy.astype(np.float32)
-        docs, near, at, many, low = np.zeros(0, np.int64), np.zeros(0), 0, FIRST, least * (1 - SLACK)
+        docs, near, at, many, low = np.zeros(0, np.int64), np.zeros(0), 0, FIRST, least * (1 - slack)
         while at < len(order) and bound[order[at]] >= low:
             some = order[at : at + many]
             some = some[bound[some] >= low]
@@ -162,7 +164,7 @@ class Shard:
             at += len(some)
             many *= 2
             if len(near) >= k:
-                low = max(low, np.partition(near, len(near) - k)[len(near) - k] * (1 - 2 * SLACK))
+                low = max(low, np.partition(near, len(near) - k)[len(near) - k] * (1 - 2 * slack))
                 docs, near = docs[near >= low], near[near >= low]
         self.read += at
         self.skipped += len(order) - at

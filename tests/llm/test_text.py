@@ -244,6 +244,23 @@ def test_search_skips_blocks_and_loses_nothing():
     assert shard.skipped > shard.read  # most blocks are never looked into
 
 
+def test_search_by_a_query_of_many_terms_that_nearly_tie():
+    """Documents that share nearly all of 20,000 query terms: rounding in the rows must not lose one of the best."""
+    rng = np.random.default_rng(6)
+    n_docs, n_terms = 150, 20_000
+    has = rng.random((n_docs, n_terms)) < 0.999
+    doc, term = np.nonzero(has)
+    size = np.full(n_docs, n_terms)
+    shard = search.Shard([(np.arange(n_docs), size, doc, term, np.ones(len(doc), np.int64))], n_terms, float(n_terms))
+    weights = rng.uniform(1e-3, 3, n_terms)
+    full = has @ weights  # times 1 and a length of the mean: the impact of each is 1
+    want = np.lexsort((np.arange(n_docs), -full))[:10]
+    ids, scores = shard.top(np.arange(n_terms), weights, 10)
+    order = np.lexsort((ids, -scores))[:10]
+    assert ids[order].tolist() == want.tolist() and np.allclose(scores[order], full[want], rtol=1e-9)
+    assert search.ROUNDING * n_terms > search.SLACK
+
+
 def test_quality_learns_and_covers_whole_texts(spark):
     rng = random.Random(4)
     good = lambda n: " ".join(prose(rng, n))
