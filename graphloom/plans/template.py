@@ -145,14 +145,22 @@ class Template:
         rows = bindings.dropna(subset=[f"`{prefix}{p}`" for p in needed]) if needed else bindings
         return rows.select(F.inline(self.triples(have, only))).dropna().dropDuplicates()
 
-    def triples(self, have: dict[str, Column], only: set[str] | None = None) -> Column:
-        """The body as an array of (s, p, o), from the parameters' columns: one pass over the rows, however many triples it has."""
-        key = F.sha2(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for _, c in sorted(have.items())]), 256)
+    @staticmethod
+    def row_key(have: dict[str, Column]) -> Column:
+        """What names the fresh blank nodes of a row, from the parameters' columns."""
+        return F.substring(F.sha2(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for _, c in sorted(have.items())]), 256), 1, 32)
+
+    def triples(self, have: dict[str, Column], only: set[str] | None = None, key: Column | None = None) -> Column:
+        """The body as an array of (s, p, o), from the parameters' columns: one pass over the rows, however many triples it has.
+
+        ``key`` is the rows' ``row_key``, if it stands in a column already.
+        """
+        key = self.row_key(have) if key is None else key
 
         def col(t: str) -> Column:
             if is_param(t):
                 return have.get(param_name(t), F.lit(None).cast("string"))
-            return F.concat(F.lit(f"{t}-"), F.substring(key, 1, 32)) if t.startswith("_:") else F.lit(t)
+            return F.concat(F.lit(f"{t}-"), key) if t.startswith("_:") else F.lit(t)
 
         return F.array(*[F.struct(col(s).alias("s"), col(p).alias("p"), col(o).alias("o")) for s, p, o in self.body if only is None or p in only])
 

@@ -43,6 +43,16 @@ def test_scan_of_devices_and_points(spark):
     assert network.graph(scan.limit(0), E).count() == 0
 
 
+def test_scan_makes_each_term_once_a_record(spark, capsys):
+    """However many triples say a term: the names of references were hashed, and their texts cleaned, once for each of them."""
+    scan = spark.createDataFrame([("Object", {"name": "a", "address": "3", "type": "ai", "device_id": "d"})], "rtype string, fields map<string,string>")
+    g = network.graph(scan, E)
+    assert g.count() == 6
+    capsys.readouterr()
+    g.explain()
+    assert capsys.readouterr().out.count("sha2(") <= 1
+
+
 def test_rows_of_calls_are_linked(spark):
     b = Builder(spark, E)
     room = Template("room", ((param("name"), A, iri(f"{E}Room")), (param("name"), iri(f"{E}on"), param("floor"))), frozenset({"floor"}))
