@@ -151,6 +151,9 @@ def group(g: DataFrame, elements: list, begin: DataFrame | None = None, pre: Dat
 
 def _exists(g: DataFrame, out: DataFrame, inner: list, negated: bool, pre: DataFrame | None) -> DataFrame:
     names = [c for c in out.columns if c in mentioned(inner)]
+    compared = _comparison(inner, names)
+    if compared is not None:
+        return _exists_beyond(g, out, inner, *compared, negated, pre)
     if not names:
         found = group(g, inner, pre=pre)
         return (algebra.not_exists if negated else algebra.exists)(out.withColumnRenamed("_matched", "_m"), found.limit(1).select(F.lit(1).alias("_found"))).withColumnRenamed("_m", "_matched")
@@ -161,6 +164,44 @@ def _exists(g: DataFrame, out: DataFrame, inner: list, negated: bool, pre: DataF
     return keyed.join(found, key, "left_anti" if negated else "left_semi").drop(key)
 
 
+def _comparison(inner: list, names: list[str]) -> tuple[tuple, str, str, str, list[str]] | None:
+    """(filter, operator, inner variable, outer variable, other outer variables) of a group of triples that compares one
+    variable of its own with one from outside, which nothing else in it mentions; None for other groups."""
+    own = [e for e in inner if e[0] == "triples"]
+    filters = [e for e in inner if e[0] == "filter"]
+    if not own or len(own) + len(filters) != len(inner):
+        return None
+    turned = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
+    for f in filters:
+        e = f[1]
+        if e[0] != "op" or e[1] not in turned or e[2][0] != "var" or e[3][0] != "var":
+            continue
+        rest = mentioned([x for x in inner if x is not f])
+        for op, mine, theirs in ((e[1], e[2][1], e[3][1]), (turned[e[1]], e[3][1], e[2][1])):
+            others = [c for c in names if c != theirs]
+            if mine in mentioned(own) and mine not in names and theirs in names and theirs not in rest and others:
+                return f, op, mine, theirs, others
+    return None
+
+
+def _exists_beyond(g: DataFrame, out: DataFrame, inner: list, f: tuple, op: str, mine: str, theirs: str, others: list[str], negated: bool, pre: DataFrame | None) -> DataFrame:
+    """EXISTS of a value on one side of an outer one: the furthest value of each outer binding decides, so that no outer row meets all inner ones.
+
+    As in ``truth`` numbers are compared as numbers, and literals of which one is no number by their text.
+    """
+    key = f"_key{next(_names)}"
+    keyed = out.withColumn(key, F.to_json(F.struct(*[F.col(f"`{c}`") for c in others])))
+    begin = algebra.bound(keyed.select(*others, key).distinct(), key)
+    furthest = F.max if op in (">", ">=") else F.min
+    c, b = F.col(f"`{mine}`"), F.col(f"`{theirs}`")
+    found = group(g, [e for e in inner if e is not f], begin, pre)
+    ends = found.groupBy(key).agg(furthest(number(c)).alias("_number"), furthest(F.when(number(c).isNull(), lexical(c))).alias("_other"), furthest(lexical(c)).alias("_any"))
+    beyond = {">": lambda p, q: p > q, ">=": lambda p, q: p >= q, "<": lambda p, q: p < q, "<=": lambda p, q: p <= q}[op]
+    holds = lambda p, q: F.coalesce(beyond(p, q), F.lit(False))
+    there = F.when(number(b).isNotNull(), holds(F.col("_number"), number(b)) | holds(F.col("_other"), lexical(b))).otherwise(holds(F.col("_any"), lexical(b)))
+    return keyed.join(ends, key, "left").where(~there if negated else there).select(*[F.col(f"`{x}`") for x in out.columns])
+
+
 def _aggregate(e, columns: list[str]) -> Column:
     _, name, distinct, what, between = e
     if name == "COUNT":

@@ -37,6 +37,28 @@ def g(spark):
     return closure.cut(frame(spark, """e:a e:in e:x ; e:n 3 ; e:next e:b . e:b e:in e:x ; e:n 5 ; e:next e:c ; e:off true . e:c e:in e:y ; e:n 5 . e:d e:in e:y ; rdfs:label "dee"@en , "d" ."""))
 
 
+@pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
+def test_nothing_beyond_is_told_from_the_furthest(spark, capsys, op):
+    """Every row of a group met every other one of it.  Numbers go as numbers, other literals by their text, the rest is an error."""
+    values = ['"3"', '"20"', '"x"', '"3.0"', '"NaN"', '"Z"@en', "<urn:e#i>", '"-1"', '"20"']
+    rows = [(e(f"s{k}"), p, o) for k, v in enumerate(values) for p, o in ((e("in"), e(f"g{k // 6}")), (e("n"), v))]
+    g = spark.createDataFrame([*rows, (e("s8"), e("n"), '"4"')], "s string, p string, o string")
+    have = [(r[0], e(f"g{k // 6}"), v) for k, v in enumerate(values) for r in [(e(f"s{k}"),)]] + [(e("s8"), e("g1"), '"4"')]
+    both = spark.createDataFrame(have, "s string, q string, v string")
+    other = both.select(F.col("s").alias("t"), "q", F.col("v").alias("w"))
+    holds = both.join(other, "q").where(solve.truth(("op", op, ("var", "w"), ("var", "v")), ["v", "w"])).select("s", "v").distinct().collect()
+    for start in ("EXISTS", "NOT EXISTS"):
+        text = f"SELECT ?s ?v WHERE {{ ?s e:in ?q ; e:n ?v . FILTER {start} {{ ?t e:in ?q . ?t e:n ?w . FILTER (?v {turned[op]} ?w) }} }}"
+        found = solve.solutions(g, Text(text, (("e", E),)))
+        want = {tuple(r) for r in holds} if start == "EXISTS" else {(s, v) for s, _, v in have} - {tuple(r) for r in holds}
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+        found.explain()
+        assert ("max(" if op in (">", ">=") else "min(") in capsys.readouterr().out
+
+
+turned = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
