@@ -13,6 +13,36 @@ from ..terms import A, SUBCLASS
 SMALL = 300_000
 
 
+#: Rows read for each task of a shuffle, the compressed bytes up to which Spark may put small tasks together, and those of a file that a task reads.
+#: A triple takes some 220 bytes in an operator's memory and 16 in a shuffle's file.
+TASK_ROWS, TASK_BYTES, FILE_BYTES = 200_000, "8m", "4m"
+_rows_of: dict[tuple[str, ...], int] = {}
+
+
+def rows_read(df: DataFrame) -> int:
+    """How many rows the Parquet files have that ``df`` reads, by their footers."""
+    files = tuple(sorted(f for f in df.inputFiles() if f.endswith(".parquet")))
+    if files and files not in _rows_of:
+        _rows_of[files] = df.sparkSession.read.option("recursiveFileLookup", True).parquet(*files).count()
+    return _rows_of.get(files, 0)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """``df``, whose shuffles from here on have a task for so many of the rows that it reads, however many the session asks for.
+
+    With a fixed number of tasks the memory of each grows with the input.  The session's number is raised, never lowered;
+    Spark puts small tasks together up to TASK_BYTES and reads files in pieces of FILE_BYTES, unless the session says otherwise.
+    """
+    conf = df.sparkSession.conf
+    n = rows_read(df) // TASK_ROWS
+    if n > int(conf.get("spark.sql.shuffle.partitions")):
+        conf.set("spark.sql.shuffle.partitions", str(n))
+        for limit, size in (("spark.sql.adaptive.advisoryPartitionSizeInBytes", TASK_BYTES), ("spark.sql.files.maxPartitionBytes", FILE_BYTES)):
+            if conf.get(limit, None) is None:
+                conf.set(limit, size)
+    return df
+
+
 def shared_folder(df: DataFrame) -> str:
     """The folder named by spark.checkpoint.dir, made the checkpoint folder (a temporary one in local tests)."""
     sc = df.sparkSession.sparkContext
@@ -37,7 +67,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(g: DataFrame) -> DataFrame:
     """A graph as a table in the shared folder, by predicate, so that each later scan reads the predicates that it asks for only."""
     path = f"{shared_folder(g)}/graph-{uuid.uuid4().hex}"
-    g.select("s", "p", "o").sortWithinPartitions("p", "s").write.parquet(path)
+    widen(g).select("s", "p", "o").sortWithinPartitions("p", "s").write.parquet(path)
     return g.sparkSession.read.schema("s string, p string, o string").parquet(path)
 
 

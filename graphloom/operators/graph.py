@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..terms import A, PARAM, SH, XSD, is_blank
-from .closure import SMALL, components, cut
+from .closure import SMALL, components, cut, widen
 
 COLUMNS = ["s", "p", "o"]
 
@@ -18,7 +18,7 @@ def graph(df: DataFrame) -> DataFrame:
 
 
 def union(*graphs: DataFrame) -> DataFrame:
-    return graph(reduce(lambda a, b: a.select(*COLUMNS).unionByName(b.select(*COLUMNS)), graphs))
+    return graph(widen(reduce(lambda a, b: a.select(*COLUMNS).unionByName(b.select(*COLUMNS)), graphs)))
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:

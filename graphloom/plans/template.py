@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.closure import widen
 from ..terms import A, BAD_IRI, LABEL, is_param, param, param_name, term_of
 
 Triple = tuple[str, str, str]
@@ -337,4 +338,4 @@ class Builder:
         made = [t.graph(b) for t, b in self.tables]
         if rows or not made:
             made.append(self.spark.createDataFrame(rows, "s string, p string, o string"))
-        return label_untitled(reduce(DataFrame.unionByName, made).dropDuplicates())
+        return label_untitled(widen(reduce(DataFrame.unionByName, made)).dropDuplicates())

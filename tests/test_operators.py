@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom import terms
 from graphloom.functions import expressions as X
 from graphloom.functions import labels as L
-from graphloom.operators import algebra, closure, infer, match, validate
+from graphloom.operators import algebra, closure, graph, infer, match, validate
 from graphloom.plans.shapes import Shape, ShapeGraph
 from graphloom.plans.template import Template
 from graphloom.sources import turtle
@@ -282,3 +282,22 @@ def test_shapes_by_domain(spark):
     assert of("wire") == {(f"<{E}s1>", "one"), (f"<{E}s2>", None), (f"<{E}s3>", None)} and of("power") == {(f"<{E}s1>", "one"), (f"<{E}s2>", None)}
     assert of("none") == set()
     assert [tuple(r) for r in extract.listing(g, [f"<{E}Kind>"]).collect()] == [(f"<{E}Kind>", f"<{E}s1>", "one")]
+
+
+def test_shuffles_widen_with_the_rows_read(spark, tmp_path, monkeypatch):
+    """A fixed number of tasks held ever more rows each; the session's number is raised with the input, never lowered."""
+    held = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {k: spark.conf.get(k, None) for k in held}
+    monkeypatch.setattr(closure, "TASK_ROWS", 50)
+    try:
+        spark.conf.set(held[-1], "false")
+        part = lambda n, rows: spark.range(rows).selectExpr("'<s' || id || '>' AS s", "'<p>' AS p", f"'<o{n}>' AS o").write.parquet(str(tmp_path / n))
+        part("a", 1000), part("b", 500), part("c", 10)
+        read = lambda n: spark.read.parquet(str(tmp_path / n))
+        g = graph.union(read("a"), read("b"))
+        assert (g.rdd.getNumPartitions(), g.count()) == (30, 1500)
+        assert graph.union(read("c"), read("c")).count() == 10 and spark.conf.get(held[0]) == "30"
+        assert closure.stored(graph.union(read("a"), read("b"))).count() == 1500
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
