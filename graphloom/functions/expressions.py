@@ -147,6 +147,12 @@ def equal(a: Column, b: Column) -> Column:
     return F.when(both, x == y).otherwise(a == b)
 
 
+def same_value(t: Column) -> Column:
+    """A text that two terms share if ``equal`` holds of them, and only then."""
+    n = number(t)
+    return F.when(is_literal(t) & n.isNotNull() & ~datatype(t).endswith("string"), F.concat(F.lit("#"), (n + 0.0).cast("string"))).otherwise(t)
+
+
 def lang_matches(t: Column, wanted: str) -> Column:
     tag = F.lower(lang(t))
     return tag != "" if wanted == "*" else (tag == wanted.lower()) | tag.startswith(wanted.lower() + "-")

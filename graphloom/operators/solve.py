@@ -17,6 +17,7 @@ from ..functions import expressions as X
 from ..plans.patterns import Query, Text, mentioned
 from ..terms import XSD, datatype, iri_col, is_blank, is_iri, is_literal, lang, lexical, literal_col, number, plain
 from . import algebra
+from .closure import cut
 
 _names = count()
 
@@ -217,8 +218,102 @@ def _aggregate(e, columns: list[str]) -> Column:
     return X.sample(t) if name == "SAMPLE" else X.group_concat(t, between)
 
 
-def select(g: DataFrame, q: Query, pre: DataFrame | None = None) -> DataFrame:
-    """The rows of a SELECT: a column for each variable that it names."""
+def _conjunction(elements: list) -> tuple[list, list] | None:
+    """(patterns, filters) of a group that has nothing else, nested groups included whose filters are about their own patterns."""
+    patterns, filters = [], []
+    for kind, *args in elements:
+        if kind == "triples":
+            patterns += args[0]
+        elif kind == "filter" and args[0][0] != "exists":
+            filters.append(args[0])
+        elif kind == "group":
+            inner = _conjunction(args[0])
+            if inner is None or not mentioned(inner[1]) <= mentioned(inner[0]):
+                return None
+            patterns, filters = patterns + inner[0], filters + inner[1]
+        else:
+            return None
+    return patterns, filters
+
+
+def _divided(patterns: list, hinge: str) -> list[tuple[list, set[str]]]:
+    """The parts of the patterns, with their variables, that have no variable but the hinge in common."""
+    parts: list[tuple[list, set[str]]] = []
+    for p in patterns:
+        names, own, rest = mentioned(p), [p], []
+        for more, theirs in parts:
+            if names & theirs - {hinge}:
+                own, names = more + own, names | theirs
+            else:
+                rest.append((more, theirs))
+        parts = [*rest, (own, names)]
+    return parts
+
+
+#: Pairs that a task makes of two sides.
+TASK_PAIRS = 1_000_000
+
+
+def _of_two_sides(g: DataFrame, q: Query, pre: DataFrame | None, texts: bool) -> DataFrame | None:
+    """The rows of a SELECT DISTINCT whose patterns fall into two sides that one variable joins; None for others.
+
+    Each side's rows are told apart by themselves, with the set of what the other side is compared with, so that
+    a pair is made once, by the last join, and the pairs are neither shuffled nor told apart.  Large groups are dealt over tasks.
+    What is compared or said of one term is made on its side: of a pair it is too much code to be compiled.
+    """
+    plain_ones = _conjunction(q.where) if q.distinct and q.columns and not (q.group_by or q.having or q.order or q.limit is not None) else None
+    names = [n for n, e in q.columns if e is None]
+    if plain_ones is None or len(names) < len(q.columns):
+        return None
+    patterns, filters = plain_ones
+    ways = [(hinge, parts) for hinge in sorted(set(names)) if len(parts := _divided(patterns, hinge)) == 2 and all(hinge in theirs for _, theirs in parts)]
+    if not ways:
+        return None
+    hinge, parts = min(ways, key=lambda way: max(len(some) for some, _ in way[1]))  # the pairs of an uneven way would be on one of its sides
+    (_, left), (_, right) = parts
+    own: list[list] = [[], []]
+    late, keys = [], None
+    for f in filters:
+        m = mentioned(f)
+        x = [e[1] for e in f[2:] if e[0] == "var"] if f[:2] == ("op", "=") else []
+        if m <= left or m <= right:
+            own[not m <= left].append(f)
+        elif m <= set(names) & (left | right):
+            same = f[:2] in (("op", "="), ("op", "!=")) and len([e for e in f[2:] if e[0] == "var"]) == 2
+            late.append((f, [e[1] for e in f[2:]] if same else []))
+        elif keys is None and len(x) == 2 and m <= left | right and not m & set(names):
+            keys = x if x[0] in left else x[::-1]
+        else:
+            return None
+    sides = []
+    for k, (some, theirs) in enumerate(parts):
+        rows = algebra.bgp(g, *some, start=_begin(some, pre))
+        for f in own[k]:
+            rows = rows.where(truth(f, rows.columns))
+        kept = [F.col(f"`{n}`") for n in dict.fromkeys(names) if n in theirs]
+        rows = (rows.groupBy(*kept).agg(F.collect_set(X.same_value(F.col(f"`{keys[k]}`"))).alias(f"_keys{k}")) if keys else rows.select(*kept).distinct())
+        mine = [n for n in dict.fromkeys(names) if n in theirs and not (k and n == hinge)]
+        made = {f"_same_{n}": X.same_value(F.col(f"`{n}`")) for n in mine if any(n in x for _, x in late)} | ({f"_text_{n}": plain(F.col(f"`{n}`")) for n in mine} if texts else {})
+        sides.append(cut(rows.withColumns(made) if made else rows))
+    on = f"`{hinge}`"
+    sizes = [s.groupBy(F.col(on)).agg(F.count(F.lit(1)).alias(f"_n{k}")) for k, s in enumerate(sides)]
+    sizes = cut(sizes[0].join(sizes[1], hinge).select(F.col(on), (F.col("_n0") * F.col("_n1")).alias("_pairs")))
+    tasks = max(int(g.sparkSession.conf.get("spark.sql.shuffle.partitions")), min((sizes.agg(F.sum("_pairs")).first()[0] or 0) // TASK_PAIRS + 1, 10_000))
+    deals = F.ceil(F.col("_pairs") / TASK_PAIRS).cast("int")
+    dealt = sides[0].join(sizes, hinge).withColumn("_deal", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in sides[0].columns if not c.startswith("_keys")]), deals).cast("int")).drop("_pairs").repartition(tasks, F.col(on), "_deal")
+    every = sides[1].join(sizes, hinge).withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_pairs").repartition(tasks, F.col(on), "_deal")
+    rows = dealt.join(every, [hinge, "_deal"])
+    told = [truth(f, names) if not x else (F.col(f"`_same_{x[0]}`") == F.col(f"`_same_{x[1]}`")) == F.lit(f[1] == "=") for f, x in late]
+    for test in [*told, *([F.arrays_overlap("_keys0", "_keys1")] if keys else [])]:
+        rows = rows.where(test)
+    return rows.select(*[F.col(f"`{n}`") if n in left | right else F.lit(None).cast("string").alias(n) for n in names], *[c for c in rows.columns if c.startswith("_text_")])
+
+
+def select(g: DataFrame, q: Query, pre: DataFrame | None = None, texts: bool = False) -> DataFrame:
+    """The rows of a SELECT: a column for each variable that it names; with ``texts`` also their plain texts (``_text_x``), where they are at hand."""
+    rows = _of_two_sides(g, q, pre, texts)
+    if rows is not None:
+        return rows
     rows = group(g, q.where, pre=pre)
     columns = rows.columns
     computed = {n: e for n, e in q.columns if e is not None}
@@ -249,8 +344,8 @@ def foci_of(foci: DataFrame) -> DataFrame:
     return algebra.bound(foci.select(F.col("focus").alias("this")).distinct())
 
 
-def solutions(g: DataFrame, text: Text, foci: DataFrame | None = None) -> DataFrame:
-    return select(g, text.read(), None if foci is None else foci_of(foci))
+def solutions(g: DataFrame, text: Text, foci: DataFrame | None = None, texts: bool = False) -> DataFrame:
+    return select(g, text.read(), None if foci is None else foci_of(foci), texts)
 
 
 def triples(g: DataFrame, text: Text, foci: DataFrame | None = None) -> DataFrame:
@@ -266,5 +361,5 @@ def messages(found: DataFrame, message: str) -> Column:
     import re
 
     parts = re.split(r"\{[?$](\w+)\}", message)
-    said = [F.lit(p) if k % 2 == 0 else F.coalesce(plain(F.col(f"`{p}`")), F.lit("")) if p in found.columns else F.lit(f"{{?{p}}}") for k, p in enumerate(parts)]
+    said = [F.lit(p) if k % 2 == 0 else F.coalesce(F.col(f"`_text_{p}`") if f"_text_{p}" in found.columns else plain(F.col(f"`{p}`")), F.lit("")) if p in found.columns else F.lit(f"{{?{p}}}") for k, p in enumerate(parts)]
     return F.concat(*said)

@@ -270,7 +270,7 @@ class Validator:
 
     def _by_text(self, c: TextConstraint, foci: DataFrame) -> DataFrame:
         """(focus, value, message) for each solution of a query text; the value is ?value, or the focus itself."""
-        found = solve.solutions(self.g, c.text, foci)
+        found = solve.solutions(self.g, c.text, foci, texts=c.message is not None)
         value = F.col("value") if "value" in found.columns else F.col("this")
         said = [] if c.message is None else [solve.messages(found, c.message).alias("message")]
         return found.select(F.col("this").alias("focus"), value.alias("value"), *said)

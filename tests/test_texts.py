@@ -280,3 +280,19 @@ def test_a_large_template_takes_a_bounded_number_of_steps(spark, monkeypatch):
     nodes, rows = m.best()
     assert len(nodes) == 20 and [tuple(r) for r in rows.collect()] == [tuple(e(f"n{n[len('<urn:___param___#x'):-1]}") for n in nodes)]
     assert len(steps) <= 23
+
+
+def test_pairs_of_two_sides_are_made_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(solve, "TASK_PAIRS", 7)
+    monkeypatch.setattr(solve, "cut", lambda df: kept.append(closure.cut(df)) or kept[-1])
+    rows = [(f"{k}", f"{k % 3}", kind) for k in range(20) for kind in (['"1"^^xsd:integer', "e:K"] if k % 2 else ['"1.0"^^xsd:decimal', "e:K"] if k % 5 else ['"1"'])]
+    g = frame(spark, "@prefix xsd: <http://www.w3.org/2001/XMLSchema#> . " + " ".join(f"e:x{k} e:in e:n{n} ; e:kind {kind} ." for k, n, kind in rows)).distinct()
+    text = Text("SELECT DISTINCT ?a ?b ?n WHERE { { ?a e:in ?n . ?b e:in ?n . FILTER (?a != ?b) } ?a e:kind ?k . ?b e:kind ?l . FILTER (?k = ?l) }", (("e", E),))
+    found = solve.solutions(g, text)
+    # what is known of the two sides is joined; nothing tells the pairs apart afterwards
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {(a, b, n) for a, n, k in rows for b, m, l in rows if a != b and n == m and (k == l or '"1"' not in (k, l) and "e:K" not in (k, l))}
+    assert sorted(tuple(r) for r in found.collect()) == sorted((e(f"x{a}"), e(f"x{b}"), e(f"n{n}")) for a, b, n in want)
+    assert max(x.count() for x in kept) == 20
+    assert max(map(len, found.rdd.glom().collect())) < found.count()
