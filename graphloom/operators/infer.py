@@ -22,7 +22,7 @@ from ..plans.shapes import ANY, Shape, ShapeGraph, dependence, predicates, sh, t
 from ..terms import A, SUBCLASS
 from . import algebra, solve
 from .algebra import Pattern, bgp, construct, inverse, path_pairs
-from .closure import SMALL, ancestors, cut, shared_folder
+from .closure import SMALL, ancestors, cut, shared_folder, widen
 from .graph import COLUMNS, difference
 from .validate import Validator
 
@@ -116,7 +116,10 @@ def _changed_foci(shape: Shape, conditions: Sequence[Shape], at: State) -> DataF
     if not some:
         return None
     foci = cut(reduce(DataFrame.unionByName, some).distinct())
-    return _conforming(at.validator.targets(shape).join(F.broadcast(foci) if foci.count() <= SMALL else foci, "focus", "left_semi"), conditions, at)
+    n = foci.count()
+    if not n:
+        return None
+    return _conforming(at.validator.targets(shape).join(F.broadcast(foci) if n <= SMALL else foci, "focus", "left_semi"), conditions, at)
 
 
 # --- rules
@@ -218,8 +221,7 @@ class TextRule:
         return [t for kind, *args in where if kind == "triples" for t in args[0]], [x for x in where if x[0] != "triples"]
 
     def _own_reads(self) -> set[str]:
-        parts = self._parts()
-        return {ANY} if parts is None else PatternRule(tuple(parts[0]), ()).reads()
+        return _read_by(self.text.read())
 
     def reads(self) -> set[str]:
         return self._own_reads() | target_reads(self.shape).union(*(dependence(c)[0] for c in self.conditions))
@@ -247,6 +249,15 @@ class TextRule:
         return reduce(DataFrame.unionByName, made) if made else None
 
 
+def _read_by(x) -> set[str]:
+    """The predicates of all patterns in a query or a group, nested ones included; ANY if one is a variable."""
+    if hasattr(x, "where"):
+        return _read_by(x.where) | _read_by(x.columns) | _read_by(x.having)
+    if isinstance(x, tuple) and x[:1] == ("triples",):
+        return PatternRule(tuple(x[1]), ()).reads()
+    return set().union(*map(_read_by, x)) if isinstance(x, (list, tuple)) else set()
+
+
 def negated(where) -> bool:
     """Whether a group takes anything away."""
     if isinstance(where, tuple) and where and where[0] in ("minus", "optional") or isinstance(where, tuple) and where[:2] == ("exists", True):
@@ -323,8 +334,8 @@ def strata(rules: Sequence) -> list[list]:
     return [list(rules)]
 
 
-def fixpoint(g: DataFrame, rules: Sequence, limit: int | None = 4, partial: bool = False) -> DataFrame:
-    """``g`` and all that the rules add; a stratum ends with a round that adds nothing.
+def fixpoint(g: DataFrame, rules: Sequence, limit: int | None = 4, partial: bool = False, added: bool = False) -> DataFrame:
+    """``g`` and all that the rules add (with ``added`` only that); a stratum ends with a round that adds nothing.
 
     If ``limit`` rounds (None: any number) still add triples, what follows from the last of them
     is missing: that is an error unless ``partial`` asks for just so many rounds.  Each round's triples
@@ -333,17 +344,22 @@ def fixpoint(g: DataFrame, rules: Sequence, limit: int | None = 4, partial: bool
     spark = g.sparkSession
     home = f"{shared_folder(g)}/rules-{uuid.uuid4().hex}"
 
-    def read(path: str) -> DataFrame:
-        return spark.read.schema("s string, p string, o string").option("recursiveFileLookup", "true").parquet(path)
+    def read(*paths: str) -> DataFrame:
+        return spark.read.schema("s string, p string, o string").option("recursiveFileLookup", "true").parquet(*paths)
+
+    def result() -> DataFrame:
+        if not added:
+            return read(f"{home}/graph")
+        return read(*[f"{home}/graph/{k}" for k in range(1, step + 1)]) if step else spark.createDataFrame([], "s string, p string, o string")
 
-    g.select(*COLUMNS).dropDuplicates().sortWithinPartitions("p", "s").write.parquet(f"{home}/graph/0")
+    widen(g).select(*COLUMNS).dropDuplicates().sortWithinPartitions("p", "s").write.parquet(f"{home}/graph/0")
     known_rules = [r if hasattr(r, "first") else Opaque(r) for r in rules]
     hierarchy, rounds, step = None, 0, 0
     for own in strata(known_rules):
         at = State(read(f"{home}/graph"), hierarchy=hierarchy)
         while True:
             if rounds == limit and partial:
-                return at.g
+                return result()
             if at.hierarchy is None and any({A, SUBCLASS} & r.reads() and not isinstance(r, (PatternRule, Opaque)) for r in own):
                 at.hierarchy = cut(ancestors(at.g))
             parts = [r.first(at) if at.delta is None else r.next(at) for r in own if at.delta is None or at.touches(r.reads())]
@@ -354,11 +370,13 @@ def fixpoint(g: DataFrame, rules: Sequence, limit: int | None = 4, partial: bool
             step += 1
             reduce(DataFrame.unionByName, parts).dropDuplicates().write.parquet(f"{home}/made/{step}")
             made = read(f"{home}/made/{step}")
+            kinds = [r.p for r in made.select("p").distinct().limit(1000).collect()]
+            there = at.g.where(F.col("p").isin(kinds)) if len(kinds) < 1000 else at.g
             if made.count() <= SMALL:  # what is known of a few triples is found without a shuffle of the graph
-                hits = at.g.join(F.broadcast(made), COLUMNS, "left_semi")
+                hits = there.join(F.broadcast(made), COLUMNS, "left_semi")
                 new = made.join(F.broadcast(hits), COLUMNS, "left_anti")
             else:
-                new = difference(made, at.g)
+                new = difference(made, there)
             new.sortWithinPartitions("p", "s").write.parquet(f"{home}/graph/{step}")
             delta = read(f"{home}/graph/{step}")
             touched = {r.p for r in delta.select("p").distinct().limit(1000).collect()}
@@ -369,7 +387,7 @@ def fixpoint(g: DataFrame, rules: Sequence, limit: int | None = 4, partial: bool
             rounds += 1
             at = State(read(f"{home}/graph"), delta, touched if len(touched) < 1000 else None, None if SUBCLASS in touched or len(touched) == 1000 else at.hierarchy)
             hierarchy = at.hierarchy
-    return read(f"{home}/graph")
+    return result()
 
 
 def infer(data: DataFrame, shapes: DataFrame, rules: Sequence, limit: int | None = None) -> DataFrame:

@@ -631,7 +631,7 @@ UNION SELECT '{U}Desk', '{U}handles', '{U}order/' || o_orderkey FROM orders WHER
 def rules_from_shapes_graph(spark, d):
     """Triple rules as a shapes graph in Turtle says them; what they add to the orders."""
     g = orders(spark, d)
-    return said(graph.difference(infer.fixpoint(g, infer.rules_of(ShapeGraph(turtle.read(_RULES))), limit=None), g))
+    return said(infer.fixpoint(g, infer.rules_of(ShapeGraph(turtle.read(_RULES))), limit=None, added=True))
 
 
 # --- labels
@@ -973,7 +973,7 @@ def query_text_rules(spark, d):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")  # of the rule that is not read
         rules = infer.rules_of(_text_shapes())
-    return said(graph.difference(infer.fixpoint(g, rules), g))
+    return said(infer.fixpoint(g, rules, added=True))
 
 
 # --- solutions with unbound variables

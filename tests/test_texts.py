@@ -146,6 +146,18 @@ def test_rounds_follow_what_is_new(spark):
     assert read == [(1, {e("on")})] * 8
 
 
+def test_a_text_reads_its_own_predicates_and_what_is_added_is_told(spark):
+    shape = Shape("s", targets=(("subjects", e("p")),))
+    rule = infer.TextRule(shape, Text("CONSTRUCT { ?x e:q $this } WHERE { $this e:p ?x OPTIONAL { $this e:r ?s } FILTER NOT EXISTS { $this e:off ?t } }", (("e", E),)))
+    assert rule.reads() == {e("p"), e("r"), e("off")}
+    every = infer.TextRule(shape, Text("CONSTRUCT { ?x e:q $this } WHERE { $this e:p ?x OPTIONAL { $this ?any ?s } }", (("e", E),)))
+    assert infer.ANY in every.reads()
+    g = frame(spark, "e:a e:p e:b . e:c e:p e:d ; e:off true . e:f e:p e:h . e:h e:q e:f .")
+    assert {tuple(r) for r in infer.fixpoint(g, [rule], added=True).collect()} == {(e("b"), e("q"), e("a"))}
+    assert infer.fixpoint(g, [rule]).count() == g.count() + 1
+    assert infer.fixpoint(g.limit(0), [], added=True).count() == 0
+
+
 def test_rules_equal_a_naive_fixpoint(spark):
     rng = random.Random(6)
     nodes = [f"n{k}" for k in range(12)]
