@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..terms import A, SUBCLASS
@@ -18,6 +18,9 @@ SMALL = 300_000
 TASK_ROWS, TASK_BYTES, FILE_BYTES = 200_000, "8m", "4m"
 _rows_of: dict[tuple[str, ...], int] = {}
 
+#: Edges from which a closure is found by chains, nodes of a chain that stand together, and pairs for each task that spells them out.
+MANY, BLOCK, TASK_PAIRS = 20_000, 512, 4_000_000
+
 
 def rows_read(df: DataFrame) -> int:
     """How many rows the Parquet files have that ``df`` reads, by their footers."""
@@ -79,16 +82,19 @@ def reach(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     one of exactly n and one of at most n, so only those of exactly n are extended, by all that are known.
     Rounds are then the logarithm of the longest shortest walk.  Cycles end, no pair is kept twice.
     What a round finds is written once; only every eighth round are the parts put together.
+    Of many edges, long chains are told apart first, and pairs are neither shuffled nor written.
     """
     edges = edges.select("s", "o").distinct()
-    return _doubled(edges) if start is None else _stepwise(edges, start)
+    if start is not None:
+        return _stepwise(edges, start)
+    edges = cut(edges)
+    n = edges.count()
+    return edges if n == 0 else _doubled(edges) if n <= MANY else _by_chains(edges)
 
 
 def _doubled(edges: DataFrame) -> DataFrame:
-    known = longest = cut(edges.withColumn("n", F.lit(1).cast("bigint")))
+    known = longest = edges.withColumn("n", F.lit(1).cast("bigint"))
     reached = 1
-    if known.isEmpty():
-        return known.select("s", "o")
     while True:
         more = known.select(F.col("s").alias("_m"), F.col("o").alias("_o"), F.col("n").alias("_n"))
         far = longest.join(more, F.col("o") == F.col("_m")).groupBy("s", F.col("_o").alias("o")).agg(F.min(F.col("n") + F.col("_n")).alias("n"))
@@ -102,6 +108,71 @@ def _doubled(edges: DataFrame) -> DataFrame:
             return known.select("s", "o")
 
 
+def _chains(edges: DataFrame) -> DataFrame:
+    """(node, chain, at): nodes put one after the other along edges, each chain named by its first node.
+
+    A node goes on to the successor that has the fewest edges into it, where that one takes it as its predecessor with the fewest
+    edges out of it.  Places are found by doubling; in the last round that moves any node, as many move as before
+    only if all of them lie on circles, and each such node is a chain of its own.
+    """
+    many = lambda c: edges.groupBy(c).agg(F.count(F.lit(1)).alias(f"_{c}"))
+    e = edges.where("s <> o").join(many("s"), "s").join(many("o"), "o")
+    on = e.groupBy("s").agg(F.min(F.struct("_o", "o")).alias("m")).select("s", F.col("m.o").alias("o"))
+    back = e.groupBy("o").agg(F.min(F.struct("_s", "s")).alias("m")).select(F.col("m.s").alias("s"), "o")
+    nodes = edges.select(F.explode(F.array("s", "o")).alias("node")).distinct()
+    links = on.join(back, ["s", "o"]).select(F.col("o").alias("node"), "s")
+    known = cut(nodes.join(links, "node", "left").select("node", F.coalesce("s", "node").alias("first"), F.col("s").isNotNull().cast("bigint").alias("at"), F.col("s").isNotNull().alias("moves")))
+    before = known.where("moves").count()
+    while before:
+        far = known.select(F.col("node").alias("first"), F.col("first").alias("_f"), F.col("at").alias("_at"))
+        moved = known.where("moves").join(far, "first").select("node", F.col("_f").alias("first"), (F.col("at") + F.col("_at")).alias("at"), (F.col("_at") > 0).alias("moves"))
+        known = cut(known.where(~F.col("moves")).unionByName(moved))
+        n = known.where("moves").count()
+        if n == before:
+            break
+        before = n
+    return known.select("node", F.when(F.col("moves"), F.col("node")).otherwise(F.col("first")).alias("chain"), F.when(F.col("moves"), F.lit(0)).otherwise(F.col("at")).cast("bigint").alias("at"))
+
+
+def _by_chains(edges: DataFrame) -> DataFrame:
+    """What ``_doubled`` finds, for graphs with long chains.
+
+    Whoever reaches a place on a chain reaches all after it, so a node keeps one row for each chain that it reaches: the first place.
+    Edges between chains that another one says already (it leaves no earlier and arrives no later) are left out; ends of the
+    others, and the stretches of chain between them, are a smaller graph, whose closure is doubled.  Pairs are
+    spelled out at the end, in a join of these rows with blocks of chains.
+    """
+    spark, places = edges.sparkSession, cut(_chains(edges))
+    end = lambda c, chain, at: places.select(F.col("node").alias(c), F.col("chain").alias(chain), F.col("at").alias(at))
+    across = edges.join(end("s", "c", "p"), "s").join(end("o", "d", "m"), "o").where((F.col("c") != F.col("d")) | (F.col("m") <= F.col("p")))
+    first = across.groupBy("c", "d", "p").agg(F.min("m").alias("m")).groupBy("c", "d", "m").agg(F.max("p").alias("p"))
+    later = Window.partitionBy("c", "d").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = first.withColumn("_m", F.min("m").over(later)).where("_m is null or m < _m").select("c", "p", "d", "m")
+    steps = cut(steps.join(end("s", "c", "p"), ["c", "p"]).join(end("o", "d", "m"), ["d", "m"]))
+    ends = steps.select("s", "c", "p").unionByName(steps.select(F.col("o").alias("s"), F.col("d").alias("c"), F.col("m").alias("p"))).distinct()
+    along = ends.select("s", F.lead("s").over(Window.partitionBy("c").orderBy("p")).alias("o")).where("o is not null")
+    between = cut(steps.select("s", "o").unionByName(along).distinct())
+    far = between if between.isEmpty() else _doubled(between)
+    far = far.join(steps.select("s", F.col("c").alias("chain"), F.col("p").alias("leaves")).distinct(), "s").join(steps.select("o", "d", "m").distinct(), "o")
+    far = far.groupBy("chain", "leaves", "d").agg(F.min("m").alias("m"))
+
+    exits = steps.select(F.col("c").alias("chain"), F.col("p").alias("at"), F.col("p").alias("exit")).distinct()
+    onward = Window.partitionBy("chain").orderBy(F.desc("at"))
+    nodes = places.join(exits, ["chain", "at"], "left")
+    nodes = nodes.withColumn("leaves", F.last("exit", True).over(onward.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_last", F.lag("at").over(onward).isNull())
+    nodes = cut(nodes.select("node", "chain", "at", "leaves", "_last"))
+    own = nodes.where(~F.col("_last")).select(F.col("node").alias("s"), F.col("chain").alias("d"), (F.col("at") + 1).alias("m"))
+    rows = own.unionByName(nodes.join(far, ["chain", "leaves"]).select(F.col("node").alias("s"), "d", "m")).groupBy("s", "d").agg(F.min("m").alias("m"))
+    rows = cut(rows.join(nodes.where("_last").select(F.col("chain").alias("d"), F.col("at").alias("_to")), "d"))
+
+    tasks = int(rows.agg(F.sum(F.col("_to") - F.col("m") + 1)).first()[0] or 0) // TASK_PAIRS
+    tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    rows = rows.select("s", "d", "m", F.explode(F.sequence(block("m"), block("_to"))).alias("block"))
+    members = places.select(F.col("chain").alias("d"), block("at").alias("block"), "at", F.col("node").alias("o"))
+    return rows.repartition(tasks, "d", "block").join(members.repartition(tasks, "d", "block"), ["d", "block"]).where("at >= m").select("s", "o")
+
+
 def _stepwise(edges: DataFrame, start: DataFrame) -> DataFrame:
     known = new = cut(edges.join(start.select("s").distinct(), "s", "left_semi"))
     step = edges.select(F.col("s").alias("_m"), F.col("o").alias("_o"))

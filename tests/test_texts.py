@@ -272,6 +272,30 @@ def test_doubling_needs_few_rounds(spark, monkeypatch):
     assert found == want and pairs.count() == len(want) and len(written) <= 11
 
 
+def test_long_chains_are_not_written_as_pairs(spark, monkeypatch):
+    """Chains that lead to a hub, into each other and into a circle; a circle alone, a loop: the rows written grow with the nodes."""
+    monkeypatch.setattr(closure, "MANY", 100, raising=False)
+    monkeypatch.setattr(closure, "BLOCK", 16, raising=False)
+    rows = []
+    monkeypatch.setattr(closure, "cut", lambda df, cut=closure.cut: (c := cut(df), rows.append(c.count()))[0])
+    edges = {(f"{c}{k}", f"{c}{k + 1}") for c in "ab" for k in range(150)} | {(f"{c}{k}", "hub") for c in "ab" for k in range(151)}
+    edges |= {("a90", "b20"), ("a70", "b60"), ("a99", "c2"), ("x", "x"), ("b5", "b3"), ("d0", "a140")} | {(f"{c}{k}", f"{c}{(k + 1) % 5}") for c in "ce" for k in range(5)}
+    after: dict[str, set[str]] = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    want = set()
+    for a in after:
+        front = seen = set(after[a])
+        while front:
+            front = {z for y in front for z in after.get(y, ())} - seen
+            seen = seen | front
+        want |= {(a, b) for b in seen}
+    pairs = closure.reach(spark.createDataFrame(sorted(edges), "s string, o string"))
+    found = [tuple(r) for r in pairs.collect()]
+    assert set(found) == want and len(found) == len(want)
+    assert max(rows) < len(want) / 10
+
+
 @pytest.mark.parametrize("check", [True, False])
 def test_what_a_match_covers_goes_whatever_its_predicate(spark, check):
     onto = frame(spark, "e:sub rdfs:subPropertyOf e:top .")
