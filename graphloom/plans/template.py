@@ -131,12 +131,13 @@ class Template:
             return replace(left, optional=self.optional & missing)
         return [x for x in left.body if not any(map(is_param, x))]
 
-    def graph(self, bindings: DataFrame, require_optional: bool = False, prefix: str = "", only: set[str] | None = None) -> DataFrame:
+    def graph(self, bindings: DataFrame, require_optional: bool = False, prefix: str = "", only: set[str] | None = None, bag: bool = False) -> DataFrame:
         """All rows of bindings (a column of terms for each parameter) at once, as a graph.
 
         A row with a null in a required parameter gives nothing - ``complete`` tells which - and
         triples of unbound optional parameters are left out.  Blank nodes of the body are fresh for
-        each row.  ``only`` limits the triples to some predicates before any are made.
+        each row.  ``only`` limits the triples to some predicates before any are made.  A ``bag`` may have a
+        triple twice: for what goes into a union of graphs, which tells its triples apart.
         """
         names = self.parameters
         have = {p: F.col(f"`{prefix}{p}`") for p in names if f"{prefix}{p}" in bindings.columns}
@@ -144,7 +145,8 @@ class Template:
         if any(p not in have for p in needed):
             raise ValueError(f"{self.name} needs bindings for {[p for p in needed if p not in have]}")
         rows = bindings.dropna(subset=[f"`{prefix}{p}`" for p in needed]) if needed else bindings
-        return rows.select(F.inline(self.triples(have, only))).dropna().dropDuplicates()
+        triples = rows.select(F.inline(self.triples(have, only))).dropna()
+        return triples if bag else triples.dropDuplicates()
 
     @staticmethod
     def row_key(have: dict[str, Column]) -> Column:
@@ -335,7 +337,7 @@ class Builder:
 
     def compile(self) -> DataFrame:
         rows = [x for t, terms in self.calls for x in t.evaluate(terms)]
-        made = [t.graph(b) for t, b in self.tables]
+        made = [t.graph(b, bag=True) for t, b in self.tables]
         if rows or not made:
             made.append(self.spark.createDataFrame(rows, "s string, p string, o string"))
         return label_untitled(widen(reduce(DataFrame.unionByName, made)).dropDuplicates())

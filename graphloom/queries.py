@@ -58,24 +58,24 @@ def customer_bindings(spark, d):
     return c.select(ref("customer", "c_custkey").alias("name"), ref("nation", "c_nationkey").alias("nation"), F.when(~building, literal_col(F.col("c_mktsegment"))).alias("segment"))
 
 
-def customers(spark, d):
-    return T_CUSTOMER.graph(customer_bindings(spark, d))
+def customers(spark, d, bag=False):
+    return T_CUSTOMER.graph(customer_bindings(spark, d), bag=bag)
 
 
 T_ORDER = Template("order", ((param("name"), A, ORDER), (param("name"), PLACED_BY, param("customer")), (param("name"), STATUS, param("status")), (param("name"), PRIORITY, param("priority"))))
 
 
-def orders(spark, d):
+def orders(spark, d, bag=False):
     o = table(spark, d, "orders")
-    return T_ORDER.graph(o.select(ref("order", "o_orderkey").alias("name"), ref("customer", "o_custkey").alias("customer"), literal_col(F.col("o_orderstatus")).alias("status"), literal_col(F.col("o_orderpriority")).alias("priority")))
+    return T_ORDER.graph(o.select(ref("order", "o_orderkey").alias("name"), ref("customer", "o_custkey").alias("customer"), literal_col(F.col("o_orderstatus")).alias("status"), literal_col(F.col("o_orderpriority")).alias("priority")), bag=bag)
 
 
 T_LINE = Template("line", ((param("name"), CONTAINS, param("part")),))
 
 
-def lines(spark, d):
+def lines(spark, d, bag=False):
     li = table(spark, d, "lineitem")
-    return T_LINE.graph(li.select(ref("order", "l_orderkey").alias("name"), ref("part", "l_partkey").alias("part")))
+    return T_LINE.graph(li.select(ref("order", "l_orderkey").alias("name"), ref("part", "l_partkey").alias("part")), bag=bag)
 
 
 T_PART = Template("part", ((param("name"), A, param("kind")), (param("name"), BRAND, param("brand")), (param("name"), SIZE, param("size"))))
@@ -84,7 +84,7 @@ T_PART = Template("part", ((param("name"), A, param("kind")), (param("name"), BR
 def parts(spark, d):
     """Parts, typed by their p_type, which are subclasses of Part."""
     p = table(spark, d, "part")
-    g = T_PART.graph(p.select(ref("part", "p_partkey").alias("name"), iri_col(F.concat(F.lit(U), "p_type")).alias("kind"), literal_col(F.col("p_brand")).alias("brand"), literal_col(F.col("p_size"), f"{XSD}integer").alias("size")))
+    g = T_PART.graph(p.select(ref("part", "p_partkey").alias("name"), iri_col(F.concat(F.lit(U), "p_type")).alias("kind"), literal_col(F.col("p_brand")).alias("brand"), literal_col(F.col("p_size"), f"{XSD}integer").alias("size")), bag=True)
     kinds = p.select(iri_col(F.concat(F.lit(U), "p_type")).alias("s"), F.lit(SUBCLASS).alias("p"), F.lit(PART).alias("o"))
     return graph.union(g, kinds)
 
@@ -191,7 +191,7 @@ def record_json_roundtrip(spark, d):
 
 @query(f"WITH {_C}, {_O} SELECT * FROM customers UNION SELECT * FROM orders_g")
 def graph_union(spark, d):
-    return said(graph.union(customers(spark, d), orders(spark, d)))
+    return said(graph.union(customers(spark, d, True), orders(spark, d, True)))
 
 
 @query(f"WITH {_C} SELECT * FROM customers EXCEPT SELECT * FROM customers WHERE p = '{U}segment'")
@@ -226,7 +226,7 @@ def parameters_scan(spark, d):
 
 @query(f"WITH {_C}, {_O} SELECT DISTINCT o AS type FROM (SELECT * FROM customers UNION SELECT * FROM orders_g) WHERE p = '{_RDF}type' ORDER BY 1")
 def distinct_types_sorted(spark, d):
-    return said(graph.types(graph.union(customers(spark, d), orders(spark, d))))
+    return said(graph.types(graph.union(customers(spark, d, True), orders(spark, d, True))))
 
 
 @query("SELECT p_partkey, p_size::DOUBLE AS value, 'http://www.w3.org/2001/XMLSchema#integer' AS datatype FROM part")
@@ -240,7 +240,7 @@ def literal_terms(spark, d):
 
 @query("SELECT o_orderkey::VARCHAR AS o, c_custkey::VARCHAR AS c, c_nationkey::VARCHAR AS n FROM orders JOIN customer ON o_custkey = c_custkey")
 def bgp_join(spark, d):
-    g = graph.union(customers(spark, d), orders(spark, d))
+    g = graph.union(customers(spark, d, True), orders(spark, d, True))
     rows = algebra.bgp(g, ("?o", PLACED_BY, "?c"), ("?c", IN_NATION, "?n"))
     return rows.select(*[F.regexp_extract(c, "/([0-9]+)>$", 1).alias(c) for c in rows.columns])
 
@@ -292,7 +292,7 @@ def group_order_limit(spark, d):
 
 @query(f"SELECT '{U}customer/' || o_custkey AS s, '{U}bought' AS p, '{U}part/' || l_partkey AS o FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
 def construct_graph(spark, d):
-    g = graph.union(orders(spark, d), lines(spark, d))
+    g = graph.union(orders(spark, d, True), lines(spark, d, True))
     return said(algebra.construct(algebra.bgp(g, ("?o", PLACED_BY, "?c"), ("?o", CONTAINS, "?p")), ("?c", iri(f"{U}bought"), "?p")))
 
 
@@ -301,7 +301,7 @@ def construct_graph(spark, d):
 
 @query(f"SELECT DISTINCT '{U}order/' || o_orderkey AS s, '{U}nation/' || c_nationkey AS o FROM orders JOIN customer ON o_custkey = c_custkey")
 def path_sequence(spark, d):
-    return said(algebra.path_pairs(graph.union(orders(spark, d), customers(spark, d)), ("seq", PLACED_BY, IN_NATION)))
+    return said(algebra.path_pairs(graph.union(orders(spark, d, True), customers(spark, d, True)), ("seq", PLACED_BY, IN_NATION)))
 
 
 @query(f"SELECT DISTINCT '{U}part/' || l_partkey AS s, '{U}order/' || l_orderkey AS o FROM lineitem")
@@ -361,7 +361,7 @@ def _order(*constraints, path=None, **more) -> Shape:
 
 
 def _orders_and_lines(spark, d):
-    return graph.union(orders(spark, d), lines(spark, d))
+    return graph.union(orders(spark, d, True), lines(spark, d, True))
 
 
 @query(f"SELECT '{U}order/' || o_orderkey AS focus FROM orders")
@@ -790,7 +790,7 @@ def diff_by_severity(spark, d):
     s = Shape(iri(f"{U}Both"), targets=(("class", ORDER),), constraints=(("property", count("Done", iri(f"{U}done"), "Warning")), ("property", count("Fast", iri(f"{U}fast"), "Violation"))))
     o = table(spark, d, "orders")
     has = lambda p, rows: rows.select(ref("order", "o_orderkey").alias("s"), F.lit(iri(f"{U}{p}")).alias("p"), F.lit(literal("yes")).alias("o"))
-    g = graph.union(orders(spark, d), has("done", o.where("o_orderstatus = 'F'")), has("fast", o.where("o_orderpriority = '1-URGENT'")))
+    g = graph.union(orders(spark, d, True), has("done", o.where("o_orderstatus = 'F'")), has("fast", o.where("o_orderpriority = '1-URGENT'")))
     diffs = validate.diff(validate.Validator(g, PREFIXES).report([s]), [s], PREFIXES)
     return validate.reasons_by_severity(diffs, "Warning").select(plain(F.col("entity")).alias("entity"), F.size("reasons").alias("n"))
 
@@ -1124,7 +1124,7 @@ def graph_identity(spark, d):
 @query("SELECT o_orderkey::VARCHAR AS o, c_custkey::VARCHAR AS c, c_nationkey::VARCHAR AS n FROM orders JOIN customer ON o_custkey = c_custkey")
 def encoded_join(spark, d):
     """A join of patterns over numbers; the texts of its solutions are met at the end."""
-    e = encoding.Encoded.of(graph.union(customers(spark, d), orders(spark, d)))
+    e = encoding.Encoded.of(graph.union(customers(spark, d, True), orders(spark, d, True)))
     rows = e.decode(e.bgp(("?o", PLACED_BY, "?c"), ("?c", IN_NATION, "?n")))
     return rows.select(*[F.regexp_extract(c, "/([0-9]+)>$", 1).alias(c) for c in rows.columns])
 

@@ -301,3 +301,14 @@ def test_shuffles_widen_with_the_rows_read(spark, tmp_path, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_graphs_of_a_union_are_told_apart_once(spark):
+    """A union and what it is made of told the same triples apart, each with a shuffle of its own."""
+    from graphloom import queries
+
+    g = queries._orders_and_lines(spark, "/root/testdata/sf0.001")
+    plan = g._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
+    apart = graph.union(queries.orders(spark, "/root/testdata/sf0.001"), queries.lines(spark, "/root/testdata/sf0.001"))
+    assert g.count() == apart.count() and graph.difference(g, apart).isEmpty()
