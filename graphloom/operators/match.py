@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.template import Template
 from ..terms import A, OWL, SUBPROPERTY, is_param, param_name
-from .closure import SMALL, ancestors, cut
+from .closure import SMALL, ancestors, cut, stored
 from .graph import difference
 
 Edge = tuple[str, str, str]
@@ -45,24 +45,28 @@ class Matcher:
         wanted = table(checked, "edge int, _p string")
         # the predicate or one below it: as many rows as the ontology has properties below the template's
         below = wanted.unionByName(wanted.join(self.up, F.col("_p") == F.col("ancestor")).where(F.col("_p") != A).select("edge", F.col("child").alias("_p"))).distinct()
-        source = self.g.select("s", "p", "o")
         few = None if free else [r._p for r in below.select("_p").distinct().limit(1001).collect()]
-        if few is not None and len(few) <= 1000:  # a plain list of predicates reaches the sources of the graph
-            source = source.where(F.col("p").isin(few))
-        triples = source.distinct()
+        source = self.g.select("s", "p", "o")
+        narrow = few is not None and len(few) <= 1000  # a plain list of predicates reaches the sources of the graph
+        # what is read more than once is written once: the triples of these predicates, and the types
+        triples = kept = stored((source.where(F.col("p").isin(sorted({*few, A}))) if narrow else source).distinct())
+        if narrow:
+            triples = kept.where(F.col("p").isin(few))
         raw = triples.join(F.broadcast(below) if below.count() <= SMALL else below, F.col("p") == F.col("_p")).select("edge", "s", "p", "o")
         if free:
             raw = raw.unionByName(triples.select(F.explode(F.array(*[F.lit(k) for (k,) in free])).alias("edge"), "s", "p", "o"))
         loops = [k for k, (s, _, o) in enumerate(self.edges) if s == o]
         raw = raw.where(~F.col("edge").isin(loops) | (F.col("s") == F.col("o"))) if loops else raw
         ends = table([(k, s, o) for k, (s, _, o) in enumerate(self.edges)], "edge int, ts string, to string")
-        raw = cut(raw.join(F.broadcast(ends), "edge"))
-        feasible = cut(self._feasible(raw))
-        for end, at in (("ts", "s"), ("to", "o")):
+        raw = raw.join(F.broadcast(ends), "edge")
+        feasible = cut(self._feasible(raw, kept.where(F.col("p") == A)))
+        may = {r.tnode: r.n for r in feasible.groupBy("tnode").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a node of the template
+        sides = [("ts", "s", 0), ("to", "o", 2)]
+        for end, at, _ in sorted(sides, key=lambda x: sum(may.get(e[x[2]], 0) for e in self.edges)):  # the side that lets fewer through first
             raw = raw.join(feasible.select(F.col("tnode").alias(end), F.col("node").alias(at)), [end, at], "left_semi")
         return raw.select("edge", "s", "p", "o")
 
-    def _feasible(self, raw: DataFrame) -> DataFrame:
+    def _feasible(self, raw: DataFrame, types_in: DataFrame) -> DataFrame:
         """(tnode, node) that may map: the same term, a class and its super- or sub-class, or types so related."""
         spark = self.g.sparkSession
         types = [(s, o) for s, p, o in self.edges if p == A]
@@ -73,7 +77,7 @@ class Matcher:
         related = self.up.select(F.col("child").alias("x"), F.col("ancestor").alias("y"))
         related = related.unionByName(related.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
         may = wanted.join(related, F.col("ttype") == F.col("x")).select("tnode", F.col("y").alias("type")).unionByName(wanted.select("tnode", F.col("ttype").alias("type"))).distinct()
-        kinds = self.g.where(F.col("p") == A).select(F.col("s").alias("node"), F.col("o").alias("type"))
+        kinds = types_in.select(F.col("s").alias("node"), F.col("o").alias("type"))
         parts = [constants, constants.join(related, F.col("node") == F.col("x")).select("tnode", F.col("y").alias("node")), may.join(kinds, "type").select("tnode", "node")]
         if untyped:  # nodes without a type, of those that lie under an edge there
             at = [raw.select(F.col(t).alias("tnode"), F.col(c).alias("node")) for t, c in (("ts", "s"), ("to", "o"))]

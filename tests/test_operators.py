@@ -312,3 +312,15 @@ def test_graphs_of_a_union_are_told_apart_once(spark):
     assert plan.count("Aggregate") == 1
     apart = graph.union(queries.orders(spark, "/root/testdata/sf0.001"), queries.lines(spark, "/root/testdata/sf0.001"))
     assert g.count() == apart.count() and graph.difference(g, apart).isEmpty()
+
+
+def test_a_matcher_reads_the_graph_once(spark):
+    """What may lie under edges and the types were read from the graph apart, so that it was built for each."""
+    read = spark.sparkContext.accumulator(0)
+    a = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
+    rows = [(f"<{E}x{k}>", a, f"<{E}Kind>") for k in range(10)] + [(f"<{E}x{k}>", f"<{E}on>", f"<{E}y{k}>") for k in range(10)]
+    g = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(lambda r: read.add(1) or r), "s string, p string, o string")
+    t = Template("t", ((terms.param("x"), a, f"<{E}Kind>"), (terms.param("x"), f"<{E}on>", terms.param("y"))))
+    m = match.Matcher(t, g, frame(spark, "e:Kind rdfs:subClassOf e:Top ."), check_predicates=True)
+    assert read.value == len(rows)
+    assert m.best()[1].count() == 10
