@@ -13,7 +13,7 @@ from .functions import labels as L
 from .operators import algebra, closure, extract, graph, match, validate
 from .plans.shapes import Shape
 from .plans.template import NETWORK, Builder, Template
-from .queries import BRAND, CONTAINS, CUSTOMER, IN_NATION, ORDER, PLACED_BY, PREFIXES, PRIORITY, STATUS, U, _FINISHED, _RDF, _RULES, _URGENT, _logic, _orders_and_lines, _report, customers, lines, orders, parts, query, ref, said, table
+from .queries import BRAND, CONTAINS, CUSTOMER, IN_NATION, ORDER, PLACED_BY, PREFIXES, PRIORITY, STATUS, U, _FINISHED, _RDF, _RULES, _URGENT, _bag, _logic, _report, customers, lines, orders, parts, query, ref, said, table
 from .sources import network, ntriples, records, turtle
 from .sources.snapshots import GraphTable
 from .terms import A, iri, literal, literal_col, param, plain
@@ -100,11 +100,11 @@ UNION ALL SELECT '{U}order/' || o_orderkey, 'ClassConstraintComponent' FROM orde
 def shape_of_template(spark, d):
     """The shape of what a template makes, on orders some of which it could not have made."""
     t = Template("finished", ((param("name"), A, ORDER), (param("name"), PLACED_BY, param("who")), (param("who"), A, CUSTOMER), (param("name"), STATUS, literal("F"))))
-    g = orders(spark, d)
-    known = customers(spark, d)
+    g = orders(spark, d, True)
+    known = customers(spark, d, True)
     known = known.join(known.where((F.col("p") == IN_NATION) & (F.regexp_extract("o", "([0-9]+)>$", 1).cast("int") < 20)).select("s"), "s", "left_semi")
     shape = Engine(spark, _place(g, "catalog")).template_to_shape(t)
-    return validate.Validator(graph.union(g, known), PREFIXES).report([shape]).select(plain(F.col("focus")).alias("focus"), "component")
+    return validate.Validator(graph.bag(g, known), PREFIXES, bag=True).report([shape]).select(plain(F.col("focus")).alias("focus"), "component")
 
 
 _CLASSES = f"""
@@ -186,7 +186,7 @@ def reasons_by_shape(spark, d):
     branded = Shape(iri(f"{U}branded"), constraints=(("property", Shape(iri(f"{U}branded-p"), path=BRAND, constraints=(("hasValue", literal("Brand#2")),))),))
     inner = Shape(iri(f"{U}has-branded"), constraints=(("node", branded),))
     shape = Shape(iri(f"{U}wants-branded"), targets=(("class", ORDER),), constraints=(("property", Shape(iri(f"{U}wants-branded-p"), path=CONTAINS, constraints=(("qualified", (inner, 1, None)),))),))
-    report = validate.Validator(graph.union(_orders_and_lines(spark, d), parts(spark, d)), PREFIXES).report([shape])
+    report = validate.Validator(_bag(spark, d), PREFIXES, bag=True).report([shape])
     rows = validate.reasons_by_shape(validate.diff(report, [shape], PREFIXES))
     return rows.select(plain(F.col("shapename")).alias("shapename"), "n", F.size("reasons").alias("reasons"))
 

@@ -15,7 +15,7 @@ SMALL = 300_000
 
 #: Rows read for each task of a shuffle, the compressed bytes up to which Spark may put small tasks together, and those of a file that a task reads.
 #: A triple takes some 220 bytes in an operator's memory and 16 in a shuffle's file.
-TASK_ROWS, TASK_BYTES, FILE_BYTES = 200_000, "8m", "4m"
+TASK_ROWS, TASK_BYTES, FILE_BYTES = 200_000, "4m", "4m"
 _rows_of: dict[tuple[str, ...], int] = {}
 
 #: Edges from which a closure is found by chains, nodes of a chain that stand together, and pairs for each task that spells them out.

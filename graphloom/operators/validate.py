@@ -62,11 +62,12 @@ class Validator:
     """Shapes are checked on all focus nodes at once; the constraints of a target and path share its values.
 
     What the shapes read of the graph is written once as a table by predicate, unless ``is_table`` says that
-    it is one; every target, path and constraint reads the part that it needs.
+    it is one; every target, path and constraint reads the part that it needs.  A ``bag`` may have a triple
+    twice: targets, values and classes are told apart where they are read, the triples only for what reads any of them.
     """
 
-    def __init__(self, data: DataFrame, prefixes: dict[str, str] | None = None, hierarchy: DataFrame | None = None, is_table: bool = False):
-        self._data, self._g = data, data if is_table else None
+    def __init__(self, data: DataFrame, prefixes: dict[str, str] | None = None, hierarchy: DataFrame | None = None, is_table: bool = False, bag: bool = False):
+        self._data, self._g, self._bag = data, data if is_table else None, bag
         self._covers = {ANY} if is_table else set()
         self.prefixes = prefixes or {}
         self._up = hierarchy
@@ -78,7 +79,7 @@ class Validator:
         if ANY in self._covers or reads <= self._covers:
             return
         if self._covers or ANY in reads:  # more than was asked for before: the whole graph, for all that may come
-            self._covers, self._g = {ANY}, stored(self._data)
+            self._covers, self._g = {ANY}, stored(self._whole())
         else:
             self._covers, self._g = reads, stored(self._data.where(F.col("p").isin(*sorted(reads))))
 
@@ -86,9 +87,12 @@ class Validator:
     def g(self) -> DataFrame:
         """The table: all of the graph, or what the shapes read that were prepared for."""
         if self._g is None:
-            self._covers, self._g = {ANY}, stored(self._data)
+            self._covers, self._g = {ANY}, stored(self._whole())
         return self._g
 
+    def _whole(self) -> DataFrame:
+        return self._data.dropDuplicates(["s", "p", "o"]) if self._bag else self._data
+
     @property
     def up(self) -> DataFrame:
         """The class hierarchy, found once when it is first asked for."""
@@ -183,17 +187,20 @@ class Validator:
         Which classes a value has and which nested shapes it breaks are joined once, for all
         constraints; counts, qualified counts and fixed values come from one aggregate a focus.
         """
+        counted = rows
         classes = list(dict.fromkeys(arg for name, arg in constraints if name == "class"))
         nested = list(dict.fromkeys(s for name, arg in constraints for s in _shapes_in(name, arg)))
         if classes:
-            kinds = instances(self.g, classes, self.up).groupBy(F.col("node").alias("value")).agg(F.collect_set("class").alias("_kinds"))
-            rows = rows.join(kinds, "value", "left")
+            kinds = instances(self.g, classes, self.up).select(F.col("node").alias("value"), "class")
+            rows = rows.join(self._flags(kinds, "class", classes, "_is"), "value", "left")
         if nested:
             distinct = rows.where(F.col("value").isNotNull()).select(F.col("value").alias("focus")).distinct()
             broken = [self.failing(s, distinct).select(F.col("focus").alias("value"), F.lit(k).alias("_k")) for k, s in enumerate(nested)]
-            rows = rows.join(reduce(DataFrame.unionByName, broken).groupBy("value").agg(F.collect_set("_k").alias("_broken")), "value", "left")
+            rows = rows.join(self._flags(reduce(DataFrame.unionByName, broken), "_k", range(len(nested)), "_fails"), "value", "left")
 
-        fails = lambda s: F.coalesce(F.array_contains("_broken", nested.index(s)), F.lit(False))
+        fails = lambda s: F.coalesce(F.col(f"_fails{nested.index(s)}"), F.lit(False))
+        if any(name == "qualified" for name, _ in constraints):
+            counted = rows  # other counts are taken where the values still lie by focus
         has = F.col("value").isNotNull()
         of_values, of_foci, sums = [], [], {"_n": F.count("value")}
         for name, arg in constraints:
@@ -210,7 +217,7 @@ class Validator:
                 of_foci += [("QualifiedMinCountConstraintComponent", n < low)] if low is not None else []
                 of_foci += [("QualifiedMaxCountConstraintComponent", n > high)] if high is not None else []
             elif name == "class":
-                of_values.append((component, ~F.coalesce(F.array_contains("_kinds", arg), F.lit(False))))
+                of_values.append((component, ~F.coalesce(F.col(f"_is{classes.index(arg)}"), F.lit(False))))
             elif name == "node":
                 of_values.append((component, fails(arg)))
             elif name == "not":
@@ -229,10 +236,17 @@ class Validator:
         if of_values:
             parts.append(told(rows.where(has), of_values, ["focus", "value"]))
         if of_foci:
-            parts.append(told(rows.groupBy("focus").agg(*[c.alias(n) for n, c in sums.items()]), of_foci, ["focus"]).withColumn("value", F.lit(None).cast("string")))
+            parts.append(told(counted.groupBy("focus").agg(*[c.alias(n) for n, c in sums.items()]), of_foci, ["focus"]).withColumn("value", F.lit(None).cast("string")))
         found = reduce(lambda a, b: a.unionByName(b), parts)
         return self._said(shape, found, F.col("_component"))
 
+    @staticmethod
+    def _flags(pairs: DataFrame, column: str, kinds: Sequence, name: str) -> DataFrame:
+        """(value, a boolean for each kind) of distinct pairs (value, ``column``): no sets are collected, one kind needs no aggregate."""
+        if len(kinds) == 1:
+            return pairs.select("value", F.lit(True).alias(f"{name}0"))
+        return pairs.groupBy("value").agg(*[F.max(F.col(column) == k).alias(f"{name}{n}") for n, k in enumerate(kinds)])
+
     def _said(self, shape: Shape, found: DataFrame, component) -> DataFrame:
         path = F.lit(path_text(shape.path, self.prefixes)) if shape.path is not None else F.lit(None).cast("string")
         value = F.col("value") if "value" in found.columns else F.lit(None).cast("string")
@@ -247,7 +261,7 @@ class Validator:
         if name == "disjoint":
             return values.join(other.select("focus", F.col("other").alias("value")), ["focus", "value"], "left_semi"), component
         if name == "equals":
-            theirs = other.join(foci, "focus", "left_semi").select("focus", F.col("other").alias("value"))
+            theirs = other.join(foci, "focus", "left_semi").select("focus", F.col("other").alias("value")).distinct()
             both = ["focus", "value"]
             return values.join(theirs, both, "left_anti").unionByName(theirs.join(values, both, "left_anti")), component
         if name in ("lessThan", "lessThanOrEquals"):

@@ -350,8 +350,8 @@ def shapes_about_class(spark, d):
 # --- validation
 
 
-def _report(spark, d, shape: Shape, g: DataFrame) -> DataFrame:
-    r = validate.Validator(g, PREFIXES).report([shape])
+def _report(spark, d, shape: Shape, g: DataFrame, bag: bool = False) -> DataFrame:
+    r = validate.Validator(g, PREFIXES, bag=bag).report([shape])
     return r.select(plain(F.col("focus")).alias("focus"), plain(F.col("value")).alias("value"), "component")
 
 
@@ -364,6 +364,11 @@ def _orders_and_lines(spark, d):
     return graph.union(orders(spark, d, True), lines(spark, d, True))
 
 
+def _bag(spark, d):
+    """Orders, lines and parts, for validators: they tell apart what they read."""
+    return graph.bag(orders(spark, d, True), lines(spark, d, True), parts(spark, d))
+
+
 @query(f"SELECT '{U}order/' || o_orderkey AS focus FROM orders")
 def target_class(spark, d):
     return said(validate.Validator(orders(spark, d)).targets(Shape("x", targets=(("class", ORDER),))))
@@ -395,30 +400,30 @@ PROMO = iri(f"{U}PROMO")
 @query(f"SELECT '{U}order/' || o_orderkey AS focus, NULL::VARCHAR AS value, 'QualifiedMinCountConstraintComponent' AS component FROM {_QN} WHERE n < 1")
 def qualified_min_count(spark, d):
     inner = Shape(iri(f"{U}PromoPart"), constraints=(("class", PROMO),))
-    return _report(spark, d, _order(("qualified", (inner, 1, None))), graph.union(_orders_and_lines(spark, d), parts(spark, d)))
+    return _report(spark, d, _order(("qualified", (inner, 1, None))), _bag(spark, d), True)
 
 
 @query(f"SELECT '{U}order/' || o_orderkey AS focus, NULL::VARCHAR AS value, 'QualifiedMaxCountConstraintComponent' AS component FROM {_QN} WHERE n > 2")
 def qualified_max_count(spark, d):
     inner = Shape(iri(f"{U}PromoPart"), constraints=(("class", PROMO),))
-    return _report(spark, d, _order(("qualified", (inner, None, 2))), graph.union(_orders_and_lines(spark, d), parts(spark, d)))
+    return _report(spark, d, _order(("qualified", (inner, None, 2))), _bag(spark, d), True)
 
 
 @query(f"SELECT '{U}order/' || o_orderkey AS focus, NULL::VARCHAR AS value, CASE WHEN n < 1 THEN 'QualifiedMinCountConstraintComponent' ELSE 'QualifiedMaxCountConstraintComponent' END AS component FROM {_QN} WHERE n < 1 OR n > 2")
 def qualified_both_bounds(spark, d):
     inner = Shape(iri(f"{U}PromoPart"), constraints=(("class", PROMO),))
-    return _report(spark, d, _order(("qualified", (inner, 1, 2))), graph.union(_orders_and_lines(spark, d), parts(spark, d)))
+    return _report(spark, d, _order(("qualified", (inner, 1, 2))), _bag(spark, d), True)
 
 
 @query(f"SELECT DISTINCT '{U}order/' || l_orderkey AS focus, '{U}part/' || l_partkey AS value, 'ClassConstraintComponent' AS component FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type <> 'PROMO' AND l_orderkey IN (SELECT o_orderkey FROM orders)")
 def class_constraint(spark, d):
-    return _report(spark, d, _order(("class", PROMO)), graph.union(_orders_and_lines(spark, d), parts(spark, d)))
+    return _report(spark, d, _order(("class", PROMO)), _bag(spark, d), True)
 
 
 @query(f"SELECT DISTINCT '{U}order/' || l_orderkey AS focus, '{U}part/' || l_partkey AS value, 'NodeConstraintComponent' AS component FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 40 AND l_orderkey IN (SELECT o_orderkey FROM orders)")
 def node_constraint(spark, d):
     small = Shape(iri(f"{U}Small"), constraints=(("property", Shape(iri(f"{U}SmallSize"), path=SIZE, constraints=(("maxInclusive", 40.0),))),))
-    return _report(spark, d, _order(("node", small)), graph.union(_orders_and_lines(spark, d), parts(spark, d)))
+    return _report(spark, d, _order(("node", small)), _bag(spark, d), True)
 
 
 @query(f"SELECT '{U}order/' || o_orderkey AS focus, NULL::VARCHAR AS value, 'HasValueConstraintComponent' AS component FROM orders WHERE o_orderstatus <> 'F'")
@@ -525,7 +530,7 @@ def exact_count_component(spark, d):
 @query(f"SELECT 'Warning' AS severity, count(*) AS n FROM {_N} WHERE n < 2 HAVING count(*) > 0 UNION ALL SELECT 'Violation', count(*) FROM orders WHERE o_orderstatus <> 'F' HAVING count(*) > 0")
 def severity_summary(spark, d):
     shapes = [_order(("minCount", 2), severity="Warning"), Shape(iri(f"{U}Other"), targets=(("class", ORDER),), constraints=(("property", Shape(iri(f"{U}OtherP"), path=STATUS, constraints=(("hasValue", literal("F")),))),))]
-    return validate.severity_counts(validate.Validator(_orders_and_lines(spark, d)).report(shapes))
+    return validate.severity_counts(validate.Validator(graph.bag(orders(spark, d, True), lines(spark, d, True)), bag=True).report(shapes))
 
 
 def _diffs(spark, d) -> DataFrame:
@@ -543,7 +548,7 @@ def diff_reasons(spark, d):
 def diff_class_counts(spark, d):
     inner = Shape(iri(f"{U}PromoPart"), constraints=(("class", PROMO),))
     shapes = [_order(("qualified", (inner, 2, 9)))]
-    report = validate.Validator(graph.union(_orders_and_lines(spark, d), parts(spark, d)), PREFIXES).report(shapes)
+    report = validate.Validator(_bag(spark, d), PREFIXES, bag=True).report(shapes)
     return validate.diff(report, shapes, PREFIXES).select(plain(F.col("focus")).alias("focus"), "reason", "kind")
 
 
@@ -561,7 +566,7 @@ def repair_triples(spark, d):
 
 
 def _extract(spark, d, shape: Shape) -> DataFrame:
-    return extract.Extractor(graph.union(_orders_and_lines(spark, d), parts(spark, d))).table(shape)
+    return extract.Extractor(_bag(spark, d), bag=True).table(shape)
 
 
 def _order_table(*properties: Shape) -> Shape:
@@ -803,7 +808,7 @@ def repair_builds_shapes(spark, d):
     """Orders with fewer than two conforming parts get new ones, each built by the template of the shape."""
     node = Shape(iri(f"{U}PromoShape"), constraints=(("class", PROMO),))
     shapes = [_order(("qualified", (Shape(iri(f"{U}PromoValue"), constraints=(("node", node),)), 2, None)))]
-    report = validate.Validator(graph.union(_orders_and_lines(spark, d), parts(spark, d)), PREFIXES).report(shapes)
+    report = validate.Validator(_bag(spark, d), PREFIXES, bag=True).report(shapes)
     promo = Template(f"{U}PromoShape", ((param("name"), A, PROMO), (param("name"), iri(f"{U}madeBy"), param("maker"))))
     templates, needs = validate.repair_templates(validate.diff(report, shapes, PREFIXES), {"t:containsPart": CONTAINS}, lambda _, n: promo if n == promo.name else None)
     return said(validate.repaired(templates, needs, U))
@@ -1092,11 +1097,11 @@ SELECT s, '{U}watchedBy' AS p, count(*) AS n FROM bad GROUP BY s""")
 def repair_smallest_alternative(spark, d):
     """Orders that meet none of three alternatives get the one that takes the fewest triples; the repaired graph validates."""
     shape = _WAYS.targeting("class", ORDER)
-    g = graph.union(_orders_and_lines(spark, d), parts(spark, d))
-    report = closure.cut(validate.Validator(g).report([shape]))
+    v = validate.Validator(_bag(spark, d), bag=True)
+    report = closure.cut(v.report([shape]))
     templates, needs = validate.repair_templates(validate.diff(report, [shape]), {}, shapes=[shape])
     made = closure.cut(validate.repaired(templates, needs, f"{U}new/"))
-    still = validate.Validator(graph.union(g, made)).report([shape])
+    still = validate.Validator(graph.bag(_bag(spark, d), made), bag=True).report([shape])
     # a focus that were still wrong would stand here with another predicate
     rows = made.where(F.col("p") != A).select("s", "p").unionByName(still.select(F.col("focus").alias("s"), F.lit(iri(f"{U}broken")).alias("p")))
     return rows.groupBy(plain(F.col("s")).alias("s"), plain(F.col("p")).alias("p")).agg(F.count(F.lit(1)).alias("n"))

@@ -324,3 +324,39 @@ def test_a_matcher_reads_the_graph_once(spark):
     m = match.Matcher(t, g, frame(spark, "e:Kind rdfs:subClassOf e:Top ."), check_predicates=True)
     assert read.value == len(rows)
     assert m.best()[1].count() == 10
+
+
+def _results(report) -> list:
+    return sorted(map(str, report.select("focus", "path", "value", "source_shape", "component").collect()))
+
+
+def _counted() -> tuple:
+    """A shape whose parts are counts, classes, alternatives and a bound that one more triple may break."""
+    t = lambda n: f"<{E}{n}>"
+    kind = Shape(t("kind"), constraints=(("class", t("Good")),))
+    first = Shape(t("first"), constraints=(("property", Shape(t("first-p"), path=t("p"), constraints=(("minCount", 2), ("class", t("Good"))))),))
+    second = Shape(t("second"), constraints=(("property", Shape(t("second-p"), path=t("q"), constraints=(("qualified", (kind, 1, 2)),))), ("class", t("Fine"))))
+    few = Shape(t("few"), path=t("p"), constraints=(("maxCount", 2), ("class", t("Good")), ("class", t("Fine"))))
+    return t, Shape(t("s"), targets=(("class", t("T")),), constraints=(("or", (first, second)), ("property", few)))
+
+
+def test_a_graph_with_triples_twice_gives_the_same_report(spark):
+    """Validators told triples apart before they told apart what they read of them; a bag is read as the set that it is."""
+    t, shape = _counted()
+    rows = [(t("a"), terms.A, t("T")), (t("b"), terms.A, t("T")), (t("c"), terms.A, t("T")), (t("a"), t("p"), t("x")), (t("a"), t("p"), t("y")), (t("b"), t("p"), t("x")), (t("c"), t("q"), t("x")), (t("x"), terms.A, t("Good")), (t("y"), terms.A, t("Better")), (t("Better"), terms.SUBCLASS, t("Good"))]
+    once = spark.createDataFrame(rows, "s string, p string, o string")
+    twice = graph.bag(once, once)
+    assert twice.count() == 2 * len(rows)
+    equal = Shape(t("e"), targets=(("class", t("T")),), constraints=(("property", Shape(t("e-p"), path=t("p"), constraints=(("equals", t("q")),))),))
+    closed = Shape(t("d"), targets=(("class", t("T")),), constraints=(("closed", (terms.A, t("q"))),))
+    for shapes in ([shape, equal], [closed]):
+        assert _results(validate.Validator(twice, bag=True).report(shapes)) == _results(validate.Validator(once).report(shapes)) != []
+
+
+def test_counts_are_taken_where_values_lie_by_focus(spark):
+    """Values that were joined by value to tell their classes were brought back to their foci to be counted."""
+    t, _ = _counted()
+    g = spark.createDataFrame([(t("a"), terms.A, t("T")), (t("a"), t("p"), t("x"))], "s string, p string, o string")
+    shape = lambda *c: Shape(t("s"), targets=(("class", t("T")),), constraints=(("property", Shape(t("n"), path=t("p"), constraints=c)),))
+    joins = lambda *c: validate.Validator(g).report([shape(*c)])._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(("minCount", 2), ("class", t("Good"))) == joins(("minCount", 2)) + joins(("class", t("Good")))
