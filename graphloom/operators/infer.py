@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.patterns import Text
-from ..plans.shapes import ANY, Shape, ShapeGraph, dependence, predicates, sh, target_reads
+from ..plans.shapes import ANY, Shape, ShapeGraph, dependence, inline, predicates, sh, target_reads
 from ..terms import A, SUBCLASS
 from . import algebra, solve
 from .algebra import Pattern, bgp, construct, inverse, path_pairs
@@ -46,6 +46,11 @@ class State:
     def part(self, predicate: str) -> DataFrame:
         return self.delta.where(F.col("p") == predicate)
 
+    def typed(self, cls: str) -> DataFrame:
+        """(focus) of what the last round made an instance of a class or of its subclasses."""
+        kinds = self.validator.up.where(F.col("ancestor") == cls).select(F.col("child").alias("o")).unionByName(self.g.sparkSession.range(1).select(F.lit(cls).alias("o")))
+        return self.part(A).join(kinds, "o", "left_semi").select(F.col("s").alias("focus"))
+
     @cached_property
     def validator(self) -> Validator:
         return Validator(self.g, hierarchy=self.hierarchy, is_table=True)
@@ -59,8 +64,7 @@ def new_targets(shape: Shape, at: State) -> DataFrame | str | None:
             if at.touches({SUBCLASS}):
                 return EVERY
             if at.touches({A}):
-                kinds = at.validator.up.where(F.col("ancestor") == t).select(F.col("child").alias("o")).unionByName(at.g.sparkSession.range(1).select(F.lit(t).alias("o")))
-                parts.append(at.part(A).join(kinds, "o", "left_semi").select(F.col("s").alias("focus")))
+                parts.append(at.typed(t))
         elif kind in ("subjects", "objects") and at.touches({t}):
             parts.append(at.part(t).select(F.col("s" if kind == "subjects" else "o").alias("focus")))
         elif kind == "select":
@@ -83,7 +87,7 @@ def affected(shape: Shape, at: State) -> DataFrame | str | None:
             if at.touches({SUBCLASS}):
                 return EVERY
             if at.touches({A}):
-                values.append(at.part(A).select(F.col("s").alias("focus")))
+                values.append(at.typed(arg))
         elif name in ("closed", "sparql", "exactCount"):
             return EVERY
         elif name in ("disjoint", "equals", "lessThan", "lessThanOrEquals") and at.touches({arg}):
@@ -97,7 +101,12 @@ def affected(shape: Shape, at: State) -> DataFrame | str | None:
                     values.append(found)
     if values:
         v = reduce(DataFrame.unionByName, values).distinct()
-        parts.append(v if shape.path is None else path_pairs(at.g, inverse(shape.path), v.select(F.col("focus").alias("s"))).select(F.col("o").alias("focus")))
+        if shape.path is not None:
+            v = cut(v)
+        if shape.path is None:
+            parts.append(v)
+        elif not v.isEmpty():  # else the path need not be read
+            parts.append(path_pairs(at.g, inverse(shape.path), v.select(F.col("focus").alias("s"))).select(F.col("o").alias("focus")))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
@@ -122,6 +131,35 @@ def _changed_foci(shape: Shape, conditions: Sequence[Shape], at: State) -> DataF
     return _conforming(at.validator.targets(shape).join(F.broadcast(foci) if n <= SMALL else foci, "focus", "left_semi"), conditions, at)
 
 
+def _names_values(shape: Shape) -> bool:
+    """Whether results of a shape may name other nodes than its foci: what its properties lead to."""
+    inner = shape.get("property")
+    return bool(inner) and shape.path is not None or any(map(_names_values, inner))
+
+
+def revalidate(v: Validator, shape: Shape, report: DataFrame, added: DataFrame) -> DataFrame:
+    """The report of a shape after triples were added to the validator's graph, from the ``report`` of that shape before.
+
+    Only targets for which these triples may change something are checked again; the results of all others stand.
+    """
+    shape = inline(shape)
+    v.prepare([shape])
+    touched = sorted(r.p for r in added.select("p").distinct().limit(1000).collect())
+    known = len(touched) < 1000
+    new = cut(difference(added.select(*COLUMNS).distinct(), v.g.where(F.col("p").isin(touched)) if known else v.g))
+    at = State(v.g.unionByName(new), new, set(touched) if known else None, v.up if known and SUBCLASS not in touched else None)
+    found = [new_targets(shape, at), affected(shape, at)]
+    if any(isinstance(x, str) for x in found) or _names_values(shape):
+        return at.validator.report([shape])
+    some = [x for x in found if x is not None]
+    if shape.deactivated or not some:
+        return report
+    foci = cut(reduce(DataFrame.unionByName, some).distinct())
+    foci = F.broadcast(foci) if foci.count() <= SMALL else foci
+    again = at.validator.check(shape, at.validator.targets(shape).join(foci, "focus", "left_semi"))
+    return report.join(foci, "focus", "left_anti").unionByName(again)
+
+
 # --- rules
 
 

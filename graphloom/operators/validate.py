@@ -195,7 +195,10 @@ class Validator:
             rows = rows.join(self._flags(kinds, "class", classes, "_is"), "value", "left")
         if nested:
             distinct = rows.where(F.col("value").isNotNull()).select(F.col("value").alias("focus")).distinct()
-            broken = [self.failing(s, distinct).select(F.col("focus").alias("value"), F.lit(k).alias("_k")) for k, s in enumerate(nested)]
+            failing = [self.failing(s, distinct) for s in nested]
+            if len(nested) > 1:  # one after the other: a task that checks all of them has the memory of all of their joins
+                failing = list(map(cut, failing))
+            broken = [f.select(F.col("focus").alias("value"), F.lit(k).alias("_k")) for k, f in enumerate(failing)]
             rows = rows.join(self._flags(reduce(DataFrame.unionByName, broken), "_k", range(len(nested)), "_fails"), "value", "left")
 
         fails = lambda s: F.coalesce(F.col(f"_fails{nested.index(s)}"), F.lit(False))

@@ -1101,7 +1101,7 @@ def repair_smallest_alternative(spark, d):
     report = closure.cut(v.report([shape]))
     templates, needs = validate.repair_templates(validate.diff(report, [shape]), {}, shapes=[shape])
     made = closure.cut(validate.repaired(templates, needs, f"{U}new/"))
-    still = validate.Validator(graph.bag(_bag(spark, d), made), bag=True).report([shape])
+    still = infer.revalidate(v, shape, report, made)
     # a focus that were still wrong would stand here with another predicate
     rows = made.where(F.col("p") != A).select("s", "p").unionByName(still.select(F.col("focus").alias("s"), F.lit(iri(f"{U}broken")).alias("p")))
     return rows.groupBy(plain(F.col("s")).alias("s"), plain(F.col("p")).alias("p")).agg(F.count(F.lit(1)).alias("n"))

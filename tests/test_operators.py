@@ -353,6 +353,21 @@ def test_a_graph_with_triples_twice_gives_the_same_report(spark):
         assert _results(validate.Validator(twice, bag=True).report(shapes)) == _results(validate.Validator(once).report(shapes)) != []
 
 
+def test_a_report_after_more_triples_checks_what_they_touch(spark):
+    """The whole graph was validated again; results of foci that the new triples don't touch now stand as they are."""
+    t, shape = _counted()
+    kinds = [(t(x), terms.A, t("T")) for x in "abcdef"] + [(t("x"), terms.A, t("Good")), (t("y"), terms.A, t("Good"))]
+    rows = [*kinds, (t("a"), t("p"), t("x")), (t("b"), t("p"), t("x")), (t("b"), t("p"), t("y")), (t("c"), t("q"), t("z")), (t("d"), t("p"), t("w")), (t("e"), terms.A, t("Fine"))]
+    more = [(t("a"), t("p"), t("y")), (t("b"), t("p"), t("v")), (t("z"), terms.A, t("Good")), (t("c"), terms.A, t("Fine")), (t("w"), terms.A, t("Fine")), (t("g"), terms.A, t("T")), (t("b"), t("p"), t("x"))]
+    make = lambda r: spark.createDataFrame(r, "s string, p string, o string")
+    v = validate.Validator(make(rows))
+    before = closure.cut(v.report([shape]))
+    marked = lambda r: r.withColumn("component", F.when(F.col("focus") == t("f"), "as it was").otherwise(F.col("component")))
+    whole = validate.Validator(graph.union(make(rows), make(more))).report([shape])
+    found = _results(infer.revalidate(v, shape, marked(before), make(more)))
+    assert found == _results(marked(whole)) and any("as it was" in r for r in found)
+
+
 def test_counts_are_taken_where_values_lie_by_focus(spark):
     """Values that were joined by value to tell their classes were brought back to their foci to be counted."""
     t, _ = _counted()
