@@ -2,21 +2,32 @@
 
 Shards are stretches of documents inside a task; document frequencies, the number of documents
 and their mean length are global, so that a score does not depend on the shard and the shards'
-top lists merge exactly.  In a shard, documents are put in blocks by their most common words and length.  A term's postings are
+top lists merge exactly.  In a shard, documents are put in blocks by their most common words and length.
+
+A query of at most ``SHORT`` terms goes by itself (``Shard``): a term's postings are
 sorted by document and cut at the blocks, and every term keeps its largest impact in each of its
-blocks (and, where it has many postings there, all impacts as a row).  For a query, the sum of its terms' maxima bounds the scores of a block.  Blocks are read
+blocks (and, where it has many postings there, all impacts as a row).  The sum of a query's terms' maxima bounds the scores of a block.  Blocks are read
 from the highest bound on; the k-th best score found so far, in this shard or those before it in
 the task, is the threshold, and once the next bound is below it all further blocks are skipped
 with their postings unread.  That is WAND's pivot test for a block of documents at a time instead
 of one, which numpy does for all terms at once.
 
-Queries are a stated set; they go to the tasks in blocks of at most ``BLOCK_TERMS`` terms, each
-block being one pass over the documents.  A block's results are written before the next is sent,
+Longer queries, whose bounds hardly ever fall below the threshold, go together (``Block``): those
+alike are a batch, and a batch meets a block of ``DOCS`` documents at once.  The block's maxima tell
+which queries of the batch can be skipped.  For the others, the terms that many queries and
+documents have are one matrix product, and the postings of the rest are added to it.  Only
+documents that reach a query's threshold are scored exactly.
+
+Queries are a stated set; those with the same terms are searched once.  They go to the tasks in blocks of at most
+``BLOCK_TERMS`` terms, each block being one pass over the documents.  Of many shards, one in ``EARLY`` is searched
+first: its k-th best scores are thresholds for all other tasks, so that what these return follows
+the queries and not queries times tasks.  A block's results are written before the next is sent,
 so the driver never holds more than one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -36,7 +47,16 @@ SHARD_BYTES, BLOCK, FIRST = 1 << 25, 64, 16
 HEAVY, SLACK, ROUNDING = 8, 1e-4, 2.0**-23
 #: Most common words by which documents are put side by side.
 ALIKE = 4
-BLOCK_TERMS = 1_000_000
+#: Terms of a query that goes by itself; queries of a batch and documents of a block of the longer ones.
+SHORT, QUERIES, DOCS = 4, 256, 2048
+#: A term of a batch and a block goes into the matrix product if one in so many pairs of a query and a document share it,
+#: and if one in so many of the block's documents has it.
+SHARED, COMMON = 600, 160
+#: Postings that are added at once.
+PIECE = 1 << 16
+#: One in so many documents is searched before the others.
+EARLY = 16
+BLOCK_TERMS = 16_000_000
 
 
 def _terms(column: pa.Array):
@@ -46,7 +66,8 @@ def _terms(column: pa.Array):
         h = hash_words(data, starts, ends, fold=True)
         n = np.diff(first)
         r = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((h, r))
+        order = np.argsort(h)
+        order = order[np.argsort(r[order].astype(np.uint16 if len(n) <= 1 << 16 else np.int64), kind="stable")]
         h, r = h[order], r[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
@@ -66,16 +87,20 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: the distinct terms of each query."""
     for batch in batches:
         ids = batch.column(0)
-        for row, _, r, h, _ in _terms(batch.column(1)):
-            yield pa.RecordBatch.from_pydict({"query_id": ids.take(pa.array(row + r)), "term": pa.array(h.view(np.int64))})
+        for row, n, r, h, _ in _terms(batch.column(1)):
+            ends = np.searchsorted(r, np.arange(len(n) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"query_id": ids.slice(row, len(n)), "terms": pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))})
 
 
 def _ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """All numbers of the ranges [first, end), one range after the other."""
     size = end - first
-    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    out = np.repeat(first - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
 
 
 class Shard:
@@ -176,43 +201,261 @@ class Shard:
         return self.ids[docs], scores
 
 
-def _search(said, k: int, mean_length: float, shard_bytes: int):
-    """Task: its best k documents for every query of the block."""
+def _alike(term: np.ndarray, first: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
+    """Sort keys, last one first: the most common terms of each row, which has one at least; ``rank`` is 0 for the most common of all."""
+    r = rank[term]
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    keys = []
+    for _ in range(ALIKE):
+        least = np.minimum.reduceat(r, first[:-1])
+        keys.append(least)
+        r[r == least[row]] = len(rank)
+    return keys[::-1]
+
+
+def _best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the best k rows of each query, by query, score and id."""
+    order = np.lexsort((ids, -scores, q))
+    q = q[order]
+    return order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+
+
+class Queries:
+    """A block of queries: ``weight`` by term, and the terms of query i at ``cuts[i]`` to ``cuts[i + 1]``."""
+
+    def __init__(self, cuts: np.ndarray, terms: np.ndarray, weight: np.ndarray):
+        self.cuts, self.terms, self.weight = cuts, terms, weight
+        self.size = np.diff(cuts)
+        self.slack = np.maximum(SLACK, ROUNDING * self.size)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.terms[self.cuts[i] : self.cuts[i + 1]]
+
+
+class Block:
+    """The postings of some documents by term, their impacts times the term's weight; common terms as rows, too."""
+
+    def __init__(self, doc: np.ndarray, term: np.ndarray, value: np.ndarray, n_docs: int, slot: np.ndarray):
+        order = np.argsort(term.astype(np.int64) * n_docs + doc)
+        self.doc, self.value, term = doc[order], value[order], term[order]
+        at = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+        self.terms, self.first, self.n_docs = term[at], np.append(at, len(term)), n_docs
+        self.most = np.maximum.reduceat(self.value, at)
+        self.size = np.diff(self.first)
+        often = np.flatnonzero(self.size * COMMON >= n_docs)
+        p = _ranges(self.first[often], self.first[often + 1])
+        self.row = np.full(len(at), -1)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), n_docs), np.float32)
+        self.rows[np.repeat(np.arange(len(often)), self.size[often]), self.doc[p]] = self.value[p]
+        self.slot = slot  # place of a term here, or -1
+
+    def scores(self, queries: Queries, begin: int, end: int, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The queries among begin to end whose bound reaches ``low``, and a row of scores for each, within their slack."""
+        n = end - begin
+        at = self.slot[queries.terms[queries.cuts[begin] : queries.cuts[end]]]
+        row = np.repeat(np.arange(n), queries.size[begin:end])
+        here = np.flatnonzero(at >= 0)
+        at, row = at[here], row[here]
+        bound = np.bincount(row, weights=self.most[at], minlength=n) * (1 + queries.slack[begin:end])
+        alive = (bound > 0) & (bound >= low[begin:end])
+        left = np.flatnonzero(alive)
+        if len(left) < n:
+            here = alive[row]
+            at, row = at[here], (np.cumsum(alive) - 1)[row[here]]
+        asked = np.bincount(at, minlength=len(self.terms))
+        dense = (self.row >= 0) & (asked * self.size * SHARED > len(left) * self.n_docs)
+        place = np.cumsum(dense) - 1
+        on = dense[at]
+        has = np.zeros((len(left), int(dense.sum())), np.float32)
+        has[row[on], place[at[on]]] = 1
+        total = has @ self.rows[self.row[dense]]
+        at, row = at[~on], row[~on]
+        a, size = self.first[at], self.size[at]
+        held = np.cumsum(size)
+        x = 0
+        for y in np.searchsorted(held, np.arange(PIECE, held[-1] + PIECE, PIECE)) + 1 if len(held) else ():
+            p = _ranges(a[x:y], a[x:y] + size[x:y])
+            cell = np.repeat(row[x:y] * self.n_docs, size[x:y])
+            cell += self.doc[p]
+            np.add.at(total.reshape(-1), cell, self.value[p])
+            x = y
+        return left + begin, total
+
+
+class Stretch:
+    """A shard's documents for queries that go together."""
+
+    def __init__(self, parts: list[tuple], weight: np.ndarray, mean_length: float):
+        ids, length = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        base = np.cumsum([0] + [len(p[0]) for p in parts])
+        doc = np.concatenate([p[2] + b for p, b in zip(parts, base)])
+        self.term, self.times = np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts])
+        # only documents with a known term; postings come by document and term
+        size = np.bincount(doc, minlength=len(ids))
+        known = np.flatnonzero(size)
+        self.ids, length, self.first = ids[known], length[known], np.append(0, np.cumsum(size[known]))
+        self.norm = K1 * (1 - B + B * length / max(mean_length, 1e-9))
+        self.weight = weight
+        often = np.bincount(self.term, minlength=len(weight))
+        rank = np.empty(len(weight), np.int64)
+        rank[np.argsort(-often, kind="stable")] = np.arange(len(weight))
+        self.order = np.lexsort((length, *_alike(self.term, self.first, rank))) if len(known) else known
+
+    def _impact(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the postings of some documents: the document's place among them, the term and the impact."""
+        a, b = self.first[docs], self.first[docs + 1]
+        p, at = _ranges(a, b), np.repeat(np.arange(len(docs)), b - a)
+        times = self.times[p]
+        return at, self.term[p], times * (K1 + 1) / (times + self.norm[docs][at])
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, Block]]:
+        slot = np.full(len(self.weight), -1, np.int32)
+        for b in range(0, len(self.order), DOCS):
+            docs = self.order[b : b + DOCS]
+            at, term, impact = self._impact(docs)
+            block = Block(at, term, (impact * self.weight[term]).astype(np.float32), len(docs), slot)
+            slot[block.terms] = np.arange(len(block.terms), dtype=np.int32)
+            yield docs, block
+            slot[block.terms] = -1
+
+    def top(self, queries: Queries, which: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of all documents that may be among the best k (ties at the k-th included) and reach ``least``, for the queries which[0] to which[1]."""
+        low = np.maximum(least * (1 - queries.slack), 1e-300)
+        found = []
+        for docs, block in self.blocks():
+            for begin in range(which[0], which[1], QUERIES):
+                some, total = block.scores(queries, begin, min(begin + QUERIES, which[1]), low)
+                if not len(some):
+                    continue
+                n = total.shape[1]
+                hit = np.flatnonzero(total >= low[some].astype(np.float32)[:, None])
+                many = np.flatnonzero(np.bincount(hit // n, minlength=len(some)) > 4 * k)
+                if len(many):
+                    kth = np.partition(total[many], n - k, axis=1)[:, n - k]
+                    low[some[many]] = np.maximum(low[some[many]], kth * (1 - 2 * queries.slack[some[many]]))
+                    hit = hit[total.reshape(-1)[hit] >= low[some].astype(np.float32)[hit // n]]
+                found.append((some[hit // n], docs[hit % n], total.reshape(-1)[hit]))
+        q, docs, near = (np.concatenate([f[j] for f in found]) if found else np.zeros(0, np.int64) for j in range(3))
+        order = np.lexsort((-near, q))
+        q, docs, near = q[order], docs[order], near[order]
+        begin, end = np.searchsorted(q, q), np.searchsorted(q, q, "right")
+        kth = np.where(end - begin >= k, near[np.minimum(begin + k, end) - 1], 0)
+        good = near >= np.maximum(low[q], kth * (1 - 2 * queries.slack[q]))
+        q, docs = q[good], docs[good]
+        # the exact scores, added up in the order of terms
+        scores, weight = np.zeros(len(q)), np.zeros(len(self.weight))
+        ends = np.flatnonzero(np.append(q[1:] != q[:-1], True)) + 1 if len(q) else []
+        begin = 0
+        for end in ends:
+            terms = queries.of(q[begin])
+            weight[terms] = self.weight[terms]
+            at, term, impact = self._impact(docs[begin:end])
+            scores[begin:end] = np.bincount(at, weights=impact * weight[term], minlength=end - begin)
+            weight[terms] = 0
+            begin = end
+        return q, self.ids[docs], scores
+
+
+def _search(said, floor, k: int, mean_length: float, shard_bytes: int):
+    """Task: its best k documents for every query of the block, of those that reach the query's floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, query_ids, cuts, terms, weights = said.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
+        vocabulary, weight, cuts, terms, n_short = said.value[:5]
+        queries = Queries(cuts, terms, weight)
+        short = np.unique(terms[: cuts[n_short]])
+        least = np.zeros(len(cuts) - 1) if floor is None else floor.value.copy()
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         parts: list[tuple] = []
         held = 0
 
         def close():
-            shard = Shard(parts, len(vocabulary), mean_length)
-            for i in range(len(query_ids)):
-                mine = slice(cuts[i], cuts[i + 1])
-                ids, scores = best[i]
-                more = shard.top(terms[mine], weights[mine], k, scores[-1] if len(scores) == k else 0.0)
-                ids, scores = np.concatenate([ids, more[0]]), np.concatenate([scores, more[1]])
-                order = np.lexsort((ids, -scores))[:k]
-                best[i] = ids[order], scores[order]
+            nonlocal best
+            more = [best]
+            if len(cuts) - 1 > n_short:
+                more.append(Stretch(parts, weight, mean_length).top(queries, (n_short, len(cuts) - 1), k, least))
+            if n_short:
+                few = []
+                for p in parts:
+                    at = np.minimum(np.searchsorted(short, p[3]), len(short) - 1)
+                    mine = short[at] == p[3]
+                    few.append((p[0], p[1], p[2][mine], at[mine], p[4][mine]))
+                shard = Shard(few, len(short), mean_length)
+                for i in range(n_short):
+                    ids, scores = shard.top(np.searchsorted(short, queries.of(i)), weight[queries.of(i)], k, least[i])
+                    more.append((np.full(len(ids), i), ids, scores))
+            q, ids, scores = (np.concatenate([m[j] for m in more]) for j in range(3))
+            order = _best(q, ids, scores, k)
+            best = q, ids, scores = q[order], ids[order], scores[order]
+            last = np.flatnonzero(np.append(q[1:] != q[:-1], True)) if len(q) else np.zeros(0, np.int64)
+            last = last[np.diff(np.append(-1, last)) == k]
+            least[q[last]] = np.maximum(least[q[last]], scores[last])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for row, n, r, h, times in _terms(batch.column(1)):
                 at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
                 known = vocabulary[at] == h
-                parts.append((ids[row : row + len(n)], n, r[known], at[known], times[known]))
+                parts.append((ids[row : row + len(n)], n, r[known].astype(np.int32), at[known].astype(np.int32), times[known].astype(np.int32)))
                 held += int(n.sum()) * 6
                 if held >= shard_bytes:
                     close()
                     parts, held = [], 0
         if parts:
             close()
-        sizes = [len(b[0]) for b in best]
-        yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(query_ids, sizes), pa.int64()), "doc_id": pa.array(np.concatenate([b[0] for b in best]), pa.int64()), "score": pa.array(np.concatenate([b[1] for b in best]), pa.float64())})
+        yield pa.RecordBatch.from_pydict({"query": pa.array(best[0], pa.int32()), "doc_id": pa.array(best[1], pa.int64()), "score": pa.array(best[2], pa.float64())})
 
     return run
 
 
+def _spread(said):
+    """Task: the rows of a query for all queries that have its terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, first = said.value[5:]
+        for batch in batches:
+            q = batch.column(0).to_numpy()
+            a, b = first[q], first[q + 1]
+            at = pa.array(np.repeat(np.arange(len(q)), b - a))
+            yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[_ranges(a, b)], pa.int64()), **{c: batch.column(c).take(at) for c in ("rank", "doc_id", "score")}})
+
+    return run
+
+
+def _block(asked: pa.Table, words: pa.Table) -> tuple | None:
+    """What tasks are told of queries (query_id, terms): vocabulary, its weights, the distinct sets of terms (cuts, terms, how many
+    are short), and the ids that have each (ids, cuts).  Short sets come first, then those alike side by side."""
+    order = np.argsort(words["term"].to_numpy().view(U64))
+    vocabulary, weight = words["term"].to_numpy().view(U64)[order], words["weight"].to_numpy()[order]
+    if not len(vocabulary):
+        return None
+    places, ids, sets = {}, [], []
+    for batch in asked.to_batches():
+        terms, ends = batch.column(1).flatten().to_numpy().view(U64), batch.column(1).offsets.to_numpy()
+        ends = ends - ends[0]
+        at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+        known = vocabulary[at] == terms
+        at, ends = at[known].astype(np.int32), np.append(0, np.cumsum(known))[ends]
+        for i, query_id in enumerate(batch.column(0).to_pylist()):
+            mine = at[ends[i] : ends[i + 1]]
+            if len(mine):
+                place = places.setdefault(hashlib.blake2b(mine, digest_size=16).digest(), len(sets))
+                if place == len(sets):
+                    sets.append(mine.copy())
+                ids.append((query_id, place))
+    if not sets:
+        return None
+    size = np.array([len(x) for x in sets])
+    rank = np.empty(len(weight), np.int64)
+    rank[np.argsort(weight, kind="stable")] = np.arange(len(weight))
+    order = np.lexsort((size, *_alike(np.concatenate(sets), np.append(0, np.cumsum(size)), rank), size > SHORT))
+    new = np.empty(len(order), np.int64)
+    new[order] = np.arange(len(order))
+    who, place = np.array([i for i, _ in ids]), new[[p for _, p in ids]]
+    by = np.lexsort((who, place))
+    return vocabulary, weight, np.append(0, np.cumsum(size[order])), np.concatenate([sets[i] for i in order]), int((size <= SHORT).sum()), who[by], np.searchsorted(place[by], np.arange(len(order) + 1))
+
+
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of each query by BM25; ties go to the smaller id.
 
@@ -229,28 +472,42 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     total = seen.where("term is null").first()
     n_docs, n_words = (total["df"], total["words"]) if total else (0, 0)
     asked = queries.select(F.col(queries.columns[0]).cast("long").alias("query_id"), F.col(queries.columns[1]).cast("binary").alias("text")).where("query_id is not null").groupBy("query_id").agg(F.min("text").alias("text"))
-    q = asked.mapInArrow(_query_terms, "query_id long, term long").join(seen.where("term is not null").select("term", "df"), "term")
+    q = cut(asked.mapInArrow(_query_terms, "query_id long, terms array<long>").where(F.size("terms") > 0))
     idf = F.log1p((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    q = cut(q.select("query_id", "term", idf.alias("weight")))
-    n_terms = q.count()
+    n_terms = q.agg(F.sum(F.size("terms"))).first()[0] or 0
     blocks = max(1, -(-n_terms // block_terms))
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    mean_length, shards = n_words / max(1, n_docs), (n_words or 0) * 6 // shard_bytes
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "doc_id")
     found = []
+
+    def search(some: DataFrame, said, floor) -> DataFrame:
+        return some.mapInArrow(_search(said, floor, k, mean_length, shard_bytes), "query int, doc_id long, score double")
+
+    def ranked(part: DataFrame) -> DataFrame:
+        return part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
     for b in range(blocks):
-        block = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        got = block.toArrow()  # columns, not rows: a block is bounded by block_terms
-        if not len(got):
+        mine = q.where(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == b)
+        words = mine.select(F.explode("terms").alias("term")).distinct().join(seen.where("term is not null").select("term", "df"), "term")
+        told = _block(mine.toArrow(), words.select("term", idf.alias("weight")).toArrow())  # columns, not rows: a block is bounded by block_terms
+        if told is None:
             continue
-        qid, term, weight = got["query_id"].to_numpy(), got["term"].to_numpy().view(U64), got["weight"].to_numpy()
-        order = np.lexsort((term, qid))
-        qid, term, weight = qid[order], term[order], weight[order]
-        vocabulary = np.unique(term)
-        ids = np.unique(qid)
-        said = spark.sparkContext.broadcast((vocabulary, ids, np.searchsorted(qid, np.append(ids, ids[-1] + 1)), np.searchsorted(vocabulary, term), weight))
-        part = d.mapInArrow(_search(said, k, n_words / max(1, n_docs), shard_bytes), "query_id long, doc_id long, score double")
-        ranked = part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
-        found.append(cut(ranked))  # written now, so that the block's terms can be let go
-        said.destroy()
+        said, floor = spark.sparkContext.broadcast(told), None
+        if shards >= EARLY:
+            early = F.pmod(F.xxhash64("doc_id"), F.lit(EARLY)) == 0
+            first = cut(ranked(search(d.where(early).repartition(int(-(-shards // EARLY))), said, None)))
+            kth = first.where(F.col("rank") == k).select("query", "score").toArrow()
+            least = np.zeros(len(told[2]) - 1)
+            least[kth["query"].to_numpy()] = kth["score"].to_numpy()
+            floor = spark.sparkContext.broadcast(least)
+            part = search(d.where(~early), said, floor).unionByName(first.drop("rank"))
+        else:
+            part = search(d, said, None)
+        rows = ranked(part).select("query", "rank", "doc_id", "score").mapInArrow(_spread(said), "query_id long, rank int, doc_id long, score double")
+        found.append(cut(rows))  # written now, so that the block's terms can be let go
+        for sent in (said, floor):
+            if sent is not None:
+                sent.destroy()
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     return reduce(DataFrame.unionByName, found)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import decontamination, near_dedup, quality, search, substring_dedup, token_count
@@ -261,6 +262,84 @@ def test_search_by_a_query_of_many_terms_that_nearly_tie():
     assert search.ROUNDING * n_terms > search.SLACK
 
 
+def brute_bm25(docs, asked, weight, mean):
+    """Scores of all documents (doc, size, times by term) by each set of terms."""
+    out = np.zeros((len(asked), len(docs)))
+    for d, (size, times) in enumerate(docs):
+        norm = search.K1 * (1 - search.B + search.B * size / mean)
+        for q, terms in enumerate(asked):
+            out[q, d] = sum(weight[t] * n * (search.K1 + 1) / (n + norm) for t, n in sorted(times.items()) if t in terms)
+    return out
+
+
+@pytest.mark.parametrize("docs_of_block,queries_of_batch,piece", [(2048, 256, 1 << 16), (64, 7, 50)])
+def test_search_by_long_queries_that_go_together(monkeypatch, docs_of_block, queries_of_batch, piece):
+    for name, value in (("DOCS", docs_of_block), ("QUERIES", queries_of_batch), ("PIECE", piece)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(11)
+    n_terms = 400
+    docs = []
+    for i in range(500):
+        term = np.minimum(rng.zipf(1.4, rng.integers(0, 120)) - 1, n_terms - 1)
+        docs.append(docs[i - 1] if i % 9 == 8 else (len(term) + i % 3, Counter(term.tolist())))  # some tie
+    weight = rng.uniform(0.1, 8, n_terms)
+    mean = float(np.mean([size for size, _ in docs]))
+    asked = [{0}, {3, 7}] + [set(rng.choice(n_terms, n, replace=False).tolist()) for n in (5, 12, 40, 90, 200, 399)] + [set(d[1]) for d in docs[:40] if len(d[1]) > search.SHORT]
+    terms = [np.array(sorted(x), np.int32) for x in asked]
+    queries = search.Queries(np.append(0, np.cumsum([len(x) for x in terms])), np.concatenate(terms), weight)
+    parts = []
+    for a in range(0, 500, 130):
+        some = docs[a : a + 130]
+        rows = [(i, t, n) for i, (_, times) in enumerate(some) for t, n in sorted(times.items())]
+        r, t, n = (np.array(x, np.int32) for x in zip(*rows))
+        parts.append((np.arange(a, a + len(some)) + 1000, np.array([size for size, _ in some]), r, t, n))
+    full = brute_bm25(docs, asked, weight, mean)
+    tenth = np.sort(full, axis=1)[:, -10]
+    for least in (np.zeros(len(asked)), tenth, tenth * 2):
+        q, ids, scores = search.Stretch(parts, weight, mean).top(queries, (0, len(asked)), 10, least)
+        assert np.allclose(scores, full[q, ids - 1000], rtol=1e-12)
+        for i in range(len(asked)):
+            must = np.flatnonzero((full[i] > 0) & (full[i] >= max(tenth[i], least[i])))
+            assert set(must + 1000) <= set(ids[q == i].tolist()) and len(ids[q == i]) <= len(must) + 3
+
+
+def test_search_takes_one_pass_for_more_than_a_million_terms(spark, monkeypatch):
+    sent = []
+    was = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or was(self, value))
+    words = [" ".join(f"t{k * 20_000 + i}" for i in range(20_000)) for k in range(55)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    got = search.top_k(docs, docs.unionAll(docs.selectExpr("doc_id + 100", "text"))).collect()
+    assert {(r.query_id, r["rank"], r.doc_id) for r in got} == {(k + more, 1, k) for k in range(55) for more in (0, 100)}
+    assert len(sent) == 1  # equal queries are searched once, and all of them in one pass
+
+
+def test_search_tasks_return_only_what_reaches_the_floor():
+    ids = list(range(300))
+    texts = [f"w{i % 7} w{i % 11} w{i % 13} common words of all the texts" for i in ids]
+    column = pa.array([t.encode() for t in texts])
+    told = list(search._query_terms(iter([pa.RecordBatch.from_arrays([pa.array(ids[:20]), column.slice(0, 20)], ["query_id", "text"])])))
+    asked = pa.Table.from_batches(told)
+    terms = np.unique(asked["terms"].combine_chunks().flatten().to_numpy())
+    block = search._block(asked, pa.table({"term": terms, "weight": np.linspace(0.5, 3, len(terms))}))
+
+    class Said:
+        def __init__(self, value):
+            self.value = value
+
+    def run(floor):
+        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), column], ["doc_id", "text"])
+        out = pa.Table.from_batches(search._search(Said(block), floor, 10, 8.0, 2000)(iter([batch])))
+        return out["query"].to_numpy(), out["doc_id"].to_numpy(), out["score"].to_numpy()
+
+    q, docs, scores = run(None)
+    first = np.array([scores[q == i].max() for i in range(20)])
+    assert np.bincount(q).tolist() == [10] * 20
+    q2, docs2, scores2 = run(Said(first * (1 + 1e-9)))
+    keep = scores >= first[q] * (1 - 1e-3)
+    assert set(zip(q2.tolist(), docs2.tolist())) == set(zip(q[keep].tolist(), docs[keep].tolist())) and len(q2) < len(q) / 2
+
+
 def test_quality_learns_and_covers_whole_texts(spark):
     rng = random.Random(4)
     good = lambda n: " ".join(prose(rng, n))
