@@ -51,14 +51,25 @@ ALIKE = 4
 SHORT, QUERIES, DOCS = 4, 256, 2048
 #: A term of a batch and a block goes into the matrix product if one in so many pairs of a query and a document share it,
 #: and if one in so many of the block's documents has it.
-SHARED, COMMON = 600, 160
-#: Postings that are added at once.
-PIECE = 1 << 16
+SHARED, COMMON = 600, 50
+#: Postings that are added at once; queries, and pairs of a query and a document, whose exact scores are found at once.
+PIECE, TOGETHER, PAIRS = 1 << 16, 16, 256
 #: One in so many documents is searched before the others.
 EARLY = 16
 BLOCK_TERMS = 16_000_000
 
 
+def _by_row(r: np.ndarray, h: np.ndarray, n_rows: int) -> np.ndarray:
+    """Order by row and term."""
+    if n_rows <= 1 << 16:
+        key = (r.astype(U64) << U64(48)) | (h >> U64(16))
+        order = np.argsort(key)
+        key, low = key[order], h[order]
+        if not ((key[1:] == key[:-1]) & (low[1:] != low[:-1])).any():
+            return order
+    return np.lexsort((h, r))
+
+
 def _terms(column: pa.Array):
     """(first row, words per row, row of each distinct term, term, times) slice by slice."""
     for row, end, data, offsets in text_slices(column):
@@ -66,8 +77,7 @@ def _terms(column: pa.Array):
         h = hash_words(data, starts, ends, fold=True)
         n = np.diff(first)
         r = np.repeat(np.arange(len(n)), n)
-        order = np.argsort(h)
-        order = order[np.argsort(r[order].astype(np.uint16 if len(n) <= 1 << 16 else np.int64), kind="stable")]
+        order = _by_row(r, h, len(n))
         h, r = h[order], r[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
@@ -83,7 +93,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words += int(n.sum())
             found.append(h)
         terms, df = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_pydict({"term": pa.array([*terms.view(np.int64).tolist(), None], pa.int64()), "df": pa.array([*df.tolist(), batch.num_rows], pa.int64()), "words": pa.array([0] * len(df) + [words], pa.int64())})
+        last = np.arange(len(df) + 1) == len(df)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(np.append(terms.view(np.int64), 0), mask=last), "df": pa.array(np.append(df, batch.num_rows)), "words": pa.array(last * np.int64(words))})
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +248,7 @@ class Block:
 
     def __init__(self, doc: np.ndarray, term: np.ndarray, value: np.ndarray, n_docs: int, slot: np.ndarray):
         order = np.argsort(term.astype(np.int64) * n_docs + doc)
-        self.doc, self.value, term = doc[order], value[order], term[order]
+        self.doc, self.value, term = doc[order].astype(np.uint16), value[order], term[order]
         at = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
         self.terms, self.first, self.n_docs = term[at], np.append(at, len(term)), n_docs
         self.most = np.maximum.reduceat(self.value, at)
@@ -302,19 +313,19 @@ class Stretch:
         rank[np.argsort(-often, kind="stable")] = np.arange(len(weight))
         self.order = np.lexsort((length, *_alike(self.term, self.first, rank))) if len(known) else known
 
-    def _impact(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the postings of some documents: the document's place among them, the term and the impact."""
-        a, b = self.first[docs], self.first[docs + 1]
-        p, at = _ranges(a, b), np.repeat(np.arange(len(docs)), b - a)
+    def _impact(self, p: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Impacts of some postings, given the document of each."""
         times = self.times[p]
-        return at, self.term[p], times * (K1 + 1) / (times + self.norm[docs][at])
+        return times * (K1 + 1) / (times + self.norm[docs])
 
     def blocks(self) -> Iterator[tuple[np.ndarray, Block]]:
         slot = np.full(len(self.weight), -1, np.int32)
-        for b in range(0, len(self.order), DOCS):
-            docs = self.order[b : b + DOCS]
-            at, term, impact = self._impact(docs)
-            block = Block(at, term, (impact * self.weight[term]).astype(np.float32), len(docs), slot)
+        for begin in range(0, len(self.order), DOCS):
+            docs = self.order[begin : begin + DOCS]
+            a, b = self.first[docs], self.first[docs + 1]
+            p, at = _ranges(a, b), np.repeat(np.arange(len(docs)), b - a)
+            term = self.term[p]
+            block = Block(at, term, (self._impact(p, docs[at]) * self.weight[term]).astype(np.float32), len(docs), slot)
             slot[block.terms] = np.arange(len(block.terms), dtype=np.int32)
             yield docs, block
             slot[block.terms] = -1
@@ -343,18 +354,26 @@ class Stretch:
         kth = np.where(end - begin >= k, near[np.minimum(begin + k, end) - 1], 0)
         good = near >= np.maximum(low[q], kth * (1 - 2 * queries.slack[q]))
         q, docs = q[good], docs[good]
-        # the exact scores, added up in the order of terms
-        scores, weight = np.zeros(len(q)), np.zeros(len(self.weight))
-        ends = np.flatnonzero(np.append(q[1:] != q[:-1], True)) + 1 if len(q) else []
-        begin = 0
-        for end in ends:
-            terms = queries.of(q[begin])
-            weight[terms] = self.weight[terms]
-            at, term, impact = self._impact(docs[begin:end])
-            scores[begin:end] = np.bincount(at, weights=impact * weight[term], minlength=end - begin)
-            weight[terms] = 0
-            begin = end
-        return q, self.ids[docs], scores
+        return q, self.ids[docs], self._exact(queries, q, docs)
+
+    def _exact(self, queries: Queries, q: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Scores of pairs that are sorted by query, added up in the order of terms."""
+        scores, has = np.zeros(len(q)), np.zeros((TOGETHER, len(self.weight)), bool)
+        begins = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else q
+        for x in range(0, len(begins), TOGETHER):
+            some = q[begins[x : x + TOGETHER]]
+            begin, end = begins[x], begins[x + TOGETHER] if x + TOGETHER < len(begins) else len(q)
+            at = np.repeat(np.arange(len(some)), queries.size[some]), queries.terms[_ranges(queries.cuts[some], queries.cuts[some + 1])]
+            has[at] = True
+            for y in range(begin, end, PAIRS):
+                z = min(y + PAIRS, end)
+                a, b = self.first[docs[y:z]], self.first[docs[y:z] + 1]
+                p = _ranges(a, b)
+                mine = np.flatnonzero(has.reshape(-1)[np.repeat(np.searchsorted(some, q[y:z]) * len(self.weight), b - a) + self.term[p]])
+                pair, p = np.searchsorted(np.cumsum(b - a), mine, "right"), p[mine]
+                scores[y:z] = np.bincount(pair, weights=self._impact(p, docs[y:z][pair]) * self.weight[self.term[p]], minlength=z - y)
+            has[at] = False
+        return scores
 
 
 def _search(said, floor, k: int, mean_length: float, shard_bytes: int):
