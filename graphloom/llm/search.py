@@ -19,8 +19,8 @@ documents have are one matrix product, and the postings of the rest are added to
 documents that reach a query's threshold are scored exactly.
 
 Queries are a stated set; those with the same terms are searched once.  They go to the tasks in blocks of at most
-``BLOCK_TERMS`` terms, each block being one pass over the documents.  Of many shards, one in ``EARLY`` is searched
-first: its k-th best scores are thresholds for all other tasks, so that what these return follows
+``BLOCK_TERMS`` terms, each block being one pass over the documents.  Where shards are many, one document in ``EARLY`` is searched
+first: the k-th best scores are thresholds for all other tasks, so that what these return follows
 the queries and not queries times tasks.  A block's results are written before the next is sent,
 so the driver never holds more than one.
 """

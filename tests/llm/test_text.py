@@ -314,6 +314,16 @@ def test_search_takes_one_pass_for_more_than_a_million_terms(spark, monkeypatch)
     assert len(sent) == 1  # equal queries are searched once, and all of them in one pass
 
 
+def test_search_sorts_terms_that_begin_alike():
+    rng = np.random.default_rng(3)
+    row = np.sort(rng.integers(0, 5, 400))
+    for term in (rng.integers(0, 50, 400).astype(np.uint64), rng.integers(0, 1 << 63, 400).astype(np.uint64)):  # the first ones differ in their last bits only
+        for n_rows in (5, 1 << 17):
+            order = search._by_row(row, term, n_rows)
+            want = np.lexsort((term, row))
+            assert (row[order] == row[want]).all() and (term[order] == term[want]).all()
+
+
 def test_search_tasks_return_only_what_reaches_the_floor():
     ids = list(range(300))
     texts = [f"w{i % 7} w{i % 11} w{i % 13} common words of all the texts" for i in ids]
